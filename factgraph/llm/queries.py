@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factgraph.llm import bpe, packing, token_counts
+from factgraph.llm import bpe, packing, simhash, token_counts
 from factgraph.llm.common import table
 
 
@@ -18,12 +18,16 @@ def op4_prefix_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.totals(table(spark, sf_dir, "documents"))
 
 
+def op5_simhash_balls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_cost_balanced_packing, op4_prefix_token_counts, op6_byte_bpe)}
+    return {f.__name__: f for f in (op3_cost_balanced_packing, op4_prefix_token_counts, op5_simhash_balls, op6_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
