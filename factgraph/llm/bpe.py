@@ -31,7 +31,7 @@ RANK_VOCABULARY = "byte_bpe_50k.tiktoken"
 
 #: Between the texts of one step; no valid text holds a surrogate.
 SEPARATOR = "\ud800"
-CACHE_PIECES = 400_000
+CACHE_PIECES = 800_000
 #: Pieces up to so many bytes are merged by scanning, longer ones with a heap.
 SHORT = 48
 BLOCK = 64

@@ -20,10 +20,10 @@ from pyspark.sql import functions as F
 from factgraph.llm import common
 
 BUCKETS = 1 << 16
-NGRAM = 3
+NGRAM = 2
 #: Weight of the raw distribution in the target's, as a share of the target's n-grams.
-SMOOTHING = 0.2
-THRESHOLD = -0.35
+SMOOTHING = 0.1
+THRESHOLD = -0.345
 MIN_WORDS = 20
 #: Percent of words in repeated windows above which a document fails.
 MAX_REPEATED = 30

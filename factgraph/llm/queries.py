@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factgraph.llm import bpe, packing, quality_classifier, quality_rules, simhash, token_counts
+from factgraph.llm import bpe, class_ngram, packing, quality_classifier, quality_rules, simhash, token_counts
 from factgraph.llm.common import table
 
 
@@ -26,6 +26,10 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"))
 
 
+def op7_class_ngram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return class_ngram.score(table(spark, sf_dir, "documents"))
+
+
 def op9_attention_mil_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality_classifier.score(docs, quality_classifier.fit(docs, table(spark, sf_dir, "labels")))
@@ -37,7 +41,7 @@ def op10_ngram_likelihood_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_cost_balanced_packing, op4_prefix_token_counts, op5_simhash_balls, op6_byte_bpe, op9_attention_mil_quality, op10_ngram_likelihood_rules)}
+    return {f.__name__: f for f in (op3_cost_balanced_packing, op4_prefix_token_counts, op5_simhash_balls, op6_byte_bpe, op7_class_ngram, op9_attention_mil_quality, op10_ngram_likelihood_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
