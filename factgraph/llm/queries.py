@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factgraph.llm import bpe, class_ngram, packing, quality_classifier, quality_rules, simhash, token_counts
+from factgraph.llm import bpe, chat, class_ngram, packing, pii, quality_classifier, quality_rules, simhash, token_counts
 from factgraph.llm.common import table
 
 
+def op1_preference_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_preferences(chat.truncation_pairs(table(spark, sf_dir, "conversations")))
+
+
 def op3_cost_balanced_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -30,6 +34,10 @@ def op7_class_ngram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return class_ngram.score(table(spark, sf_dir, "documents"))
 
 
+def op8_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymise(table(spark, sf_dir, "documents"), found="n_found").select("doc_id", "text", "n_found")
+
+
 def op9_attention_mil_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality_classifier.score(docs, quality_classifier.fit(docs, table(spark, sf_dir, "labels")))
@@ -41,8 +49,8 @@ def op10_ngram_likelihood_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_cost_balanced_packing, op4_prefix_token_counts, op5_simhash_balls, op6_byte_bpe, op7_class_ngram, op9_attention_mil_quality, op10_ngram_likelihood_rules)}
+    return {f.__name__: f for f in (op1_preference_formatting, op3_cost_balanced_packing, op4_prefix_token_counts, op5_simhash_balls, op6_byte_bpe, op7_class_ngram, op8_feistel_pseudonyms, op9_attention_mil_quality, op10_ngram_likelihood_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_preference_formatting": chat.ORACLE}
