@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factgraph.llm import bpe, chat, class_ngram, packing, pii, quality_classifier, quality_rules, simhash, token_counts
+from factgraph.llm import avi, bpe, chat, class_ngram, packing, pii, quality_classifier, quality_rules, simhash, token_counts
 from factgraph.llm.common import table
 
 
@@ -14,6 +14,10 @@ def op1_preference_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.format_preferences(chat.truncation_pairs(table(spark, sf_dir, "conversations")))
 
 
+def op2_avi_motion_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return avi.digests(table(spark, sf_dir, "documents"))
+
+
 def op3_cost_balanced_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -49,7 +53,7 @@ def op10_ngram_likelihood_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_preference_formatting, op3_cost_balanced_packing, op4_prefix_token_counts, op5_simhash_balls, op6_byte_bpe, op7_class_ngram, op8_feistel_pseudonyms, op9_attention_mil_quality, op10_ngram_likelihood_rules)}
+    return {f.__name__: f for f in (op1_preference_formatting, op2_avi_motion_jpeg, op3_cost_balanced_packing, op4_prefix_token_counts, op5_simhash_balls, op6_byte_bpe, op7_class_ngram, op8_feistel_pseudonyms, op9_attention_mil_quality, op10_ngram_likelihood_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
