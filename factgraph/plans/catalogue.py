@@ -1,15 +1,453 @@
-"""Registry of the engine's own queries: name -> (spark, sf_dir) -> DataFrame, and their DuckDB oracles."""
+"""Registry of the engine's own queries: name -> (spark, sf_dir) -> DataFrame, and their DuckDB oracles.
+
+Family A applies each operator to the driver's tables; family B analyses the fixture projects of
+:mod:`factgraph.plans.fixtures`.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from factgraph.functions import columns as C
+from factgraph.functions import fixed
+from factgraph.operators import relops as R
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(oracle: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if oracle:
+            ORACLES[f.__name__] = oracle
+        return f
+
+    return add
+
+
+def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _list(values) -> str:
+    return ", ".join(f"'{v}'" for v in values)
+
+
+# literals and paths
+
+_PLACEHOLDER = " OR ".join(["contains(v, ' ')", *[f"starts_with(v, '{s}')" for s in fixed.PLACEHOLDER_STARTS], *[f"contains(lower(v), '{s}')" for s in fixed.PLACEHOLDER_FRAGMENTS]])
+
+
+@query(f"""
+WITH m AS (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z_]+ ?[:=] ?"[^"]*"')) AS lit, generate_subscripts(regexp_extract_all(text, '[A-Za-z_]+ ?[:=] ?"[^"]*"'), 1) AS ord FROM documents),
+s AS (SELECT doc_id, ord, regexp_extract(lit, '^([A-Za-z_]+)', 1) AS binding, regexp_extract(lit, '"([^"]*)"', 1) AS v FROM m),
+f AS (SELECT *, CASE WHEN strlen(v) < 8 OR {_PLACEHOLDER} THEN NULL WHEN strlen(v) >= 16 AND ({' OR '.join(f"starts_with(v, '{p}')" for p in fixed.SECRET_PREFIXES)}) THEN 'known_prefix'
+  WHEN {' OR '.join(f"contains(lower(binding), '{p}')" for p in fixed.SECRET_NAME_FRAGMENTS)} THEN 'suspicious_name' END AS signal FROM s)
+SELECT doc_id, (ord - 1)::INT AS ord, binding, substr(v, 1, 4) AS preview, length(v)::INT AS length, signal FROM f WHERE signal IS NOT NULL""")
+def secret_candidates(spark, sf_dir):
+    """Credential-like literals of documents; only a preview and the length leave."""
+    found = F.regexp_extract_all("text", F.lit('[A-Za-z_]+ ?[:=] ?"[^"]*"'), F.lit(0))
+    rows = _t(spark, sf_dir, "documents").where(F.col("text").contains('"')).select("doc_id", F.posexplode(found).alias("ord", "lit"))
+    rows = rows.select("doc_id", "ord", F.regexp_extract("lit", "^([A-Za-z_]+)", 1).alias("binding"), F.regexp_extract("lit", '"([^"]*)"', 1).alias("v"))
+    return rows.withColumn("signal", C.secret_signal(F.col("binding"), F.col("v"))).where("signal IS NOT NULL").select("doc_id", "ord", "binding", F.substring("v", 1, 4).alias("preview"), F.char_length("v").alias("length"), "signal")
+
+
+@query("""SELECT page_id, regexp_replace(trim(regexp_replace(url, '^[a-z]+://[^/]*', ''), '/'), '/+', '/', 'g') || '/z' AS path FROM pages""")
+def url_normalize(spark, sf_dir):
+    """Lexical normalisation of URL paths with dots, double dots and empty parts added."""
+    path = F.regexp_replace("url", "^[a-z]+://[^/]*", "")
+    return _t(spark, sf_dir, "pages").select("page_id", C.normalise(F.concat(F.lit("../"), path, F.lit("/./x/y/../..//z"))).alias("path"))
+
+
+@query("""
+WITH h AS (SELECT page_id, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS href FROM pages)
+SELECT CASE WHEN starts_with(href, './') OR starts_with(href, '../') THEN 'relative' WHEN starts_with(href, '/') THEN 'rooted' WHEN regexp_matches(href, '^[a-z]+:') THEN 'external' WHEN starts_with(href, '#') THEN 'fragment' ELSE 'bare' END AS kind,
+  count(*) AS links, count(DISTINCT page_id) AS pages FROM h GROUP BY 1""")
+def url_kind(spark, sf_dir):
+    """Links classified as imports are: relative, rooted, external, ..."""
+    hrefs = _t(spark, sf_dir, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))).alias("href"))
+    h = F.col("href")
+    kind = F.when(h.startswith("./") | h.startswith("../"), "relative").when(h.startswith("/"), "rooted").when(h.rlike("^[a-z]+:"), "external").when(h.startswith("#"), "fragment").otherwise("bare")
+    return hrefs.groupBy(kind.alias("kind")).agg(F.count("*").alias("links"), F.countDistinct("page_id").alias("pages"))
+
+
+@query("""
+WITH s AS (SELECT s_nationkey, min(s_suppkey) AS k FROM supplier WHERE s_acctbal > 5000 GROUP BY 1),
+r AS (SELECT n_regionkey, min(s_suppkey) AS k FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE s_acctbal > 9000 GROUP BY 1)
+SELECT c_custkey, coalesce(s.k, r.k) AS supplier, CASE WHEN s.k IS NOT NULL THEN 'project' WHEN r.k IS NOT NULL THEN 'external' ELSE 'unresolved' END AS kind
+FROM customer JOIN nation ON c_nationkey = n_nationkey LEFT JOIN s ON s.s_nationkey = c_nationkey LEFT JOIN r ON r.n_regionkey = nation.n_regionkey""")
+def probe_first_match(spark, sf_dir):
+    """Ordered candidates, the first that exists wins: a supplier of the nation, else of the region, else none."""
+    nation, supplier = _t(spark, sf_dir, "nation"), _t(spark, sf_dir, "supplier")
+    suppliers = supplier.join(F.broadcast(nation), F.col("s_nationkey") == F.col("n_nationkey"))
+    targets = suppliers.where("s_acctbal > 5000").groupBy(F.concat(F.lit("n"), F.col("s_nationkey")).alias("target")).agg(F.min("s_suppkey").alias("supplier"))
+    targets = targets.unionByName(suppliers.where("s_acctbal > 9000").groupBy(F.concat(F.lit("r"), F.col("n_regionkey")).alias("target")).agg(F.min("s_suppkey").alias("supplier")))
+    wanted = _t(spark, sf_dir, "customer").join(F.broadcast(nation), F.col("c_nationkey") == F.col("n_nationkey"))
+    candidates = wanted.select("c_custkey", F.posexplode(F.array(F.concat(F.lit("n"), F.col("c_nationkey")), F.concat(F.lit("r"), F.col("n_regionkey")))).alias("ord", "target"))
+    best = candidates.join(targets, "target", "left").groupBy("c_custkey").agg(F.min(F.when(F.col("supplier").isNotNull(), F.struct("ord", "supplier"))).alias("b"))
+    return best.select("c_custkey", F.col("b.supplier").alias("supplier"), F.when(F.col("b.ord") == 0, "project").when(F.col("b.ord") == 1, "external").otherwise("unresolved").alias("kind"))
+
+
+@query("""
+WITH h AS (SELECT page_id, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS href FROM pages), p AS (SELECT DISTINCT regexp_replace(regexp_replace(url, '^[a-z]+://[^/]*', ''), '[?#].*$', '') AS path FROM pages)
+SELECT href, count(*) AS links, count(DISTINCT page_id) AS pages FROM h WHERE starts_with(href, '/') AND NOT EXISTS (SELECT 1 FROM p WHERE path = href) GROUP BY href""")
+def broken_links(spark, sf_dir):
+    """Rooted links that no page's path answers."""
+    pages = _t(spark, sf_dir, "pages")
+    hrefs = pages.select("page_id", F.explode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))).alias("href")).where(F.col("href").startswith("/"))
+    paths = pages.select(F.regexp_replace(F.regexp_replace("url", "^[a-z]+://[^/]*", ""), "[?#].*$", "").alias("href"))
+    return R.difference(hrefs, paths, ["href"]).groupBy("href").agg(F.count("*").alias("links"), F.countDistinct("page_id").alias("pages"))
+
+
+# semi and anti joins, grouping
+
+
+@query("SELECT doc_id, lang, source FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)")
+def unlabeled_documents(spark, sf_dir):
+    return R.difference(_t(spark, sf_dir, "documents").select("doc_id", "lang", "source"), _t(spark, sf_dir, "labels"), ["doc_id"])
+
+
+@query("SELECT p_partkey, p_name FROM part WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_returnflag = 'R' AND year(l_shipdate) = 1998)")
+def unused_parts(spark, sf_dir):
+    used = _t(spark, sf_dir, "lineitem").where("l_returnflag = 'R' AND l_shipdate >= '1998-01-01' AND l_shipdate < '1999-01-01'").select(F.col("l_partkey").alias("p_partkey"))
+    return R.difference(_t(spark, sf_dir, "part").select("p_partkey", "p_name"), used, ["p_partkey"])
+
+
+@query("SELECT c_custkey, c_name FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority LIKE '1-%')")
+def semi_client(spark, sf_dir):
+    urgent = _t(spark, sf_dir, "orders").where(F.col("o_orderpriority").startswith("1-")).select(F.col("o_custkey").alias("c_custkey"))
+    return _t(spark, sf_dir, "customer").select("c_custkey", "c_name").join(urgent, "c_custkey", "left_semi")
+
+
+@query("SELECT md5(text) AS digest, count(*) AS copies, min(doc_id) AS first_id, max(doc_id) AS last_id, sum(doc_id)::BIGINT AS id_sum FROM documents GROUP BY 1 HAVING count(*) > 1")
+def duplicate_text(spark, sf_dir):
+    """Repeated declarations of the same text; aggregates instead of a list, so a hot text stays small."""
+    return _t(spark, sf_dir, "documents").groupBy(F.md5("text").alias("digest")).agg(F.count("*").alias("copies"), F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id"), F.sum("doc_id").alias("id_sum")).where("copies > 1")
+
+
+@query("""
+WITH u AS (SELECT l_partkey, bool_or(l_returnflag = 'R' AND l_quantity > 45) AS star, list_sort(list(DISTINCT l_linestatus || l_returnflag)) AS used, count(*) AS bindings FROM lineitem GROUP BY 1)
+SELECT p_partkey, bindings FROM part JOIN u ON l_partkey = p_partkey WHERE NOT star AND NOT list_contains(used, 'FA')""")
+def star_usage(spark, sf_dir):
+    """Exports of imported modules that no binding names, where a star binding counts as naming all."""
+    use = _t(spark, sf_dir, "lineitem").groupBy("l_partkey").agg(F.bool_or((F.col("l_returnflag") == "R") & (F.col("l_quantity") > 45)).alias("star"), F.collect_set(F.concat("l_linestatus", "l_returnflag")).alias("used"), F.count("*").alias("bindings"))
+    return _t(spark, sf_dir, "part").join(use, F.col("p_partkey") == F.col("l_partkey")).where(~F.col("star") & ~F.array_contains("used", "FA")).select("p_partkey", "bindings")
+
+
+# graphs: parts of an order that follow each other, among a subset that keeps the graph sparse
+
+_EDGES = """e AS (SELECT DISTINCT a AS src, b AS dst FROM (
+  SELECT l_partkey AS b, lag(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS a FROM lineitem WHERE l_quantity >= 44) WHERE a IS NOT NULL AND a <> b AND a % 4 = 0 AND b % 4 = 0)"""
+
+
+def _edges(spark, sf_dir):
+    at = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
+    follow = _t(spark, sf_dir, "lineitem").where("l_quantity >= 44").select(F.col("l_partkey").alias("dst"), F.lag("l_partkey").over(at).alias("src"))
+    return follow.where("src IS NOT NULL AND src <> dst AND src % 4 = 0 AND dst % 4 = 0").select("src", "dst").distinct()
+
+
+@query(f"WITH {_EDGES} SELECT src, dst FROM e")
+def part_edges(spark, sf_dir):
+    return _edges(spark, sf_dir)
+
+
+@query(f"WITH {_EDGES}, n AS (SELECT src AS node FROM e UNION SELECT dst FROM e) SELECT node, row_number() OVER (ORDER BY node) - 1 AS id FROM n")
+def part_nodes(spark, sf_dir):
+    """Dense node ids: ranks within ranges, then the ranges' offsets; no single-task window."""
+    edges = _edges(spark, sf_dir)
+    nodes = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    spread = R.cut_lineage(nodes.repartitionByRange(n, "node").sortWithinPartitions("node").withColumn("part", F.spark_partition_id()))
+    sizes = dict(spread.groupBy("part").count().collect())  # a row for each partition
+    offsets, total = [], 0
+    for p in range(n):
+        offsets.append(total)
+        total += sizes.get(p, 0)
+    inside = F.row_number().over(Window.partitionBy("part").orderBy("node"))
+    return spread.select("node", (F.array(*map(F.lit, offsets))[F.col("part")] + inside - 1).cast("long").alias("id"))
+
+
+@query(f"WITH {_EDGES} SELECT DISTINCT src AS node FROM e WHERE NOT EXISTS (SELECT 1 FROM e f WHERE f.dst = e.src)")
+def part_roots(spark, sf_dir):
+    edges = _edges(spark, sf_dir)
+    return R.difference(edges.select(F.col("src").alias("node")).distinct(), edges.select(F.col("dst").alias("node")), ["node"])
+
+
+@query(f"WITH RECURSIVE {_EDGES}, c AS (SELECT src AS start, dst AS node FROM e UNION SELECT c.start, e.dst FROM c JOIN e ON c.node = e.src) SELECT start, node FROM c")
+def part_closure(spark, sf_dir):
+    edges = _edges(spark, sf_dir)
+    return R.reachable(edges, edges.select(F.col("src").alias("start"))).select("start", "node")
+
+
+@query(f"WITH RECURSIVE {_EDGES}, c AS (SELECT dst AS start, src AS node FROM e UNION SELECT c.start, e.src FROM c JOIN e ON c.node = e.dst) SELECT start AS target, count(*) AS dependents FROM c WHERE start <> node GROUP BY 1")
+def part_dependents(spark, sf_dir):
+    """Impact analysis: how many nodes reach each node."""
+    edges = _edges(spark, sf_dir)
+    back = R.reachable(edges, edges.select(F.col("dst").alias("start")), "dst", "src")
+    return back.where("start <> node").groupBy(F.col("start").alias("target")).agg(F.count("*").alias("dependents"))
+
+
+@query(f"""WITH RECURSIVE {_EDGES}, c AS (SELECT src AS start, dst AS node FROM e UNION SELECT c.start, e.dst FROM c JOIN e ON c.node = e.src)
+SELECT a.start AS node, least(a.start, min(a.node)) AS component FROM c a JOIN c b ON a.start = b.node AND a.node = b.start WHERE a.start <> a.node GROUP BY a.start""")
+def part_scc(spark, sf_dir):
+    return R.strong_components(_edges(spark, sf_dir))
+
+
+@query(f"""WITH RECURSIVE {_EDGES}, f AS (SELECT * FROM e WHERE src < dst), p AS (SELECT DISTINCT src AS node, 0 AS level FROM f UNION SELECT f.dst, p.level + 1 FROM p JOIN f ON p.node = f.src)
+SELECT node, max(level)::INT AS level FROM p GROUP BY node""")
+def part_topo_level(spark, sf_dir):
+    return R.topological_levels(_edges(spark, sf_dir).where("src < dst"))
+
+
+@query(f"""WITH RECURSIVE {_EDGES}, o AS (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY dst DESC) AS ord FROM e),
+s AS (SELECT DISTINCT src AS start FROM e WHERE src % 8 = 0),
+w AS (SELECT start, start AS node, 0 AS depth, []::INT[] AS orders, [start] AS chain FROM s
+  UNION ALL SELECT w.start, o.dst, w.depth + 1, list_append(w.orders, o.ord::INT), list_append(w.chain, o.dst) FROM w JOIN o ON w.node = o.src WHERE NOT list_contains(w.chain, o.dst) AND w.node % 12 <> 0 AND w.depth < 40)
+SELECT start, node AS hit, depth::INT AS depth, array_to_string(chain, '>') AS chain FROM (SELECT *, row_number() OVER (PARTITION BY start ORDER BY depth, orders) AS rn FROM w WHERE node % 12 = 0) WHERE rn = 1""")
+def bfs_chain(spark, sf_dir):
+    """From each start the first marked node of a breadth-first search, and the way there."""
+    edges = _edges(spark, sf_dir)
+    ordered = edges.withColumn("ord", F.row_number().over(Window.partitionBy("src").orderBy(F.desc("dst"))))
+    marked = edges.select(F.col("src").alias("node")).union(edges.select("dst")).where("node % 12 = 0")
+    found = R.first_chain(ordered, edges.select(F.col("src").alias("start")).where("start % 8 = 0").distinct(), marked)
+    return found.select("start", "hit", "depth", F.array_join(F.transform("chain", lambda x: x.cast("string")), ">").alias("chain"))
+
+
+# intervals and priorities
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+@query("""
+WITH s AS (SELECT user_id, ts AS b, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS e, event_type, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS nt FROM events WHERE event_type IN ('signup', 'purchase')),
+i AS (SELECT user_id, b, e FROM s WHERE event_type = 'signup' AND nt = 'purchase')
+SELECT event_id, min(epoch_us(b)) AS begin_us FROM events JOIN i USING (user_id) WHERE event_type = 'error' AND ts BETWEEN b AND e GROUP BY event_id""")
+def span_enclosure(spark, sf_dir):
+    """Errors within a signup-to-purchase span of their user, with the first such span."""
+    events = _t(spark, sf_dir, "events")
+    at = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    marks = events.where("event_type IN ('signup', 'purchase')").select("user_id", "event_type", F.col("ts").alias("b"), F.lead("ts").over(at).alias("e"), F.lead("event_type").over(at).alias("nt"))
+    spans = marks.where("event_type = 'signup' AND nt = 'purchase'").select("user_id", "b", "e")
+    errors = events.where("event_type = 'error'").select("event_id", "user_id", "ts")
+    return R.span_enclosure(errors, spans, ["user_id"], "ts", "b", "e", ["b"]).select("event_id", F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', b)").alias("begin_us"))
+
+
+_PATTERNS = [(0, "red widget", None, "exact/widget"), (1, "small ", "", "small/*"), (2, "s", "ring", "s/*ring"), (3, "", "bolt", "any/*"), (4, "re", "", "re/*")]
+
+
+@query(f"""
+WITH a(priority, prefix, suffix, target) AS (VALUES {', '.join(f"({p}, '{a}', {'NULL' if b is None else repr(b)}, '{t}')" for p, a, b, t in _PATTERNS)})
+SELECT p_partkey, priority::INT AS priority, CASE WHEN suffix IS NULL THEN target ELSE replace(target, '*', substr(p_name, length(prefix) + 1, length(p_name) - length(prefix) - length(suffix))) END AS resolved
+FROM part JOIN a ON CASE WHEN suffix IS NULL THEN p_name = prefix ELSE starts_with(p_name, prefix) AND ends_with(p_name, suffix) AND length(p_name) >= length(prefix) + length(suffix) END
+QUALIFY row_number() OVER (PARTITION BY p_partkey ORDER BY priority) = 1""")
+def alias_theta(spark, sf_dir):
+    """Path-alias expansion: a theta join with a handful of patterns, of which the first match counts."""
+    from factgraph.operators.resolve import expand_aliases
+
+    aliases = spark.createDataFrame(_PATTERNS, "priority int, prefix string, suffix string, target string")
+    found = expand_aliases(_t(spark, sf_dir, "part").select("p_partkey", F.col("p_name").alias("specifier")), aliases, ["p_partkey"])
+    return found.select("p_partkey", "priority", F.col("target").alias("resolved"))
+
+
+@query("""
+WITH g(signal, package, marker) AS (VALUES ('buyer', 'purchase', 'signup'), ('broken', 'error', NULL), ('browser', 'view', 'click')),
+u AS (SELECT user_id, event_type FROM events WHERE event_id % 97 = 0 GROUP BY 1, 2),
+h AS (SELECT user_id, signal, bool_or(event_type = package) AS dep, bool_or(coalesce(event_type = marker, false)) AS mark FROM u JOIN g ON event_type = package OR event_type = marker GROUP BY 1, 2)
+SELECT user_id, signal, CASE WHEN dep AND mark THEN 'certain' WHEN dep THEN 'likely' ELSE 'possible' END AS confidence FROM h""")
+def signal_detect(spark, sf_dir):
+    """Framework detection: packages and markers, and how sure they make. The modulus thins events so that cases differ."""
+    signals = spark.createDataFrame([("buyer", "purchase", True), ("buyer", "signup", False), ("broken", "error", True), ("browser", "view", True), ("browser", "click", False)], "signal string, event_type string, package boolean")
+    used = _t(spark, sf_dir, "events").where("event_id % 97 = 0").select("user_id", "event_type").distinct()
+    hits = used.join(F.broadcast(signals), "event_type").groupBy("user_id", "signal").agg(F.bool_or("package").alias("dep"), F.bool_or(~F.col("package")).alias("mark"))
+    return hits.select("user_id", "signal", F.when(F.col("dep") & F.col("mark"), "certain").when(F.col("dep"), "likely").otherwise("possible").alias("confidence"))
+
+
+@query("""
+WITH s AS (SELECT page_id, unnest(list_filter(string_split(regexp_replace(regexp_replace(url, '^[a-z]+://[^/]*', ''), '[?#].*$', ''), '/'), lambda x: x <> '')) AS raw FROM pages),
+d AS (SELECT page_id, CASE WHEN regexp_matches(raw, '^[0-9]+$') THEN '[' || raw || ']' WHEN length(raw) = 2 THEN '(' || raw || ')' ELSE raw END AS raw FROM s)
+SELECT raw, CASE WHEN raw LIKE '[%' THEN 'dynamic' WHEN raw LIKE '(%' THEN 'route_group' ELSE 'static' END AS kind, trim(raw, '[]()') AS name, count(*) AS pages FROM d GROUP BY 1, 2, 3""")
+def segment_kinds(spark, sf_dir):
+    """Route segments parsed from URL paths, with numbers as parameters and languages as groups."""
+    path = F.regexp_replace(F.regexp_replace("url", "^[a-z]+://[^/]*", ""), "[?#].*$", "")
+    raw = _t(spark, sf_dir, "pages").select(F.explode(F.filter(F.split(path, "/"), lambda x: x != "")).alias("raw"))
+    raw = raw.select(F.when(F.col("raw").rlike("^[0-9]+$"), F.concat(F.lit("["), "raw", F.lit("]"))).when(F.length("raw") == 2, F.concat(F.lit("("), "raw", F.lit(")"))).otherwise(F.col("raw")).alias("raw"))
+    return raw.groupBy("raw").agg(F.count("*").alias("pages")).select("raw", C.segment_kind(F.col("raw")).alias("kind"), C.segment_name(F.col("raw")).alias("name"), "pages")
+
+
+@query("""
+WITH n AS (SELECT CASE WHEN role = 'user' THEN 'use' || upper(substr(text, 1, 1)) || substr(text, 2, 3) ELSE substr(text, 1, 4) END AS name, turn % 2 = 1 AS jsx FROM conversations)
+SELECT name, jsx, CASE WHEN regexp_matches(name, '^use[A-Z0-9]') THEN 'hook' WHEN jsx AND (regexp_matches(name, '^[A-Z]') OR name = 'default') THEN 'component' ELSE 'none' END AS react_role, count(*) AS n FROM n GROUP BY 1, 2, 3""")
+def role_classify(spark, sf_dir):
+    name = F.when(F.col("role") == "user", F.concat(F.lit("use"), F.upper(F.substring("text", 1, 1)), F.substring("text", 2, 3))).otherwise(F.substring("text", 1, 4))
+    rows = _t(spark, sf_dir, "conversations").select(name.alias("name"), (F.col("turn") % 2 == 1).alias("jsx"))
+    return rows.groupBy("name", "jsx").agg(F.count("*").alias("n")).select("name", "jsx", F.coalesce(C.react_role(F.col("name"), F.col("jsx")), F.lit("none")).alias("react_role"), "n")
+
+
+# findings: events as diagnostics
+
+_FINDINGS = """f AS (SELECT event_id, user_id, ts, 'r/' || event_type AS rule_id,
+  CASE event_type WHEN 'error' THEN 'security' WHEN 'click' THEN 'imports' WHEN 'view' THEN 'performance' WHEN 'signup' THEN 'react' ELSE 'dependencies' END AS category,
+  CASE WHEN value > 80 THEN 'critical' WHEN value > 60 THEN 'high' WHEN value > 40 THEN 'medium' WHEN value > 20 THEN 'low' ELSE 'info' END AS severity,
+  CASE user_id % 4 WHEN 0 THEN 'certain' WHEN 1 THEN 'likely' WHEN 2 THEN 'possible' ELSE 'unknown' END AS confidence FROM events WHERE user_id % 50 = 3)"""
+_POINTS = "CASE severity WHEN 'critical' THEN 25 WHEN 'high' THEN 15 WHEN 'medium' THEN 8 WHEN 'low' THEN 3 ELSE 1 END * CASE confidence WHEN 'certain' THEN 10 WHEN 'likely' THEN 7 WHEN 'possible' THEN 4 ELSE 2 END"
+
+
+def _findings(spark, sf_dir):
+    """Events of some users as diagnostics, so that scores aren't all 0."""
+    e, v, u = F.col("event_type"), F.col("value"), F.col("user_id") % 4
+    category = F.when(e == "error", "security").when(e == "click", "imports").when(e == "view", "performance").when(e == "signup", "react").otherwise("dependencies")
+    severity = F.when(v > 80, "critical").when(v > 60, "high").when(v > 40, "medium").when(v > 20, "low").otherwise("info")
+    confidence = F.when(u == 0, "certain").when(u == 1, "likely").when(u == 2, "possible").otherwise("unknown")
+    return _t(spark, sf_dir, "events").where("user_id % 50 = 3").select("event_id", "user_id", "ts", F.concat(F.lit("r/"), e).alias("rule_id"), category.alias("category"), severity.alias("severity"), confidence.alias("confidence"))
+
+
+@query(f"""WITH {_FINDINGS} SELECT event_id, rule_id, severity, confidence FROM f
+WHERE rule_id = 'r/view' OR (rule_id NOT IN ('r/click') AND list_position(['info', 'low', 'medium', 'high', 'critical'], severity) >= 3 AND list_position(['unknown', 'possible', 'likely', 'certain'], confidence) >= 2)""")
+def finding_filter(spark, sf_dir):
+    from factgraph.operators.report import Config, apply_config
+
+    config = Config(min_severity="medium", min_confidence="possible", enable=("r/view",), disable=("r/click",))
+    return apply_config(_findings(spark, sf_dir), config).select("event_id", "rule_id", "severity", "confidence")
+
+
+_SCORES = f"""{_FINDINGS}, m(category) AS (VALUES {', '.join(f"('{c}')" for c in fixed.MONITORED)}), p AS (SELECT category, sum({_POINTS})::BIGINT AS t FROM f GROUP BY 1),
+s AS (SELECT coalesce(m.category, p.category) AS category, coalesce(t, 0) AS tenths FROM m FULL JOIN p ON m.category = p.category),
+c AS (SELECT category, ((greatest(0, 1000 - tenths) + 5) // 10)::INT AS score, tenths FROM s)"""
+
+
+@query(f"WITH {_SCORES} SELECT category, score, tenths FROM c UNION ALL SELECT 'overall', ((sum(score) * 2 + count(*)) // (count(*) * 2))::INT, sum(tenths)::BIGINT FROM c")
+def scorecard(spark, sf_dir):
+    """Category scores, and the overall one."""
+    scores = R.category_scores(_findings(spark, sf_dir))
+    total = scores.agg(F.floor((F.sum("score") * 2 + F.count("*")) / (F.count("*") * 2)).cast("int").alias("score"), F.sum("tenths").alias("tenths"))
+    return scores.unionByName(total.withColumn("category", F.lit("overall")))
+
+
+@query(f"""WITH {_FINDINGS}, d AS (SELECT category, rule_id, sum({_POINTS})::BIGINT AS tenths, count(*) AS findings FROM f GROUP BY 1, 2)
+SELECT *, row_number() OVER (PARTITION BY category ORDER BY tenths DESC, rule_id)::INT AS place FROM d""")
+def deductions(spark, sf_dir):
+    at = Window.partitionBy("category").orderBy(F.desc("tenths"), "rule_id")
+    return R.deductions(_findings(spark, sf_dir)).withColumn("place", F.row_number().over(at))
+
+
+@query(f"WITH {_FINDINGS} SELECT severity, category, count(*) AS n FROM f GROUP BY GROUPING SETS ((severity), (category), ())")
+def summary_sets(spark, sf_dir):
+    """Counts by severity, by category and in all, in one pass."""
+    return _findings(spark, sf_dir).groupingSets([["severity"], ["category"], []], "severity", "category").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {_FINDINGS} SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, rule_id, event_id)::INT AS place FROM f")
+def report_order(spark, sf_dir):
+    """Total order of a file's findings."""
+    at = Window.partitionBy("user_id").orderBy("ts", "rule_id", "event_id")
+    return _findings(spark, sf_dir).select("event_id", "user_id", F.row_number().over(at).alias("place"))
+
+
+@query(f"WITH {_FINDINGS} SELECT rule_id, event_id AS first_event, severity FROM f QUALIFY row_number() OVER (PARTITION BY rule_id ORDER BY ts, event_id) = 1")
+def sarif_rules(spark, sf_dir):
+    """The first finding of each rule, by a partial aggregate."""
+    first = _findings(spark, sf_dir).groupBy("rule_id").agg(F.min(F.struct("ts", "event_id", "severity")).alias("f"))
+    return first.select("rule_id", F.col("f.event_id").alias("first_event"), F.col("f.severity").alias("severity"))
+
+
+@query(f"WITH {_FINDINGS} SELECT bool_or(severity IN ('high', 'critical')) AS fails, max(list_position(['info', 'low', 'medium', 'high', 'critical'], severity))::INT - 1 AS worst FROM f")
+def threshold_gate(spark, sf_dir):
+    """Whether a build fails: any finding of high severity or above."""
+    place = C.rank(F.col("severity"), fixed.SEVERITIES)
+    return _findings(spark, sf_dir).agg(F.bool_or(place >= 3).alias("fails"), F.max(place).alias("worst"))
+
+
+_DAYS = "k AS (SELECT DISTINCT event_type || '|' || user_id AS key, date_diff('day', TIMESTAMP '2024-01-01', ts) AS day FROM events)"
+
+
+def _day_keys(spark, sf_dir, day):
+    keys = _t(spark, sf_dir, "events").where(F.datediff(F.to_date("ts"), F.lit("2024-01-01").cast("date")) == day)
+    return keys.select(F.concat_ws("|", "event_type", F.col("user_id").cast("string")).alias("key")).distinct()
+
+
+@query(f"WITH {_DAYS} SELECT key FROM k WHERE day = 4 EXCEPT SELECT key FROM k WHERE day = 3")
+def watch_new(spark, sf_dir):
+    return R.difference(_day_keys(spark, sf_dir, 4), _day_keys(spark, sf_dir, 3), ["key"])
+
+
+@query(f"WITH {_DAYS} SELECT key FROM k WHERE day = 3 EXCEPT SELECT key FROM k WHERE day = 4")
+def watch_resolved(spark, sf_dir):
+    return R.difference(_day_keys(spark, sf_dir, 3), _day_keys(spark, sf_dir, 4), ["key"])
+
+
+@query("""
+WITH c AS (SELECT doc_id, n_chars AS size, CASE WHEN doc_id % 5 = 0 THEN 0 ELSE doc_id END AS mtime, md5(text) AS hash FROM documents WHERE doc_id % 7 <> 0),
+n AS (SELECT doc_id, n_chars + CASE WHEN doc_id % 11 = 0 THEN 1 ELSE 0 END AS size, CASE WHEN doc_id % 5 = 0 THEN 0 ELSE doc_id END AS mtime, md5(text || CASE WHEN doc_id % 33 = 0 THEN '!' ELSE '' END) AS hash FROM documents)
+SELECT n.doc_id, CASE WHEN c.doc_id IS NULL THEN 'missing' WHEN c.size = n.size AND c.mtime = n.mtime AND n.mtime <> 0 THEN 'fresh' WHEN c.hash = n.hash THEN 'refreshed' ELSE 'stale' END AS state FROM n LEFT JOIN c ON c.doc_id = n.doc_id""")
+def cache_lookup(spark, sf_dir):
+    """Cached files against new ones: equal metadata, equal content, changed, or unknown."""
+    from factgraph.operators.cache import lookup
+
+    docs = _t(spark, sf_dir, "documents")
+    mtime = F.when(F.col("doc_id") % 5 == 0, 0).otherwise(F.col("doc_id"))
+    cached = docs.where("doc_id % 7 <> 0").select(F.col("doc_id").cast("string").alias("path"), F.col("n_chars").alias("size"), mtime.alias("mtime_ms"), F.md5("text").alias("content_hash"))
+    now = docs.select(F.col("doc_id").cast("string").alias("path"), (F.col("n_chars") + F.when(F.col("doc_id") % 11 == 0, 1).otherwise(0)).alias("size"), mtime.alias("mtime_ms"), F.md5(F.concat("text", F.when(F.col("doc_id") % 33 == 0, "!").otherwise(""))).alias("content_hash"))
+    return lookup(now, cached, ["path"]).select(F.col("path").cast("long").alias("doc_id"), "state")
+
+
+@query("""
+WITH h AS (SELECT page_id, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS href FROM pages), p AS (SELECT DISTINCT '/' || regexp_extract(title, '^\\w+') AS path FROM (SELECT regexp_extract(html, '<title>([^<]*)', 1) AS title FROM pages))
+SELECT CASE WHEN path IS NOT NULL THEN 'project' WHEN starts_with(href, '/') THEN 'unresolved' ELSE 'external' END AS kind, count(*) AS imports, count(DISTINCT href) AS targets FROM h LEFT JOIN p ON path = href GROUP BY 1""")
+def import_fanout(spark, sf_dir):
+    """Links resolved against a set of targets, and counted by outcome."""
+    pages = _t(spark, sf_dir, "pages")
+    hrefs = pages.select("page_id", F.explode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))).alias("href"))
+    targets = pages.select(F.concat(F.lit("/"), F.regexp_extract(F.regexp_extract("html", "<title>([^<]*)", 1), r"^\w+", 0)).alias("href")).distinct().withColumn("hit", F.lit(True))
+    kind = F.when(F.col("hit"), "project").when(F.col("href").startswith("/"), "unresolved").otherwise("external")
+    return hrefs.join(targets, "href", "left").groupBy(kind.alias("kind")).agg(F.count("*").alias("imports"), F.countDistinct("href").alias("targets"))
+
+
+@query("""
+WITH l(nation, lang, stage) AS (SELECT n_nationkey, CASE WHEN n_regionkey < 2 THEN 'ecmascript' WHEN n_regionkey = 2 THEN 'other' END, n_nationkey % 3 FROM nation),
+f AS (SELECT c_custkey AS id, c_nationkey AS nation, 'any' AS lang, 0 AS stage, 1 AS rule_seq FROM customer WHERE c_acctbal < 0 UNION ALL SELECT s_suppkey, s_nationkey, 'ecmascript', 1, 2 FROM supplier WHERE s_acctbal > 0 UNION ALL SELECT o_orderkey, NULL, 'ecmascript', 2, 3 FROM orders WHERE o_totalprice > 450000)
+SELECT id, rule_seq::INT AS rule_seq FROM f LEFT JOIN l ON l.nation = f.nation WHERE l.lang IS NULL OR ((f.lang = 'any' OR f.lang = l.lang) AND l.stage >= f.stage)""")
+def rule_union(spark, sf_dir):
+    """The union of several rules' findings, admitted by the language and stage of what they point at; unknown passes."""
+    nation = _t(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("nation"), F.when(F.col("n_regionkey") < 2, "ecmascript").when(F.col("n_regionkey") == 2, "other").alias("own"), (F.col("n_nationkey") % 3).alias("max_stage"))
+    rules = [
+        _t(spark, sf_dir, "customer").where("c_acctbal < 0").select(F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("nation"), F.lit("any").alias("lang"), F.lit(0).alias("stage"), F.lit(1).alias("rule_seq")),
+        _t(spark, sf_dir, "supplier").where("s_acctbal > 0").select(F.col("s_suppkey").alias("id"), F.col("s_nationkey").alias("nation"), F.lit("ecmascript").alias("lang"), F.lit(1).alias("stage"), F.lit(2).alias("rule_seq")),
+        _t(spark, sf_dir, "orders").where("o_totalprice > 450000").select(F.col("o_orderkey").alias("id"), F.lit(None).cast("int").alias("nation"), F.lit("ecmascript").alias("lang"), F.lit(2).alias("stage"), F.lit(3).alias("rule_seq")),
+    ]
+    every = rules[0].unionByName(rules[1]).unionByName(rules[2])
+    admitted = F.col("own").isNull() | (((F.col("lang") == "any") | (F.col("lang") == F.col("own"))) & (F.col("max_stage") >= F.col("stage")))
+    return every.join(F.broadcast(nation), "nation", "left").where(admitted).select("id", "rule_seq")
+
+
+@query("""WITH c AS (SELECT page_id, unnest(regexp_extract_all(html, '<script>.*?</script>')) AS script FROM pages) SELECT page_id, len(regexp_extract_all(script, '\\b(track|eval)\\('))::INT AS calls FROM c WHERE regexp_matches(script, '\\b(track|eval)\\(')""")
+def html_script_scan(spark, sf_dir):
+    """Calls of watched functions in inline scripts."""
+    scripts = _t(spark, sf_dir, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit("<script>.*?</script>"), F.lit(0))).alias("script"))
+    return scripts.select("page_id", F.regexp_count("script", F.lit(r"\b(track|eval)\(")).alias("calls")).where("calls > 0")
+
+
+@query("SELECT doc_id, len(string_split(text, chr(10)))::INT AS lines FROM documents WHERE len(string_split(text, chr(10))) > 50")
+def large_documents(spark, sf_dir):
+    """Bodies of more lines than a limit."""
+    return _t(spark, sf_dir, "documents").select("doc_id", F.size(F.split("text", "\n")).alias("lines")).where(F.col("lines") > fixed.LARGE_FUNCTION_LINES)
+
+
+@query("""SELECT o_orderpriority AS section, min(o_orderkey) AS first_key, max(o_orderkey) FILTER (o_orderstatus = 'F') AS last_final, count(*) AS n, count(DISTINCT o_custkey) AS customers FROM orders GROUP BY 1""")
+def last_write_wins(spark, sf_dir):
+    """Modules keyed by path: which write came first and last."""
+    return _t(spark, sf_dir, "orders").groupBy(F.col("o_orderpriority").alias("section")).agg(F.min("o_orderkey").alias("first_key"), F.max(F.when(F.col("o_orderstatus") == "F", F.col("o_orderkey"))).alias("last_final"), F.count("*").alias("n"), F.countDistinct("o_custkey").alias("customers"))
+
+
+def queries() -> dict[str, Query]:
+    from factgraph.plans import fixtures
+
+    return QUERIES | fixtures.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from factgraph.plans import fixtures
+
+    return ORACLES | fixtures.oracle_sql()
