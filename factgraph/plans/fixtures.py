@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -47,18 +48,23 @@ def files(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(p, path, text) for (p, path), text in FILES.items()], project.FILES)
 
 
+@functools.lru_cache(1)
+def _context(spark: SparkSession) -> rules.Context:
+    """The fixtures' tables, once for each session: they never change."""
+    f = files(spark)
+    return rules.context(f, project.parse(f), engine.aliases_of(spark, f))
+
+
 def _facts(spark: SparkSession) -> DataFrame:
-    return project.parse(files(spark))
+    return _context(spark).facts
 
 
 def _resolved(spark: SparkSession) -> DataFrame:
-    f = files(spark)
-    return resolve.resolve(project.parse(f), f, engine.aliases_of(spark, f))
+    return _context(spark).resolved
 
 
 def _findings(spark: SparkSession, *wanted: str) -> DataFrame:
-    f = files(spark)
-    return rules.run_all(rules.context(f, project.parse(f), engine.aliases_of(spark, f)), wanted)
+    return rules.run_all(_context(spark), wanted)
 
 
 def fx_imports(spark, sf_dir):
