@@ -6,12 +6,19 @@ power-of-two lengths, so nothing is padded.  Estimated cost of n tokens in one d
 (attention within the piece); pieces are taken in descending order and each goes to the sequence of the lowest cost that
 still has room for it.  A piece that no sequence can hold whole is cut over the largest rooms.
 
+Ids come from the rank library with the same vocabulary, whose ids equal the JSON library's: both have the same
+code-point classes and merge in the same order, which the tests check.  The special token's string is looked for first,
+as the JSON library does.  Texts with a very long run without a break go to :mod:`factgraph.llm.bpe`, as the library's
+time grows with the square of a run.
+
 Nothing is shuffled: windows follow the input's own partitions, so a hot source or key can't gather in one task.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import functools
+from array import array
+from collections.abc import Callable, Iterator
 from itertools import chain
 from zlib import crc32
 
@@ -72,6 +79,50 @@ def assign(lengths: list[int], size: int = SEQUENCE_TOKENS, quadratic: float = Q
     return out
 
 
+#: Runs of that many characters without a break are too long for the rank library.
+LONG_RUN = 2048
+
+
+@functools.lru_cache(2)
+def _library(path: str):
+    import base64
+
+    import tiktoken
+
+    with open(path, "rb") as lines:
+        ranks = {base64.b64decode(t): int(r) for t, r in map(bytes.split, lines)}
+    return tiktoken.Encoding("own", pat_str=public_pattern(), mergeable_ranks=ranks, special_tokens={})
+
+
+def public_pattern() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.PATTERN
+
+
+def has_long_run(text: str) -> bool:
+    if len(text) < LONG_RUN:
+        return False
+    words = text.split()
+    return max(map(len, words), default=0) >= LONG_RUN or len(text) - sum(map(len, words)) - len(words) >= LONG_RUN
+
+
+def text_ids(text: str, library, special: dict[str, int], coder: Callable[[], bpe.Encoder]) -> Iterator[np.ndarray]:
+    """The text's ids in blocks."""
+    parts = [text]
+    for token in special:
+        if token in text:
+            parts = [x for part in parts for x in (part.split(token) if part not in special else [part])]
+            parts = [x for i, part in enumerate(parts) for x in ((token, part) if i else (part,))]
+    for part in parts:
+        if part in special:
+            yield np.array([special[part]], "<u4")
+            continue
+        for stretch in bpe.stretches(part):
+            ids = next(coder().encode([stretch])) if has_long_run(stretch) else library.encode_ordinary(stretch)
+            yield np.frombuffer(array("I", ids), "<u4")
+
+
 class _Packer:
     """Rows of one task."""
 
@@ -114,7 +165,11 @@ class _Packer:
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=[f.split()[0] for f in PIECES.split(", ")])
 
 
-def pack(docs: DataFrame, vocabulary: str = bpe.JSON_VOCABULARY, size: int = SEQUENCE_TOKENS, end_id: int = END_ID, window: int = WINDOW_TOKENS, quadratic: float = QUADRATIC) -> DataFrame:
+#: The one special token of the vocabulary.
+SPECIAL = {"<|endoftext|>": 50256}
+
+
+def pack(docs: DataFrame, vocabulary: str = bpe.RANK_VOCABULARY, special: dict[str, int] = SPECIAL, size: int = SEQUENCE_TOKENS, end_id: int = END_ID, window: int = WINDOW_TOKENS, quadratic: float = QUADRATIC) -> DataFrame:
     """One row for each piece: where it is in its document and in its sequence.
 
     Null and empty texts have just the end id; repeated rows are packed each; null ids stay null; an empty table gives
@@ -122,16 +177,13 @@ def pack(docs: DataFrame, vocabulary: str = bpe.JSON_VOCABULARY, size: int = SEQ
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = "ranks" if vocabulary.endswith(".tiktoken") else "json"
-        coder = bpe.encoder(kind, common.tokenizer_path(vocabulary))
-        packer, end = _Packer(size, window, quadratic, TaskContext.get().partitionId()), np.array([end_id], "<u4")
+        path = common.tokenizer_path(vocabulary)
+        library, end = _library(path), np.array([end_id], "<u4")
+        coder = functools.lru_cache(1)(lambda: bpe.encoder("ranks", path))
+        packer = _Packer(size, window, quadratic, TaskContext.get().partitionId())
         for part, texts in common.steps(batches, "text"):
-            short = bpe.encode_texts(coder, [t if len(t) <= bpe.STRETCH else "" for t in texts])
-            for doc_id, text, ids in zip(common.column(part, "doc_id").to_pylist(), texts, short):
-                if len(text) <= bpe.STRETCH or any(s in text for s in coder.vocabulary.special):
-                    blocks = iter([np.array([*(ids or next(coder.encode([text]))), end_id], "<u4")])
-                else:
-                    blocks = chain((np.array(next(coder.encode([x])), "<u4") for x in bpe.stretches(text)), [end])
+            for doc_id, text in zip(common.column(part, "doc_id").to_pylist(), texts):
+                blocks = chain(text_ids(text, library, special, coder), [end])
                 packer.add(doc_id, blocks)
                 if packer.held >= packer.window:
                     packer.flush()
