@@ -226,7 +226,7 @@ def _email(m: Column, key: str) -> Column:
     half = F.floor(n / 2).cast("int")
 
     def moved(part: Column, other: Column, i: Column) -> Column:
-        stream = F.sha2(F.concat_ws("|", F.lit(key), F.lit("email"), i.cast("string"), n.cast("string"), other), 512)
+        stream = F.concat(*[F.sha2(F.concat_ws("|", F.lit(key), F.lit("email"), i.cast("string"), n.cast("string"), other, F.lit(str(part))), 256) for part in (0, 1)])
         return _let(stream, lambda s: F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(F.length(part), F.lit(1))), lambda k: _shift(F.substring(part, k, F.lit(1)), F.conv(F.substring(s, F.pmod(k * 2 - 2, F.lit(128)) + 1, F.lit(2)), 16, 10).cast("int"))), ""))
 
     begin = F.struct(F.substring(local, F.lit(1), half).alias("l"), F.substring(local, half + 1, n - half).alias("r"))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factgraph.llm import avi, bpe, chat, class_ngram, packing, pii, quality_classifier, quality_rules, simhash, token_counts
+from factgraph.llm import avi, bpe, chat, class_ngram, packing, pii, pii_oracle, quality_classifier, quality_rules, simhash, token_counts
 from factgraph.llm.common import table
 
 
@@ -57,4 +57,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_preference_formatting": chat.ORACLE}
+    return {"op1_preference_formatting": chat.ORACLE, "op8_feistel_pseudonyms": pii_oracle.sql()}

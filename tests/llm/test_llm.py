@@ -13,7 +13,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from factgraph.llm import avi, bpe, chat, class_ngram, common, jpeg, packing, pii, quality_classifier, quality_rules, queries, simhash, token_counts
+from factgraph.llm import avi, bpe, chat, class_ngram, common, jpeg, packing, pii, pii_oracle, quality_classifier, quality_rules, queries, simhash, token_counts
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 ODD = [None, "", " ", "\n\n", "a", "The  quick\tbrown fox's 'll <|endoftext|>x", "é字😀   x　", "word " * 3000, "x" * 5000, "same text here", "same text here", "#$%& | <>", "UPPER lower 123"]
@@ -286,6 +286,17 @@ def test_pseudonyms(spark):
     assert pii.pseudonymise(docs).columns == docs.columns and pii.pseudonymise(docs.limit(0)).count() == 0
 
 
+def test_pseudonyms_equal_the_oracle(spark):
+    import duckdb
+
+    texts = [*PRIVATE, *CLEAN, "", "x@y.zz AbC-9@d.ef.gh", "DE89370400440532013000 4111-1111-1111-1111", "1/2/2003 1999/12/31 (743)555-3824 743-555-3824"]
+    con = duckdb.connect()
+    con.sql("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", list(enumerate(texts)))
+    own = pii.pseudonymise(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), found="n_found").select("doc_id", "text", "n_found")
+    assert sorted(map(tuple, own.collect())) == sorted(con.sql(pii_oracle.sql()).fetchall())
+
+
 def test_feistel_is_a_permutation(spark):
     pairs = spark.range(319 * 229).select(F.floor(F.col("id") / 229).alias("l"), (F.col("id") % 229).alias("r"))
     l, r = pii.feistel(F.col("l"), F.col("r"), F.lit(319), F.lit(229), "k", "t")
