@@ -524,7 +524,6 @@ class Module:
 
     def facts(self) -> dict:
         calls, env, evals, dynamic, refs, secrets = [], [], [], [], [], []
-        declared = {(s["name"], s["start"]) for s in self.symbols}
         wanted = {n for i in self.imports for n in fixed.DYNAMIC_APIS.get(i["specifier"], ()) if n in i["names"]}
         for i, t in enumerate(self.tokens):
             before = self.text(i - 1) if i else ""
@@ -574,7 +573,6 @@ class Module:
             elif not self.is_op(i, ";"):
                 break
         self.imports.sort(key=lambda x: x["start"])
-        del declared
         return {"imports": self.imports, "exports": self.exports, "symbols": sorted(self.symbols, key=lambda s: s["start"]), "calls": calls, "env_reads": env, "eval_calls": evals, "dynamic_calls": dynamic, "refs": sorted(set(refs)), "secrets": secrets, "directives": directives}
 
     def secret(self, i: int) -> dict | None:

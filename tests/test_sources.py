@@ -91,3 +91,30 @@ def test_scan(spark, tmp_path):
         (tmp_path / path).write_text(text)
     found = {r.path: r.content for r in project.scan(spark, {"p": str(tmp_path)}).collect()}
     assert found == {".env": "A=1", "_b.ts": "x", "a/__init__.py": "", "keep.tmp": ""}
+
+
+def test_data_source_and_table_function(spark, tmp_path):
+    from factgraph.sources import datasource
+
+    datasource.register(spark)
+    (tmp_path / "_b.ts").write_text('import { x } from "./c";')
+    rows = spark.read.format("project").option("project_id", "p").load(str(tmp_path)).collect()
+    assert [tuple(r) for r in rows] == [("p", "_b.ts", 'import { x } from "./c";')]
+    found = spark.sql("""SELECT * FROM extract_imports('import { x } from "./c"; import y from "z";', 'typescript')""").collect()
+    assert [(r.specifier, r.names) for r in found] == [("./c", ["x"]), ("z", ["default"])]
+
+
+def test_commands(spark, tmp_path, monkeypatch, capsys):
+    from factgraph.__main__ import main
+
+    monkeypatch.chdir(tmp_path)
+    assert main(["explain", "security/no-eval"]) == 0 and main(["explain", "nothing"]) == 1
+    assert main(["init"]) == 0 and main(["init"]) == 1 and main(["init", "--force"]) == 0
+    (tmp_path / "evil.ts").write_text("eval(input);\n")
+    (tmp_path / "package.json").write_text('{\n  "dependencies": {\n    "lodash": "4"\n  }\n}\n')
+    capsys.readouterr()
+    assert main(["analyze", str(tmp_path), "--format", "markdown", "--ci"]) == 2
+    assert "security/no-eval" in capsys.readouterr().out
+    assert main(["fix", str(tmp_path)]) == 0 and "lodash" not in (tmp_path / "package.json").read_text()
+    assert main(["graph", str(tmp_path)]) == 0 and "evil.ts" in capsys.readouterr().out
+    assert main(["model", str(tmp_path)]) == 0
