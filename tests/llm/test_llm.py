@@ -405,8 +405,7 @@ def brute_blocks(frame):
     """Coefficients of a frame, a bit at a time."""
     layout, at = jpeg.parse_header(frame)
     tables = {k: {(length, code): s for s, code, length in jpeg._codes(*v)} for k, v in layout.tables}
-    scan = re.sub(rb"\xff\x00", b"\xff", b"") or frame[at:-2]
-    out, segments = [], re.split(rb"\xff[\xd0-\xd7]", scan)
+    out, segments = [], re.split(rb"\xff[\xd0-\xd7]", frame[at:-2])
     across, down = layout.units
     left = across * down
     for segment in segments:
