@@ -75,9 +75,9 @@ def _repeated_slow(words: list[bytes], window: int) -> int:
     return len({at + k for places in seen.values() if len(places) > 1 for at in places for k in range(window)})
 
 
-def hashed(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+def hashed(texts: list[str | bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of the byte n-grams of all texts, and where each text's begin (one more at the end)."""
-    raw = [t.encode() for t in texts]
+    raw = [t if isinstance(t, bytes) else t.encode() for t in texts]
     sizes = np.array([len(r) for r in raw], np.int64)
     points = np.frombuffer(b"".join(raw), np.uint8).astype(np.uint32)
     n = np.maximum(sizes - NGRAM + 1, 0)
@@ -100,13 +100,31 @@ def hashed(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return buckets, begins
 
 
+#: Texts above so many characters are hashed in parts.
+STRETCH = 1 << 21
+
+
+def overlapping(text: str) -> Iterator[str | bytes]:
+    """Parts of a text whose byte n-grams together are the text's: neighbours share a byte less than an n-gram."""
+    if len(text) <= STRETCH:
+        yield text
+        return
+    raw = text.encode()
+    begin = 0
+    while begin < len(raw):
+        end = min(begin + STRETCH, len(raw))
+        yield raw[begin:end]
+        begin = end if end == len(raw) else end - (NGRAM - 1)
+
+
 def bucket_counts(docs: DataFrame) -> np.ndarray:
     """n-gram counts of all texts, by bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(BUCKETS, np.int64)
         for _, texts in common.steps(batches, "text"):
-            counts += np.bincount(hashed(texts)[0], minlength=BUCKETS)
+            for part in [texts] if len(texts) > 1 else map(list, zip(overlapping(texts[0]))):
+                counts += np.bincount(hashed(part)[0], minlength=BUCKETS)
         found = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(counts[found])], names=["bucket", "n"])
 
@@ -133,6 +151,9 @@ class Ratio:
 
     def means(self, texts: list[str]) -> np.ndarray:
         """Ratio per n-gram of each text; 0 for texts with none."""
+        if len(texts) == 1 and len(texts[0]) > STRETCH:
+            parts = [self.values[hashed([part])[0]] for part in overlapping(texts[0])]
+            return np.round([sum(float(p.sum()) for p in parts) / max(1, sum(map(len, parts)))], 9)
         buckets, begins = hashed(texts)
         n = np.diff(begins)
         out = np.zeros(len(texts))
