@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import os
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from factgraph.operators import cache, resolve, rules
 from factgraph.operators.report import Config, apply_config
@@ -12,12 +15,21 @@ from factgraph.sources import project
 
 
 def aliases_of(spark: SparkSession, files: DataFrame) -> DataFrame:
-    """Path aliases of all projects: configuration files are few and small, so the driver reads them."""
-    texts: dict[str, dict[str, str]] = {}
-    for r in files.where("path RLIKE '(^|/)(tsconfig|jsconfig)[^/]*[.]json$'").select("project_id", "path", "content").collect():
-        texts.setdefault(r["project_id"], {})[r["path"]] = r["content"] or ""
-    rows = [(p, *a) for p, configs in texts.items() for a in project.aliases(configs, "tsconfig.json" if "tsconfig.json" in configs else "jsconfig.json")]
-    return spark.createDataFrame(rows, resolve.ALIASES)
+    """Path aliases of all projects; each project's few configuration files meet in one row."""
+    wanted = files.where("path RLIKE '(^|/)(tsconfig|jsconfig)[^/]*[.]json$' AND path NOT RLIKE '.*/.*/.*/.*/.*'")
+    configs = wanted.groupBy("project_id").agg(F.collect_list(F.struct("path", F.coalesce("content", F.lit("")).alias("content"))).alias("texts"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for r in batch.to_pylist():
+                texts = {t["path"]: t["content"] for t in r["texts"]}
+                rows += [(r["project_id"], *a) for a in project.aliases(texts, "tsconfig.json" if "tsconfig.json" in texts else "jsconfig.json")]
+            columns = list(zip(*rows)) or [()] * 5
+            kinds = (pa.string(), pa.int32(), pa.string(), pa.string(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=[c.split()[0] for c in resolve.ALIASES.split(", ")])
+
+    return configs.mapInArrow(run, resolve.ALIASES)
 
 
 def root_packages(spark: SparkSession, roots: dict[str, str]) -> DataFrame | None:

@@ -75,7 +75,7 @@ def _resolve_python(imports: DataFrame, files: DataFrame, roots: DataFrame | Non
     join = lambda a, b: F.when(a == "", b).when(b == "", a).otherwise(F.concat_ws("/", a, b))
     rows = imports.withColumn("__dots", dots).withColumn("__module", module).withColumn("__above", F.when(dots > 0, above))
     if roots is not None:
-        rows = rows.join(F.broadcast(roots), "project_id", "left")
+        rows = rows.join(roots, "project_id", "left")
         plain = F.regexp_replace("__module", "^[^/]+/?", "")
         rows = rows.withColumn("__module", F.when((F.col("__dots") == 0) & (F.split("__module", "/")[0] == F.col("root_package")), plain).otherwise(F.col("__module")))
     rows = rows.withColumn("__base", F.when(F.col("__dots") > 0, join(F.col("__above"), F.col("__module"))).otherwise(F.col("__module")))
