@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -11,6 +9,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from factgraph.operators.shared import cut_lineage as cut_lineage
+
 #: Texts that one step of a vectorised operator holds at a time.
 STEP_BYTES = 2 << 20
 STEP_ROWS = 2048
@@ -27,26 +27,6 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Uses the folder the cluster names in ``spark.checkpoint.dir``; only a local session without one gets its own."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir():
-        return
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        sc.setCheckpointDir(named)
-    elif sc.master.startswith("local"):
-        sc.setCheckpointDir(os.path.join(tempfile.gettempdir(), "checkpoints"))
-    else:
-        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-
-
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Writes ``df`` to the shared checkpoint folder, once, and returns it as read from there."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def steps(batches: Iterable[pa.RecordBatch], text: str, max_bytes: int = STEP_BYTES, max_rows: int = STEP_ROWS) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
     """Re-cuts Arrow batches so that a step holds few bytes of text; yields the slice and its texts (null: empty).
 
