@@ -87,6 +87,11 @@ def to_json(data: dict) -> str:
     return json.dumps(data, indent=2, ensure_ascii=False) + "\n"
 
 
+def from_json(text: str) -> dict:
+    """A report as :func:`to_json` wrote it."""
+    return json.loads(text)
+
+
 _LEVELS = {"critical": "error", "high": "error", "medium": "warning"}
 
 
