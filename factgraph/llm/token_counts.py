@@ -37,6 +37,7 @@ class PrefixCounter:
         self.vocabulary, self.cached = vocabulary, cached
         self.coder = bpe.Encoder(vocabulary)
         self.tables: dict[str, bytes | array] = {}
+        self.older: dict[str, bytes | array] = {}
         self.follows: dict[int, bool] = {}
         #: byte -> [token that ends here or -1, the same for the bytes after it]
         self.trie: dict[int, list] = {}
@@ -94,27 +95,32 @@ class PrefixCounter:
             table = self.tables[piece] = bytes(counts) if max(counts) < 256 else array("I", counts)
         return table
 
-    def learn(self, pieces: list[str]) -> None:
+    def learn(self, pieces: list[str]) -> dict[str, bytes | array]:
+        """Tables that have all of these; later calls may change generations, so callers keep what they get."""
         new = set(pieces).difference(self.tables)
         if len(self.tables) + len(new) > self.cached:
-            self.tables.clear()
+            self.older, self.tables = self.tables, {}
             new = set(pieces)
+        for piece in self.older.keys() & new:
+            self.tables[piece] = self.older[piece]
+            new.discard(piece)
         for piece in new:
             self.piece(piece)
+        return self.tables
 
     def _blank(self, piece: str) -> bool:
         return self.vocabulary.classes[ord(piece[-1])] in (bpe.SPACE, bpe.WHITE)
 
-    def _piece_prefixes(self, pieces: list[str], at: int, before: np.ndarray) -> np.ndarray:
+    def _piece_prefixes(self, pieces: list[str], at: int, before: np.ndarray, tables: dict) -> np.ndarray:
         """Counts of the text's prefixes that end in piece ``at``; before[i]: tokens before piece i."""
-        counts = before[at] + np.frombuffer(self.tables[pieces[at]], np.uint8 if isinstance(self.tables[pieces[at]], bytes) else np.uint32).astype(np.int64)
+        counts = before[at] + np.frombuffer(tables[pieces[at]], np.uint8 if isinstance(tables[pieces[at]], bytes) else np.uint32).astype(np.int64)
         first = pieces[at][0]
         if at and self.vocabulary.classes[ord(first)] in (bpe.SPACE, bpe.WHITE) and self._blank(pieces[at - 1]):
             counts[0] = before[at - 1] + self.byte_counts((pieces[at - 1] + first).encode())[-1]
         return counts
 
-    def _text_counts(self, pieces: list[str]) -> np.ndarray:
-        tables = self.tables
+    @staticmethod
+    def _text_counts(pieces: list[str], tables: dict) -> np.ndarray:
         before = np.zeros(len(pieces) + 1, np.int64)
         np.cumsum([tables[p][-1] for p in pieces], out=before[1:])
         return before
@@ -122,24 +128,25 @@ class PrefixCounter:
     def totals(self, texts: list[str], budget: int) -> Iterator[tuple[int, int]]:
         """Of each text: its token count, and how many characters have at most ``budget`` tokens."""
         special = self.vocabulary.special
-        pieces, firsts, _ = self.coder.pieces([t if not any(s in t for s in special) else "" for t in texts])
-        self.learn(pieces)
-        tables, firsts = self.tables, firsts.tolist()
+        keys, inverse, firsts = self.coder.split([t if not any(s in t for s in special) else "" for t in texts])
+        keys = [k.decode() for k in keys]
+        tables, firsts = self.learn(keys), firsts.tolist()
+        sums = np.concatenate([[0], np.cumsum(np.array([tables[k][-1] for k in keys], np.int64)[inverse])])
         for k, text in enumerate(texts):
-            own = pieces[firsts[k] : firsts[k + 1]]
-            if text and not own:
+            a, b = firsts[k], firsts[k + 1]
+            if text and a == b:
                 counts = self.prefixes(text)
                 yield int(counts[-1]), int(np.flatnonzero(counts <= budget)[-1])
                 continue
-            total = sum([tables[p][-1] for p in own])
-            yield total, len(text) if total <= budget else self._fits(own, budget)
+            total = int(sums[b] - sums[a])
+            yield total, len(text) if total <= budget else self._fits([keys[i] for i in inverse[a : min(b, a + budget + 2)].tolist()], budget, tables)
 
-    def _fits(self, pieces: list[str], budget: int) -> int:
+    def _fits(self, pieces: list[str], budget: int, tables: dict) -> int:
         """Characters of the longest prefix within the budget, given that the whole is beyond it."""
-        before = self._text_counts(pieces)
+        before = self._text_counts(pieces, tables)
         at = int(np.searchsorted(before[:-1], budget, "left")) - 1  # the last piece with fewer tokens before it
         for i in range(min(at + 1, len(pieces) - 1), -1, -1):
-            fitting = np.flatnonzero(self._piece_prefixes(pieces, i, before) <= budget)
+            fitting = np.flatnonzero(self._piece_prefixes(pieces, i, before, tables) <= budget)
             if fitting.size:
                 return sum(map(len, pieces[:i])) + int(fitting[-1]) + 1
         return 0
@@ -150,10 +157,10 @@ class PrefixCounter:
         parts = self.coder.segments(text)
         for k, (part, token) in enumerate(parts):
             if token is None:
-                pieces, _, _ = self.coder.pieces([part])
-                self.learn(pieces)
-                before = self._text_counts(pieces)
-                out += [base + self._piece_prefixes(pieces, i, before) for i in range(len(pieces))]
+                pieces = self.coder.pieces(part)
+                tables = self.learn(pieces)
+                before = self._text_counts(pieces, tables)
+                out += [base + self._piece_prefixes(pieces, i, before, tables) for i in range(len(pieces))]
                 base += int(before[-1])
             else:  # cut, it is ordinary text that continues what stands before it
                 held = parts[k - 1][0] if k and parts[k - 1][1] is None else ""
@@ -170,7 +177,7 @@ def counter(kind: str, path: str) -> PrefixCounter:
 
 
 def _counter(vocabulary: str) -> PrefixCounter:
-    return counter("ranks" if vocabulary.endswith(".tiktoken") else "json", common.tokenizer_path(vocabulary))
+    return counter(bpe.kind_of(vocabulary), common.tokenizer_path(vocabulary))
 
 
 def prefix_counts(docs: DataFrame, text: str = "text", vocabulary: str = bpe.JSON_VOCABULARY, counts: str = "prefix_tokens") -> DataFrame:
@@ -178,7 +185,10 @@ def prefix_counts(docs: DataFrame, text: str = "text", vocabulary: str = bpe.JSO
     (counts,) = common.fresh(docs, counts)
     schema = T.StructType([*docs.schema.fields, T.StructField(counts, T.ArrayType(T.IntegerType()))])
 
+    shared = bpe.broadcast_classes(docs.sparkSession, vocabulary)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe.use_classes(vocabulary, shared)
         known = _counter(vocabulary)
         for part, texts in common.steps(batches, text):
             found = pa.array([known.prefixes(t).astype(np.int32) for t in texts], pa.list_(pa.int32()))
@@ -207,7 +217,10 @@ def totals(docs: DataFrame, vocabulary: str = bpe.JSON_VOCABULARY, limit: int =
     Equal texts and equal ids stay separate rows; an empty table gives none.
     """
 
+    shared = bpe.broadcast_classes(docs.sparkSession, vocabulary)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe.use_classes(vocabulary, shared)
         known = _counter(vocabulary)
         for part, texts in common.steps(batches, "text"):
             found = []
