@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factgraph.llm import common
+from factgraph.llm import bpe, common
 
 PASSAGE_WORDS = 64
 #: Labelled documents in the fit, at most, and the longest text among them: the sample's bounds.
@@ -49,8 +49,19 @@ _KIND = _byte_classes()
 FEATURES = _CLASSES + GRAM_BUCKETS + 4
 
 
+#: Texts above so many characters are featurised in stretches, each of which begins a passage.
+STRETCH = 1 << 21
+
+
 def passages(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Features of all passages, and each text's first passage (one more at the end); a text without words has one."""
+    if len(texts) > 1 or len(texts[0]) <= STRETCH:
+        return _passages(texts)
+    found = [_passages([part])[0] for part in bpe.stretches(texts[0], STRETCH)]
+    return np.concatenate(found), np.array([0, sum(map(len, found))])
+
+
+def _passages(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     raw = [t.encode() for t in texts]
     arr = np.frombuffer(b"\n".join(raw) + b"\n", np.uint8)
     ends = np.cumsum([len(r) + 1 for r in raw])

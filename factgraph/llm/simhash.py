@@ -16,34 +16,46 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from factgraph.llm import common
+from factgraph.llm import bpe, common
 from factgraph.llm.components import components
 
 SHINGLE_WORDS = 3
 RADIUS = 2
 SEED = 42
-#: Shingles whose bits are summed at a time.
+#: Shingles whose bits are summed at a time, and characters whose words are held at a time.
 BLOCK = 1 << 15
+STRETCH = 1 << 21
 
 
 def fingerprint(text: str, shingle_words: int = SHINGLE_WORDS, seed: int = SEED) -> int:
     """Unsigned 64 bits: a bit is 1 if it is set in over half the shingles' hashes; no words: 0."""
+    n, set_bits, carried = 0, np.zeros(64, np.int64), []
+    for part in bpe.stretches(text, STRETCH):  # no word is cut; the last words go on to the next stretch
+        words = carried + part.encode().lower().split()  # of bytes: ASCII only, as wanted
+        found = len(words) - shingle_words + 1
+        if found > 0:
+            n, set_bits = n + found, set_bits + _set_bits(words, found, seed)
+        carried = words[-(shingle_words - 1) :] if shingle_words > 1 else []
+        if not n:
+            carried = words
+    if not n and carried:
+        n, set_bits = 1, _set_bits(carried, 1, seed)
+    return int(np.packbits(2 * set_bits > n, bitorder="little").view("<u8")[0]) if n else 0
+
+
+def _set_bits(words: list[bytes], n: int, seed: int) -> np.ndarray:
+    """How often each bit is set in the hashes of the first n shingles, which all words together make."""
     from xxhash import xxh64_intdigest
 
-    words = text.encode().lower().split()  # both only know ASCII, as wanted
-    if not words:
-        return 0
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
-    n = max(1, len(words) - shingle_words + 1)
-    begins, ends = starts[:n].tolist(), ends[-n:].tolist()
-    set_bits = np.zeros(64, np.int64)
+    begins, ends, out = starts[:n].tolist(), ends[-n:].tolist(), np.zeros(64, np.int64)
     for at in range(0, n, BLOCK):
         pairs = zip(begins[at : at + BLOCK], ends[at : at + BLOCK])
         hashes = np.fromiter([xxh64_intdigest(joined[a:b], seed) for a, b in pairs], "<u8", min(BLOCK, n - at))
-        set_bits += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(2 * set_bits > n, bitorder="little").view("<u8")[0])
+        out += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return out
 
 
 def fingerprints(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, seed: int = SEED) -> DataFrame:
