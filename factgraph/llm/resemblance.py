@@ -1,0 +1,178 @@
+"""Near-duplicates by the exact Jaccard similarity of word shingles.
+
+Candidates are texts that share one of BANDS min-hash bands; every link is then verified on the whole sets.  A pair at
+the threshold shares no band with probability (1 - 0.8^5)^40, or 1e-7, and more similar pairs less often.  In each
+band's group all members are first held against one of them; then, in groups that aren't one component, all pairs
+across components are, so the components are those of all colliding pairs.  Before sets are fetched, pairs whose
+sketches of SKETCH min-hash bits differ in over FAR go; at the threshold a tenth of the bits differ.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from factgraph.llm import bpe, common
+from factgraph.llm.components import components
+
+SHINGLE_WORDS = 5
+#: Similarity as a fraction, compared in whole numbers.
+SIMILARITY = (4, 5)
+BANDS, ROWS = 40, 5
+SKETCH, FAR = 512, 96
+SEED = 42
+#: Shingles that are min-hashed at a time, and characters whose words are held at a time.
+BLOCK = 1 << 11
+STRETCH = 1 << 21
+
+
+def shingles(text: str, shingle_words: int = SHINGLE_WORDS, seed: int = SEED) -> tuple[bytes, np.ndarray]:
+    """Digest of the words, and the sorted distinct hashes of their shingles (fewer words: one; none: none)."""
+    from xxhash import xxh3_128, xxh64_intdigest
+
+    digest, carried, found = xxh3_128(seed=seed), [], []
+    for part in bpe.stretches(text, STRETCH):  # no word is cut; the last words go on to the next stretch
+        new = part.encode().lower().split()  # of bytes: ASCII only, as in simhash
+        digest.update(b"".join(w + b" " for w in new))
+        words = carried + new
+        n = len(words) - shingle_words + 1
+        if n > 0:
+            joined = b" ".join(words)
+            ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+            begins = np.concatenate([[0], ends[:-1] + 1])[:n].tolist()
+            found.append(np.unique(np.fromiter((xxh64_intdigest(joined[a:b], seed) for a, b in zip(begins, ends[-n:].tolist())), "<u8", n)))
+            carried = words[len(words) - shingle_words + 1 :]
+        else:
+            carried = words
+    if not found and carried:
+        found.append(np.array([xxh64_intdigest(b" ".join(carried), seed)], "<u8"))
+    hashes = found[0] if len(found) == 1 else np.unique(np.concatenate(found)) if found else np.zeros(0, "<u8")
+    return digest.digest(), hashes
+
+
+def _least(hashes: np.ndarray, n: int, seed: int) -> np.ndarray:
+    """n min-hashes of a set that isn't empty."""
+    rng = np.random.default_rng(seed)
+    factors, offsets = (rng.integers(0, 1 << 64, n, np.uint64)[:, None] for _ in range(2))
+    least = np.full(n, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(hashes), BLOCK):
+        mixed = hashes[None, at : at + BLOCK] * (factors | np.uint64(1)) + offsets
+        np.minimum(least, mixed.min(1), out=least)
+    return least
+
+
+def sketch(hashes: np.ndarray, bits: int = SKETCH, seed: int = SEED + 1) -> np.ndarray:
+    """A bit of each min-hash, as signed longs; the bit lies below those that the minimum determines."""
+    if not len(hashes):
+        return np.zeros(bits // 64, np.int64)
+    return np.packbits(_least(hashes, bits, seed) >> np.uint64(30) & np.uint64(1) == 1).view(np.int64)
+
+
+def bands(hashes: np.ndarray, n_bands: int = BANDS, rows: int = ROWS, seed: int = SEED) -> np.ndarray:
+    """A signed long for each band of min-hashes; no shingles: no bands."""
+    from xxhash import xxh64_intdigest
+
+    if not len(hashes):
+        return np.zeros(0, np.int64)
+    found = _least(hashes, n_bands * rows, seed).astype("<u8").reshape(n_bands, rows)
+    return np.array([xxh64_intdigest(found[k].tobytes(), k) for k in range(n_bands)], np.uint64).view(np.int64)
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+
+def signatures(docs: DataFrame) -> DataFrame:
+    """(doc_id, node, size, bands): node is the digest of the words, size the number of distinct shingles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, texts in common.steps(batches, "text"):
+            nodes, sizes, found = [], [], []
+            for text in texts:
+                node, hashes = shingles(text)
+                nodes.append(node)
+                sizes.append(len(hashes))
+                found.append(bands(hashes))
+            columns = [common.column(part, "doc_id"), pa.array(nodes, pa.binary()), pa.array(sizes, pa.int64()), pa.array(found, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "node", "size", "bands"])
+
+    return _texts(docs).mapInArrow(run, "doc_id long, node binary, size long, bands array<long>")
+
+
+def sets(docs: DataFrame) -> DataFrame:
+    """(node, hashes, sketch) of each row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, texts in common.steps(batches, "text"):
+            found = [shingles(t) for t in texts]
+            columns = [pa.array([n for n, _ in found], pa.binary()), *[pa.array(x, pa.list_(pa.int64())) for x in ([h.view(np.int64) for _, h in found], [sketch(h) for _, h in found])]]
+            yield pa.RecordBatch.from_arrays(columns, names=["node", "hashes", "sketch"])
+
+    return _texts(docs).mapInArrow(run, "node binary, hashes array<long>, sketch array<long>")
+
+
+def _verified(pairs: DataFrame, held: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose sets are similar enough."""
+    p, q = SIMILARITY
+    left, right = (held.select(F.col("node").alias(x), F.col("hashes").alias(f"h{x}")) for x in "ab")
+    common_ = F.size(F.array_intersect("ha", "hb"))
+    return pairs.join(left, "a").join(right, "b").where((p + q) * common_ >= p * (F.size("ha") + F.size("hb"))).select("a", "b")
+
+
+def _sizes_allow(x: str, y: str):
+    """A similarity can't exceed the smaller size by the larger."""
+    p, q = SIMILARITY
+    return q * F.least(x, y) >= p * F.greatest(x, y)
+
+
+def _sketches_allow(x: str, y: str):
+    return sum(F.bit_count(F.col(x)[k].bitwiseXOR(F.col(y)[k])) for k in range(SKETCH // 64)) <= FAR
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """(doc_id, component_id), a row for each row of ``docs``; a component's id is its smallest doc_id.
+
+    Texts of the same words are one node, among them those without any.
+    """
+    signed = common.cut_lineage(signatures(docs))
+    classes = common.cut_lineage(signed.groupBy("node").agg(F.min("doc_id").alias("least_id"), F.any_value("size").alias("size"), F.any_value("bands").alias("bands")))
+    banded = classes.select("node", "size", F.explode("bands").alias("band"))
+    groups = banded.groupBy("band").agg(F.min_by(F.struct("node", "size"), F.struct(F.xxhash64("node", "band"), "node")).alias("first"), F.count("*").alias("n")).where("n > 1").select("band", "first")
+    members = common.cut_lineage(banded.join(groups, "band").select("node", "size", "band", F.col("first.node").alias("first"), F.col("first.size").alias("first_size")))
+    ids = members.select("node").distinct().join(classes, "node").select("node", "least_id")
+    texts = _texts(docs).join(ids.select(F.col("least_id").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    held = common.cut_lineage(sets(texts).dropDuplicates(["node"]))
+
+    stars = members.where((F.col("node") != F.col("first")) & _sizes_allow("size", "first_size")).select(F.greatest("node", "first").alias("a"), F.least("node", "first").alias("b")).distinct()
+    left, right = (held.select(F.col("node").alias(x), F.col("sketch").alias(f"k{x}")) for x in "ab")
+    stars = stars.join(left, "a").join(right, "b").where(_sketches_allow("ka", "kb")).select("a", "b")
+    near = common.cut_lineage(_verified(stars, held))
+    roots = common.cut_lineage(components(near))
+    placed = members.select("node", "size", "band").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    split = placed.groupBy("band").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r != s").select("band")
+    open_ = common.cut_lineage(placed.join(split, "band").join(held.select("node", "sketch"), "node"))
+    x, y = (open_.select("band", F.col("node").alias(n), F.col("size").alias(f"s{n}"), F.col("root").alias(f"r{n}"), F.col("sketch").alias(f"k{n}")) for n in "ab")
+    across = x.join(y, "band").where((F.col("ra") != F.col("rb")) & (F.col("a") > F.col("b")) & _sizes_allow("sa", "sb") & _sketches_allow("ka", "kb")).select("a", "b").distinct()
+    more = common.cut_lineage(_verified(across, held))
+
+    roots = components(near.unionByName(more))
+    linked = common.cut_lineage(classes.join(roots, "node").select("node", "root", "least_id"))
+    least = linked.groupBy("root").agg(F.min("least_id").alias("component_id"))
+    owners = classes.join(linked.join(least, "root").select("node", "component_id"), "node", "left").select("node", F.coalesce("component_id", "least_id").alias("component_id"))
+    return signed.join(owners, "node").select("doc_id", "component_id")
+
+
+def deduplicate(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` without near-duplicates: of each component the row of its smallest id stays.
+
+    Repeated ids are repeated rows, of which one stays; rows without an id are no group's member and stay.
+    """
+    (key,) = common.fresh(docs, "kept_id")
+    found = near_duplicates(docs.where("doc_id IS NOT NULL"))
+    kept = found.where("doc_id = component_id").select(F.col("doc_id").alias(key)).distinct()
+    named = docs.join(kept, docs["doc_id"] == kept[key]).dropDuplicates(["doc_id"]).select(*[docs[c] for c in docs.columns])
+    return named.unionByName(docs.where("doc_id IS NULL"))

@@ -13,7 +13,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from factgraph.llm import avi, bpe, chat, class_ngram, common, jpeg, packing, pii, pii_oracle, quality_classifier, quality_rules, queries, simhash, token_counts
+from factgraph.llm import avi, bpe, chat, class_ngram, common, jpeg, packing, pii, pii_oracle, quality_classifier, quality_rules, queries, resemblance, simhash, token_counts
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 ODD = [None, "", " ", "\n\n", "a", "The  quick\tbrown fox's 'll <|endoftext|>x", "é字😀   x　", "word " * 3000, "x" * 5000, "same text here", "same text here", "#$%& | <>", "UPPER lower 123"]
@@ -197,6 +197,37 @@ def test_near_duplicates(spark):
     assert simhash.deduplicate(odd_docs(spark)).where("doc_id IS NULL").count() == 1
 
 
+def brute_shingles(text):
+    words = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def test_pipeline_drops_shingle_near_duplicates(spark, sf_dir):
+    """Copies with changed words at similarities on both sides of 0.8; links through a third text count."""
+    import corpus_pipeline as p
+
+    rng = random.Random(11)
+    words, texts = [f"w{i}" for i in range(5000)], []
+    for _ in range(12):
+        base = rng.choices(words, k=300)
+        texts.append(" ".join(base))
+        for n in (1, 3, 6, 8, 12, 20):
+            for at in rng.sample(range(300), n):
+                base = [*base[:at], rng.choice(words), *base[at + 1 :]]
+            texts.append(" ".join(base))
+    rng.shuffle(texts)
+    texts += ["", None, "one", "One", "a b c d e f"]
+    sets, root = [brute_shingles(t) for t in texts], list(range(len(texts)))
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if a == b or len(a & b) >= 0.8 * len(a | b):
+                root = [min(root[i], root[j]) if r in (root[i], root[j]) else r for r in root]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert 24 < len(set(root)) < len(texts) - 12
+    assert {r.doc_id: r.component_id for r in resemblance.near_duplicates(docs).collect()} == dict(enumerate(root))
+    assert {r.doc_id for r in p.drop_near_duplicates(spark, docs, sf_dir).collect()} == set(root)
+
+
 def test_components_of_a_long_chain(spark):
     from factgraph.llm.components import components
 
