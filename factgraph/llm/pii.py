@@ -33,6 +33,14 @@ DATE = r"{B}(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{4}/[0-9]{2}/[0-9]{2}|[0-9]{1,2}\
 SSN = r"{B}[0-9]{3}-[0-9]{2}-[0-9]{4}{E}"
 CARD = r"{B}(?:[0-9]{13,19}|[0-9]{4}[ -][0-9]{4}[ -][0-9]{4}[ -][0-9]{1,7}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{4,5}){E}"
 IBAN = r"{B}[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?{E}"
+#: Characters of each country's IBAN, so that a match ends where the number does; IBAN is the form of all.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "AO CV GW LY MZ PT ST",
+    26: "DZ IR IS TR", 27: "BF BI CF CG CM DJ FR GA GQ GR IT KM MC MG MR SM TD", 28: "AL AZ BF BJ BY CI CY DO GT HN HU LB MA ML NE NI PL SN SV TG",
+    29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC NI", 33: "RU",
+}
+IBANS = "{B}(?:" + "|".join("(?:%s)[0-9]{2}(?: ?[A-Z0-9]{4}){%d}%s" % ("|".join(c.split()), (n - 4) // 4, " ?[A-Z0-9]{%d}" % (n % 4) if n % 4 else "") for n, c in sorted(IBAN_LENGTHS.items(), reverse=True)) + "){E}"
 PHONE = r"(?:(?<!\w)\+1[ .-]?\(?[0-9]{3}\)?[ .-]?[0-9]{3}[ .-]?[0-9]{4}{E}|(?<!\w)\+[2-9][0-9]{0,2}[ .-]?\(?[0-9]{1,4}\)?(?:[ .-]?[0-9]{2,4}){2,4}{E}|(?<!\w)\([0-9]{3}\) ?[0-9]{3}[-.][0-9]{4}{E}|{B}[0-9]{3}[-.][0-9]{3}[-.][0-9]{4}{E})"
 
 
@@ -40,7 +48,7 @@ def _java(pattern: str) -> str:
     return pattern.replace("{B}", r"(?<!\w)").replace("{E}", r"(?!\w)")
 
 
-PATTERN = "|".join(_java(p) for p in (EMAIL, IPV4, DATE, SSN, IBAN, CARD, PHONE))
+PATTERN = "|".join(_java(p) for p in (EMAIL, IPV4, DATE, SSN, IBANS, CARD, PHONE))
 #: Texts without any of these hold nothing to find.
 HINT = "[0-9@]"
 
@@ -239,10 +247,16 @@ def _email(m: Column, key: str) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), begin, turn, lambda s: F.concat(s["l"], s["r"], F.lit("@"), domain))
 
 
+def _iban_or_card(m: Column, key: str) -> Column:
+    """Check digits that fail leave a card within the candidate to be found."""
+    card = F.regexp_extract(m, _java(CARD), 0)
+    return F.coalesce(_iban(m, key), F.when(card != "", F.replace(m, card, _card(card, key))))
+
+
 def pseudonym(m: Column, key: str = KEY) -> Column:
     """The pseudonym of a candidate; null if it isn't valid."""
     cases = F.when(m.contains("@"), _email(m, key))
-    for pattern, make in ((IPV4, _ipv4), (DATE, _date), (SSN, _ssn), (IBAN, _iban), (CARD, _card)):
+    for pattern, make in ((IPV4, _ipv4), (DATE, _date), (SSN, _ssn), (IBAN, _iban_or_card), (CARD, _card)):
         cases = cases.when(_whole(m, pattern), make(m, key))
     return cases.otherwise(_phone(m, key))
 

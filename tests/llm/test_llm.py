@@ -317,6 +317,19 @@ def test_pseudonyms(spark):
     assert pii.pseudonymise(docs).columns == docs.columns and pii.pseudonymise(docs.limit(0)).count() == 0
 
 
+def test_ibans_end_where_they_do(spark):
+    """Words and numbers after an IBAN, and labels before a card, take nothing from it."""
+    ibans = ["ES91 2100 0418 4502 0005 1332 BIC", "BE68 5390 0754 7034 EUR 50", "ES9121000418450200051332 OK", "NO93 8601 1117 947 A1"]
+    cards = ["ID12 4111 1111 1111 1111", "DE12 4111 1111 1111 1111", "GB12 4111 1111 1111 1111 AB"]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate([*ibans, *cards])], "doc_id long, text string")
+    rows = {r.doc_id: r for r in pii.pseudonymise(docs, found="n").collect()}
+    for i, t in enumerate([*ibans, *cards]):
+        new = rows[i].text
+        assert rows[i].n == 1 and new != t and re.sub("[0-9]", "9", new) == re.sub("[0-9]", "9", t)
+        if t in cards:
+            assert new[:4] == t[:4] and luhn(re.sub("[^0-9]", "", new[4:]))
+
+
 def test_pseudonyms_equal_the_oracle(spark):
     import duckdb
 
