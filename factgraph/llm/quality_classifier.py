@@ -17,12 +17,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factgraph.llm import bpe, common
+from factgraph.llm import common
 
 PASSAGE_WORDS = 64
 #: Labelled documents in the fit, at most, and the longest text among them: the sample's bounds.
 SAMPLE_DOCUMENTS = 3000
-SAMPLE_BYTES = 1 << 17
+SAMPLE_BYTES = 1 << 15
 GRAM_BUCKETS = 64
 HIDDEN = 16
 ATTENTION = 8
@@ -49,58 +49,134 @@ _KIND = _byte_classes()
 FEATURES = _CLASSES + GRAM_BUCKETS + 4
 
 
-#: Texts above so many characters are featurised in stretches, each of which begins a passage.
+#: Bytes of a long text that are held as arrays at a time.
 STRETCH = 1 << 21
 
+_POWERS = np.cumprod(np.full(64, 0x9E3779B97F4A7C15, np.uint64))
 
-def passages(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Features of all passages, and each text's first passage (one more at the end); a text without words has one."""
-    if len(texts) > 1 or len(texts[0]) <= STRETCH:
-        return _passages(texts)
-    found = [_passages([part])[0] for part in bpe.stretches(texts[0], STRETCH)]
-    return np.concatenate(found), np.array([0, sum(map(len, found))])
 
+def passages(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Features of all passages, and each text's first passage (one more at the end); a text without words has one.
 
-def _passages(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    A passage's features depend on its own text only: blanks before a text's first word belong to its first passage, and
+    byte n-grams end with the text.  Long texts are read in stretches whose counts add up to the same numbers.
+    """
     raw = [t.encode() for t in texts]
+    return _long(raw[0]) if len(raw) == 1 and len(raw[0]) > STRETCH else _step(raw)
+
+
+def _step(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Passages of texts that are held at once."""
     arr = np.frombuffer(b"\n".join(raw) + b"\n", np.uint8)
-    ends = np.cumsum([len(r) + 1 for r in raw])
+    sizes = np.array([len(r) for r in raw], np.int64)
+    ends = np.cumsum(sizes + 1)
     kinds = _KIND[arr]
-    blank = kinds == 0
-    begins = ~blank
-    begins[1:] &= blank[:-1]
+    begins = kinds != 0
+    begins[1:] &= kinds[:-1] == 0  # a text's last blank stands before the next text's first byte
     starts = np.flatnonzero(begins)
     doc = np.searchsorted(ends, starts, "right")
-    words = np.bincount(doc, minlength=len(texts))
+    words = np.bincount(doc, minlength=len(raw))
     first_word = np.concatenate([[0], np.cumsum(words)])
-    count = np.maximum(1, -(-words // PASSAGE_WORDS))
-    firsts = np.concatenate([[0], np.cumsum(count)])
-    total = int(firsts[-1])
-    out = np.zeros((total, FEATURES), np.float32)
-    if not starts.size:
-        return out, firsts
-    of_word = firsts[doc] + (np.arange(starts.size) - first_word[doc]) // PASSAGE_WORDS
-    at = np.cumsum(begins)
-    of_byte = of_word[np.maximum(at - 1, 0)]
-    size = np.maximum(np.bincount(of_byte, minlength=total), 1)[:, None]
-    out[:, :_CLASSES] = np.bincount(of_byte * _CLASSES + kinds, minlength=total * _CLASSES).reshape(total, -1) / size
-    wide = arr.astype(np.uint32)
-    gram = (wide[:-2] * np.uint32(0x9E3779B1) ^ wide[1:-1] * np.uint32(0x85EBCA6B) ^ wide[2:] * np.uint32(0xC2B2AE35)) >> np.uint32(32 - 6)
-    out[:, _CLASSES : _CLASSES + GRAM_BUCKETS] = np.bincount(of_byte[:-2] * GRAM_BUCKETS + gram, minlength=total * GRAM_BUCKETS).reshape(total, -1) / size
-    # words by a hash of their bytes
-    place = np.arange(arr.size) - starts[np.maximum(at - 1, 0)]
-    powers = (np.arange(64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
-    mixed = np.where(blank, np.uint64(0), (arr.astype(np.uint64) + np.uint64(1)) * powers[place & 63])
-    hashes = np.add.reduceat(mixed, starts)
-    n = np.maximum(np.bincount(of_word, minlength=total), 1)
-    same = np.zeros(starts.size, bool)
-    same[1:] = (hashes[1:] == hashes[:-1]) & (of_word[1:] == of_word[:-1])
-    _, index = np.unique(hashes ^ (of_word.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)), return_index=True)
-    out[:, -4] = np.bincount(of_word[same], minlength=total) / n
-    out[:, -3] = np.bincount(of_word[index], minlength=total) / n
-    out[:, -2] = size[:, 0] / n / 8
-    out[:, -1] = np.log1p(n) / 4
-    return out, firsts
+    firsts = np.concatenate([[0], np.cumsum(np.maximum(1, -(-words // PASSAGE_WORDS)))])
+    text = np.repeat(np.arange(len(raw)), sizes + 1)
+    word = np.maximum(np.cumsum(begins) - 1 - first_word[text], 0)  # in its text
+    of_byte = firsts[text] + word // PASSAGE_WORDS
+    own = np.ones(arr.size, bool)
+    own[ends - 1] = False
+    counts = _Counts(int(firsts[-1]))
+    counts.add(kinds[own], of_byte[own])
+    inside = own[:-2] & own[1:-1] & own[2:]
+    counts.add_grams(arr, of_byte[:-2], inside)
+    hashes = np.zeros(0, np.uint64)
+    if starts.size:
+        place = np.arange(arr.size) - starts[np.maximum(np.cumsum(begins) - 1, 0)]
+        hashes = np.add.reduceat(_mixed(arr, kinds, place), starts)
+    return counts.features(hashes, firsts[doc] + (np.arange(starts.size) - first_word[doc]) // PASSAGE_WORDS), firsts
+
+
+def _long(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Passages of one text, read in stretches: what is held whole is a number for each word."""
+    n_words = sum(int(_begins(raw, at)[1].sum()) for at in range(0, len(raw), STRETCH))
+    counts = _Counts(max(1, -(-n_words // PASSAGE_WORDS)))
+    hashes, seen, place_before = np.zeros(n_words, np.uint64), 0, 0
+    for at in range(0, len(raw), STRETCH):
+        kinds, begins = _begins(raw, at)
+        arr = np.frombuffer(raw, np.uint8, min(len(raw) - at, STRETCH + 2), at)
+        here = arr[: kinds.size]
+        word = seen - 1 + np.cumsum(begins)  # -1 before the first
+        of_byte = np.maximum(word, 0) // PASSAGE_WORDS
+        counts.add(kinds, of_byte)
+        counts.add_grams(arr, of_byte[: arr.size - 2], np.ones(max(arr.size - 2, 0), bool))
+        starts = np.flatnonzero(begins)
+        last = np.maximum.accumulate(np.where(begins, np.arange(here.size), -1))
+        place = np.where(last < 0, np.arange(here.size) + place_before, np.arange(here.size) - last)
+        mixed = _mixed(here, kinds, place)
+        if seen and (not starts.size or starts[0]):
+            hashes[seen - 1 : seen] += mixed[: starts[0] if starts.size else None].sum(dtype=np.uint64)
+        if starts.size:
+            hashes[seen : seen + starts.size] = np.add.reduceat(mixed, starts)
+        place_before = int(place[-1]) + 1
+        seen += starts.size
+    return counts.features(hashes, np.arange(n_words) // PASSAGE_WORDS), np.array([0, counts.total])
+
+
+def _begins(raw: bytes, at: int) -> tuple[np.ndarray, np.ndarray]:
+    """Byte classes of the stretch from ``at`` on, and where words begin in it."""
+    kinds = _KIND[np.frombuffer(raw, np.uint8, min(STRETCH, len(raw) - at), at)]
+    begins = kinds != 0
+    begins[1:] &= kinds[:-1] == 0
+    begins[0] &= at == 0 or _KIND[raw[at - 1]] == 0
+    return kinds, begins
+
+
+def _mixed(arr: np.ndarray, kinds: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Summands of the words' hashes; ``place`` is that of a byte in its word."""
+    return np.where(kinds == 0, np.uint64(0), (arr.astype(np.uint64) + np.uint64(1)) * _POWERS[place & 63])
+
+
+class _Counts:
+    """Whole-number counts of passages, and the features that they make."""
+
+    def __init__(self, total: int):
+        self.total = total
+        self.classes = np.zeros(total * _CLASSES, np.int64)
+        self.grams = np.zeros(total * GRAM_BUCKETS, np.int64)
+
+    def add(self, kinds: np.ndarray, of_byte: np.ndarray) -> None:
+        self.classes += np.bincount(of_byte * _CLASSES + kinds, minlength=self.classes.size)
+
+    def add_grams(self, arr: np.ndarray, of_byte: np.ndarray, inside: np.ndarray) -> None:
+        if arr.size > 2:
+            wide = arr.astype(np.uint32)
+            gram = (wide[:-2] * np.uint32(0x9E3779B1) ^ wide[1:-1] * np.uint32(0x85EBCA6B) ^ wide[2:] * np.uint32(0xC2B2AE35)) >> np.uint32(32 - 6)
+            self.grams += np.bincount((of_byte * GRAM_BUCKETS + gram)[inside], minlength=self.grams.size)
+
+    def features(self, hashes: np.ndarray, of_word: np.ndarray) -> np.ndarray:
+        """``hashes`` of the words, and the passage of each."""
+        out = np.zeros((self.total, FEATURES), np.float32)
+        classes = self.classes.reshape(self.total, _CLASSES)
+        size = np.maximum(classes.sum(1), 1)[:, None]
+        out[:, :_CLASSES] = classes / size
+        out[:, _CLASSES : _CLASSES + GRAM_BUCKETS] = self.grams.reshape(self.total, GRAM_BUCKETS) / size
+        if not hashes.size:
+            return out
+        found = np.bincount(of_word, minlength=self.total)
+        n = np.maximum(found, 1)
+        same = np.zeros(hashes.size, bool)
+        same[1:] = (hashes[1:] == hashes[:-1]) & (of_word[1:] == of_word[:-1])
+        order = np.lexsort((hashes, of_word))
+        fresh = np.ones(hashes.size, bool)
+        fresh[1:] = (hashes[order][1:] != hashes[order][:-1]) | (of_word[order][1:] != of_word[order][:-1])
+        out[:, -4] = np.bincount(of_word[same], minlength=self.total) / n
+        out[:, -3] = np.bincount(of_word[order][fresh], minlength=self.total) / n
+        out[:, -2] = np.where(found > 0, size[:, 0] / n / 8, 0)
+        out[:, -1] = np.where(found > 0, np.log1p(n) / 4, 0)
+        return out
+
+
+def _grid(x: np.ndarray, bits: int) -> np.ndarray:
+    """Multiples of 2^-bits: products of such numbers add up exactly in doubles, so in any order to the same sum."""
+    return np.rint(np.asarray(x, float) * (1 << bits)) / (1 << bits)
 
 
 def _softmax_bags(values: np.ndarray, firsts: np.ndarray, of: np.ndarray) -> np.ndarray:
@@ -153,12 +229,12 @@ class Model:
         return Model(mean, scale, w)
 
     def attention(self, x: np.ndarray, firsts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Score of each bag and weight of each passage."""
-        w = self.weights
-        h = np.tanh(np.clip((x - self.mean) / self.scale, -8, 8) @ w["E"] + w["e"])
+        """Score of each bag and weight of each passage, whatever bags are computed together."""
+        w = {k: _grid(np.clip(v, -15, 15), 20) for k, v in self.weights.items()}
+        h = _grid(np.tanh(_grid(np.clip((x - self.mean) / self.scale, -8, 8), 16) @ w["E"] + w["e"]), 22)
         of = np.repeat(np.arange(len(firsts) - 1), np.diff(firsts))
-        att = _softmax_bags((np.tanh(h @ w["V"]) * _sigmoid(h @ w["U"])) @ w["a"], firsts, of)
-        return _sigmoid(np.add.reduceat(h * att[:, None], firsts[:-1]) @ w["c"] + w["b"]), att
+        att = _softmax_bags(_grid(np.tanh(h @ w["V"]) * _sigmoid(h @ w["U"]), 22) @ w["a"], firsts, of)
+        return _sigmoid(_grid(np.add.reduceat(h * att[:, None], firsts[:-1]), 22) @ w["c"] + w["b"]), att
 
     def score(self, texts: list[str]) -> np.ndarray:
         return np.round(self.attention(*passages(texts))[0].astype(float), 6)
@@ -173,28 +249,27 @@ def constant(score: float) -> Model:
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_DOCUMENTS) -> Model:
     """Learns from at most ``sample`` labelled documents outside the held-out fold, those with the lowest hash of their id.
 
-    Null labels and ids are passed over; of repeated labels the lowest counts.  Without labels of both kinds the score
-    is 0.9 (1 is all there is, or nothing is known) or 0.1.
+    They are chosen among the rows of ``docs`` whose text isn't null and has at most SAMPLE_BYTES.  Null labels and ids
+    are passed over; of repeated labels the lowest counts, of rows of the same id the least text.  Without labels of
+    both kinds the score is 0.9 (1 is all there is, or nothing is known) or 0.1.
     """
-    known = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").where(common.crc32_mod(F.col("doc_id"), FOLDS) != HELD_OUT)
-    chosen = known.groupBy("doc_id").agg(F.min("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = [(r["doc_id"], int(r["quality"])) for r in chosen.collect()]  # the documented bound
-    target = dict(rows)
+    usable = docs.where(F.octet_length("text") <= SAMPLE_BYTES).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), "quality").where("doc_id IS NOT NULL AND quality IS NOT NULL").where(common.crc32_mod(F.col("doc_id"), FOLDS) != HELD_OUT)
+    lowest = known.groupBy("doc_id").agg(F.min("quality").alias("quality")).join(usable.select("doc_id"), "doc_id", "left_semi")
+    target = {r["doc_id"]: int(r["quality"]) for r in lowest.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).collect()}  # the documented bound
+    if not target or len(set(target.values())) == 1:
+        return constant(0.1 if target and not any(target.values()) else 0.9)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in common.steps(batches, "text"):
-            ids = common.column(part, "doc_id").to_pylist()
-            found = [k for k, i in enumerate(ids) if i in target]
-            if found:
-                x, firsts = passages([texts[k] for k in found])
-                yield pa.RecordBatch.from_arrays([pa.array([ids[k] for k in found]), pa.array([x[a:b].tobytes() for a, b in zip(firsts, firsts[1:])], pa.binary())], names=["doc_id", "x"])
-
-    wanted = docs.where(F.octet_length("text") <= SAMPLE_BYTES).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    bags = {r["doc_id"]: np.frombuffer(r["x"], np.float32).reshape(-1, FEATURES) for r in wanted.mapInArrow(run, "doc_id long, x binary").collect()}
+            x, firsts = passages(texts)
+            yield pa.RecordBatch.from_arrays([common.column(part, "doc_id"), pa.array([x[a:b].tobytes() for a, b in zip(firsts, firsts[1:])], pa.binary())], names=["doc_id", "x"])
+
+    ids = docs.sparkSession.createDataFrame([(i,) for i in target], "doc_id long")  # at most ``sample`` rows
+    chosen = usable.join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"))
+    bags = {r["doc_id"]: np.frombuffer(r["x"], np.float32).reshape(-1, FEATURES) for r in chosen.mapInArrow(run, "doc_id long, x binary").collect()}
     used = sorted(bags)
     y = np.array([target[i] for i in used], float)
-    if not used or y.min() == y.max():
-        return constant(0.1 if used and y.max() == 0 else 0.9)
     firsts = np.concatenate([[0], np.cumsum([len(bags[i]) for i in used])])
     return Model.fit(np.concatenate([bags[i] for i in used]).astype(float), firsts, y)
 
