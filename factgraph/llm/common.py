@@ -6,7 +6,7 @@ from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from factgraph.operators.shared import cut_lineage as cut_lineage
@@ -65,3 +65,33 @@ def fresh(df: DataFrame, *wanted: str) -> list[str]:
         taken.add(name.lower())
         out.append(name)
     return out
+
+
+#: A group with at least 1/HOT_SHARE of all rows is hot: there are at most HOT_SHARE of them.
+HOT_SHARE = 1 << 10
+
+
+def join_owners(rows: DataFrame, owners: DataFrame, key: str) -> DataFrame:
+    """``rows`` with what ``owners`` has for their key: one row, or none.
+
+    The owners of hot keys, HOT_SHARE rows at most, are broadcast, so that no task gets all rows of such a key.
+    """
+    mark = "__hot"
+    sizes = cut_lineage(rows.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    total = rows.count()
+    hot = F.broadcast(sizes.where(F.col("n") * HOT_SHARE >= max(total, 1)).select(key))
+    some = rows.join(hot.withColumn(mark, F.lit(True)), key, "left")
+    of_hot = owners.join(hot, key, "left_semi")
+    return some.where(F.col(mark)).drop(mark).join(F.broadcast(of_hot), key, "left").unionByName(some.where(F.col(mark).isNull()).drop(mark).join(owners, key, "left"))
+
+
+def keep_rows(docs: DataFrame, kept: DataFrame, text: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose (doc_id, hash of the text) is in ``kept``, and those without an id.
+
+    Of several rows of the same id and text one stays, the least by a hash of all columns.
+    """
+    version, wanted, other, rank = fresh(docs, "version", "wanted", "other", "rank")
+    named = docs.withColumn(version, F.xxhash64(text))
+    met = named.join(kept.select(F.col("doc_id").alias(wanted), F.col("version").alias(other)), (F.col(wanted) == named["doc_id"].cast("long")) & (F.col(other) == F.col(version)))
+    ranked = met.withColumn(rank, F.row_number().over(Window.partitionBy(wanted, other).orderBy(F.xxhash64(*[named[c] for c in docs.columns]))))
+    return ranked.where(F.col(rank) == 1).select(*[named[c] for c in docs.columns]).unionByName(docs.where("doc_id IS NULL"))

@@ -59,14 +59,15 @@ def _set_bits(words: list[bytes], n: int, seed: int) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, seed: int = SEED) -> DataFrame:
-    """(doc_id, fp), fp as a signed long; null text: empty."""
+    """(doc_id, version, fp), fp as a signed long, version a hash of the text as it is; null text: empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in common.steps(batches, "text"):
             found = np.array([fingerprint(t, shingle_words, seed) for t in texts], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([common.column(part, "doc_id"), pa.array(found)], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([common.column(part, "doc_id"), common.column(part, "version"), pa.array(found)], names=["doc_id", "version", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return texts.withColumn("version", F.xxhash64("text")).mapInArrow(run, "doc_id long, version long, fp long")
 
 
 def ball(radius: int) -> list[int]:
@@ -92,23 +93,26 @@ def near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, radius:
     Null and empty texts have fingerprint zero and are linked like others.  A component's id is its smallest doc_id;
     null ids are passed over, and a component of such rows only has none.  An empty table gives no rows.
     """
+    return _owned(docs, shingle_words, radius, seed).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("first.doc_id").alias("component_id"))
+
+
+def _owned(docs: DataFrame, shingle_words: int, radius: int, seed: int) -> DataFrame:
+    """(doc_id, version, fp, first) of each row: ``first`` is the least (doc_id, version) of its component."""
     prints = common.cut_lineage(fingerprints(docs, shingle_words, seed))
-    classes = common.cut_lineage(prints.groupBy("fp").agg(F.min("doc_id").alias("least_id")))
+    first = F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "version"))).alias("first")
+    classes = common.cut_lineage(prints.groupBy("fp").agg(first))
     roots = components(links(classes.select("fp"), radius))
-    linked = common.cut_lineage(classes.join(roots, classes["fp"] == roots["node"]).select("fp", "root", "least_id"))
-    least = linked.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    ids = linked.join(least, "root").select("fp", "component_id")
-    owners = classes.join(ids, "fp", "left").select("fp", F.coalesce("component_id", "least_id").alias("component_id"))
-    return prints.join(owners, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    linked = common.cut_lineage(classes.join(roots, classes["fp"] == roots["node"]).select("fp", "root", "first"))
+    least = linked.groupBy("root").agg(F.min("first").alias("of_all"))
+    owned = linked.join(least, "root").select("fp", "of_all")
+    owners = classes.join(owned, "fp", "left").select("fp", F.coalesce("of_all", "first").alias("first"))
+    return common.join_owners(prints, owners, "fp")
 
 
-def deduplicate(docs: DataFrame, **parameters) -> DataFrame:
-    """The rows of ``docs`` without near-duplicates: of each component the row of its smallest id stays.
+def deduplicate(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, radius: int = RADIUS, seed: int = SEED) -> DataFrame:
+    """The rows of ``docs`` without near-duplicates: of each component the row of its smallest id (and least text) stays.
 
-    Repeated ids are repeated rows, of which one stays; rows without an id are no group's member and stay.
+    Of rows of the same id and text one stays; rows without an id are no group's member and stay.
     """
-    (key,) = common.fresh(docs, "kept_id")
-    found = near_duplicates(docs.where("doc_id IS NOT NULL"), **parameters)
-    kept = found.where("doc_id = component_id").select(F.col("doc_id").alias(key)).distinct()
-    named = docs.join(kept, docs["doc_id"] == kept[key]).dropDuplicates(["doc_id"]).select(*[docs[c] for c in docs.columns])
-    return named.unionByName(docs.where("doc_id IS NULL"))
+    found = _owned(docs.where("doc_id IS NOT NULL"), shingle_words, radius, seed)
+    return common.keep_rows(docs, found.where(F.struct("doc_id", "version") == F.col("first")).select("doc_id", "version").distinct())

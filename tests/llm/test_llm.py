@@ -13,7 +13,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from factgraph.llm import avi, bpe, chat, class_ngram, common, jpeg, packing, pii, pii_oracle, quality_classifier, quality_rules, queries, resemblance, simhash, token_counts
+from factgraph.llm import avi, bpe, chat, class_ngram, common, jpeg, packing, pii, pii_oracle, quality_classifier, quality_rules, queries, simhash, simhash_similarity, token_counts
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 ODD = [None, "", " ", "\n\n", "a", "The  quick\tbrown fox's 'll <|endoftext|>x", "é字😀   x　", "word " * 3000, "x" * 5000, "same text here", "same text here", "#$%& | <>", "UPPER lower 123"]
@@ -224,7 +224,7 @@ def test_pipeline_drops_shingle_near_duplicates(spark, sf_dir):
                 root = [min(root[i], root[j]) if r in (root[i], root[j]) else r for r in root]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert 24 < len(set(root)) < len(texts) - 12
-    assert {r.doc_id: r.component_id for r in resemblance.near_duplicates(docs).collect()} == dict(enumerate(root))
+    assert {r.doc_id: r.component_id for r in simhash_similarity.near_duplicates(docs).collect()} == dict(enumerate(root))
     assert {r.doc_id for r in p.drop_near_duplicates(spark, docs, sf_dir).collect()} == set(root)
 
 
