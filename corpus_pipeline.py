@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factgraph.llm import packing, pii, quality_classifier, quality_rules, resemblance
+from factgraph.llm import packing, pii, quality_classifier, quality_rules, simhash_similarity
 from factgraph.llm.common import cut_lineage, table
 
 
@@ -25,8 +25,11 @@ def apply_quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents linked by similarity 0.8 of 5-word shingles the one of the smallest id."""
-    return resemblance.deduplicate(docs)
+    """Of each group of documents linked by similarity 0.8 of 5-word shingles the one of the smallest id.
+
+    SimHash balls over blocks of a wide fingerprint find the candidates; links are verified on the whole sets.
+    """
+    return simhash_similarity.deduplicate(docs)
 
 
 def pseudonymise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,7 +46,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [
     ("quality_classifier", classify_quality),
     ("quality_rules", apply_quality_rules),
-    ("shingle_near_dedup", drop_near_duplicates),
+    ("simhash_near_dedup", drop_near_duplicates),
     ("pii", pseudonymise),
     ("packing", pack),
 ]
