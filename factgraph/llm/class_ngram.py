@@ -1,14 +1,20 @@
 """Brown class-based bigram language model.
 
-Word counts cover all training documents.  Frequent words (at least 1/UNIT_SHARE of all tokens, so at most UNIT_SHARE
-words) are units of their own; the others share a unit with words of the same ending.  Exchange clustering moves units
-between classes as long as the likelihood of the class bigrams rises.  A text's probability is the product of
+Word counts cover all training documents.  The VOCABULARY most frequent words are clustered; every other word stays a word
+of its own, with its own count, in one of four classes by its characters.  A text's probability is the product of
 P(class | class before) P(word | class); a document's end is a token with a class of its own, which also stands before
 the first word.  Transitions are smoothed towards class frequencies and emissions by a constant, with room for one
 unknown word in each class, so that probabilities add up to one.
 
-Scoring needs the count of every word.  Words with at least 1/HEAVY_SHARE of all tokens (at most HEAVY_SHARE words) are
-broadcast; the rest, few rows, meet the full count table in a join by word.  So no frequent word is ever shuffled.
+Exchange clustering maximises the likelihood of the class bigrams.  The SEEDS most frequent words are exchanged one by
+one on the driver, over their own bigram counts (a matrix of fixed size).  Then all words take part in rounds: a pass
+over the encoded corpus counts each word's neighbours by class; the counts of a block of words meet in one task, which
+finds the best class of each of its words, given all others; and a half of the words, another one each round, moves.
+Rounds end when the likelihood rises by less than GAIN of its value, or after ROUNDS.
+
+The corpus is tokenised twice, for the counts and for the encoding in two bytes a token, which later passes read.
+Scoring knows the counts of clustered words; those of the others, few tokens, come from the full count table by a join.
+So no frequent word is ever shuffled.
 """
 
 from __future__ import annotations
@@ -17,27 +23,35 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from math import log10
-from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factgraph.llm import bpe, common
 
-UNIT_SHARE = 1 << 11
-HEAVY_SHARE = 1 << 21
-ENDINGS = 512
-CLASSES = 48
+#: Clustered words, at most; with the end and the four kinds of other words, ids fit two bytes.
+VOCABULARY = 65_500
+SEEDS = 2048
+#: Class 0 is a document's end, 1 to 4 hold the words that aren't clustered.
+CLASSES = 64
 SWEEPS = 6
+ROUNDS, GAIN = 10, 2e-4
 ADDED = 0.1
 #: Class-frequency weight in transitions.
 BACKOFF = 2.0
 FOLDS, HELD_OUT = 10, 0
 #: Distinct words that a counting task holds before it passes them on.
 HELD_WORDS = 300_000
+#: Tokens that are counted at a time, words whose counts meet in one task, and words whose moves are tried at a time.
+COUNTED, BLOCK, TRIED = 1 << 21, 256, 32
+
+IDS = 1 << 16
+#: Ids of words that aren't clustered, by kind: not ASCII, with a digit, letters only, other.
+KINDS = 4
+FIRST_KIND = IDS - KINDS
 
 
 _BLANK = bytes(32 if b in b" \t\n\r\x0b\x0c" else 0 for b in range(256))
@@ -55,8 +69,14 @@ def words_of(texts: list[str]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
     return keys, inverse, np.searchsorted(starts, texts_at)
 
 
-def ending(word: bytes) -> int:
-    return crc32(word[-2:]) % ENDINGS
+def kind(word: bytes) -> int:
+    """Of a word that isn't clustered: 0 to 3."""
+    return 0 if not word.isascii() else 2 if word.isalpha() else 1 if any(48 <= c <= 57 for c in word) else 3
+
+
+def _kind(word: Column) -> Column:
+    text = word.cast("string")
+    return F.when(text.rlike(r"[^\x00-\x7F]"), 0).when(text.rlike("^[a-z]+$"), 2).when(text.rlike("[0-9]"), 1).otherwise(3)
 
 
 def _training(docs: DataFrame) -> DataFrame:
@@ -87,18 +107,31 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
 
 @dataclass
-class Units:
-    """word -> unit: 0 is a document's end, then frequent words, then endings."""
+class Words:
+    """word -> id: 0 is a document's end, then clustered words by rank, and at the end the kinds of other words."""
 
-    words: dict[bytes, int]
-
-    @property
-    def count(self) -> int:
-        return 1 + len(self.words) + ENDINGS
+    ids: dict[bytes, int]
 
     def of(self, words: list[bytes]) -> np.ndarray:
-        base, own = 1 + len(self.words), self.words.get
-        return np.array([own(w) or base + ending(w) for w in words], np.int64)
+        own = self.ids.get
+        return np.array([own(w) or FIRST_KIND + kind(w) for w in words], np.uint16)
+
+
+def vocabulary(counts: DataFrame, most: int = VOCABULARY) -> dict[bytes, int]:
+    """Counts of the most frequent words, by rank: those from the least count on that at most ``most`` words reach."""
+    words = counts.where(F.octet_length("word") > 0)
+    step = F.floor(F.log2("c") * 16).cast("int")
+    held, least = 0, None
+    for r in sorted(words.groupBy(step.alias("step")).agg(F.count("*").alias("v"), F.min("c").alias("c")).collect(), reverse=True):  # 16 rows for each doubling
+        held += r["v"]
+        if held > most:
+            break
+        least = r["c"]
+    if least is None:
+        return {}
+    found = words.where(F.col("c") >= least).toArrow()  # at most ``most`` rows
+    pairs = sorted(zip(found["c"].to_pylist(), found["word"].to_pylist()), key=lambda p: (-p[0], p[1]))
+    return {w: c for c, w in pairs}
 
 
 def neighbours(values: np.ndarray, firsts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -106,79 +139,234 @@ def neighbours(values: np.ndarray, firsts: np.ndarray) -> tuple[np.ndarray, np.n
     return np.insert(values, firsts[:-1], 0), np.insert(values, firsts[1:], 0)
 
 
-def unit_bigrams(docs: DataFrame, units: Units) -> np.ndarray:
-    """Counts of neighbouring units over all training documents: at most (1 + UNIT_SHARE + ENDINGS) squared numbers."""
-    n, own = units.count, units.words
+def encoded(docs: DataFrame, ids: dict[bytes, int]) -> DataFrame:
+    """(ids): the training documents' tokens in rows of a step each, two bytes a token, 0 after each document."""
+    shared = docs.sparkSession.sparkContext.broadcast(ids)  # at most VOCABULARY words
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mapped, counts = Units(own), np.zeros(n * n, np.int64)
+        own = Words(shared.value)
         for _, texts in common.steps(batches, "text"):
             words, inverse, firsts = words_of(texts)
-            before, here = neighbours(mapped.of(words)[inverse], firsts)
-            found, times = np.unique(before * n + here, return_counts=True)
-            counts[found] += times
+            yield pa.RecordBatch.from_arrays([pa.array([neighbours(own.of(words)[inverse], firsts)[1].astype("<u2").tobytes()], pa.binary())], names=["ids"])
+
+    return _training(docs).mapInArrow(run, "ids binary")
+
+
+def _streams(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+    """Tokens of about COUNTED at a time, each with an end before it."""
+    held, n = [np.zeros(1, "<u2")], 0
+    for batch in batches:
+        for value in batch.column(0):
+            held.append(np.frombuffer(value.as_buffer(), "<u2"))
+            n += held[-1].size
+            if n >= COUNTED:
+                yield np.concatenate(held)
+                held, n = [np.zeros(1, "<u2")], 0
+    if n:
+        yield np.concatenate(held)
+
+
+def _summed(corpus: DataFrame, index, size: int) -> np.ndarray:
+    """``index`` gives numbers below ``size`` for the tokens of a stream; how often each occurs in the corpus."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(size, np.int64)
+        for ids in _streams(batches):
+            counts += np.bincount(index(ids), minlength=size)
         found = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(counts[found])], names=["pair", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(counts[found])], names=["at", "n"])
 
-    summed = _training(docs).mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(n * n)
-    out[summed["pair"].to_numpy()] = summed["n"].to_numpy()
-    return out.reshape(n, n)
+    summed = corpus.mapInArrow(run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(size)
+    out[summed["at"].to_numpy()] = summed["n"].to_numpy()
+    return out
+
+
+def seed_bigrams(corpus: DataFrame, seeds: int) -> np.ndarray:
+    """Counts of neighbours among the end, the ``seeds`` first words and the kinds of other words; other ids are left out."""
+    n = 1 + seeds + KINDS
+    unit = np.full(IDS, n, np.int64)
+    unit[: 1 + seeds] = np.arange(1 + seeds)
+    unit[FIRST_KIND:] = np.arange(1 + seeds, n)
+
+    def index(ids: np.ndarray) -> np.ndarray:
+        own = unit[ids]
+        a, b = own[:-1], own[1:]
+        return (a * n + b)[(a < n) & (b < n)]
+
+    return _summed(corpus, index, n * n).reshape(n, n)
+
+
+def class_bigrams(corpus: DataFrame, of: np.ndarray, classes: int) -> np.ndarray:
+    """Counts of neighbouring classes; ``of``: class of each id, ``classes`` for none."""
+    wide = classes + 1
+
+    def index(ids: np.ndarray) -> np.ndarray:
+        own = of[ids].astype(np.int64)
+        return own[:-1] * wide + own[1:]
+
+    return _summed(corpus, index, wide * wide).reshape(wide, wide)[:classes, :classes]
 
 
 def _x_log_x(x: np.ndarray) -> np.ndarray:
     return x * np.log(np.maximum(x, 1e-300))
 
 
-def exchange(pairs: np.ndarray, classes: int = CLASSES, sweeps: int = SWEEPS) -> np.ndarray:
-    """Class of each unit; unit 0 keeps class 0.  Each move is the best for its unit; ties go to the lowest class."""
-    n, total = len(pairs), pairs.sum(0) + pairs.sum(1)
-    order = [u for u in np.argsort(-total, kind="stable").tolist() if u and total[u]]
-    of = np.zeros(n, np.int64)
-    of[1:] = 1 + np.arange(n - 1) % (classes - 1)
+def best_classes(table: np.ndarray, out: np.ndarray, into: np.ndarray, own: np.ndarray, old: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each of some words the class, from ``first`` on, in which the likelihood is highest, and by how much it rises.
+
+    ``table``: class bigrams with all words in their classes; ``out`` and ``into``: counts of a word's neighbours by
+    class, the word itself among them, ``own`` times; ``old``: its class, -1 if it has none.  Ties go to the old class,
+    then to the lowest.
+    """
+    m, k = np.arange(len(old)), np.arange(len(table))
+    placed = old >= 0
+    p, o = m[placed], old[placed]
+    out, into, t = out.astype(float), into.astype(float), np.repeat(table[None].astype(float), len(old), 0)
+    out[p, o] -= own[p]
+    into[p, o] -= own[p]
+    t[p, o, :] -= out[p]
+    t[p, :, o] -= into[p]
+    t[p, o, o] -= own[p]
+    f, with_row, with_column = _x_log_x(t), _x_log_x(t + out[:, None, :]), _x_log_x(t + into[:, :, None])
+    gain = (with_row - f).sum(2) + (with_column - f).sum(1)
+    gain += _x_log_x(t[:, k, k] + out + into + own[:, None]) + f[:, k, k] - with_row[:, k, k] - with_column[:, k, k]
+    rows, columns = t.sum(2) + into, t.sum(1) + out
+    gain -= _x_log_x(rows + (out.sum(1) + own)[:, None]) - _x_log_x(rows) + _x_log_x(columns + (into.sum(1) + own)[:, None]) - _x_log_x(columns)
+    gain[:, :first] = -np.inf
+    new = gain.argmax(1)
+    rise = gain[m, new]
+    rise[placed] -= gain[p, o]
+    new[placed] = np.where(rise[placed] > 1e-9, new[placed], o)
+    return new, rise
+
+
+def exchange(pairs: np.ndarray, fixed: dict[int, int], classes: int, sweeps: int = SWEEPS) -> np.ndarray:
+    """Class of each unit, one move after the other; ``fixed`` units keep theirs, and no other unit joins them."""
+    total, first = pairs.sum(0) + pairs.sum(1), 1 + max(fixed.values())
+    order = [u for u in np.argsort(-total, kind="stable").tolist() if u not in fixed]
+    of = np.zeros(len(pairs), np.int64)
     for rank, u in enumerate(order):
-        of[u] = 1 + rank % (classes - 1)
+        of[u] = first + rank % (classes - first)
+    for u, c in fixed.items():
+        of[u] = c
     member = np.eye(classes)[of]
     table = member.T @ pairs @ member
     for _ in range(sweeps):
         moved = 0
         for u in order:
+            if not total[u]:
+                continue
             out, into, own = np.bincount(of, pairs[u], classes), np.bincount(of, pairs[:, u], classes), pairs[u, u]
-            old = of[u]
-            out[old] -= own
-            into[old] -= own
-            table[old] -= out
-            table[:, old] -= into
-            table[old, old] -= own
-            rows, columns, k = table.sum(1) + into, table.sum(0) + out, np.arange(classes)
-            f = _x_log_x(table)
-            with_row, with_column = _x_log_x(table + out), _x_log_x(table + into[:, None])
-            corner = table[k, k]
-            gain = (with_row - f).sum(1) + (with_column - f).sum(0)
-            gain += _x_log_x(corner + out + into + own) + f[k, k] - with_row[k, k] - with_column[k, k]
-            gain -= _x_log_x(rows + out.sum() + own) - _x_log_x(rows) + _x_log_x(columns + into.sum() + own) - _x_log_x(columns)
-            gain[0] = -np.inf
-            new = int(np.argmax(gain)) if gain.max() > gain[old] + 1e-9 else old
-            table[new] += out
-            table[:, new] += into
-            table[new, new] += own
-            of[u] = new
-            moved += new != old
+            new = int(best_classes(table, out[None], into[None], np.array([own]), of[u : u + 1], first)[0][0])
+            if new != of[u]:
+                old = of[u]
+                out[old] -= own
+                into[old] -= own
+                for c, sign in ((old, -1), (new, 1)):
+                    table[c] += sign * out
+                    table[:, c] += sign * into
+                    table[c, c] += sign * own
+                of[u] = new
+                moved += 1
         if not moved:
             break
     return of
 
 
+def _moves(corpus: DataFrame, of: np.ndarray, table: np.ndarray, chosen: np.ndarray) -> pa.Table:
+    """(id, class): the best class of each ``chosen`` id, given the classes of all others."""
+    classes = len(table)
+    wide, first = classes + 1, 1 + KINDS
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        after, before, own = np.zeros(IDS * wide, np.int64), np.zeros(IDS * wide, np.int64), np.zeros(IDS, np.int64)
+        for ids in _streams(batches):
+            a, b = ids[:-1].astype(np.int64), ids[1:].astype(np.int64)
+            after += np.bincount((a * wide + of[b])[chosen[a]], minlength=after.size)
+            before += np.bincount((b * wide + of[a])[chosen[b]], minlength=before.size)
+            own += np.bincount(a[(a == b) & chosen[a]], minlength=IDS)
+        blocks, places, numbers = [], [], []
+        for block in range(IDS // BLOCK):
+            words = slice(block * BLOCK, (block + 1) * BLOCK)
+            cells = slice(block * BLOCK * wide, (block + 1) * BLOCK * wide)
+            counts = np.concatenate([after[cells], before[cells], own[words]])
+            found = np.flatnonzero(counts)
+            if found.size:
+                blocks.append(block)
+                places.append(found.astype("<u2").tobytes())
+                numbers.append(counts[found].astype("<i8" if counts.max() >> 31 else "<i4").tobytes())
+        yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int32()), pa.array(places, pa.binary()), pa.array(numbers, pa.binary())], names=["block", "places", "numbers"])
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}  # of IDS / BLOCK blocks at most, of fixed size
+        for batch in batches:
+            for block, places, numbers in zip(*(c.to_pylist() for c in batch.columns)):
+                at = np.frombuffer(places, "<u2")
+                counts = held.setdefault(block, np.zeros(BLOCK * (2 * wide + 1), np.int64))
+                counts[at] += np.frombuffer(numbers, "<i4" if len(numbers) == 4 * at.size else "<i8")
+        for block, counts in held.items():
+            after, before = counts[: BLOCK * wide].reshape(BLOCK, wide), counts[BLOCK * wide : 2 * BLOCK * wide].reshape(BLOCK, wide)
+            here = np.flatnonzero(after.any(1) | before.any(1))
+            for at in range(0, here.size, TRIED):
+                some = here[at : at + TRIED]
+                ids = block * BLOCK + some
+                old = np.where(of[ids] < classes, of[ids].astype(np.int64), -1)
+                new, _ = best_classes(table, after[some, :classes], before[some, :classes], counts[2 * BLOCK * wide + some], old, first)
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(new)], names=["id", "class"])
+
+    counted = corpus.mapInArrow(count, "block int, places binary, numbers binary")
+    return counted.repartition("block").mapInArrow(choose, "id long, class long").toArrow()
+
+
+def likelihood(table: np.ndarray) -> float:
+    """Natural log of the class bigrams' probability, short of what no move changes."""
+    return float(_x_log_x(table).sum() - _x_log_x(table.sum(0)).sum() - _x_log_x(table.sum(1)).sum())
+
+
+def cluster(corpus: DataFrame, words: int, classes: int = CLASSES, seeds: int = SEEDS, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
+    """(class of each id, class bigrams) for ``words`` clustered words; ``corpus`` as of :func:`encoded`."""
+    if not 1 + KINDS < classes < 128:
+        raise ValueError("classes: from 6 to 127")
+    of = np.full(IDS, classes, np.uint8)
+    of[0], of[FIRST_KIND:] = 0, np.arange(1, 1 + KINDS)
+    seeds = min(seeds, words)
+    fixed = {0: 0} | {1 + seeds + i: 1 + i for i in range(KINDS)}
+    of[1 : 1 + seeds] = exchange(seed_bigrams(corpus, seeds), fixed, classes)[1 : 1 + seeds]
+    table = class_bigrams(corpus, of, classes)
+    before = None
+    for turn in range(rounds + 1):
+        chosen = np.zeros(IDS, bool)
+        if turn:  # another half each time: words that would only change places don't move together
+            ids = np.arange(1, 1 + words, dtype=np.uint64)
+            mixed = (ids + np.uint64(turn << 32)) * np.uint64(0x9E3779B97F4A7C15)
+            chosen[1 : 1 + words] = mixed >> np.uint64(63) == 1
+        else:
+            chosen[1 + seeds : 1 + words] = True
+        if chosen.any():
+            found = _moves(corpus, of, table, chosen)
+            of[found["id"].to_numpy()] = found["class"].to_numpy().astype(np.uint8)
+            table = class_bigrams(corpus, of, classes)
+        now = likelihood(table)
+        # a round of a half moves little on its own, so two rounds are compared
+        if turn % 2 == 0:
+            if before is not None and now - before < GAIN * abs(before):
+                break
+            before = now
+    of[of == classes] = 1 + 2
+    return of, table
+
+
 @dataclass
 class Model:
     """What scoring needs, of bounded size."""
 
-    units: dict[bytes, int]
+    counts: dict[bytes, int]
+    #: class of each id
     classes: np.ndarray
     transitions: np.ndarray
     #: log10 of each class's emission denominator
     emitted: np.ndarray
-    heavy: dict[bytes, int]
     end_count: int
     tokens: int
     distinct: int
@@ -188,36 +376,27 @@ class Model:
         return log10(self.tokens + ADDED * (self.distinct + 1))
 
 
-def fit(docs: DataFrame, counts: DataFrame, classes: int = CLASSES) -> Model:
+def fit(docs: DataFrame, counts: DataFrame, classes: int = CLASSES, most: int = VOCABULARY, seeds: int = SEEDS) -> Model:
     """``counts`` as of :func:`word_counts`."""
-    by_ending = F.crc32(F.substring("word", -2, 2)) % ENDINGS
-    sums = counts.groupBy(F.when(F.octet_length("word") > 0, by_ending).otherwise(-1).alias("ending")).agg(F.count("*").alias("v"), F.sum("c").alias("n")).collect()
-    tokens, distinct = sum(r["n"] for r in sums), sum(r["v"] for r in sums)
-    rows = counts.where((F.octet_length("word") > 0) & (F.col("c") >= max(2, -(-tokens // HEAVY_SHARE)))).collect()  # at most HEAVY_SHARE
-    heavy = {bytes(r["word"]): r["c"] for r in rows}
-    frequent = sorted((w for w, c in heavy.items() if c * UNIT_SHARE >= tokens), key=lambda w: (-heavy[w], w))
-    units = Units({w: 1 + i for i, w in enumerate(frequent)})
-    pairs = unit_bigrams(docs, units)
-    of = exchange(pairs, classes)
-    # tokens and distinct words of units, then of classes
-    unit_n, unit_v = np.zeros(units.count), np.zeros(units.count)
-    for r in sums:
-        at = 0 if r["ending"] < 0 else 1 + len(frequent) + r["ending"]
-        unit_n[at], unit_v[at] = r["n"], r["v"]
-    for w, i in units.words.items():
-        unit_n[i], unit_v[i] = heavy[w], 1
-        unit_n[1 + len(frequent) + ending(w)] -= heavy[w]
-        unit_v[1 + len(frequent) + ending(w)] -= 1
-    class_n, class_v = np.bincount(of, unit_n, classes), np.bincount(of, unit_v, classes)
-    return Model(units.words, of, transitions(pairs, of, class_n), np.log10(class_n + ADDED * (class_v + 1)), heavy, int(unit_n[0]), tokens, distinct)
-
-
-def transitions(pairs: np.ndarray, of: np.ndarray, class_n: np.ndarray) -> np.ndarray:
+    known = vocabulary(counts, most)
+    ids = {w: 1 + i for i, w in enumerate(known)}
+    corpus = common.cut_lineage(encoded(docs, ids))
+    of, table = cluster(corpus, len(ids), classes, seeds)
+    class_n, class_v = np.zeros(classes), np.zeros(classes)
+    place = F.when(F.octet_length("word") == 0, 0).otherwise(1 + _kind(F.col("word")))
+    for r in counts.groupBy(place.alias("class")).agg(F.count("*").alias("v"), F.sum("c").alias("n")).collect():  # 5 rows
+        class_n[r["class"]], class_v[r["class"]] = r["n"], r["v"]
+    tokens, distinct, end_count = int(class_n.sum()), int(class_v.sum()), int(class_n[0])
+    for w, c in known.items():
+        for at, sign in ((1 + kind(w), -1), (of[ids[w]], 1)):
+            class_n[at] += sign * c
+            class_v[at] += sign
+    return Model(known, of, transitions(table, class_n), np.log10(class_n + ADDED * (class_v + 1)), end_count, tokens, distinct)
+
+
+def transitions(table: np.ndarray, class_n: np.ndarray) -> np.ndarray:
     """log10 P(class | class before)."""
-    classes = len(class_n)
-    member = np.eye(classes)[of]
-    table = member.T @ pairs @ member
-    share = (class_n + ADDED) / (class_n.sum() + ADDED * classes)
+    share = (class_n + ADDED) / (class_n.sum() + ADDED * len(class_n))
     return np.log10((table + BACKOFF * share) / (table.sum(1, keepdims=True) + BACKOFF))
 
 
@@ -225,39 +404,39 @@ class _Scorer:
     """Scores a step's texts at once."""
 
     def __init__(self, model: Model):
-        self.model, self.units = model, Units(model.units)
+        self.model, self.words = model, Words({w: 1 + i for i, w in enumerate(model.counts)})
 
     def score(self, texts: list[str]) -> tuple[list[np.ndarray], tuple[np.ndarray, list[bytes], np.ndarray]]:
         """Per text: tokens, those with a known count here, the sum of their log10(count + ADDED), and the rest of the
         score; then the words whose counts aren't known here: (text, word, times)."""
-        model, heavy = self.model, self.model.heavy.get
+        model, known = self.model, self.model.counts.get
         words, inverse, firsts = words_of(texts)
-        before, here = neighbours(model.classes[self.units.of(words)][inverse], firsts)
+        before, here = neighbours(model.classes[self.words.of(words)][inverse], firsts)
         begins = firsts[:-1] + np.arange(len(texts))  # a text's end comes after each
         model_part = np.add.reduceat(model.transitions[before, here] - model.emitted[here], begins)
-        counts = np.array([heavy(w, 0) for w in words], np.float64)
+        counts = np.array([known(w, 0) for w in words], np.float64)
         own = counts[inverse]
         text = np.repeat(np.arange(len(texts)), np.diff(firsts))
-        known = np.bincount(text[own > 0], minlength=len(texts))
+        n_known = np.bincount(text[own > 0], minlength=len(texts))
         log_c = np.bincount(text, np.where(own > 0, np.log10(own + ADDED), 0), len(texts)) + log10(model.end_count + ADDED)
         rest = own == 0
         pairs, times = np.unique(text[rest] * max(1, len(words)) + inverse[rest], return_counts=True)
         which = (pairs % max(1, len(words))).tolist()
         tokens = np.diff(firsts) + 1
-        return [tokens, known + (model.end_count > 0), log_c, model_part], (pairs // max(1, len(words)), [words[i] for i in which], times)
+        return [tokens, n_known + (model.end_count > 0), log_c, model_part], (pairs // max(1, len(words)), [words[i] for i in which], times)
 
 
 _ROWS = "row long, word binary, times long, doc_id long, held_out boolean, n_tokens long, n_known long, log_c double, model double"
 
 
-def score(docs: DataFrame, classes: int = CLASSES) -> DataFrame:
-    """Per row of ``docs``: tokens, known tokens, training tokens, base score and the class model's score.
+def score(docs: DataFrame, classes: int = CLASSES, most: int = VOCABULARY, seeds: int = SEEDS) -> DataFrame:
+    """Per row of ``docs``: tokens, known tokens, training tokens, base score, the class model's score and perplexity.
 
     Null texts are empty (just the end token); rows without an id count as training; repeated rows are scored each.
     Without training documents all counts are 0 and every word is unknown.  An empty table gives no rows.
     """
     counts = common.cut_lineage(word_counts(docs))
-    model = fit(docs, counts, classes)
+    model = fit(docs, counts, classes, most, seeds)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -286,4 +465,5 @@ def score(docs: DataFrame, classes: int = CLASSES) -> DataFrame:
         F.sum(F.coalesce("log_c", F.col("times") * F.log10(c + ADDED))).alias("log_c"),
         F.sum("model").alias("model"),
     )
-    return summed.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), (F.col("log_c") - F.col("n_tokens") * model.base).alias("base_score"), (F.col("log_c") + F.col("model")).alias("score"))
+    out = summed.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), (F.col("log_c") - F.col("n_tokens") * model.base).alias("base_score"), (F.col("log_c") + F.col("model")).alias("score"))
+    return out.withColumn("perplexity", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")))

@@ -236,57 +236,6 @@ def test_components_of_a_long_chain(spark):
     assert {r.node: r.root for r in components(edges).collect()} == {**{i: 0 for i in range(200)}, 500: 500, 501: 500}
 
 
-# language model
-
-
-def test_class_ngram(spark):
-    rng = random.Random(9)
-    sides = [[f"a{i}" for i in range(30)], [f"b{i}" for i in range(30)]]
-    texts = [" ".join(rng.choice(sides[(i + k) % 2]) for k in range(rng.randrange(5, 80))) for i in range(300)]
-    texts += [t if t is None else t.replace("　", " ") for t in ODD]
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("word", F.lit(1))
-    tokens = {i: [*WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), t or "")), ""] for i, t in enumerate(texts)}
-    held = {i for i in tokens if zlib.crc32(str(i).encode()) % 10 == 0}
-    counts = collections.Counter(w for i, own in tokens.items() if i not in held for w in own)
-    n, v = sum(counts.values()), len(counts)
-    found = class_ngram.score(docs, classes=6).collect()
-    assert len(found) == len(texts)
-    for r in found:
-        own = tokens[r.doc_id]
-        base = sum(math.log10((counts[w] + 0.1) / (n + 0.1 * (v + 1))) for w in own)
-        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (r.doc_id in held, len(own), sum(counts[w] > 0 for w in own), n)
-        assert r.base_score == pytest.approx(base)
-    plain = [r for r in found if r.held_out and r.doc_id < 300]
-    assert sum(r.score for r in plain) > 0.9 * sum(r.base_score for r in plain) and sum(r.score for r in plain) > sum(r.base_score for r in plain)
-    assert class_ngram.score(docs.limit(0)).count() == 0
-
-
-def test_exchange_gain_is_the_likelihoods():
-    rng = np.random.default_rng(0)
-    pairs = rng.integers(0, 30, (20, 20)).astype(float)
-    pairs[::2, ::2] *= 9
-
-    def likelihood(of, k):
-        member = np.eye(k)[of]
-        table = member.T @ pairs @ member
-        x = lambda a: float((a * np.log(np.maximum(a, 1e-300))).sum())
-        return x(table) - x(table.sum(0)) - x(table.sum(1))
-
-    start, end = class_ngram.exchange(pairs, 5, 0), class_ngram.exchange(pairs, 5, 8)
-    assert likelihood(end, 5) > likelihood(start, 5)
-    for u in range(1, 20):  # a local optimum: no single move is better
-        for c in range(1, 5):
-            other = end.copy()
-            other[u] = c
-            assert likelihood(other, 5) <= likelihood(end, 5) + 1e-6
-
-
-def test_class_model_adds_up_to_one(spark):
-    docs = spark.createDataFrame([(i, "a b c a d e f a b") for i in range(1, 9)], "doc_id long, text string")
-    model = class_ngram.fit(docs, class_ngram.word_counts(docs), classes=4)
-    assert (10.0**model.transitions).sum(1) == pytest.approx(np.ones(4))
-
-
 # pseudonyms
 
 PRIVATE = ["card 4111 1111 1111 1111 x", "4111111111111111.", "ip 192.168.1.10,", "ssn 123-45-6789", "+1 (743) 555-3824 é", "(743) 555-3824", "+44 20 7946 0958", "on 2023-02-28 and 31.12.1999 or 12/31/1999", "GB82 WEST 1234 5698 7654 32", "mail bosbt.42@mail8.example.com", "4111111111111111 64.12.9.1"]
