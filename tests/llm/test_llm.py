@@ -302,36 +302,6 @@ def test_feistel_is_a_permutation(spark):
 # quality
 
 
-def test_base_rules_and_ratio(spark):
-    rng = random.Random(4)
-    prose = [" ".join(rng.choices(["the", "and", "tion", "ereth", "onin", "wh", "shand"], k=60)) + "." for _ in range(60)]
-    texts = [*prose, *["#$ %% ^^ @@ " * 20 for _ in range(6)], *ODD, "a b c d e f g h a b c d e f g h", "x\nx\ny\n\n\nx"]
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("kept", F.lit(1))
-    ratio = quality_rules.Ratio.fit(docs.where("doc_id < 50"), docs)
-    found = {r.doc_id: r for r in quality_rules.score(docs, ratio).collect()}
-    for i, t in enumerate(texts):
-        t = t or ""
-        words = WORD.findall(t)
-        windows = collections.Counter(tuple(words[k : k + 8]) for k in range(len(words) - 7))
-        repeated = len({k + q for k in range(len(words) - 7) if windows[tuple(words[k : k + 8])] > 1 for q in range(8)})
-        lines = [x for x in t.split("\n") if WORD.search(x)]
-        r = found[i]
-        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == (len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines)), repeated)
-        assert r.base_failed == (len(words) < 20 or 100 * repeated > 30 * len(words)) and r.kept == (not r.base_failed and r.llr >= quality_rules.THRESHOLD)
-        grams = quality_rules.hashed([t])[0]
-        assert r.llr == pytest.approx(ratio.values[grams].mean() if len(grams) else 0, abs=1e-6)
-    assert all(found[i].kept for i in range(60) if not found[i].base_failed)
-    assert {r.doc_id for r in quality_rules.keep(docs, ratio).collect()} == {i for i, r in found.items() if r.kept}
-    assert quality_rules.score(docs.limit(0), ratio).count() == 0
-
-
-def test_hashed_grams_of_many_texts_are_those_of_each():
-    texts = ["", "a", "ab", "abc", "é", "", "hello world"]
-    buckets, begins = quality_rules.hashed(texts)
-    for i, t in enumerate(texts):
-        assert buckets[begins[i] : begins[i + 1]].tolist() == quality_rules.hashed([t])[0].tolist()
-
-
 def test_classifier(spark, sf_dir):
     docs, labels = common.table(spark, "/root/testdata/sf0.01", "documents"), common.table(spark, "/root/testdata/sf0.01", "labels")
     model = quality_classifier.fit(docs, labels)
@@ -526,15 +496,15 @@ def test_media_digests(spark):
 def test_stretches_of_long_texts_change_no_result(monkeypatch):
     rng = random.Random(2)
     texts = [" ".join(rng.choices(["thé", "and", "a", "tion", "é字"], k=k)) for k in (0, 1, 2, 3, 50, 400)]
-    plain = [simhash.fingerprint(t) for t in texts], [quality_rules.hashed([t])[0] for t in texts]
-    ratio = quality_rules.Ratio(np.random.default_rng(0).normal(0, 1, quality_rules.BUCKETS))
-    means = [ratio.means([t])[0] for t in texts]
+    ratio = quality_rules.Ratio(np.random.default_rng(0).normal(0, 1, quality_rules.BUCKETS), 0)
+    plain = [simhash.fingerprint(t) for t in texts], [sorted(np.concatenate(list(quality_rules.grams(t)))) for t in texts]
+    means = [ratio.mean(t) for t in texts]
     monkeypatch.setattr(simhash, "STRETCH", 20)
     monkeypatch.setattr(quality_rules, "STRETCH", 20)
     assert [simhash.fingerprint(t) for t in texts] == plain[0] == [brute_fingerprint(t) for t in texts]
     for text, expected, mean in zip(texts, plain[1], means):
-        assert np.concatenate([quality_rules.hashed([p])[0] for p in quality_rules.overlapping(text)]).tolist() == expected.tolist()
-        assert ratio.means([text])[0] == pytest.approx(mean)
+        assert sorted(np.concatenate([[], *quality_rules.grams(text)])) == expected
+        assert ratio.mean(text) == pytest.approx(mean)
 
 
 # pipeline and registry
