@@ -6,12 +6,12 @@ half of RADIUS over its UNCERTAIN bits, those whose sums are nearest to a tie an
 variants a block, 370 a text.  Texts that share a variant of a block are candidates.  Sketches (the whole fingerprints)
 drop those that differ in over FAR bits, and every other link is verified on the whole shingle sets.
 
-Variants meet in one shuffle of 16 bytes each.  What collides is then worked through block by block: members of a
-variant's group are first held against the one with the most links so far, unless they are connected already, and after
-each block connected texts become one.  What is left, pairs of colliding texts that are still apart, is tested too, so the
-components are those of all colliding pairs.  Two bounds spare tests that can't succeed: texts of which over a fifth of
-the shingles are in no other candidate have no link at all, and two texts that are both more than a ninth alone have
-none to each other.
+Variants meet in one shuffle of 16 bytes each.  In a variant's group all members are first held against the one with the
+most links so far, unless they are connected already: once for the first block, which connects most of what belongs
+together, then for all blocks.  What is left, pairs of colliding texts that are still apart, is tested too, once for each
+pair, so the components are those of all colliding pairs.  Two bounds spare tests that can't succeed: texts of which over
+a fifth of the shingles are in no other candidate have no link at all, and two texts that are both more than a ninth
+alone have none to each other.
 """
 
 from __future__ import annotations
@@ -33,7 +33,7 @@ SIMILARITY = (4, 5)
 BLOCKS, BLOCK_BITS = 10, 32
 UNCERTAIN, RADIUS = 8, 4
 #: At the threshold 48 of the 320 bits differ, with a deviation of 6.4.
-FAR = 80
+FAR = 70
 SEED = 42
 #: Shingles whose bits are summed at a time (sums of so many fit a byte), and characters whose words are held at a time.
 SUMMED = 255
@@ -127,7 +127,7 @@ def sets(docs: DataFrame) -> DataFrame:
 
 
 def collisions(classes: DataFrame) -> DataFrame:
-    """(block, key, tag): variants that two or more texts emit; ``classes`` has tag, prints and unsure."""
+    """(key, tag): variants that two or more texts emit; ``classes`` has tag, size, prints and unsure."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -139,8 +139,7 @@ def collisions(classes: DataFrame) -> DataFrame:
 
     emitted = classes.where("size > 0").select("tag", "prints", "unsure").mapInArrow(run, "tag long, keys array<long>").select("tag", F.explode("keys").alias("key"))
     group = Window.partitionBy("key")
-    shared = emitted.select("key", "tag", F.min("tag").over(group).alias("low"), F.max("tag").over(group).alias("high")).where("low < high")
-    return shared.select(F.shiftright("key", BLOCK_BITS).cast("int").alias("block"), "key", "tag")
+    return emitted.select("key", "tag", F.min("tag").over(group).alias("low"), F.max("tag").over(group).alias("high")).where("low < high").select("key", "tag")
 
 
 def _far(x: str, y: str) -> Column:
@@ -158,37 +157,48 @@ def _verified(pairs: DataFrame, held: DataFrame) -> DataFrame:
     return met.where((p + q) * F.size(F.array_intersect("ha", "hb")) >= p * (F.size("ha") + F.size("hb"))).select("a", "b")
 
 
-def _placed(rows: DataFrame, shapes: DataFrame, roots: DataFrame | None) -> DataFrame:
-    """``rows`` of (key, tag) with the tag's shape as a struct and its root."""
-    out = rows.join(shapes, "tag")
-    return out.withColumn("root", F.col("tag")) if roots is None else out.join(roots, "tag", "left").withColumn("root", F.coalesce("root", "tag"))
+def _apart(met: DataFrame, found: DataFrame | None, roots: DataFrame | None) -> DataFrame:
+    """``met`` without the groups that ``found`` links connect as a whole; with each text's root, the group's size ``n``
+    and its ``centre``, the member of the most links."""
+    if found is None:
+        placed = met.withColumn("root", F.col("tag")).withColumn("links", F.lit(0).cast("long"))
+    else:
+        links = found.select(F.explode(F.array("a", "b")).alias("tag")).groupBy("tag").agg(F.count(F.lit(1)).alias("links"))
+        known = roots.join(links, "tag")
+        placed = met.join(known, "tag", "left").withColumn("root", F.coalesce("root", "tag")).withColumn("links", F.coalesce("links", F.lit(0)))
+    group = Window.partitionBy("key")
+    wide = placed.select("*", F.min("root").over(group).alias("least"), F.max("root").over(group).alias("most"), F.count(F.lit(1)).over(group).alias("n"), F.max(F.struct("links", "tag", "root")).over(group).alias("centre"))
+    return wide.where("least < most").drop("least", "most")
 
 
-def _apart(placed: DataFrame) -> DataFrame:
-    """Rows of the groups that aren't connected as a whole."""
-    group = Window.partitionBy("key")
-    return placed.withColumn("least", F.min("root").over(group)).withColumn("most", F.max("root").over(group)).where("least < most").drop("least", "most")
+def _near(pairs: DataFrame, shapes: DataFrame) -> DataFrame:
+    """The distinct pairs (a, b) that sizes and sketches allow."""
+    x, y = (shapes.select(F.col("tag").alias(c), F.col("shape").alias(s)) for c, s in (("a", "x"), ("b", "y")))
+    return pairs.distinct().join(x, "a").join(y, "b").where(~_far("x", "y")).select("a", "b")
 
 
-def _stars(placed: DataFrame) -> DataFrame:
-    """(a, b): each member of a group and the member with the most links so far, where they aren't connected yet."""
-    centre = F.max(F.struct("links", "tag", "root", "shape")).over(Window.partitionBy("key"))
-    found = _apart(placed).withColumn("centre", centre).where("root <> centre.root").select("tag", F.col("centre.tag").alias("other"), F.col("shape").alias("x"), F.col("centre.shape").alias("y"))
-    return found.where(~_far("x", "y")).select(F.greatest("tag", "other").alias("a"), F.least("tag", "other").alias("b")).distinct()
+def _stars(apart: DataFrame) -> DataFrame:
+    """(a, b): each member of a group and its centre, where they aren't connected yet."""
+    return apart.where("root <> centre.root").select(F.greatest("tag", "centre.tag").alias("a"), F.least("tag", "centre.tag").alias("b"))
 
 
-def _across(placed: DataFrame) -> DataFrame:
+def _across(apart: DataFrame, shapes: DataFrame) -> DataFrame:
     """(a, b): members of a group that aren't connected and that may be similar; ``shape`` has ``own``, the number of
-    the text's shingles that no other text has."""
+    the text's shingles that no other text has.
+
+    Groups whose centres are connected are taken as one, so that a pair that meets in many groups is one row.  In groups
+    of two, the star has been the only pair.
+    """
     p, q = SIMILARITY
-    x = _apart(placed).select("key", F.col("tag").alias("a"), F.col("root").alias("ra"), F.col("shape").alias("x"))
-    y = x.select("key", F.col("a").alias("b"), F.col("ra").alias("rb"), F.col("x").alias("y"))
+    members = apart.where("n > 2").select(F.col("centre.root").alias("group"), "tag", "root").distinct().join(shapes, "tag")
+    x = members.select("group", F.col("tag").alias("a"), F.col("root").alias("ra"), F.col("shape").alias("x"))
+    y = members.select("group", F.col("tag").alias("b"), F.col("root").alias("rb"), F.col("shape").alias("y"))
     shared = F.least(F.col("x.size") - F.col("x.own"), F.col("y.size") - F.col("y.own"))  # at most
     able = (p + q) * shared >= p * (F.col("x.size") + F.col("y.size"))
     # one of two similar texts is at most (q - p) / (p + q) alone; it stands right, and where both are, the lesser does
     light = lambda s: (p + q) * F.col(f"{s}.own") <= (q - p) * F.col(f"{s}.size")
     order = ~light("x") | (F.col("a") > F.col("b"))
-    pairs = x.join(y.where(light("y")), "key").where((F.col("ra") != F.col("rb")) & (F.col("a") != F.col("b")) & order & able & ~_far("x", "y"))
+    pairs = x.join(y.where(light("y")), "group").where((F.col("ra") != F.col("rb")) & (F.col("a") != F.col("b")) & order & able & ~_far("x", "y"))
     return pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
@@ -220,10 +230,9 @@ def links(docs: DataFrame, classes: DataFrame) -> DataFrame:
     shapes = classes.select("tag", F.struct("size", "prints").alias("shape"))
     # texts are read again only where a candidate is near by its sketch, or more than two texts meet
     group = Window.partitionBy("key")
-    pool = met.withColumn("low", F.min("tag").over(group)).withColumn("high", F.max("tag").over(group)).withColumn("n", F.count(F.lit(1)).over(group))
-    two = pool.where("n = 2 AND tag = low").select("low", "high").distinct()
-    near = two.join(shapes.select(F.col("tag").alias("low"), F.col("shape").alias("x")), "low").join(shapes.select(F.col("tag").alias("high"), F.col("shape").alias("y")), "high").where(~_far("x", "y"))
-    wanted = near.select(F.explode(F.array("low", "high")).alias("tag")).unionByName(pool.where("n > 2").select("tag")).distinct()
+    pool = met.select("tag", F.min("tag").over(group).alias("low"), F.max("tag").over(group).alias("high"), F.count(F.lit(1)).over(group).alias("n"))
+    near = _near(pool.where("n = 2 AND tag = low").select(F.col("high").alias("a"), F.col("low").alias("b")), shapes)
+    wanted = near.select(F.explode(F.array("a", "b")).alias("tag")).unionByName(pool.where("n > 2").select("tag")).distinct()
     ids = classes.join(wanted, "tag", "left_semi").select("tag", "node", "least_id")
     texts = docs.join(ids.select(F.col("least_id").alias("doc_id")).distinct(), "doc_id", "left_semi")
     held = common.cut_lineage(ids.join(sets(texts).dropDuplicates(["node"]), "node").select("tag", "hashes"))
@@ -232,25 +241,12 @@ def links(docs: DataFrame, classes: DataFrame) -> DataFrame:
     held = held.join(may.select("tag"), "tag", "left_semi")
     shapes = common.cut_lineage(classes.join(may.select("tag", "own"), "tag").select("tag", F.struct("size", "prints", "own").alias("shape")))
 
-    found, roots = None, None
-    for block in range(BLOCKS):
-        own = _placed(met.where(F.col("block") == block), shapes, roots)
-        if found is not None:
-            degrees = found.select(F.explode(F.array("a", "b")).alias("tag")).groupBy("tag").agg(F.count(F.lit(1)).alias("links"))
-            own = own.join(degrees, "tag", "left").withColumn("links", F.coalesce("links", F.lit(0)))
-        else:
-            own = own.withColumn("links", F.lit(0).cast("long"))
-        new = common.cut_lineage(_verified(_stars(own), held))
-        if new.isEmpty():
-            continue
-        found = new if found is None else common.cut_lineage(found.unionByName(new))
+    found = roots = None
+    for some in (met.where(F.col("key") < 1 << BLOCK_BITS), met):
+        new = _verified(_near(_stars(_apart(some, found, roots)), shapes), held)
+        found = common.cut_lineage(new if found is None else found.unionByName(new))
         roots = common.cut_lineage(_roots(found))
-    rest = None
-    for block in range(BLOCKS):
-        pairs = _across(_placed(met.where(F.col("block") == block), shapes, roots))
-        rest = pairs if rest is None else rest.unionByName(pairs)
-    more = common.cut_lineage(_verified(rest.distinct(), held))
-    return more if found is None else found.unionByName(more)
+    return found.unionByName(_verified(_across(_apart(met, found, roots), shapes), held))
 
 
 def _roots(found: DataFrame) -> DataFrame:
