@@ -2,11 +2,37 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factgraph.functions import columns as C
 from factgraph.operators import relops
+from factgraph.operators.shared import cut_lineage
+
+
+def numbered(rows: DataFrame, keys: Sequence[str], order: Sequence[str | Column], name: str) -> DataFrame:
+    """``rows`` with ``name``: their place from 0 within the keys, by ``order`` (ties in any order).
+
+    Rows are dealt by ranges of (keys, order), numbered within a range, and shifted by what the ranges before hold of
+    the same keys; so one large project isn't one task.
+    """
+    part, at, n, before = "__part", "__at", "__n", "__before"
+    sorts = [F.col(o) if isinstance(o, str) else o for o in order]
+    places = [f"__o{i}" for i in range(len(sorts))]
+    held = rows.withColumns(dict(zip(places, sorts)))
+    ranges = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = cut_lineage(held.repartitionByRange(ranges, *keys, *places).withColumn(part, F.spark_partition_id()))
+    inside = dealt.withColumn(at, F.row_number().over(Window.partitionBy(part, *keys).orderBy(*places)))
+    sizes = dealt.groupBy(part, *keys).agg(F.count(F.lit(1)).alias(n))  # a row for each key, and for each range
+    shift = F.coalesce(F.sum(n).over(Window.partitionBy(*keys).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    shifts = sizes.withColumn(before, shift).drop(n)
+    same = F.col(f"a.{part}") == F.col(f"b.{part}")
+    for k in keys:
+        same &= F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}"))
+    met = inside.alias("a").join(shifts.alias("b"), same)
+    return met.select(*[F.col(f"a.{c}") for c in rows.columns], (F.col(at) + F.col(before) - 1).cast("long").alias(name))
 
 
 def nodes(files: DataFrame, resolved: DataFrame) -> DataFrame:
@@ -14,15 +40,14 @@ def nodes(files: DataFrame, resolved: DataFrame) -> DataFrame:
 
     A file is met as itself, in path order, or before that as a target of an earlier file's import.
     """
-    place = F.row_number().over(Window.partitionBy("project_id").orderBy(C.path_key(F.col("path"))))
-    own = files.select("project_id", "path").withColumn("file", place)
+    own = numbered(files.select("project_id", "path"), ["project_id"], [C.path_key(F.col("path"))], "file")
     met = own.select("project_id", F.col("path").alias("label"), F.lit("file").alias("kind"), F.struct(F.col("file"), F.lit(-1).alias("ord"), F.lit(0).alias("target")).alias("at"))
     at = lambda target: F.struct(F.col("file"), F.col("ord"), target.alias("target"))
     reached = resolved.join(own, ["project_id", "path"])
     inner = reached.where("resolution = 'project'").select("project_id", "file", "ord", F.posexplode("targets").alias("t", "label")).select("project_id", "label", F.lit("file").alias("kind"), at(F.col("t")).alias("at"))
     outer = reached.where("resolution = 'external' AND language <> 'python'").select("project_id", F.col("specifier").alias("label"), F.lit("package").alias("kind"), at(F.lit(0)).alias("at"))
     first = met.unionByName(inner).unionByName(outer).groupBy("project_id", "label", "kind").agg(F.min("at").alias("at"))
-    return first.select("project_id", "label", "kind", (F.row_number().over(Window.partitionBy("project_id").orderBy("at", "label")) - 1).alias("node_id"))
+    return numbered(first, ["project_id"], ["at", "label"], "node_id").drop("at")
 
 
 def roots(nodes: DataFrame, edges: DataFrame, kind: str = "imports") -> DataFrame:

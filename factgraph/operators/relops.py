@@ -92,6 +92,14 @@ def strong_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> D
     return found
 
 
+def condensed(edges: DataFrame, groups: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
+    """(src, dst) between components: each node of ``groups`` (node, component) stands for its component; no circles."""
+    a, b = (groups.select(F.col("node").alias(f"__{x}"), F.col("component").alias(f"__{x}c")) for x in "ab")
+    met = edges.join(a, F.col(src) == F.col("__a"), "left").join(b, F.col(dst) == F.col("__b"), "left")
+    out = met.select(F.coalesce("__ac", F.col(src)).alias("src"), F.coalesce("__bc", F.col(dst)).alias("dst"))
+    return out.where("src <> dst").distinct()
+
+
 def topological_levels(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     """(node, level): the longest path from a node without an edge in; raises ValueError on a cycle."""
     left = cut_lineage(edges.select(F.col(src).alias("s"), F.col(dst).alias("d")).distinct())
@@ -149,16 +157,17 @@ def deductions(findings: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     return findings.groupBy(*keys, "category", "rule_id").agg(F.sum(weight(F.col("severity"), F.col("confidence"))).cast("long").alias("tenths"), F.count("*").alias("findings"))
 
 
-def category_scores(findings: DataFrame) -> DataFrame:
-    """(category, score): 100 less the points, at least 0; monitored categories always, others where they have findings."""
-    spark = findings.sparkSession
-    monitored = spark.createDataFrame([(c,) for c in fixed.MONITORED], "category string")
-    points = deductions(findings).groupBy("category").agg(F.sum("tenths").alias("tenths"))
-    every = monitored.join(points, "category", "full_outer")
-    left = F.greatest(F.lit(0), F.lit(1000) - F.coalesce("tenths", F.lit(0)))
-    return every.select("category", F.floor((left + 5) / 10).cast("int").alias("score"), F.coalesce("tenths", F.lit(0)).cast("long").alias("tenths"))
+def category_scores(findings: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """(keys, category, score, tenths): 100 less the points, at least 0; monitored categories always, others where they
+    have findings.  Without ``keys`` all findings are one project's, which may have none."""
+    points = deductions(findings, keys).groupBy(*keys, "category").agg(F.sum("tenths").alias("tenths"))
+    projects = findings.select(*keys).distinct() if keys else findings.sparkSession.range(1).select()
+    monitored = projects.withColumn("category", F.explode(F.array(*map(F.lit, fixed.MONITORED)))).withColumn("tenths", F.lit(0).cast("long"))
+    every = monitored.unionByName(points).groupBy(*keys, "category").agg(F.sum("tenths").alias("tenths"))
+    left = F.greatest(F.lit(0), F.lit(1000) - F.col("tenths"))
+    return every.select(*keys, "category", F.floor((left + 5) / 10).cast("int").alias("score"), "tenths")
 
 
-def overall(scores: DataFrame) -> DataFrame:
-    """One row: the categories' mean, rounded half up."""
-    return scores.agg(F.floor((F.sum("score") * 2 + F.count("*")) / (F.count("*") * 2)).cast("int").alias("overall"))
+def overall(scores: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """(keys, overall, tenths): the categories' mean, rounded half up."""
+    return scores.groupBy(*keys).agg(F.floor((F.sum("score") * 2 + F.count("*")) / (F.count("*") * 2)).cast("int").alias("overall"), F.sum("tenths").alias("tenths"))

@@ -55,9 +55,26 @@ def apply_config(findings: DataFrame, config: Config) -> DataFrame:
     return out.where(~C.any_of(F.col("path").startswith(e.rstrip("/") + "/") | (F.col("path") == e) for e in config.exclude)) if config.exclude else out
 
 
+def _order() -> list[Column]:
+    return [C.path_key(F.col("path")), F.col("start"), F.col("rule_id"), F.col("message")]
+
+
 def ordered(findings: DataFrame) -> DataFrame:
     """By project, path (part by part), place, rule and message."""
-    return findings.orderBy("project_id", C.path_key(F.col("path")), "start", "rule_id", "message")
+    return findings.orderBy("project_id", *_order())
+
+
+def places(findings: DataFrame) -> DataFrame:
+    """Each finding's ``place`` in its project's report, from 1."""
+    from factgraph.operators import graph
+
+    return graph.numbered(findings, ["project_id"], _order(), "place").withColumn("place", F.col("place") + 1)
+
+
+def gate(findings: DataFrame, severity: str) -> DataFrame:
+    """One row: whether any finding reaches ``severity`` (``fails``), and the rank of the worst (null without any)."""
+    place = C.rank(F.col("severity"), fixed.SEVERITIES)
+    return findings.agg(F.coalesce(F.bool_or(place >= fixed.SEVERITIES.index(severity)), F.lit(False)).alias("fails"), F.max(place).alias("worst"))
 
 
 def summary(findings: DataFrame) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from factgraph.functions import columns as C
 from factgraph.functions import fixed
+from factgraph.operators import graph as G
 from factgraph.operators import relops as R
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -139,16 +140,23 @@ def star_usage(spark, sf_dir):
     return _t(spark, sf_dir, "part").join(use, F.col("p_partkey") == F.col("l_partkey")).where(~F.col("star") & ~F.array_contains("used", "FA")).select("p_partkey", "bindings")
 
 
-# graphs: parts of an order that follow each other, among a subset that keeps the graph sparse
+# graphs: each part leads to the parts that follow it most often within orders; over all line items
 
-_EDGES = """e AS (SELECT DISTINCT a AS src, b AS dst FROM (
-  SELECT l_partkey AS b, lag(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS a FROM lineitem WHERE l_quantity >= 44) WHERE a IS NOT NULL AND a <> b AND a % 4 = 0 AND b % 4 = 0)"""
+_FOLLOW = """o AS (SELECT src, dst, (row_number() OVER (PARTITION BY src ORDER BY n DESC, dst))::INT AS ord FROM (SELECT a AS src, b AS dst, count(*) AS n FROM (
+  SELECT l_partkey AS b, lag(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS a FROM lineitem) WHERE a <> b GROUP BY 1, 2))"""
+_EDGES = f"{_FOLLOW}, e AS (SELECT src, dst FROM o WHERE ord = 1)"
 
 
-def _edges(spark, sf_dir):
+def _follow(spark, sf_dir):
+    """(src, dst, n): how often a part comes next after another in an order."""
     at = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
-    follow = _t(spark, sf_dir, "lineitem").where("l_quantity >= 44").select(F.col("l_partkey").alias("dst"), F.lag("l_partkey").over(at).alias("src"))
-    return follow.where("src IS NOT NULL AND src <> dst AND src % 4 = 0 AND dst % 4 = 0").select("src", "dst").distinct()
+    follow = _t(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("dst"), F.lag("l_partkey").over(at).alias("src"))
+    return follow.where("src <> dst").groupBy("src", "dst").agg(F.count("*").alias("n"))
+
+
+def _edges(spark, sf_dir):
+    """Each part's most frequent successor, the smallest of equal ones."""
+    return R.first_match(_follow(spark, sf_dir).withColumn("fewer", -F.col("n")), ["src"], ["fewer", "dst"], "dst", "dst")
 
 
 @query(f"WITH {_EDGES} SELECT src, dst FROM e")
@@ -158,24 +166,22 @@ def part_edges(spark, sf_dir):
 
 @query(f"WITH {_EDGES}, n AS (SELECT src AS node FROM e UNION SELECT dst FROM e) SELECT node, row_number() OVER (ORDER BY node) - 1 AS id FROM n")
 def part_nodes(spark, sf_dir):
-    """Dense node ids: ranks within ranges, then the ranges' offsets; no single-task window."""
+    """Dense node ids."""
     edges = _edges(spark, sf_dir)
     nodes = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    spread = R.cut_lineage(nodes.repartitionByRange(n, "node").sortWithinPartitions("node").withColumn("part", F.spark_partition_id()))
-    sizes = dict(spread.groupBy("part").count().collect())  # a row for each partition
-    offsets, total = [], 0
-    for p in range(n):
-        offsets.append(total)
-        total += sizes.get(p, 0)
-    inside = F.row_number().over(Window.partitionBy("part").orderBy("node"))
-    return spread.select("node", (F.array(*map(F.lit, offsets))[F.col("part")] + inside - 1).cast("long").alias("id"))
+    return G.numbered(nodes, [], ["node"], "id")
+
+
+def _graph(spark, sf_dir):
+    """The edges as the file graph's tables: nodes and edges of one project."""
+    edges = _edges(spark, sf_dir).select(F.lit("p").alias("project_id"), "src", "dst", F.lit("imports").alias("kind"))
+    nodes = edges.select("project_id", F.col("src").alias("label")).union(edges.select("project_id", "dst")).distinct()
+    return nodes.withColumn("kind", F.lit("file")), edges
 
 
 @query(f"WITH {_EDGES} SELECT DISTINCT src AS node FROM e WHERE NOT EXISTS (SELECT 1 FROM e f WHERE f.dst = e.src)")
 def part_roots(spark, sf_dir):
-    edges = _edges(spark, sf_dir)
-    return R.difference(edges.select(F.col("src").alias("node")).distinct(), edges.select(F.col("dst").alias("node")), ["node"])
+    return G.roots(*_graph(spark, sf_dir)).select(F.col("label").alias("node"))
 
 
 @query(f"WITH RECURSIVE {_EDGES}, c AS (SELECT src AS start, dst AS node FROM e UNION SELECT c.start, e.dst FROM c JOIN e ON c.node = e.src) SELECT start, node FROM c")
@@ -192,29 +198,43 @@ def part_dependents(spark, sf_dir):
     return back.where("start <> node").groupBy(F.col("start").alias("target")).agg(F.count("*").alias("dependents"))
 
 
-@query(f"""WITH RECURSIVE {_EDGES}, c AS (SELECT src AS start, dst AS node FROM e UNION SELECT c.start, e.dst FROM c JOIN e ON c.node = e.src)
-SELECT a.start AS node, least(a.start, min(a.node)) AS component FROM c a JOIN c b ON a.start = b.node AND a.node = b.start WHERE a.start <> a.node GROUP BY a.start""")
+@query(f"WITH RECURSIVE {_EDGES}, t AS (SELECT min(src) AS target FROM e WHERE dst IN (SELECT src FROM e)), c AS (SELECT src AS node FROM e JOIN t ON e.dst = t.target UNION SELECT e.src FROM c JOIN e ON c.node = e.dst) SELECT node FROM c JOIN t ON c.node <> t.target")
+def part_impact(spark, sf_dir):
+    """What reaches one node."""
+    _, edges = _graph(spark, sf_dir)
+    inner = edges.join(edges.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi")
+    target = inner.agg(F.min("src").alias("t")).first()["t"]
+    return G.dependents(edges, "p", target).select(F.col("label").alias("node"))
+
+
+_SCC = """c AS (SELECT src AS start, dst AS node FROM e UNION SELECT c.start, e.dst FROM c JOIN e ON c.node = e.src),
+g AS (SELECT a.start AS node, least(a.start, min(a.node)) AS component FROM c a JOIN c b ON a.start = b.node AND a.node = b.start WHERE a.start <> a.node GROUP BY a.start)"""
+
+
+@query(f"WITH RECURSIVE {_EDGES}, {_SCC} SELECT node, component FROM g")
 def part_scc(spark, sf_dir):
     return R.strong_components(_edges(spark, sf_dir))
 
 
-@query(f"""WITH RECURSIVE {_EDGES}, f AS (SELECT * FROM e WHERE src < dst), p AS (SELECT DISTINCT src AS node, 0 AS level FROM f UNION SELECT f.dst, p.level + 1 FROM p JOIN f ON p.node = f.src)
+@query(f"""WITH RECURSIVE {_EDGES}, {_SCC}, f AS (SELECT DISTINCT coalesce(x.component, src) AS src, coalesce(y.component, dst) AS dst FROM e LEFT JOIN g x ON x.node = src LEFT JOIN g y ON y.node = dst WHERE coalesce(x.component, src) <> coalesce(y.component, dst)),
+p AS (SELECT DISTINCT src AS node, 0 AS level FROM f UNION SELECT f.dst, p.level + 1 FROM p JOIN f ON p.node = f.src)
 SELECT node, max(level)::INT AS level FROM p GROUP BY node""")
 def part_topo_level(spark, sf_dir):
-    return R.topological_levels(_edges(spark, sf_dir).where("src < dst"))
+    """Levels of the graph with each circle as one node."""
+    edges = _edges(spark, sf_dir)
+    return R.topological_levels(R.condensed(edges, R.strong_components(edges)))
 
 
-@query(f"""WITH RECURSIVE {_EDGES}, o AS (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY dst DESC) AS ord FROM e),
-s AS (SELECT DISTINCT src AS start FROM e WHERE src % 8 = 0),
+@query(f"""WITH RECURSIVE {_FOLLOW}, e AS (SELECT * FROM o WHERE ord <= 2), m AS (SELECT p_partkey FROM part WHERE p_size <= 30), s AS (SELECT DISTINCT src AS start FROM e),
 w AS (SELECT start, start AS node, 0 AS depth, []::INT[] AS orders, [start] AS chain FROM s
-  UNION ALL SELECT w.start, o.dst, w.depth + 1, list_append(w.orders, o.ord::INT), list_append(w.chain, o.dst) FROM w JOIN o ON w.node = o.src WHERE NOT list_contains(w.chain, o.dst) AND w.node % 12 <> 0 AND w.depth < 40)
-SELECT start, node AS hit, depth::INT AS depth, array_to_string(chain, '>') AS chain FROM (SELECT *, row_number() OVER (PARTITION BY start ORDER BY depth, orders) AS rn FROM w WHERE node % 12 = 0) WHERE rn = 1""")
+  UNION ALL SELECT w.start, e.dst, w.depth + 1, list_append(w.orders, e.ord), list_append(w.chain, e.dst) FROM w JOIN e ON w.node = e.src WHERE NOT list_contains(w.chain, e.dst) AND w.node NOT IN (SELECT p_partkey FROM m))
+SELECT start, node AS hit, depth::INT AS depth, array_to_string(chain, '>') AS chain FROM (SELECT *, row_number() OVER (PARTITION BY start ORDER BY depth, orders) AS rn FROM w WHERE node IN (SELECT p_partkey FROM m)) WHERE rn = 1""")
 def bfs_chain(spark, sf_dir):
-    """From each start the first marked node of a breadth-first search, and the way there."""
-    edges = _edges(spark, sf_dir)
-    ordered = edges.withColumn("ord", F.row_number().over(Window.partitionBy("src").orderBy(F.desc("dst"))))
-    marked = edges.select(F.col("src").alias("node")).union(edges.select("dst")).where("node % 12 = 0")
-    found = R.first_chain(ordered, edges.select(F.col("src").alias("start")).where("start % 8 = 0").distinct(), marked)
+    """From each part, over its two most frequent successors, the first small part of a breadth-first search and the way there."""
+    best = _follow(spark, sf_dir).groupBy("src").agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("fewer"), "dst"))), 1, 2).alias("two"))
+    edges = best.select("src", F.posexplode("two").alias("at", "e")).select("src", F.col("e.dst").alias("dst"), (F.col("at") + 1).alias("ord"))
+    marked = _t(spark, sf_dir, "part").where("p_size <= 30").select(F.col("p_partkey").alias("node"))
+    found = R.first_chain(edges, edges.select(F.col("src").alias("start")).distinct(), marked)
     return found.select("start", "hit", "depth", F.array_join(F.transform("chain", lambda x: x.cast("string")), ">").alias("chain"))
 
 
@@ -254,13 +274,13 @@ def alias_theta(spark, sf_dir):
 
 @query("""
 WITH g(signal, package, marker) AS (VALUES ('buyer', 'purchase', 'signup'), ('broken', 'error', NULL), ('browser', 'view', 'click')),
-u AS (SELECT user_id, event_type FROM events WHERE event_id % 97 = 0 GROUP BY 1, 2),
+u AS (SELECT DISTINCT user_id, event_type FROM events WHERE value > 140),
 h AS (SELECT user_id, signal, bool_or(event_type = package) AS dep, bool_or(coalesce(event_type = marker, false)) AS mark FROM u JOIN g ON event_type = package OR event_type = marker GROUP BY 1, 2)
 SELECT user_id, signal, CASE WHEN dep AND mark THEN 'certain' WHEN dep THEN 'likely' ELSE 'possible' END AS confidence FROM h""")
 def signal_detect(spark, sf_dir):
-    """Framework detection: packages and markers, and how sure they make. The modulus thins events so that cases differ."""
+    """Detection from packages and markers, and how sure they make: events of a high value are what a user "has"."""
     signals = spark.createDataFrame([("buyer", "purchase", True), ("buyer", "signup", False), ("broken", "error", True), ("browser", "view", True), ("browser", "click", False)], "signal string, event_type string, package boolean")
-    used = _t(spark, sf_dir, "events").where("event_id % 97 = 0").select("user_id", "event_type").distinct()
+    used = _t(spark, sf_dir, "events").where("value > 140").select("user_id", "event_type").distinct()
     hits = used.join(F.broadcast(signals), "event_type").groupBy("user_id", "signal").agg(F.bool_or("package").alias("dep"), F.bool_or(~F.col("package")).alias("mark"))
     return hits.select("user_id", "signal", F.when(F.col("dep") & F.col("mark"), "certain").when(F.col("dep"), "likely").otherwise("possible").alias("confidence"))
 
@@ -278,12 +298,15 @@ def segment_kinds(spark, sf_dir):
 
 
 @query("""
-WITH n AS (SELECT CASE WHEN role = 'user' THEN 'use' || upper(substr(text, 1, 1)) || substr(text, 2, 3) ELSE substr(text, 1, 4) END AS name, turn % 2 = 1 AS jsx FROM conversations)
+WITH w AS (SELECT role, turn, unnest(regexp_extract_all(text, '[A-Za-z0-9]+')) AS word FROM conversations),
+n AS (SELECT CASE WHEN role = 'user' THEN 'use' || upper(substr(word, 1, 1)) || substr(word, 2) ELSE word END AS name, turn % 2 = 1 AS jsx FROM w)
 SELECT name, jsx, CASE WHEN regexp_matches(name, '^use[A-Z0-9]') THEN 'hook' WHEN jsx AND (regexp_matches(name, '^[A-Z]') OR name = 'default') THEN 'component' ELSE 'none' END AS react_role, count(*) AS n FROM n GROUP BY 1, 2, 3""")
 def role_classify(spark, sf_dir):
-    name = F.when(F.col("role") == "user", F.concat(F.lit("use"), F.upper(F.substring("text", 1, 1)), F.substring("text", 2, 3))).otherwise(F.substring("text", 1, 4))
-    rows = _t(spark, sf_dir, "conversations").select(name.alias("name"), (F.col("turn") % 2 == 1).alias("jsx"))
-    return rows.groupBy("name", "jsx").agg(F.count("*").alias("n")).select("name", "jsx", F.coalesce(C.react_role(F.col("name"), F.col("jsx")), F.lit("none")).alias("react_role"), "n")
+    """Every word of the conversations as a function's name."""
+    words = _t(spark, sf_dir, "conversations").select("role", "turn", F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z0-9]+"), F.lit(0))).alias("word"))
+    name = F.when(F.col("role") == "user", F.concat(F.lit("use"), F.upper(F.substring("word", 1, 1)), F.expr("substring(word, 2)"))).otherwise(F.col("word"))
+    rows = words.select(name.alias("name"), (F.col("turn") % 2 == 1).alias("jsx")).groupBy("name", "jsx").agg(F.count("*").alias("n"))
+    return rows.select("name", "jsx", F.coalesce(C.react_role(F.col("name"), F.col("jsx")), F.lit("none")).alias("react_role"), "n")
 
 
 # findings: events as diagnostics
@@ -291,17 +314,17 @@ def role_classify(spark, sf_dir):
 _FINDINGS = """f AS (SELECT event_id, user_id, ts, 'r/' || event_type AS rule_id,
   CASE event_type WHEN 'error' THEN 'security' WHEN 'click' THEN 'imports' WHEN 'view' THEN 'performance' WHEN 'signup' THEN 'react' ELSE 'dependencies' END AS category,
   CASE WHEN value > 80 THEN 'critical' WHEN value > 60 THEN 'high' WHEN value > 40 THEN 'medium' WHEN value > 20 THEN 'low' ELSE 'info' END AS severity,
-  CASE user_id % 4 WHEN 0 THEN 'certain' WHEN 1 THEN 'likely' WHEN 2 THEN 'possible' ELSE 'unknown' END AS confidence FROM events WHERE user_id % 50 = 3)"""
+  CASE user_id % 4 WHEN 0 THEN 'certain' WHEN 1 THEN 'likely' WHEN 2 THEN 'possible' ELSE 'unknown' END AS confidence FROM events)"""
 _POINTS = "CASE severity WHEN 'critical' THEN 25 WHEN 'high' THEN 15 WHEN 'medium' THEN 8 WHEN 'low' THEN 3 ELSE 1 END * CASE confidence WHEN 'certain' THEN 10 WHEN 'likely' THEN 7 WHEN 'possible' THEN 4 ELSE 2 END"
 
 
 def _findings(spark, sf_dir):
-    """Events of some users as diagnostics, so that scores aren't all 0."""
+    """Events as diagnostics; a user is a project."""
     e, v, u = F.col("event_type"), F.col("value"), F.col("user_id") % 4
     category = F.when(e == "error", "security").when(e == "click", "imports").when(e == "view", "performance").when(e == "signup", "react").otherwise("dependencies")
     severity = F.when(v > 80, "critical").when(v > 60, "high").when(v > 40, "medium").when(v > 20, "low").otherwise("info")
     confidence = F.when(u == 0, "certain").when(u == 1, "likely").when(u == 2, "possible").otherwise("unknown")
-    return _t(spark, sf_dir, "events").where("user_id % 50 = 3").select("event_id", "user_id", "ts", F.concat(F.lit("r/"), e).alias("rule_id"), category.alias("category"), severity.alias("severity"), confidence.alias("confidence"))
+    return _t(spark, sf_dir, "events").select("event_id", "user_id", "ts", F.concat(F.lit("r/"), e).alias("rule_id"), category.alias("category"), severity.alias("severity"), confidence.alias("confidence"))
 
 
 @query(f"""WITH {_FINDINGS} SELECT event_id, rule_id, severity, confidence FROM f
@@ -313,83 +336,99 @@ def finding_filter(spark, sf_dir):
     return apply_config(_findings(spark, sf_dir), config).select("event_id", "rule_id", "severity", "confidence")
 
 
-_SCORES = f"""{_FINDINGS}, m(category) AS (VALUES {', '.join(f"('{c}')" for c in fixed.MONITORED)}), p AS (SELECT category, sum({_POINTS})::BIGINT AS t FROM f GROUP BY 1),
-s AS (SELECT coalesce(m.category, p.category) AS category, coalesce(t, 0) AS tenths FROM m FULL JOIN p ON m.category = p.category),
-c AS (SELECT category, ((greatest(0, 1000 - tenths) + 5) // 10)::INT AS score, tenths FROM s)"""
+_SCORES = f"""{_FINDINGS}, m AS (SELECT user_id, unnest([{_list(fixed.MONITORED)}]) AS category FROM (SELECT DISTINCT user_id FROM f)), p AS (SELECT user_id, category, sum({_POINTS})::BIGINT AS t FROM f GROUP BY 1, 2),
+s AS (SELECT coalesce(m.user_id, p.user_id) AS user_id, coalesce(m.category, p.category) AS category, coalesce(t, 0) AS tenths FROM m FULL JOIN p ON m.user_id = p.user_id AND m.category = p.category),
+c AS (SELECT user_id, category, ((greatest(0, 1000 - tenths) + 5) // 10)::INT AS score, tenths FROM s)"""
 
 
-@query(f"WITH {_SCORES} SELECT category, score, tenths FROM c UNION ALL SELECT 'overall', ((sum(score) * 2 + count(*)) // (count(*) * 2))::INT, sum(tenths)::BIGINT FROM c")
+@query(f"WITH {_SCORES} SELECT user_id, category, score, tenths FROM c UNION ALL SELECT user_id, 'overall', ((sum(score) * 2 + count(*)) // (count(*) * 2))::INT, sum(tenths)::BIGINT FROM c GROUP BY 1")
 def scorecard(spark, sf_dir):
-    """Category scores, and the overall one."""
-    scores = R.category_scores(_findings(spark, sf_dir))
-    total = scores.agg(F.floor((F.sum("score") * 2 + F.count("*")) / (F.count("*") * 2)).cast("int").alias("score"), F.sum("tenths").alias("tenths"))
-    return scores.unionByName(total.withColumn("category", F.lit("overall")))
+    """Each project's category scores, and the overall one."""
+    scores = R.category_scores(_findings(spark, sf_dir), ["user_id"])
+    total = R.overall(scores, ["user_id"]).select("user_id", F.lit("overall").alias("category"), F.col("overall").alias("score"), "tenths")
+    return scores.unionByName(total)
 
 
-@query(f"""WITH {_FINDINGS}, d AS (SELECT category, rule_id, sum({_POINTS})::BIGINT AS tenths, count(*) AS findings FROM f GROUP BY 1, 2)
-SELECT *, row_number() OVER (PARTITION BY category ORDER BY tenths DESC, rule_id)::INT AS place FROM d""")
+@query(f"""WITH {_FINDINGS}, d AS (SELECT user_id, category, rule_id, sum({_POINTS})::BIGINT AS tenths, count(*) AS findings FROM f GROUP BY 1, 2, 3)
+SELECT *, row_number() OVER (PARTITION BY user_id, category ORDER BY tenths DESC, rule_id)::INT AS place FROM d""")
 def deductions(spark, sf_dir):
-    at = Window.partitionBy("category").orderBy(F.desc("tenths"), "rule_id")
-    return R.deductions(_findings(spark, sf_dir)).withColumn("place", F.row_number().over(at))
+    at = Window.partitionBy("user_id", "category").orderBy(F.desc("tenths"), "rule_id")
+    return R.deductions(_findings(spark, sf_dir), ["user_id"]).withColumn("place", F.row_number().over(at))
 
 
 @query(f"WITH {_FINDINGS} SELECT severity, category, count(*) AS n FROM f GROUP BY GROUPING SETS ((severity), (category), ())")
 def summary_sets(spark, sf_dir):
     """Counts by severity, by category and in all, in one pass."""
-    return _findings(spark, sf_dir).groupingSets([["severity"], ["category"], []], "severity", "category").agg(F.count("*").alias("n"))
+    from factgraph.operators import report
+
+    return report.summary(_findings(spark, sf_dir))
+
+
+def _as_report(spark, sf_dir):
+    """The findings with a report's columns: a user is a project, a second a place."""
+    return _findings(spark, sf_dir).select("*", F.col("user_id").alias("project_id"), F.lit("a/b.ts").alias("path"), F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ '2024-01-01 00:00:00', ts)").alias("start"), F.lpad(F.col("event_id").cast("string"), 12, "0").alias("message"), F.col("rule_id").alias("title"))
 
 
 @query(f"WITH {_FINDINGS} SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, rule_id, event_id)::INT AS place FROM f")
 def report_order(spark, sf_dir):
-    """Total order of a file's findings."""
-    at = Window.partitionBy("user_id").orderBy("ts", "rule_id", "event_id")
-    return _findings(spark, sf_dir).select("event_id", "user_id", F.row_number().over(at).alias("place"))
+    """Total order of a project's findings."""
+    from factgraph.operators import report
+
+    return report.places(_as_report(spark, sf_dir)).select("event_id", "user_id", F.col("place").cast("int").alias("place"))
 
 
-@query(f"WITH {_FINDINGS} SELECT rule_id, event_id AS first_event, severity FROM f QUALIFY row_number() OVER (PARTITION BY rule_id ORDER BY ts, event_id) = 1")
+@query(f"WITH {_FINDINGS} SELECT rule_id, severity, category FROM f QUALIFY row_number() OVER (PARTITION BY rule_id ORDER BY ts, event_id) = 1")
 def sarif_rules(spark, sf_dir):
     """The first finding of each rule, by a partial aggregate."""
-    first = _findings(spark, sf_dir).groupBy("rule_id").agg(F.min(F.struct("ts", "event_id", "severity")).alias("f"))
-    return first.select("rule_id", F.col("f.event_id").alias("first_event"), F.col("f.severity").alias("severity"))
+    from factgraph.operators import report
+
+    return report.first_of_each_rule(_as_report(spark, sf_dir)).select("rule_id", "severity", "category")
 
 
 @query(f"WITH {_FINDINGS} SELECT bool_or(severity IN ('high', 'critical')) AS fails, max(list_position(['info', 'low', 'medium', 'high', 'critical'], severity))::INT - 1 AS worst FROM f")
 def threshold_gate(spark, sf_dir):
     """Whether a build fails: any finding of high severity or above."""
-    place = C.rank(F.col("severity"), fixed.SEVERITIES)
-    return _findings(spark, sf_dir).agg(F.bool_or(place >= 3).alias("fails"), F.max(place).alias("worst"))
+    from factgraph.operators import report
+
+    return report.gate(_findings(spark, sf_dir), "high")
 
 
-_DAYS = "k AS (SELECT DISTINCT event_type || '|' || user_id AS key, date_diff('day', TIMESTAMP '2024-01-01', ts) AS day FROM events)"
+_DAYS = "k AS (SELECT DISTINCT event_type || '|' || user_id AS key, date_diff('day', TIMESTAMP '2024-01-01', ts)::INT AS day FROM events)"
 
 
-def _day_keys(spark, sf_dir, day):
-    keys = _t(spark, sf_dir, "events").where(F.datediff(F.to_date("ts"), F.lit("2024-01-01").cast("date")) == day)
-    return keys.select(F.concat_ws("|", "event_type", F.col("user_id").cast("string")).alias("key")).distinct()
+def _day_keys(spark, sf_dir):
+    """Each day's findings."""
+    day = F.datediff(F.to_date("ts"), F.lit("2024-01-01").cast("date"))
+    return _t(spark, sf_dir, "events").select(F.concat_ws("|", "event_type", F.col("user_id").cast("string")).alias("key"), day.alias("day")).distinct()
 
 
-@query(f"WITH {_DAYS} SELECT key FROM k WHERE day = 4 EXCEPT SELECT key FROM k WHERE day = 3")
+@query(f"WITH {_DAYS} SELECT key, day FROM k EXCEPT SELECT key, day + 1 FROM k")
 def watch_new(spark, sf_dir):
-    return R.difference(_day_keys(spark, sf_dir, 4), _day_keys(spark, sf_dir, 3), ["key"])
+    """What each day has that the day before it hadn't."""
+    days = _day_keys(spark, sf_dir)
+    return R.difference(days, days.withColumn("day", F.col("day") + 1), ["key", "day"])
 
 
-@query(f"WITH {_DAYS} SELECT key FROM k WHERE day = 3 EXCEPT SELECT key FROM k WHERE day = 4")
+@query(f"WITH {_DAYS} SELECT key, day + 1 AS day FROM k EXCEPT SELECT key, day FROM k")
 def watch_resolved(spark, sf_dir):
-    return R.difference(_day_keys(spark, sf_dir, 3), _day_keys(spark, sf_dir, 4), ["key"])
+    """What the day before each day had and the day itself hasn't."""
+    days = _day_keys(spark, sf_dir)
+    return R.difference(days.withColumn("day", F.col("day") + 1), days, ["key", "day"])
 
 
 @query("""
-WITH c AS (SELECT doc_id, n_chars AS size, CASE WHEN doc_id % 5 = 0 THEN 0 ELSE doc_id END AS mtime, md5(text) AS hash FROM documents WHERE doc_id % 7 <> 0),
-n AS (SELECT doc_id, n_chars + CASE WHEN doc_id % 11 = 0 THEN 1 ELSE 0 END AS size, CASE WHEN doc_id % 5 = 0 THEN 0 ELSE doc_id END AS mtime, md5(text || CASE WHEN doc_id % 33 = 0 THEN '!' ELSE '' END) AS hash FROM documents)
+WITH c AS (SELECT doc_id, n_chars AS size, n_chars % 5 AS mtime, md5(text) AS hash FROM documents d WHERE EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)),
+n AS (SELECT d.doc_id, n_chars + coalesce(toxic, 0) AS size, n_chars % 5 AS mtime, md5(text || CASE WHEN quality = 0 THEN '!' ELSE '' END) AS hash FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id)
 SELECT n.doc_id, CASE WHEN c.doc_id IS NULL THEN 'missing' WHEN c.size = n.size AND c.mtime = n.mtime AND n.mtime <> 0 THEN 'fresh' WHEN c.hash = n.hash THEN 'refreshed' ELSE 'stale' END AS state FROM n LEFT JOIN c ON c.doc_id = n.doc_id""")
 def cache_lookup(spark, sf_dir):
-    """Cached files against new ones: equal metadata, equal content, changed, or unknown."""
+    """Cached files against new ones: equal metadata, equal content, changed, or unknown; labelled documents are cached."""
     from factgraph.operators.cache import lookup
 
-    docs = _t(spark, sf_dir, "documents")
-    mtime = F.when(F.col("doc_id") % 5 == 0, 0).otherwise(F.col("doc_id"))
-    cached = docs.where("doc_id % 7 <> 0").select(F.col("doc_id").cast("string").alias("path"), F.col("n_chars").alias("size"), mtime.alias("mtime_ms"), F.md5("text").alias("content_hash"))
-    now = docs.select(F.col("doc_id").cast("string").alias("path"), (F.col("n_chars") + F.when(F.col("doc_id") % 11 == 0, 1).otherwise(0)).alias("size"), mtime.alias("mtime_ms"), F.md5(F.concat("text", F.when(F.col("doc_id") % 33 == 0, "!").otherwise(""))).alias("content_hash"))
+    docs, labels = _t(spark, sf_dir, "documents"), _t(spark, sf_dir, "labels")
+    known = docs.join(labels, "doc_id", "left")
+    mtime = F.col("n_chars") % 5
+    cached = docs.join(labels, "doc_id", "left_semi").select(F.col("doc_id").cast("string").alias("path"), F.col("n_chars").alias("size"), mtime.alias("mtime_ms"), F.md5("text").alias("content_hash"))
+    now = known.select(F.col("doc_id").cast("string").alias("path"), (F.col("n_chars") + F.coalesce("toxic", F.lit(0))).alias("size"), mtime.alias("mtime_ms"), F.md5(F.concat("text", F.when(F.col("quality") == 0, "!").otherwise(""))).alias("content_hash"))
     return lookup(now, cached, ["path"]).select(F.col("path").cast("long").alias("doc_id"), "state")
 
 
