@@ -3,15 +3,15 @@
 At similarity 0.8 of their shingle sets two texts differ in a seventh of the bits of a SimHash, far beyond any ball that
 can be listed around 64 bits.  So the fingerprint is wide (BLOCKS of 32 bits), and each block emits the variants within
 half of RADIUS over its UNCERTAIN bits, those whose sums are nearest to a tie and hence the likeliest to differ: 37
-variants a block, 370 a text.  Texts that share a variant of a block are candidates.  Sketches (the whole fingerprints)
-drop those that differ in over FAR bits, and every other link is verified on the whole shingle sets.
+variants a block, 370 a text.  Texts that share a variant of a block are candidates.  Those that differ in too many bits
+of the whole fingerprint, or of a still wider one, go; every other link is verified on the whole shingle sets.
 
 Variants meet in one shuffle of 16 bytes each.  In a variant's group all members are first held against the one with the
-most links so far, unless they are connected already: once for the first block, which connects most of what belongs
-together, then for all blocks.  What is left, pairs of colliding texts that are still apart, is tested too, once for each
-pair, so the components are those of all colliding pairs.  Two bounds spare tests that can't succeed: texts of which over
-a fifth of the shingles are in no other candidate have no link at all, and two texts that are both more than a ninth
-alone have none to each other.
+most links so far, unless they are connected already: in the first block and in the second, which connects most of what
+belongs together.  What is left, texts that collide with a component and are apart from it, is held against all of it,
+once for each pair, so the components are those of all colliding pairs.  A bound spares tests that can't succeed: a text
+has no link if over a fifth of its shingles are in no other candidate, and two texts have none to each other if those
+that they can share are too few.
 """
 
 from __future__ import annotations
@@ -32,15 +32,17 @@ SHINGLE_WORDS = 5
 SIMILARITY = (4, 5)
 BLOCKS, BLOCK_BITS = 10, 32
 UNCERTAIN, RADIUS = 8, 4
-#: At the threshold 48 of the 320 bits differ, with a deviation of 6.4.
+#: At the threshold 48 of the fingerprint's 320 bits differ, with a deviation of 6.4, and 309 of a sketch's, of 16.2.
 FAR = 70
+SKETCH_WORDS, SKETCH_FAR = 32, 374
 SEED = 42
 #: Shingles whose bits are summed at a time (sums of so many fit a byte), and characters whose words are held at a time.
 SUMMED = 255
 STRETCH = 1 << 21
 
 _WORDS64 = BLOCKS * BLOCK_BITS // 64
-_OFFSETS = np.arange(1, _WORDS64 + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+#: One for each 64 bits: of the fingerprint, then of the sketch.
+_OFFSETS = np.arange(1, _WORDS64 + SKETCH_WORDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
 _MIXERS = np.array([0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53], np.uint64)
 #: Which of the uncertain bits each variant flips.
 _FLIPS = np.array([[i in chosen for i in range(UNCERTAIN)] for n in range(RADIUS // 2 + 1) for chosen in combinations(range(UNCERTAIN), n)], np.int64)
@@ -70,20 +72,30 @@ def shingles(text: str, shingle_words: int = SHINGLE_WORDS, seed: int = SEED) ->
     return digest.digest(), hashes
 
 
-def fingerprint(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(signed longs of the fingerprint, a signed long for each block with its uncertain bits' places as bytes)."""
-    sums = np.zeros(BLOCKS * BLOCK_BITS, np.int64)
+def _margins(hashes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """By how much each bit is set more often than not, doubled."""
+    sums = np.zeros(64 * len(offsets), np.int64)
     for at in range(0, len(hashes), SUMMED):
-        mixed = hashes[at : at + SUMMED, None] + _OFFSETS
+        mixed = hashes[at : at + SUMMED, None] + offsets
         for mixer in _MIXERS:
             mixed = (mixed ^ mixed >> np.uint64(33)) * mixer
         mixed ^= mixed >> np.uint64(33)
         sums += np.unpackbits(mixed.view(np.uint8), axis=1, bitorder="little").sum(0, dtype=np.uint8)
-    margin = 2 * sums - len(hashes)
+    return 2 * sums - len(hashes)
+
+
+def fingerprint(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(signed longs of the fingerprint, a signed long for each block with its uncertain bits' places as bytes)."""
+    margin = _margins(hashes, _OFFSETS[:_WORDS64])
     places = np.argsort(np.abs(margin).reshape(BLOCKS, BLOCK_BITS), axis=1, kind="stable")[:, :UNCERTAIN]
     return np.packbits(margin > 0, bitorder="little").view("<i8"), places.astype(np.uint8).view("<i8").ravel()
 
 
+def sketch(hashes: np.ndarray) -> np.ndarray:
+    """A wider fingerprint, of candidates only."""
+    return np.packbits(_margins(hashes, _OFFSETS[_WORDS64:]) > 0, bitorder="little").view("<i8")
+
+
 def variants(prints: np.ndarray, unsure: np.ndarray) -> np.ndarray:
     """Keys of all variants, a row for each text: the block's number above the block's 32 bits."""
     blocks = prints.astype("<i8").view("<u4").astype(np.int64).reshape(-1, BLOCKS, 1)
@@ -116,14 +128,14 @@ def signatures(docs: DataFrame) -> DataFrame:
 
 
 def sets(docs: DataFrame) -> DataFrame:
-    """(node, hashes) of each row."""
+    """(node, hashes, sketch) of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, texts in common.steps(batches, "text"):
             found = [shingles(t) for t in texts]
-            yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in found], pa.binary()), _lists([h for _, h in found])], names=["node", "hashes"])
+            yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in found], pa.binary()), _lists([h for _, h in found]), _lists([sketch(h) for _, h in found])], names=["node", "hashes", "sketch"])
 
-    return _texts(docs).mapInArrow(run, "node binary, hashes array<long>")
+    return _texts(docs).mapInArrow(run, "node binary, hashes array<long>, sketch array<long>")
 
 
 def collisions(classes: DataFrame) -> DataFrame:
@@ -142,11 +154,11 @@ def collisions(classes: DataFrame) -> DataFrame:
     return emitted.select("key", "tag", F.min("tag").over(group).alias("low"), F.max("tag").over(group).alias("high")).where("low < high").select("key", "tag")
 
 
-def _far(x: str, y: str) -> Column:
-    """Whether sizes or fingerprints rule the similarity out; it can't exceed the smaller size by the larger."""
+def _far(x: str, y: str, bits: str = "sketch", words: int = SKETCH_WORDS, most: int = SKETCH_FAR) -> Column:
+    """Whether sizes or sketches rule the similarity out; it can't exceed the smaller size by the larger."""
     p, q = SIMILARITY
-    differ = sum(F.bit_count(F.col(f"{x}.prints")[k].bitwiseXOR(F.col(f"{y}.prints")[k])) for k in range(_WORDS64))
-    return (q * F.least(f"{x}.size", f"{y}.size") < p * F.greatest(f"{x}.size", f"{y}.size")) | (differ > FAR)
+    differ = sum(F.bit_count(F.col(f"{x}.{bits}")[k].bitwiseXOR(F.col(f"{y}.{bits}")[k])) for k in range(words))
+    return (q * F.least(f"{x}.size", f"{y}.size") < p * F.greatest(f"{x}.size", f"{y}.size")) | (differ > most)
 
 
 def _verified(pairs: DataFrame, held: DataFrame) -> DataFrame:
@@ -171,10 +183,10 @@ def _apart(met: DataFrame, found: DataFrame | None, roots: DataFrame | None) ->
     return wide.where("least < most").drop("least", "most")
 
 
-def _near(pairs: DataFrame, shapes: DataFrame) -> DataFrame:
+def _near(pairs: DataFrame, shapes: DataFrame, *far) -> DataFrame:
     """The distinct pairs (a, b) that sizes and sketches allow."""
     x, y = (shapes.select(F.col("tag").alias(c), F.col("shape").alias(s)) for c, s in (("a", "x"), ("b", "y")))
-    return pairs.distinct().join(x, "a").join(y, "b").where(~_far("x", "y")).select("a", "b")
+    return pairs.distinct().join(x, "a").join(y, "b").where(~_far("x", "y", *far)).select("a", "b")
 
 
 def _stars(apart: DataFrame) -> DataFrame:
@@ -186,19 +198,17 @@ def _across(apart: DataFrame, shapes: DataFrame) -> DataFrame:
     """(a, b): members of a group that aren't connected and that may be similar; ``shape`` has ``own``, the number of
     the text's shingles that no other text has.
 
-    Groups whose centres are connected are taken as one, so that a pair that meets in many groups is one row.  In groups
-    of two, the star has been the only pair.
+    Groups whose centres are connected are taken as one, so that a pair that meets in many groups is one row.  In it
+    what isn't connected to the centre meets what is, and each other.
     """
     p, q = SIMILARITY
-    members = apart.where("n > 2").select(F.col("centre.root").alias("group"), "tag", "root").distinct().join(shapes, "tag")
-    x = members.select("group", F.col("tag").alias("a"), F.col("root").alias("ra"), F.col("shape").alias("x"))
+    members = apart.select(F.col("centre.root").alias("group"), "tag", "root").distinct().join(shapes, "tag")
+    x = members.where("root <> group").select("group", F.col("tag").alias("a"), F.col("root").alias("ra"), F.col("shape").alias("x"))
     y = members.select("group", F.col("tag").alias("b"), F.col("root").alias("rb"), F.col("shape").alias("y"))
     shared = F.least(F.col("x.size") - F.col("x.own"), F.col("y.size") - F.col("y.own"))  # at most
     able = (p + q) * shared >= p * (F.col("x.size") + F.col("y.size"))
-    # one of two similar texts is at most (q - p) / (p + q) alone; it stands right, and where both are, the lesser does
-    light = lambda s: (p + q) * F.col(f"{s}.own") <= (q - p) * F.col(f"{s}.size")
-    order = ~light("x") | (F.col("a") > F.col("b"))
-    pairs = x.join(y.where(light("y")), "group").where((F.col("ra") != F.col("rb")) & (F.col("a") != F.col("b")) & order & able & ~_far("x", "y"))
+    once = (F.col("rb") == F.col("group")) | (F.col("a") > F.col("b"))
+    pairs = x.join(y, "group").where((F.col("ra") != F.col("rb")) & once & able & ~_far("x", "y"))
     return pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
@@ -231,19 +241,20 @@ def links(docs: DataFrame, classes: DataFrame) -> DataFrame:
     # texts are read again only where a candidate is near by its sketch, or more than two texts meet
     group = Window.partitionBy("key")
     pool = met.select("tag", F.min("tag").over(group).alias("low"), F.max("tag").over(group).alias("high"), F.count(F.lit(1)).over(group).alias("n"))
-    near = _near(pool.where("n = 2 AND tag = low").select(F.col("high").alias("a"), F.col("low").alias("b")), shapes)
+    near = _near(pool.where("n = 2 AND tag = low").select(F.col("high").alias("a"), F.col("low").alias("b")), shapes, "prints", _WORDS64, FAR)
     wanted = near.select(F.explode(F.array("a", "b")).alias("tag")).unionByName(pool.where("n > 2").select("tag")).distinct()
     ids = classes.join(wanted, "tag", "left_semi").select("tag", "node", "least_id")
     texts = docs.join(ids.select(F.col("least_id").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    held = common.cut_lineage(ids.join(sets(texts).dropDuplicates(["node"]), "node").select("tag", "hashes"))
+    held = common.cut_lineage(ids.join(sets(texts).dropDuplicates(["node"]), "node").select("tag", "hashes", "sketch"))
     may = common.cut_lineage(_own_shingles(held))
     met = common.cut_lineage(met.join(may.select("tag"), "tag", "left_semi"))
-    held = held.join(may.select("tag"), "tag", "left_semi")
-    shapes = common.cut_lineage(classes.join(may.select("tag", "own"), "tag").select("tag", F.struct("size", "prints", "own").alias("shape")))
+    held = held.join(may, "tag")
+    shapes = common.cut_lineage(held.select("tag", F.struct("size", "sketch", "own").alias("shape")))
 
     found = roots = None
-    for some in (met.where(F.col("key") < 1 << BLOCK_BITS), met):
-        new = _verified(_near(_stars(_apart(some, found, roots)), shapes), held)
+    for block in range(2):
+        own = met.where(F.col("key").between(block << BLOCK_BITS, ((block + 1) << BLOCK_BITS) - 1))
+        new = _verified(_near(_stars(_apart(own, found, roots)), shapes), held)
         found = common.cut_lineage(new if found is None else found.unionByName(new))
         roots = common.cut_lineage(_roots(found))
     return found.unionByName(_verified(_across(_apart(met, found, roots), shapes), held))

@@ -41,7 +41,7 @@ def test_wide_fingerprint_by_brute_force():
         sums = [0] * 320
         for h in hashes.tolist():
             for word in range(5):
-                x = (h + int(s._OFFSETS[word])) % (1 << 64)
+                x = (h + (word + 1) * 0x9E3779B97F4A7C15) % (1 << 64)
                 for mixer in s._MIXERS.tolist():
                     x = ((x ^ x >> 33) * mixer) % (1 << 64)
                 x ^= x >> 33
