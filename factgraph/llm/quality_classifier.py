@@ -49,8 +49,8 @@ _KIND = _byte_classes()
 FEATURES = _CLASSES + GRAM_BUCKETS + 4
 
 
-#: Bytes of a long text that are held as arrays at a time.
-STRETCH = 1 << 21
+#: Bytes of texts, and of a long one, that are held as arrays at a time.
+STEP_BYTES = STRETCH = 1 << 19
 
 _POWERS = np.cumprod(np.full(64, 0x9E3779B97F4A7C15, np.uint64))
 
@@ -261,7 +261,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_DOCUMENTS) -> M
         return constant(0.1 if target and not any(target.values()) else 0.9)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, texts in common.steps(batches, "text"):
+        for part, texts in common.steps(batches, "text", STEP_BYTES):
             x, firsts = passages(texts)
             yield pa.RecordBatch.from_arrays([common.column(part, "doc_id"), pa.array([x[a:b].tobytes() for a, b in zip(firsts, firsts[1:])], pa.binary())], names=["doc_id", "x"])
 
@@ -281,7 +281,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     """A row for each row of ``docs``; null text: empty, which has a score too; null id: not held out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, texts in common.steps(batches, "text"):
+        for part, texts in common.steps(batches, "text", STEP_BYTES):
             found = model.score(texts)
             held = common.column(part, "held_out")
             yield pa.RecordBatch.from_arrays([common.column(part, "doc_id"), held, pa.array(found), pa.array((found >= ACCEPTED).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
@@ -294,7 +294,7 @@ def keep(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """The rows of ``docs`` that the classifier accepts, as they are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, texts in common.steps(batches, text):
+        for part, texts in common.steps(batches, text, STEP_BYTES):
             yield part.filter(pa.array(model.score(texts) >= ACCEPTED))
 
     return docs.mapInArrow(run, docs.schema)
