@@ -8,17 +8,6 @@ import os
 import sys
 
 CONFIG = "factgraph.toml"
-TEMPLATE = """[project]
-exclude = []
-
-[analysis]
-min_severity = "info"
-min_confidence = "unknown"
-
-[rules]
-enable = []
-disable = []
-"""
 
 
 def _session():
@@ -59,6 +48,7 @@ def main(argv: list[str] | None = None) -> int:
     args = parser.parse_args(argv)
 
     from factgraph.operators import engine, fixes, frameworks, graph, report, resolve
+    from factgraph.operators.shared import cut_lineage
     from factgraph.sources import project
 
     if args.command == "explain":
@@ -73,7 +63,7 @@ def main(argv: list[str] | None = None) -> int:
             print(f"{CONFIG} exists; --force overwrites it", file=sys.stderr)
             return 1
         with open(CONFIG, "w", encoding="utf-8") as f:
-            f.write(TEMPLATE)
+            f.write(report.TEMPLATE)
         return 0
     spark, roots = _session(), {"project": args.root}
     files = project.scan(spark, roots)
@@ -82,24 +72,21 @@ def main(argv: list[str] | None = None) -> int:
         print(report.to_dot(graph.nodes(files, resolved), resolve.edges(resolved)), end="")
         return 0
     if args.command == "model":
-        model = frameworks.next_project(files)
-        row = model.first()
-        app = frameworks.app_files(files, model, project.parse(files)).orderBy("path").collect() if row else []
-        pages = frameworks.pages_routes(files, model).orderBy("path").collect() if row else []
-        print(json.dumps(row and {**row.asDict(), "app": [r.asDict() for r in app], "pages": [r.asDict() for r in pages]}, indent=2))
+        print(json.dumps(frameworks.model(files, project.parse(files), "project"), indent=2))
         return 0
     findings = engine.analyze_folders(spark, roots, _config(args.root), getattr(args, "cache", None))
     if args.command == "fix":
         done = fixes.apply_all(files, fixes.plan(findings, tuple(args.rule), tuple(args.file))).collect()
         for r in done:
             print(f"{r['path']}: {r['applied']} applied{'' if not r['skipped'] else ', skipped: ' + '; '.join(r['skipped'])}")
-            if not args.dry_run and r["applied"]:
-                with open(os.path.join(args.root, r["path"]), "w", encoding="utf-8") as f:
-                    f.write(r["content"])
+        if not args.dry_run:
+            fixes.write(args.root, {r["path"]: r["content"] for r in done if r["applied"]})
         return 0
+    findings = cut_lineage(findings)
+    fails = args.ci and report.gate(findings, "high").first()["fails"]
     data = report.report(findings)
     print(getattr(report, f"to_{args.format}")(data), end="")
-    return 2 if args.ci and any(d["severity"] in ("high", "critical") for d in data["diagnostics"]) else 0
+    return 2 if fails else 0
 
 
 if __name__ == "__main__":

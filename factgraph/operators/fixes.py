@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import json
+import os
 import re
+import shutil
+import tempfile
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -82,3 +85,25 @@ def apply_all(files: DataFrame, planned: DataFrame) -> DataFrame:
     kind = T._parse_datatype_string("project_id string, path string, content string, applied int, skipped array<string>")
     schema = to_arrow_schema(kind)
     return files.join(edits, ["project_id", "path"]).select("project_id", "path", "content", "edits").mapInArrow(run, kind)
+
+
+def write(root: str, contents: dict[str, str]) -> None:
+    """Writes files (path -> new text), all or none: each is replaced at once, and if one fails the others get back what
+    they had."""
+    kept: list[tuple[str, str]] = []
+    with tempfile.TemporaryDirectory() as saved:
+        try:
+            for i, (path, text) in enumerate(sorted(contents.items())):
+                place, before = os.path.join(root, path), os.path.join(saved, str(i))
+                shutil.copy2(place, before)
+                kept.append((before, place))
+                with open(place + ".new", "w", encoding="utf-8") as f:
+                    f.write(text)
+                shutil.copymode(place, place + ".new")
+                os.replace(place + ".new", place)
+        except OSError:
+            for before, place in kept:
+                shutil.copy2(before, place)
+                if os.path.exists(place + ".new"):
+                    os.remove(place + ".new")
+            raise

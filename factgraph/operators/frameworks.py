@@ -15,7 +15,7 @@ def _signals(spark) -> DataFrame:
 
 
 def detect(dependencies: DataFrame, entries: DataFrame, with_package: DataFrame) -> DataFrame:
-    """(project_id, framework, confidence, version): dependency and marker make it certain, a dependency likely, else possible.
+    """(project_id, framework, confidence, version, evidence): dependency and marker make it certain, a dependency likely, else possible.
 
     ``with_package``: projects that have a package.json; without any framework such a project is a Node one.
     """
@@ -28,12 +28,14 @@ def detect(dependencies: DataFrame, entries: DataFrame, with_package: DataFrame)
         F.bool_or(F.col("kind") == "marker").alias("mark"),
         F.count(F.when(F.col("kind") == "marker", 1)).alias("markers"),
         F.min_by("version", F.when(F.col("kind") == "package", F.col("ord"))).alias("version"),
+        F.sort_array(F.collect_list(F.struct((F.col("kind") == "marker").alias("later"), "ord", "signal", "version"))).alias("hits"),
     )
     found = found.where("framework <> 'laravel' OR markers = 2")
     confidence = F.when(F.col("dep") & F.col("mark"), "certain").when(F.col("dep"), "likely").otherwise("possible")
-    known = found.select("project_id", "framework", confidence.alias("confidence"), "version")
+    said = F.transform("hits", lambda h: F.when(h["later"], F.concat(F.lit("has "), h["signal"])).otherwise(F.concat(F.lit("depends on "), h["signal"], F.lit(" "), h["version"])))
+    known = found.select("project_id", "framework", confidence.alias("confidence"), "version", said.alias("evidence"))
     plain = with_package.select("project_id").distinct().join(known.select("project_id"), "project_id", "left_anti")
-    return known.unionByName(plain.select("project_id", F.lit("node").alias("framework"), F.lit("likely").alias("confidence"), F.lit(None).cast("string").alias("version")))
+    return known.unionByName(plain.select("project_id", F.lit("node").alias("framework"), F.lit("likely").alias("confidence"), F.lit(None).cast("string").alias("version"), F.array(F.lit("has package.json")).alias("evidence")))
 
 
 def owned_packages(frameworks: DataFrame) -> DataFrame:
@@ -94,3 +96,14 @@ def pages_routes(files: DataFrame, project: DataFrame) -> DataFrame:
     parts = F.split(F.regexp_replace("path", r"\.[^./]*$", ""), "/")
     dynamic = F.exists(parts, lambda s: C.segment_kind(s).isin("dynamic", "catch_all", "optional_catch_all"))
     return kept.select("project_id", "path", F.col("path").startswith(F.concat("pages_base", F.lit("/api/"))).alias("is_api"), dynamic.alias("is_dynamic"))
+
+
+def model(files: DataFrame, facts: DataFrame, project_id: str) -> dict | None:
+    """One project's route model, for a person to read; None without a router."""
+    own = files.where(F.col("project_id") == project_id)
+    found = next_project(own)
+    row = found.first()
+    if row is None:
+        return None
+    rows = lambda df: [r.asDict() for r in df.orderBy("path").collect()]
+    return {**row.asDict(), "app": rows(app_files(own, found, facts)), "pages": rows(pages_routes(own, found))}

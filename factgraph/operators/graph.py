@@ -50,6 +50,28 @@ def nodes(files: DataFrame, resolved: DataFrame) -> DataFrame:
     return numbered(first, ["project_id"], ["at", "label"], "node_id").drop("at")
 
 
+def by_label(nodes: DataFrame, project_id: str, label: str) -> DataFrame:
+    return nodes.where((F.col("project_id") == project_id) & (F.col("label") == label))
+
+
+def by_id(nodes: DataFrame, project_id: str, node_id: int) -> DataFrame:
+    return nodes.where((F.col("project_id") == project_id) & (F.col("node_id") == node_id))
+
+
+def of_kind(nodes: DataFrame, kind: str) -> DataFrame:
+    """Files, packages or symbols."""
+    return nodes.where(F.col("kind") == kind)
+
+
+def topological_order(edges: DataFrame) -> DataFrame:
+    """(label, place) of one project's nodes, before what they lead to; no rows if the edges have a circle."""
+    try:
+        levels = relops.topological_levels(edges)
+    except ValueError:
+        return edges.select(F.col("src").alias("label"), F.lit(0).cast("long").alias("place")).limit(0)
+    return numbered(levels, [], ["level", "node"], "place").select(F.col("node").alias("label"), "place")
+
+
 def roots(nodes: DataFrame, edges: DataFrame, kind: str = "imports") -> DataFrame:
     """Nodes that no edge of a kind leads to."""
     return relops.difference(nodes, edges.where(F.col("kind") == kind).select("project_id", F.col("dst").alias("label")), ["project_id", "label"])

@@ -7,7 +7,7 @@ import json
 import tomllib
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factgraph.functions import columns as C
@@ -85,30 +85,76 @@ def first_of_each_rule(findings: DataFrame) -> DataFrame:
     return findings.groupBy("rule_id").agg(F.min_by(F.struct("title", "severity", "category"), F.struct(C.path_key(F.col("path")), "start")).alias("f")).select("rule_id", "f.*")
 
 
-def report(findings: DataFrame) -> dict:
-    """A project's findings with counts and scores, on the driver: what is rendered is read by a person."""
-    rows = [r.asDict() for r in ordered(findings).collect()]
-    scores = {r["category"]: r["score"] for r in relops.category_scores(findings).collect()}
+def report(findings: DataFrame, project_id: str | None = None) -> dict:
+    """One project's findings with counts and scores, on the driver: what is rendered is read by a person.
+
+    Counts, scores and points are summed in Spark.  ``findings`` may hold many projects if one is named; for all of them
+    at once see :func:`write_reports`.
+    """
+    own = findings if project_id is None else findings.where(F.col("project_id") == project_id)
+    rows = [r.asDict() for r in ordered(own).collect()]
+    scores = {r["category"]: r["score"] for r in relops.category_scores(own).collect()}
     points: dict[str, list] = {}
-    for r in relops.deductions(findings).collect():
+    for r in relops.deductions(own).orderBy("category", F.desc("tenths"), "rule_id").collect():
         points.setdefault(r["category"], []).append({"rule_id": r["rule_id"], "points": r["tenths"] / 10, "findings": r["findings"]})
-    for own in points.values():
-        own.sort(key=lambda d: (-d["points"], d["rule_id"]))
+    counts = summary(own).collect()
     total = (2 * sum(scores.values()) + len(scores)) // (2 * len(scores))
-    count = lambda key: {k: sum(r[key] == k for r in rows) for k in sorted({r[key] for r in rows})}
+    count = lambda key: dict(sorted((r[key], r["n"]) for r in counts if r[key] is not None))
     card = {"overall": total, "categories": {c: {"score": s, "deductions": points.get(c, [])} for c, s in sorted(scores.items())}}
     return {"diagnostics": rows, "summary": {"total": len(rows), "by_severity": count("severity"), "by_category": count("category")}, "scorecard": card}
 
 
+def write_reports(findings: DataFrame, folder: str) -> None:
+    """Findings of all projects as files, a folder for each project, without passing through the driver."""
+    placed = places(findings)
+    placed.repartition("project_id").sortWithinPartitions("project_id", "place").write.mode("overwrite").partitionBy("project_id").json(folder)
+
+
 def to_json(data: dict) -> str:
     return json.dumps(data, indent=2, ensure_ascii=False) + "\n"
 
 
 def from_json(text: str) -> dict:
-    """A report as :func:`to_json` wrote it."""
-    return json.loads(text)
+    """A report as :func:`to_json` wrote it; ValueError if the text is no such report."""
+    data = json.loads(text)
+    if not isinstance(data, dict) or set(data) != {"diagnostics", "summary", "scorecard"} or not isinstance(data["diagnostics"], list):
+        raise ValueError("not a report")
+    for d in data["diagnostics"]:
+        if not isinstance(d, dict) or not {"rule_id", "path", "severity", "confidence", "message"} <= set(d):
+            raise ValueError("a finding lacks a field")
+        if d["severity"] not in fixed.SEVERITIES or d["confidence"] not in fixed.CONFIDENCES:
+            raise ValueError("unknown severity or confidence")
+    return data
+
+
+FINDINGS = "project_id string, path string, line int, start long, rule_id string, category string, severity string, confidence string, title string, message string, evidence array<string>, target string"
+
+
+def read_json(spark: SparkSession, text: str) -> DataFrame:
+    """The findings of a report as rows."""
+    rows = [tuple(d.get(c.split()[0]) for c in FINDINGS.split(", ")) for d in from_json(text)["diagnostics"]]
+    return spark.createDataFrame(rows, FINDINGS)
 
 
+def read_reports(spark: SparkSession, folder: str) -> DataFrame:
+    """The findings of many reports, a file each, read in tasks."""
+    shape = f"diagnostics array<struct<{FINDINGS.replace(' array', ': array').replace(' string', ': string').replace(' int', ': int').replace(' long', ': long')}>>"
+    texts = spark.read.text(folder, wholetext=True)
+    return texts.select(F.explode(F.from_json("value", shape)["diagnostics"]).alias("d")).select("d.*")
+
+
+TEMPLATE = """[project]
+exclude = []
+
+[analysis]
+min_severity = "info"
+min_confidence = "unknown"
+
+[rules]
+enable = []
+disable = []
+"""
+
 _LEVELS = {"critical": "error", "high": "error", "medium": "warning"}
 
 
@@ -144,13 +190,18 @@ def to_terminal(data: dict) -> str:
     return "\n".join([*lines, f"{data['summary']['total']} findings ({counts or 'none'}), health {data['scorecard']['overall']}"]) + "\n"
 
 
+def dot_lines(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(line): a graph's drawing, nodes and edges in order; a writer can store it without collecting it."""
+    esc = lambda c: F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('\\"')), F.lit('"'))
+    first, last = (edges.sparkSession.createDataFrame([(p, "", "", "", line)], "part int, a string, b string, c string, line string") for p, line in ((0, "digraph factgraph {"), (3, "}")))
+    own = nodes.select(F.lit(1).alias("part"), F.col("label").alias("a"), F.lit("").alias("b"), F.col("kind").alias("c"), F.concat(F.lit("  "), esc("label"), F.lit(" [kind="), "kind", F.lit("];")).alias("line"))
+    lines = edges.select(F.lit(2).alias("part"), F.col("src").alias("a"), F.col("dst").alias("b"), F.col("kind").alias("c"), F.concat(F.lit("  "), esc("src"), F.lit(" -> "), esc("dst"), F.lit(' [label="'), "kind", F.lit('"];')).alias("line"))
+    return first.unionByName(own).unionByName(lines).unionByName(last).orderBy("part", "a", "b", "c").select("line")
+
+
 def to_dot(nodes: DataFrame, edges: DataFrame) -> str:
-    """A graph's nodes and edges in order, for drawing."""
-    esc = lambda s: s.replace('"', '\\"')
-    out = ["digraph factgraph {"]
-    out += [f'  "{esc(r["label"])}" [kind={r["kind"]}];' for r in nodes.orderBy("label").collect()]
-    out += [f'  "{esc(r["src"])}" -> "{esc(r["dst"])}" [label="{r["kind"]}"];' for r in edges.orderBy("src", "dst", "kind").collect()]
-    return "\n".join([*out, "}"]) + "\n"
+    """One project's graph for drawing, streamed through the driver a partition at a time."""
+    return "".join(r["line"] + "\n" for r in dot_lines(nodes, edges).toLocalIterator())
 
 
 def explain(rule_id: str) -> dict:

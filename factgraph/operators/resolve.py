@@ -8,11 +8,12 @@ from pyspark.sql import functions as F
 from factgraph.functions import columns as C
 from factgraph.functions import fixed
 
-ALIASES = "project_id string, priority int, prefix string, suffix string, target string"
+ALIASES = "project_id string, priority int, prefix string, suffix string, target_ord int, target string"
 
 
 def expand_aliases(imports: DataFrame, aliases: DataFrame, keys: list[str]) -> DataFrame:
-    """Targets of the first pattern that matches ``specifier``; aliases are few, so Spark joins them without a shuffle.
+    """Targets of the first pattern that matches ``specifier``; a project's aliases meet its imports in a join by project,
+    and aliases without a project (a rule table of a few rows) are broadcast.
 
     A null suffix makes an exact pattern.  All targets of the pattern stay, in rows of their own.
     """
@@ -55,7 +56,7 @@ def _resolve_js(imports: DataFrame, files: DataFrame, aliases: DataFrame) -> Dat
     relative = s.startswith("./") | s.startswith("../")
     own = imports.where(relative).select(*_KEYS, F.lit(0).alias("target_ord"), C.normalise(F.concat_ws("/", C.directory(F.col("path")), s)).alias("base"))
     wild = expand_aliases(imports.where(~relative).select(*_KEYS, "specifier"), aliases, _KEYS)
-    aliased = wild.select(*_KEYS, "target_ord", C.normalise(F.col("target")).alias("base")) if "target_ord" in wild.columns else wild.select(*_KEYS, F.lit(0).alias("target_ord"), C.normalise(F.col("target")).alias("base"))
+    aliased = wild.select(*_KEYS, "target_ord", C.normalise(F.col("target")).alias("base"))
     candidates = own.unionByName(aliased).select(*_KEYS, "target_ord", F.posexplode(C.probe_candidates(F.col("base"))).alias("candidate_ord", "candidate"))
     found = _probe(candidates, files, _KEYS)
     matched = aliased.select(*_KEYS).distinct().withColumn("matched_alias", F.lit(True))

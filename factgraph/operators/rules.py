@@ -190,10 +190,11 @@ def component_naming(ctx: Context) -> DataFrame:
 
 @rule("react/hook-in-non-component")
 def hook_outside(ctx: Context) -> DataFrame:
-    hooks = ctx.calls.where(F.col("language").isin(*fixed.ECMASCRIPT) & C.is_hook(F.substring_index("callee", ".", -1)))
-    placed = semantic.enclosing(hooks, ctx.symbols).where("in_symbol IS NOT NULL")
-    rows = placed.where(C.react_role(F.col("in_symbol"), F.coalesce("in_returns_jsx", F.lit(False))).isNull())
-    return finding(rows, "react/hook-in-non-component", F.concat(_q("callee"), F.lit(" is called in "), _q("in_symbol"), F.lit(", which is neither a component nor a hook")))
+    hooks = ctx.calls.where(F.col("language").isin(*fixed.ECMASCRIPT) & C.is_hook(F.col("callee")))
+    placed = semantic.enclosing(hooks, ctx.symbols)
+    rows = placed.where(F.col("in_symbol").isNull() | C.react_role(F.col("in_symbol"), F.coalesce("in_returns_jsx", F.lit(False))).isNull())
+    where = F.when(F.col("in_symbol").isNull(), F.lit("outside any function")).otherwise(F.concat(F.lit("in "), _q("in_symbol"), F.lit(", which is neither a component nor a hook")))
+    return finding(rows, "react/hook-in-non-component", F.concat(_q("callee"), F.lit(" is called "), where))
 
 
 @rule("react/hook-returns-jsx")
@@ -272,14 +273,29 @@ def unused_export(ctx: Context) -> DataFrame:
 
 
 def run_all(ctx: Context, only: tuple[str, ...] = ()) -> DataFrame:
-    """The union of all rules' findings; a rule that only knows JavaScript passes over other known languages."""
+    """The union of all rules' findings, as far as :func:`admitted`."""
     out = None
     for rule_id, query in RULES.items():
         if only and rule_id not in only:
             continue
         rows = query(ctx)
-        if fixed.RULES[rule_id][5] == "ecmascript":
-            language = C.language(F.col("path"))
-            rows = rows.where(language.isNull() | ~language.isin("python"))
         out = rows if out is None else out.unionByName(rows)
-    return out
+    return admitted(out)
+
+
+def admitted(findings: DataFrame) -> DataFrame:
+    """Findings whose rule is for the file's language, and whose rule's stage the language's frontend reaches.
+
+    Files that aren't parsed (manifests, environment files) have no such language and pass.
+    """
+    spark = findings.sparkSession
+    catalogue = [(r, row[5], fixed.STAGES.index(fixed.RULE_STAGE)) for r, row in fixed.RULES.items()]
+    languages = [(n, "ecmascript" if n in fixed.ECMASCRIPT else n, fixed.STAGES.index(stage)) for n, stage in fixed.LANGUAGE_STAGES.items()]
+    return admit(findings.withColumn("language", C.language(F.col("path"))), spark.createDataFrame(catalogue, "rule_id string, languages string, stage int"), spark.createDataFrame(languages, "language string, family string, reach int")).drop("language")
+
+
+def admit(findings: DataFrame, catalogue: DataFrame, languages: DataFrame) -> DataFrame:
+    """``findings`` (rule_id, language) by two small tables: (rule_id, languages, stage) and (language, family, reach)."""
+    met = findings.join(F.broadcast(catalogue), "rule_id").join(F.broadcast(languages), "language", "left")
+    fits = (F.col("languages") == "any") | (F.col("languages") == F.col("family"))
+    return met.where(F.col("family").isNull() | (fits & (F.col("reach") >= F.col("stage")))).select(*findings.columns)

@@ -9,6 +9,17 @@ from factgraph.functions import columns as C
 from factgraph.operators import relops
 
 
+def last_write(files: DataFrame, seq: str) -> DataFrame:
+    """Of files that are written more than once the last, by ``seq``."""
+    rest = [c for c in files.columns if c not in ("project_id", "path")]
+    return files.groupBy("project_id", "path").agg(F.max_by(F.struct(*rest), seq).alias("__last")).select("project_id", "path", "__last.*")
+
+
+def exported_symbol(symbols: DataFrame) -> DataFrame:
+    """What a name that is imported from a file stands for: the first exported symbol of that name."""
+    return symbols.where("exported").groupBy("project_id", "path", "name").agg(F.min(F.struct("ord", "kind")).alias("__first")).select("project_id", "path", "name", "__first.kind")
+
+
 def symbols(facts: DataFrame) -> DataFrame:
     rows = facts.select("project_id", "path", "language", F.posexplode("symbols").alias("ord", "s"))
     return rows.select("project_id", "path", "language", "ord", "s.*")
@@ -47,7 +58,7 @@ def call_edges(calls: DataFrame, symbols: DataFrame, bindings: DataFrame) -> Dat
     own = symbols.select("project_id", "path", F.col("name").alias("callee")).distinct().withColumn("own", F.lit(True))
     bound = bindings.select("project_id", F.col("from").alias("path"), "to", "ord", F.explode("names").alias("callee")).where("callee NOT IN ('default', '*')")
     bound = bound.groupBy("project_id", "path", "callee").agg(F.max_by("to", "ord").alias("to"))
-    exported = symbols.where("exported").select("project_id", F.col("path").alias("to"), F.col("name").alias("callee")).distinct()
+    exported = exported_symbol(symbols).select("project_id", F.col("path").alias("to"), F.col("name").alias("callee"))
     imported = bound.join(exported, ["project_id", "to", "callee"])
     met = calls.select("project_id", "path", "callee", "line").join(own, ["project_id", "path", "callee"], "left").join(imported, ["project_id", "path", "callee"], "left")
     return met.select("project_id", "path", "callee", "line", F.when(F.col("own"), F.col("path")).otherwise(F.col("to")).alias("to_path")).where("to_path IS NOT NULL")

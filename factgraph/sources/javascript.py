@@ -11,14 +11,22 @@ from bisect import bisect_right
 
 from factgraph.functions import fixed
 
+_SPACE = re.compile(r"(?:\s+|//[^\n]*|/\*.*?\*/|\#![^\n]*)+", re.S)
 _TOKEN = re.compile(
-    r"""(?P<space>\s+|//[^\n]*|/\*.*?\*/|\#![^\n]*)|(?P<id>[A-Za-z_$\u0080-\uffff][\w$\u0080-\uffff]*)|(?P<num>\d[\w.]*)|(?P<str>"(?:\\.|[^"\\\n])*"|'(?:\\.|[^'\\\n])*')|(?P<op>=>|\?\.|\.\.\.|[=!]==?|&&|\|\||\?\?|\+\+|--|[-+*/%&|^<>]=|.)""",
+    r"""(?P<id>[A-Za-z_$\u0080-\uffff][\w$\u0080-\uffff]*)|(?P<num>\d[\w.]*)|(?P<str>"(?:\\.|[^"\\\n])*"|'(?:\\.|[^'\\\n])*')|(?P<op>=>|\?\.|\.\.\.|[=!]==?|&&|\|\||\?\?|\+\+|--|[-+*/%&|^<>]=|.)""",
     re.S,
 )
 _REGEX = re.compile(r"/(?![*/])(?:\\.|\[(?:\\.|[^\]\\\n])*\]|[^/\\\n\[])+/[a-z]*")
 _BEFORE_VALUE = frozenset("return typeof case in of new delete void throw else do await yield default extends".split())
-_NOT_CALLEES = frozenset("if for while switch catch function return typeof await super import new with constructor".split())
+_NOT_CALLEES = frozenset("if for while switch catch function return typeof await new with constructor".split())
 _PAIRS = {"(": ")", "[": "]", "{": "}"}
+_CLOSERS = frozenset(_PAIRS.values())
+#: What a pattern, not a division, may follow: a condition in parentheses, or a block in braces after these.
+_CONDITIONS = frozenset("if while for with".split())
+_BLOCK_WORDS = frozenset("else do try finally".split())
+_MODIFIERS = frozenset("get set static async public private protected readonly override abstract declare".split())
+#: In type arguments, besides names and brackets.
+_TYPE_OPS = frozenset(". , | & ? : ; => ...".split())
 _NAME = re.compile(r"[A-Za-z_$][\w$.\-:]*")
 
 
@@ -35,6 +43,9 @@ class Token:
 class Lexer:
     def __init__(self, source: str, jsx: bool):
         self.source, self.jsx, self.tokens = source, jsx, []
+        #: Open brackets: whether a value may follow the closing one.  ``after`` is that of the last closing one.
+        self.open: list[bool] = []
+        self.after = False
 
     def value_next(self) -> bool:
         """Whether a value may stand here, so that a slash begins a pattern and a less-than begins an element."""
@@ -43,31 +54,55 @@ class Lexer:
         t = self.tokens[-1]
         if t.kind == "id":
             return t.text in _BEFORE_VALUE
-        return t.kind == "op" and t.text not in (")", "]", "}", "++", "--")
+        if t.kind != "op":
+            return False
+        return self.after if t.text in (")", "}") else t.text not in ("]", "++", "--")
+
+    def opens(self, text: str) -> None:
+        before = self.tokens[-1] if self.tokens else None
+        if text == "(":
+            self.open.append(before is not None and before.kind == "id" and before.text in _CONDITIONS)
+        else:
+            block = before is None or (before.text in _BLOCK_WORDS if before.kind == "id" else before.kind == "op" and before.text in (")", ";", "{", "}", "=>"))
+            self.open.append(text == "{" and block)
+
+    def closes(self) -> None:
+        self.after = self.open.pop() if self.open else False
 
     def run(self, at: int = 0, until: str = "") -> int:
         """Tokens up to the closing bracket ``until``, which isn't taken; returns where that is."""
-        source, depth = self.source, 0
-        while at < len(source):
+        source, depth, size, tokens = self.source, 0, len(self.source), self.tokens
+        space, token, add = _SPACE.match, _TOKEN.match, self.tokens.append
+        while at < size:
+            if m := space(source, at):
+                at = m.end()
+                if at >= size:
+                    break
             c = source[at]
             if c == "`":
                 at = self.template(at)
                 continue
             if c == "/" and self.value_next() and (m := _REGEX.match(source, at)):
-                self.tokens.append(Token("regex", m[0], at, m.end()))
+                add(Token("regex", m[0], at, m.end()))
                 at = m.end()
                 continue
-            if c == "<" and self.jsx and self.value_next() and (source[at + 1 : at + 2] == ">" or _NAME.match(source, at + 1)) and not re.match(r"<[A-Za-z_$][\w$]*\s*(,|extends\b)", source[at:]):
+            if c == "<" and self.jsx and self.value_next() and (source[at + 1 : at + 2] == ">" or _NAME.match(source, at + 1)) and not re.match(r"<[A-Za-z_$][\w$]*\s*(,|extends\b)", source[at : at + 200]):
                 at = self.element(at)
                 continue
-            m = _TOKEN.match(source, at)
-            if m.lastgroup == "op":
-                if until and m[0] == until and not depth:
-                    return at
-                depth += (m[0] in _PAIRS) - (m[0] in _PAIRS.values())
-            if m.lastgroup != "space":
-                self.tokens.append(Token(m.lastgroup, m[0], at, m.end()))
-            at = m.end()
+            m = token(source, at)
+            kind, text = m.lastgroup, m[0]
+            if kind == "op":
+                if text in _PAIRS:
+                    depth += 1
+                    self.opens(text)
+                elif text in _CLOSERS:
+                    if until and text == until and not depth:
+                        return at
+                    depth -= 1
+                    self.closes()
+            end = at + len(text)
+            add(Token(kind, text, at, end))
+            at = end
         return at
 
     def template(self, at: int) -> int:
@@ -125,8 +160,10 @@ class Lexer:
         return at
 
     def braces(self, at: int) -> int:
+        self.open.append(False)
         self.tokens.append(Token("op", "{", at, at + 1))
         end = self.run(at + 1, "}")
+        self.closes()
         self.tokens.append(Token("op", "}", end, end + 1))
         return end + 1
 
@@ -143,13 +180,20 @@ class Module:
         lexer = Lexer(source, language in ("jsx", "tsx", "javascript"))
         lexer.run()
         self.tokens = lexer.tokens
+        self.typed = language in ("typescript", "tsx")
+        #: The bracket around each opening bracket, and the brackets that are bodies of classes and of interfaces.
+        self.outer: dict[int, int] = {}
+        self.members: set[int] = set()
+        self.types: list[tuple[int, int]] = []
         stack: list[int] = []
         for i, t in enumerate(self.tokens):
-            if t.kind == "op" and t.text in _PAIRS:
-                stack.append(i)
-            elif t.kind == "op" and t.text in _PAIRS.values() and stack:
-                self.tokens[stack[-1]].close = i
-                t.close = stack.pop()
+            if t.kind == "op":
+                if t.text in _PAIRS:
+                    self.outer[i] = stack[-1] if stack else -1
+                    stack.append(i)
+                elif t.text in _CLOSERS and stack:
+                    self.tokens[stack[-1]].close = i
+                    t.close = stack.pop()
         for i in stack:
             self.tokens[i].close = len(self.tokens) - 1
         self.lines = [m.end() for m in re.finditer("\n", source)]
@@ -217,6 +261,7 @@ class Module:
             return end + 1
         if word == "type" and self.tokens[min(i + 1, len(self.tokens) - 1)].kind == "id" and self.text(i + 2) in ("=", "<"):
             end = self.end_of(i + 2)
+            self.types.append((i, end))
             refs = [self.text(k) for k in range(i + 3, end + 1) if self.tokens[k].kind == "id"]
             self.symbol(nxt, "type", start, end, exported, type_refs=refs)
             return end + 1
@@ -350,11 +395,42 @@ class Module:
             t = self.tokens[k]
             out.append("{}" if t.text == "{" else "[]" if t.text == "[" else "..." if t.text == "..." else t.text)
             while k < close and not self.is_op(k, ","):
-                t = self.tokens[k]
-                k = t.close + 1 if t.kind == "op" and t.text in _PAIRS and t.close > k else k + 1
+                k = self.beyond(k)
             k += 1
         return out
 
+    def beyond(self, k: int) -> int:
+        """The token after token ``k``, or after what it opens."""
+        t = self.tokens[k]
+        if t.kind != "op":
+            return k + 1
+        if t.text in _PAIRS and t.close > k:
+            return t.close + 1
+        if t.text == "<" and self.typed and k and self.tokens[k - 1].kind == "id":
+            return self.after_type_arguments(k) or k + 1
+        return k + 1
+
+    def after_type_arguments(self, i: int) -> int | None:
+        """The parenthesis that follows the type arguments from token ``i`` on; None if these aren't any."""
+        depth, k = 0, i
+        while k < len(self.tokens):
+            t = self.tokens[k]
+            if t.kind == "op":
+                if t.text == "<":
+                    depth += 1
+                elif t.text == ">":
+                    depth -= 1
+                    if not depth:
+                        return k + 1 if self.is_op(k + 1, "(") else None
+                elif t.text in _PAIRS and t.close > k:
+                    k = t.close
+                elif t.text not in _TYPE_OPS:
+                    return None
+            elif t.kind not in ("id", "str", "num"):
+                return None
+            k += 1
+        return None
+
     def body(self, brace: int) -> dict:
         """Span and JSX returns of a body in braces."""
         close = self.tokens[brace].close
@@ -471,6 +547,8 @@ class Module:
         if k >= len(self.tokens):
             return i + 1
         close = self.tokens[k].close
+        if kind == "interface":
+            self.types.append((k, close))
         refs = [self.text(j) for j in range(k + 1, close) if self.tokens[j].kind == "id" and self.is_op(j - 1, ":")]
         self.symbol(name or own or "default", kind, start, close, exported, extends=parents, type_refs=refs)
         return close + 1
@@ -479,8 +557,9 @@ class Module:
         kind, end, k = self.text(i), self.end_of(i), i + 1
         while k <= end and k < len(self.tokens):
             name = self.tokens[k]
-            value = k + 1
-            if self.is_op(value, ":") and name.kind == "id":
+            # of a pattern no name is taken, as it may rename or hold defaults
+            value = name.close + 1 if name.kind == "op" and name.text in ("{", "[") and name.close > k else k + 1
+            if self.is_op(value, ":"):
                 depth = 0
                 while value <= end and not (self.is_op(value, "=") and depth == 0) and not (self.is_op(value, ",") and depth == 0):
                     t = self.tokens[value]
@@ -488,8 +567,7 @@ class Module:
                     value = t.close + 1 if t.kind == "op" and t.text in _PAIRS and t.close > value else value + 1
             stop = value
             while stop <= end and not self.is_op(stop, ",") and not self.is_op(stop, ";"):
-                t = self.tokens[stop]
-                stop = t.close + 1 if t.kind == "op" and t.text in _PAIRS and t.close > stop else stop + 1
+                stop = self.beyond(stop)
             if name.kind == "id":
                 self.bound.add(name.start)
                 found = self.arrow(value + 1) if self.is_op(value, "=") else None
@@ -504,11 +582,55 @@ class Module:
 
     # whole-file facts
 
-    def callee(self, i: int) -> int | None:
-        """First token of the callee that ends before the parenthesis ``i``."""
+    def class_body(self, i: int) -> None:
+        """Notes the braces of the class that begins at token ``i``."""
+        k, depth = i + 1, 0
+        while k < len(self.tokens) and k < i + 200:
+            t = self.tokens[k]
+            if t.kind == "op":
+                if t.text == "{" and depth <= 0:
+                    self.members.add(k)
+                    return
+                depth += (t.text == "<") - (t.text == ">")
+                if t.text in _PAIRS and t.close > k:
+                    k = t.close
+                elif t.text in (";", "=", ")", "}"):
+                    return
+            k += 1
+
+    def before_type_arguments(self, i: int) -> int | None:
+        """Last token before the type arguments that end at token ``i``; None if these aren't any."""
+        depth, k = 0, i
+        while k > 0:
+            t = self.tokens[k]
+            if t.kind == "op":
+                if t.text == ">":
+                    depth += 1
+                elif t.text == "<":
+                    depth -= 1
+                    if not depth:
+                        return k - 1 if self.tokens[k - 1].kind == "id" and self.tokens[k - 1].text not in _BEFORE_VALUE else None
+                elif t.text in _CLOSERS:
+                    if not 0 <= t.close < k:
+                        return None
+                    k = t.close
+                elif t.text not in _TYPE_OPS:
+                    return None
+            elif t.kind not in ("id", "str", "num"):
+                return None
+            k -= 1
+        return None
+
+    def callee(self, i: int) -> tuple[int, int] | None:
+        """First and last token of the callee before the parenthesis ``i``."""
         k = i - 1
-        if k < 0 or self.tokens[k].kind != "id" and not self.is_op(k, "]"):
+        if k >= 0 and self.typed and self.is_op(k, ">"):
+            k = self.before_type_arguments(k)
+        if k is not None and k >= 0 and self.typed and self.is_op(k, "!"):
+            k -= 1
+        if k is None or k < 0 or self.tokens[k].kind != "id" and not self.is_op(k, "]"):
             return None
+        last = k
         while True:
             if self.is_op(k, "]") and self.tokens[k].close >= 0:
                 k = self.tokens[k].close - 1
@@ -518,35 +640,56 @@ class Module:
                 if self.is_op(k, ")"):
                     k = self.tokens[k].close - 1
                     if k < 0 or self.tokens[k].kind != "id":
-                        return k + 1
+                        return k + 1, last
                 continue
-            return k
+            return k, last
+
+    def declares(self, first: int, last: int, i: int) -> bool:
+        """Whether the name and parenthesis declare a method, or a signature, instead of calling."""
+        close = self.tokens[i].close
+        if first != last or close < i:
+            return False
+        before, after = self.tokens[first - 1] if first else None, self.tokens[close + 1] if close + 1 < len(self.tokens) else None
+        starts = before is None or before.kind == "op" and before.text in ("{", "}", ";", ",", "*") or before.kind == "id" and before.text in _MODIFIERS
+        starts = starts or before.text == ")" and "\n" in self.source[before.end : self.tokens[first].start]  # after a decorator
+        if self.outer[i] in self.members:
+            return starts or "\n" in self.source[before.end : self.tokens[first].start] and not self.is_op(first - 1, "=")
+        if after is None or after.kind != "op":
+            return False
+        same_line = "\n" not in self.source[self.tokens[close].end : after.start]
+        return starts and same_line and (after.text == "{" or self.typed and after.text == ":" and self.is_op(self.outer[i], "{"))
 
     def facts(self) -> dict:
         calls, env, evals, dynamic, refs, secrets = [], [], [], [], [], []
         wanted = {n for i in self.imports for n in fixed.DYNAMIC_APIS.get(i["specifier"], ()) if n in i["names"]}
-        for i, t in enumerate(self.tokens):
-            before = self.text(i - 1) if i else ""
+        tokens, types = self.tokens, sorted(self.types)
+        for i, t in enumerate(tokens):
+            if t.kind == "id" and t.text == "class" and not (i and tokens[i - 1].text in (".", "?.")):
+                self.class_body(i)
+            before = tokens[i - 1].text if i else ""
             if t.kind == "op" and t.text == "(":
-                first = self.callee(i)
-                if first is None or self.text(i - 1) in _NOT_CALLEES and self.text(i - 1) != "import":
-                    if not (i and self.text(i - 1) == "import"):
+                while types and types[0][1] < i:
+                    types.pop(0)
+                if types and types[0][0] < i:  # a type has no calls
+                    continue
+                found = self.callee(i)
+                if found is None or before in _NOT_CALLEES and before != "import":
+                    if before != "import":
                         continue
-                    first = i - 1
+                    found = i - 1, i - 1
+                first, last = found
                 head = self.text(first - 1) if first else ""
-                callee = self.source[self.tokens[first].start : self.tokens[i - 1].end]
+                callee = self.source[tokens[first].start : tokens[last].end]
                 span = self.span(self.tokens[first].start, self.tokens[t.close].end if t.close > i else t.end)
                 if head == "new":
                     if callee == "Function":
                         evals.append({"name": "new Function", **self.span(self.tokens[first - 1].start, self.tokens[t.close].end)})
                     continue
-                if head == "function" or self.text(t.close + 1) == "{" and head in ("get", "set", "static"):
+                if head == "function" or head == "*" and self.text(first - 2) == "function" or self.declares(first, last, i):
                     continue
                 arg = self.tokens[i + 1] if i + 1 < t.close else None
                 if callee in ("require", "import") and arg is not None and arg.kind == "str":
                     self.add_import(i, _unquote(arg), "require" if callee == "require" else "dynamic", [], self.tokens[first].start, self.tokens[t.close].end)
-                if callee == "import":
-                    continue
                 calls.append({"callee": callee, "args": len(self.params(i)), **span})
                 if callee in fixed.EVAL_CALLEES:
                     evals.append({"name": callee, **span})

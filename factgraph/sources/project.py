@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import fnmatch
 import json
 import os
 import re
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -26,55 +26,135 @@ calls array<struct<callee string, args int, {_SPAN}>>, env_reads array<struct<na
 refs array<string>, secrets array<struct<binding string, preview string, length int, signal string, {_SPAN}>>, directives array<string>"""
 
 
-def _ignored(patterns: list[tuple[str, str]], path: str, is_dir: bool) -> bool:
+def ignore_pattern(line: str) -> tuple[bool, bool, re.Pattern] | None:
+    """(negated, folders only, pattern over paths below the file's folder) of a line of an ignore file, if it has any.
+
+    ``*`` and ``?`` stop at a slash, ``**/`` stands for any folders or none, a slash before the end ties the pattern to
+    the file's folder.
+    """
+    line = re.sub(r"(?<!\\)\s+$", "", line.rstrip("\n"))
+    if not line or line.startswith("#"):
+        return None
+    negated = line.startswith("!")
+    line = line[1:] if negated else line
+    folder, line = line.endswith("/"), line.rstrip("/")
+    tied, line = "/" in line, line.removeprefix("/")
+    out, i = "" if tied else "(?:.*/)?", 0
+    while i < len(line):
+        if line.startswith("**/", i) and (i == 0 or line[i - 1] == "/"):
+            out, i = out + "(?:.*/)?", i + 3
+        elif line.startswith("/**", i) and i + 3 == len(line):
+            out, i = out + "/.+", i + 3
+        elif line[i] == "*":
+            out, i = out + "[^/]*", i + 1 + (len(line[i:]) - len(line[i:].lstrip("*")) - 1)
+        elif line[i] == "?":
+            out, i = out + "[^/]", i + 1
+        elif line[i] == "[" and (end := line.find("]", i + 2)) > 0:
+            inner = line[i + 1 : end].replace("\\", "\\\\")
+            out, i = out + "(?!/)[" + ("^" + inner[1:] if inner[0] in "!^" else inner) + "]", end + 1
+        else:
+            i += line[i] == "\\" and i + 1 < len(line)
+            out, i = out + re.escape(line[i]), i + 1
+    try:
+        return negated, folder, re.compile(out)
+    except re.error:
+        return None
+
+
+def _ignored(patterns: list[tuple[str, tuple]], path: str, is_dir: bool) -> bool:
     """The last matching line of the ignore files above a path decides."""
-    out = False
-    for base, line in patterns:
-        if base and not path.startswith(base + "/"):
-            continue
-        rel, negated = path[len(base) + 1 if base else 0 :], line.startswith("!")
-        rule = line.lstrip("!")
-        if rule.endswith("/") and not is_dir:
+    for base, (negated, folder, pattern) in reversed(patterns):
+        if base and not path.startswith(base + "/") or folder and not is_dir:
             continue
-        rule = rule.rstrip("/")
-        hit = fnmatch.fnmatch(rel, rule.lstrip("/")) if "/" in rule else fnmatch.fnmatch(os.path.basename(rel), rule)
-        out = not negated if hit else out
-    return out
+        if pattern.fullmatch(path[len(base) + 1 if base else 0 :]):
+            return not negated
+    return False
+
+
+#: In a folder, the later ones go before; the first is the project's own.
+IGNORE_FILES = (".git/info/exclude", ".gitignore", ".ignore")
 
 
 def walk(root: str) -> Iterator[str]:
     """Relative paths of a project's files, in order; hidden, ignored and excluded entries are passed over."""
-    ignore: list[tuple[str, str]] = []
+    ignore: list[tuple[str, tuple]] = []
     for folder, names, files in os.walk(root):
         rel = os.path.relpath(folder, root).replace(os.sep, "/")
         rel = "" if rel == "." else rel
-        if ".gitignore" in files:
-            with open(os.path.join(folder, ".gitignore"), encoding="utf-8", errors="replace") as f:
-                ignore += [(rel, line.strip()) for line in f if line.strip() and not line.startswith("#")]
+        for name in IGNORE_FILES if not rel else IGNORE_FILES[1:]:
+            if os.path.isfile(os.path.join(folder, name)):
+                with open(os.path.join(folder, name), encoding="utf-8", errors="replace") as f:
+                    ignore += [(rel, p) for p in map(ignore_pattern, f) if p]
         join = lambda n: f"{rel}/{n}" if rel else n  # noqa: E731, B023
         keep = lambda n, d: n not in fixed.HARD_EXCLUDES and not _ignored(ignore, join(n), d)  # noqa: E731, B023
         names[:] = sorted(n for n in names if not n.startswith(".") and keep(n, True))
         yield from (join(n) for n in sorted(files) if (not n.startswith(".") or n in fixed.ENV_FILES) and keep(n, False))
 
 
-def scan(spark: SparkSession, roots: dict[str, str]) -> DataFrame:
-    """Files of projects (id -> folder that all executors see): listed on the driver, read in tasks."""
-    listed = [(project, os.path.join(root, path), path) for project, root in roots.items() for path in walk(root)]
-    if not listed:
-        return spark.createDataFrame([], FILES)
+LISTED = "project_id string, place string, path string, size long, mtime_ms long"
+
+
+def listing(spark: SparkSession, roots: dict[str, str]) -> DataFrame:
+    """Files of projects (id -> folder that all executors see) with their size and time; a task lists a project."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            content = []
-            for place in batch.column(1).to_pylist():
-                try:
-                    with open(place, encoding="utf-8", errors="replace") as f:
-                        content.append(f.read())
-                except OSError:
-                    content.append(None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(content, pa.string())], names=["project_id", "path", "content"])
+            for project, root in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                rows = []
+                for path in walk(root):
+                    place = os.path.join(root, path)
+                    try:
+                        found = os.stat(place)
+                        rows.append((project, place, path, found.st_size, found.st_mtime_ns // 1_000_000))
+                    except OSError:
+                        rows.append((project, place, path, 0, 0))
+                columns = list(zip(*rows)) or [()] * 5
+                kinds = (pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=[c.split()[0] for c in LISTED.split(", ")])
+
+    projects = spark.createDataFrame([(p, os.path.abspath(r)) for p, r in roots.items()], "project_id string, root string")
+    return projects.repartition(max(1, min(len(roots), 1024)), "project_id").mapInArrow(run, LISTED)
+
+
+def read(listed: DataFrame) -> DataFrame:
+    """The listed files with their content (null: unreadable), dealt by path, so one large project isn't one task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, FILES_HELD):
+                part, content = batch.slice(at, FILES_HELD), []
+                for place in part.column(1).to_pylist():
+                    try:
+                        with open(place, encoding="utf-8", errors="replace") as f:
+                            content.append(f.read())
+                    except OSError:
+                        content.append(None)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(content, pa.string()), part.column(3), part.column(4)], names=["project_id", "path", "content", "size", "mtime_ms"])
+
+    dealt = listed.select("project_id", "place", "path", "size", "mtime_ms").repartition("project_id", "path")
+    return dealt.mapInArrow(run, f"{FILES}, size long, mtime_ms long")
+
+
+def scan(spark: SparkSession, roots: dict[str, str]) -> DataFrame:
+    """(project_id, path, content) of projects (id -> folder that all executors see)."""
+    return read(listing(spark, roots)).select("project_id", "path", "content")
+
 
-    return spark.createDataFrame(listed, "project_id string, place string, path string").mapInArrow(run, FILES)
+#: Files, and characters of them, that a task holds as Python objects at a time.
+FILES_HELD, TEXT_HELD = 64, 4 << 20
+
+
+def _parts(batch: pa.RecordBatch) -> Iterator[list[dict]]:
+    """Rows of a batch, a few at a time."""
+    sizes = pc.binary_length(batch.column(batch.schema.get_field_index("content"))).fill_null(0).to_pylist() if batch.num_rows else []
+    begin, held = 0, 0
+    for at, size in enumerate(sizes):
+        if at > begin and (held + size > TEXT_HELD or at - begin >= FILES_HELD):
+            yield batch.slice(begin, at - begin).to_pylist()
+            begin, held = at, 0
+        held += size
+    if len(sizes) > begin:
+        yield batch.slice(begin).to_pylist()
 
 
 def parse(files: DataFrame) -> DataFrame:
@@ -88,9 +168,9 @@ def parse(files: DataFrame) -> DataFrame:
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for part in (p for batch in batches for p in _parts(batch)):
             rows = []
-            for row in batch.to_pylist():
+            for row in part:
                 out = {k: row[k] for k in ("project_id", "path", "language")} | {"failure": None}
                 try:
                     if row["content"] is None:
@@ -134,39 +214,39 @@ def jsonc(text: str) -> str:
     return re.sub(r'("(?:\\.|[^"\\])*")|,(?=\s*[}\]])', lambda m: m[1] or "", kept)
 
 
-def aliases(configs: dict[str, str], path: str = "tsconfig.json") -> list[tuple[int, str, str | None, str]]:
-    """(priority, prefix, suffix, target) of a project's path aliases, from the texts of its configuration files.
+def parent_config(text: str, path: str = "tsconfig.json") -> str | None:
+    """Path of the configuration file that one extends, if it is a local one."""
+    try:
+        parent = json.loads(jsonc(text)).get("extends")
+    except (ValueError, AttributeError):
+        return None
+    if not isinstance(parent, str) or not parent.startswith("."):
+        return None
+    at = os.path.normpath(os.path.join(os.path.dirname(path), parent)).replace(os.sep, "/")
+    return at if at.endswith(".json") else at + ".json"
+
+
+def aliases(configs: dict[str, str], path: str = "tsconfig.json") -> list[tuple[int, str, str | None, int, str]]:
+    """(priority, prefix, suffix, target_ord, target) of a project's path aliases, from its configuration files' texts.
 
-    Exact patterns come first, then the longest prefix; one local ``extends`` is followed, and a pattern of the child
-    replaces the parent's.  Bad files have none.
+    Exact patterns come first, then the longest prefix; a pattern's targets keep their order.  One local ``extends`` is
+    followed, and a pattern of the child replaces the parent's.  Targets are relative to their file's base folder.  Bad
+    files have none.
     """
 
-    def load(at: str) -> tuple[dict, str]:
+    def load(at: str) -> dict[str, list[str]]:
         try:
-            options = json.loads(jsonc(configs[at]))
-        except (KeyError, ValueError):
-            return {}, ""
-        return options, os.path.dirname(at)
-
-    own, folder = load(path)
-    patterns: dict[str, list[str]] = {}
-    levels = []
-    parent = own.get("extends") if isinstance(own, dict) else None
-    if isinstance(parent, str) and parent.startswith("."):
-        at = os.path.normpath(os.path.join(folder, parent)).replace(os.sep, "/")
-        levels.append(load(at if at.endswith(".json") else at + ".json"))
-    levels.append((own, folder))
-    base = None
-    for options, where in levels:
-        compiler = options.get("compilerOptions") or {}
-        if compiler.get("baseUrl"):
-            base = os.path.normpath(os.path.join(where, compiler["baseUrl"])).replace(os.sep, "/")
-        for pattern, targets in (compiler.get("paths") or {}).items():
-            root = base if base not in (None, ".") else where
-            patterns[pattern] = [os.path.normpath(os.path.join(root, t)).replace(os.sep, "/") for t in targets]
+            options = json.loads(jsonc(configs[at])).get("compilerOptions") or {}
+            root = os.path.join(os.path.dirname(at), options.get("baseUrl") or ".")
+            return {p: [os.path.normpath(os.path.join(root, t)).replace(os.sep, "/") for t in targets] for p, targets in (options.get("paths") or {}).items()}
+        except (KeyError, ValueError, AttributeError, TypeError):
+            return {}
+
+    parent = parent_config(configs.get(path, ""), path)
+    patterns = (load(parent) if parent else {}) | load(path)
     out = []
     for pattern, targets in patterns.items():
         prefix, star, suffix = pattern.partition("*")
-        out.append((0 if not star else 1, -len(prefix), prefix, suffix if star else None, targets))
-    out.sort(key=lambda x: (x[0], x[1], x[2]))
-    return [(i, prefix, suffix, t) for i, (_, _, prefix, suffix, targets) in enumerate(out) for t in targets]
+        out.append((bool(star), -len(prefix), prefix, suffix if star else None, targets))
+    out.sort(key=lambda x: x[:3])
+    return [(i, prefix, suffix, k, t) for i, (_, _, prefix, suffix, targets) in enumerate(out) for k, t in enumerate(targets)]

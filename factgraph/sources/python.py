@@ -50,7 +50,7 @@ def _listed(tree: ast.Module) -> set[str] | None:
 def _declared(node: ast.stmt):
     if isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef)):
         a = node.args
-        params = [*(x.arg for x in (*a.posonlyargs, *a.args)), *(["..."] if a.vararg else []), *(x.arg for x in a.kwonlyargs), *(["..."] if a.kwarg else [])]
+        params = [*(x.arg for x in (*a.posonlyargs, *a.args)), *([f"*{a.vararg.arg}"] if a.vararg else []), *(x.arg for x in a.kwonlyargs), *([f"**{a.kwarg.arg}"] if a.kwarg else [])]
 
         def payload(span) -> dict:
             body = span(node.body[0], node.body[-1])

@@ -99,6 +99,39 @@ def test_report_is_the_same_however_it_is_cut(spark, findings):
     assert len(sarif["results"]) == data["summary"]["total"] and {r["id"] for r in sarif["tool"]["driver"]["rules"]} == {d["rule_id"] for d in data["diagnostics"]}
     assert "<script" not in report.to_html(data) and report.to_markdown(data).startswith("# Report") and "health" in report.to_terminal(data)
     assert "hunter2" not in report.to_json(data)
+    assert report.read_json(spark, report.to_json(data)).count() == data["summary"]["total"]
+    for bad in ("[]", "{}", '{"diagnostics": [{}], "summary": {}, "scorecard": {}}', '{"diagnostics": 1, "summary": {}, "scorecard": {}}'):
+        with pytest.raises(ValueError):
+            report.from_json(bad)
+
+
+def test_reports_of_many_projects(spark, findings, tmp_path):
+    report.write_reports(findings, str(tmp_path / "out"))
+    back = spark.read.json(str(tmp_path / "out"))
+    assert back.count() == findings.count() and {r.project_id for r in back.select("project_id").distinct().collect()} == {r.project_id for r in findings.select("project_id").distinct().collect()}
+    for name in ("cycle", "next"):
+        (tmp_path / "in").mkdir(exist_ok=True)
+        (tmp_path / "in" / f"{name}.json").write_text(report.to_json(report.report(findings, name)))
+    assert report.read_reports(spark, str(tmp_path / "in")).count() == findings.where("project_id IN ('cycle', 'next')").count()
+
+
+def test_numbering_by_ranges(spark):
+    rows = spark.createDataFrame([(k, (i * 7919) % 101) for k in ("a", "b", None) for i in range(60)], "k string, v int").repartition(5)
+    found = graph.numbered(rows, ["k"], ["v"], "place").collect()
+    for k in ("a", "b", None):
+        own = sorted((r.v, r.place) for r in found if r.k == k)
+        assert [p for _, p in own] == list(range(60))
+    assert graph.numbered(rows.limit(0), ["k"], ["v"], "place").count() == 0
+
+
+def test_writes_are_all_or_none(tmp_path, monkeypatch):
+    for name in ("a", "b", "c"):
+        (tmp_path / name).write_text(name)
+    fixes.write(str(tmp_path), {"a": "A", "b": "B"})
+    assert [(tmp_path / n).read_text() for n in "abc"] == ["A", "B", "c"]
+    with pytest.raises(OSError):
+        fixes.write(str(tmp_path), {"a": "x", "b": "y", "missing": "z"})
+    assert sorted((p.name, p.read_text()) for p in tmp_path.iterdir()) == [("a", "A"), ("b", "B"), ("c", "c")]
 
 
 def test_config_filter(spark, findings):
@@ -179,3 +212,34 @@ def test_watch(spark, tmp_path):
     finally:
         query.stop()
     assert seen == [(["a.ts"], []), (["b.ts"], []), ([], ["a.ts"])]
+
+
+def test_watch_with_an_empty_batch_between(spark, tmp_path):
+    """Batches without events leave the state as it is; a batch that is run again finds the one before it."""
+    versions = [["a.ts"], ["a.ts", "b.ts"], ["b.ts", "c.ts"]]
+    seen, at, steps = [], {"n": 0}, []
+
+    def analyse():
+        at["n"] += 1
+        return spark.createDataFrame([("p", x, 1, "r/x", "T") for x in versions[at["n"] - 1]], "project_id string, path string, line int, rule_id string, title string")
+
+    class Stream:
+        """Takes the function for batches and calls it with batches of our own."""
+
+        def __getattr__(self, name):
+            return lambda *a, **k: steps.extend(a) or self if name == "foreachBatch" else self
+
+    class Changes:
+        writeStream = Stream()
+
+    watch.watch(spark, Changes(), analyse, str(tmp_path / "s"), lambda b, new, gone: seen.append((b, sorted(r.path for r in new.collect()), sorted(r.path for r in gone.collect()))), "c")
+    events = spark.createDataFrame([("x",)], "path string")
+    steps[0](events, 0)
+    steps[0](events.limit(0), 1)
+    steps[0](events, 2)
+    at["n"] = 1
+    steps[0](events, 2)
+    steps[0](events.limit(0), 3)
+    steps[0](events, 4)
+    assert seen == [(0, ["a.ts"], []), (2, ["b.ts"], []), (2, ["b.ts"], []), (4, ["c.ts"], ["a.ts"])]
+    assert sorted(p.name for p in (tmp_path / "s").iterdir()) == ["batch=2", "batch=4"]

@@ -81,8 +81,45 @@ def test_jsonc_and_aliases():
     text = '{ // c\n "extends": "./base", "compilerOptions": { "paths": { "@/*": ["./src/*"], "exact": ["./e.ts"], "@/lib/*": ["l/*"], } } /* x */ }'
     base = '{"compilerOptions": {"baseUrl": ".", "paths": {"@/*": ["old/*"], "~/*": ["root/*"]}}}'
     assert project.jsonc('{"a": "// no", }') == '{"a": "// no" }'
-    assert project.aliases({"tsconfig.json": text, "base.json": base}) == [(0, "exact", None, "e.ts"), (1, "@/lib/", "", "l/*"), (2, "@/", "", "src/*"), (3, "~/", "", "root/*")]
+    assert project.aliases({"tsconfig.json": text, "base.json": base}) == [(0, "exact", None, 0, "e.ts"), (1, "@/lib/", "", 0, "l/*"), (2, "@/", "", 0, "src/*"), (3, "~/", "", 0, "root/*")]
     assert project.aliases({}) == [] and project.aliases({"tsconfig.json": "nonsense"}) == []
+    many = {"tsconfig.json": '{"extends": "./a/b/c/d/e/f", "compilerOptions": {"paths": {"@/*": ["x/*", "y/*"]}}}', "a/b/c/d/e/f.json": '{"compilerOptions": {"baseUrl": "../..", "paths": {"~/*": ["z/*"], "@/*": ["w/*"]}}}'}
+    assert project.aliases(many) == [(0, "@/", "", 0, "x/*"), (0, "@/", "", 1, "y/*"), (1, "~/", "", 0, "a/b/c/z/*")]
+    assert project.parent_config('{"extends": "@tsconfig/node"}') is None and project.parent_config("[]") is None
+
+
+def test_patterns_declare_no_names():
+    f = js("export const { a, b: { c } = {}, ...d } = o;\nconst [e, f = 1] = p, g = 2;\nlet h;\n", "typescript")
+    assert names(f["symbols"]) == ["g", "h"] and f["exports"] == []
+
+
+def test_generic_calls_and_what_is_none():
+    calls = lambda source, language="typescript": [(c["callee"], c["args"]) for c in js(source, language)["calls"]]
+    assert calls('foo<string>("a"); b.c<{ x: number }, [y, z]>(1, 2); new Map<string, number>(); f(new Set<a, b>(), 1);') == [("foo", 1), ("b.c", 2), ("f", 2)]
+    assert calls("g(a < b, c > d); if (a < b && c > (d)) {}") == [("g", 2)]
+    assert calls("g(a<b>(c));", "javascript") == [("g", 1)]
+    assert calls("class A extends B {\n  constructor(a) { super(a); }\n  run(): void { go(); }\n  get v() { return q(); }\n  over(a: string);\n  w = make();\n  @dec() y = 1;\n}\n") == [("super", 1), ("go", 0), ("q", 0), ("make", 0), ("dec", 0)]
+    assert calls("interface I { m(a: string): void; n(): I }\ntype F = { p(): void };\nconst o = { meth(a) { inner(); }, v: outer() };\nc ? yes() : no();\n") == [("inner", 0), ("outer", 0), ("yes", 0), ("no", 0)]
+    assert calls("function a() {} function* b() {} async function c() {} switch (k()) { case one(): two(); }") == [("k", 0), ("one", 0), ("two", 0)]
+
+
+def test_patterns_after_conditions_and_blocks():
+    f = js("if (x) /re\"/.test(y);\nconst k = 1;\nwhile (z) /a'/.exec(z);\nconst l = (a) / b / c;\nfunction f() {}\n/x\"/.test(f);\nexport const q = { a: 1 } / 2;\n", "javascript")
+    assert names(f["symbols"]) == ["k", "l", "f", "q"]
+
+
+@pytest.mark.parametrize(
+    "line, path, is_dir, hit",
+    [
+        ("src/*.js", "src/a.js", False, True), ("src/*.js", "src/a/b.js", False, False), ("**/gen/x.ts", "gen/x.ts", False, True), ("**/gen/x.ts", "a/b/gen/x.ts", False, True),
+        ("a/**/z.ts", "a/z.ts", False, True), ("a/**/z.ts", "a/b/c/z.ts", False, True), ("a/**/z.ts", "b/a/z.ts", False, False), ("/top", "top", False, True), ("/top", "x/top", False, False),
+        ("any", "x/any", True, True), ("dir/", "dir", False, False), ("dir/", "x/dir", True, True), ("out/**", "out/a/b", False, True), ("out/**", "out", True, False), ("f?.ts", "fa.ts", False, True),
+        ("f?.ts", "f/.ts", False, False), ("[ab]c", "bc", False, True), ("[!ab]c", "bc", False, False), ("\\#x", "#x", False, True), ("# c", "# c", False, False), ("x  ", "x", False, True), ("a.b", "aXb", False, False),
+    ],
+)
+def test_ignore_patterns(line, path, is_dir, hit):
+    found = project.ignore_pattern(line)
+    assert (found is not None and project._ignored([("", found)], path, is_dir)) == hit
 
 
 def test_scan(spark, tmp_path):
@@ -91,6 +128,43 @@ def test_scan(spark, tmp_path):
         (tmp_path / path).write_text(text)
     found = {r.path: r.content for r in project.scan(spark, {"p": str(tmp_path)}).collect()}
     assert found == {".env": "A=1", "_b.ts": "x", "a/__init__.py": "", "keep.tmp": ""}
+    (tmp_path / "a/.gitignore").write_text("/own.ts\n!*.tmp\n")
+    (tmp_path / ".ignore").write_text("keep.tmp\n")
+    for path in ("a/own.ts", "a/b/own.ts", "a/c.tmp"):
+        (tmp_path / path).parent.mkdir(exist_ok=True)
+        (tmp_path / path).write_text("")
+    assert list(project.walk(str(tmp_path))) == [".env", "_b.ts", "a/__init__.py", "a/c.tmp", "a/b/own.ts"]
+
+
+def test_warm_run_reads_only_what_changed(spark, tmp_path, monkeypatch):
+    from factgraph.operators import cache, engine
+
+    root, folder = tmp_path / "p", str(tmp_path / "cache")
+    root.mkdir()
+    (root / "a.ts").write_text('import { b } from "./b";\nb();\n')
+    (root / "b.ts").write_text("export const b = 1;\n")
+    (root / "c.ts").write_text("export const c = 1;\n")
+    listed = lambda: project.listing(spark, {"p": str(root)})
+    columns = ["project_id", "path", "exports", "imports"]
+    rows = lambda df: sorted(map(str, df.select(*columns).collect()))
+    cold = rows(cache.parse_listed(spark, listed(), folder))
+    assert cold == rows(project.parse(project.scan(spark, {"p": str(root)})))
+    read = []
+    plain = project.read
+    monkeypatch.setattr(project, "read", lambda df: read.append(sorted(r.path for r in df.collect())) or plain(df))
+    assert rows(cache.parse_listed(spark, listed(), folder)) == cold and read.pop() == []
+    (root / "b.ts").write_text("export const b = 2, more = 3;\n")
+    (root / "c.ts").unlink()
+    import os
+
+    os.utime(root / "a.ts", (1, 1))  # a new time, the same content
+    now = {r.path: r for r in cache.parse_listed(spark, listed(), folder).collect()}
+    assert read.pop() == ["a.ts", "b.ts"] and sorted(now) == ["a.ts", "b.ts"] and len(now["b.ts"].exports) == 2
+    cache.parse_listed(spark, listed(), folder).count()
+    assert read.pop() == []
+    monkeypatch.undo()
+    found = sorted((r.rule_id, r.path) for r in engine.analyze_folders(spark, {"p": str(root)}, cached=folder).collect())
+    assert found == sorted((r.rule_id, r.path) for r in engine.analyze_folders(spark, {"p": str(root)}).collect()) and found
 
 
 def test_data_source_and_table_function(spark, tmp_path):
