@@ -9,8 +9,10 @@ unknown word in each class, so that probabilities add up to one.
 Exchange clustering maximises the likelihood of the class bigrams.  The SEEDS most frequent words are exchanged one by
 one on the driver, over their own bigram counts (a matrix of fixed size).  Then all words take part in rounds: a pass
 over the encoded corpus counts each word's neighbours by class; the counts of a block of words meet in one task, which
-finds the best class of each of its words, given all others; and a half of the words, another one each round, moves.
-Rounds end when the likelihood rises by less than GAIN of its value, or after ROUNDS.
+finds the best class of each of its words, given all others.  Moves that are good one by one can be bad together, so
+those of the highest gain are made, as long as no class gains or loses over a SHARE of its tokens; a round that lowers
+the likelihood is taken back and tried with a quarter of that.  Rounds end when the likelihood rises by less than GAIN
+of its value, or after ROUNDS.
 
 The corpus is tokenised twice, for the counts and for the encoding in two bytes a token, which later passes read.
 Scoring knows the counts of clustered words; those of the others, few tokens, come from the full count table by a join.
@@ -38,7 +40,7 @@ SEEDS = 2048
 #: Class 0 is a document's end, 1 to 4 hold the words that aren't clustered.
 CLASSES = 64
 SWEEPS = 6
-ROUNDS, GAIN = 10, 2e-4
+ROUNDS, GAIN, SHARE = 6, 1e-4, 0.2
 ADDED = 0.1
 #: Class-frequency weight in transitions.
 BACKOFF = 2.0
@@ -274,8 +276,9 @@ def exchange(pairs: np.ndarray, fixed: dict[int, int], classes: int, sweeps: int
     return of
 
 
-def _moves(corpus: DataFrame, of: np.ndarray, table: np.ndarray, chosen: np.ndarray) -> pa.Table:
-    """(id, class): the best class of each ``chosen`` id, given the classes of all others."""
+def _moves(corpus: DataFrame, of: np.ndarray, table: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(ids, classes, rises): the best class of each ``chosen`` id that isn't in it, given the classes of all others, and
+    by how much the likelihood rises."""
     classes = len(table)
     wide, first = classes + 1, 1 + KINDS
 
@@ -312,11 +315,27 @@ def _moves(corpus: DataFrame, of: np.ndarray, table: np.ndarray, chosen: np.ndar
                 some = here[at : at + TRIED]
                 ids = block * BLOCK + some
                 old = np.where(of[ids] < classes, of[ids].astype(np.int64), -1)
-                new, _ = best_classes(table, after[some, :classes], before[some, :classes], counts[2 * BLOCK * wide + some], old, first)
-                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(new)], names=["id", "class"])
+                new, rise = best_classes(table, after[some, :classes], before[some, :classes], counts[2 * BLOCK * wide + some], old, first)
+                moved = new != old
+                yield pa.RecordBatch.from_arrays([pa.array(ids[moved]), pa.array(new[moved]), pa.array(rise[moved])], names=["id", "class", "rise"])
 
     counted = corpus.mapInArrow(count, "block int, places binary, numbers binary")
-    return counted.repartition("block").mapInArrow(choose, "id long, class long").toArrow()
+    found = counted.repartition("block").mapInArrow(choose, "id long, class long, rise double").toArrow()  # at most a row for each word
+    order = np.lexsort((found["id"].to_numpy(), -np.round(found["rise"].to_numpy(), 3)))
+    return tuple(found[c].to_numpy()[order] for c in ("id", "class", "rise"))
+
+
+def _allowed(ids: np.ndarray, to: np.ndarray, of: np.ndarray, sizes: np.ndarray, classes: int, share: float) -> np.ndarray:
+    """Which moves are made: the first ones, as long as no class gains or loses over ``share`` of its tokens (or one word)."""
+    most = np.bincount(of, sizes, classes)[:classes] * share
+    came, went, out = np.zeros(classes), np.zeros(classes), np.zeros(len(ids), bool)
+    for k, (i, c) in enumerate(zip(ids.tolist(), to.tolist())):
+        o, n = of[i], sizes[i]
+        if (came[c] + n <= most[c] or not came[c]) and (went[o] + n <= most[o] or not went[o]):
+            came[c] += n
+            went[o] += n
+            out[k] = True
+    return out
 
 
 def likelihood(table: np.ndarray) -> float:
@@ -324,35 +343,43 @@ def likelihood(table: np.ndarray) -> float:
     return float(_x_log_x(table).sum() - _x_log_x(table.sum(0)).sum() - _x_log_x(table.sum(1)).sum())
 
 
-def cluster(corpus: DataFrame, words: int, classes: int = CLASSES, seeds: int = SEEDS, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
-    """(class of each id, class bigrams) for ``words`` clustered words; ``corpus`` as of :func:`encoded`."""
+def cluster(corpus: DataFrame, sizes: np.ndarray, classes: int = CLASSES, seeds: int = SEEDS, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
+    """(class of each id, class bigrams) for clustered words; ``corpus`` as of :func:`encoded`, ``sizes`` the count of each
+    id from 1 on."""
     if not 1 + KINDS < classes < 128:
         raise ValueError("classes: from 6 to 127")
+    words, counts = len(sizes), np.zeros(IDS)
+    counts[1 : 1 + words] = sizes
     of = np.full(IDS, classes, np.uint8)
     of[0], of[FIRST_KIND:] = 0, np.arange(1, 1 + KINDS)
     seeds = min(seeds, words)
     fixed = {0: 0} | {1 + seeds + i: 1 + i for i in range(KINDS)}
     of[1 : 1 + seeds] = exchange(seed_bigrams(corpus, seeds), fixed, classes)[1 : 1 + seeds]
     table = class_bigrams(corpus, of, classes)
-    before = None
-    for turn in range(rounds + 1):
+    if words > seeds:
         chosen = np.zeros(IDS, bool)
-        if turn:  # another half each time: words that would only change places don't move together
-            ids = np.arange(1, 1 + words, dtype=np.uint64)
-            mixed = (ids + np.uint64(turn << 32)) * np.uint64(0x9E3779B97F4A7C15)
-            chosen[1 : 1 + words] = mixed >> np.uint64(63) == 1
-        else:
-            chosen[1 + seeds : 1 + words] = True
-        if chosen.any():
-            found = _moves(corpus, of, table, chosen)
-            of[found["id"].to_numpy()] = found["class"].to_numpy().astype(np.uint8)
-            table = class_bigrams(corpus, of, classes)
-        now = likelihood(table)
-        # a round of a half moves little on its own, so two rounds are compared
-        if turn % 2 == 0:
-            if before is not None and now - before < GAIN * abs(before):
+        chosen[1 + seeds : 1 + words] = True
+        ids, to, _ = _moves(corpus, of, table, chosen)
+        of[ids] = to
+        table = class_bigrams(corpus, of, classes)
+    chosen = np.zeros(IDS, bool)
+    chosen[1 : 1 + words] = True
+    share, found = SHARE, None
+    for _ in range(rounds if words else 0):
+        ids, to, rises = found or _moves(corpus, of, table, chosen)
+        made = _allowed(ids, to, of, counts, classes, share)
+        moved = of.copy()
+        moved[ids[made]] = to[made]
+        after = class_bigrams(corpus, moved, classes)
+        rise = likelihood(after) - likelihood(table)
+        if rise <= 0:  # taken back
+            found, share = (ids, to, rises), share / 4
+            if share < SHARE / 100:
                 break
-            before = now
+            continue
+        of, table, found = moved, after, None
+        if rise < GAIN * abs(likelihood(table)):
+            break
     of[of == classes] = 1 + 2
     return of, table
 
@@ -381,7 +408,7 @@ def fit(docs: DataFrame, counts: DataFrame, classes: int = CLASSES, most: int =
     known = vocabulary(counts, most)
     ids = {w: 1 + i for i, w in enumerate(known)}
     corpus = common.cut_lineage(encoded(docs, ids))
-    of, table = cluster(corpus, len(ids), classes, seeds)
+    of, table = cluster(corpus, np.array(list(known.values()), float), classes, seeds)
     class_n, class_v = np.zeros(classes), np.zeros(classes)
     place = F.when(F.octet_length("word") == 0, 0).otherwise(1 + _kind(F.col("word")))
     for r in counts.groupBy(place.alias("class")).agg(F.count("*").alias("v"), F.sum("c").alias("n")).collect():  # 5 rows
