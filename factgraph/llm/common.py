@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from factgraph.operators.shared import cut_lineage as cut_lineage
+from factgraph.operators.shared import forget as forget
 
 #: Texts that one step of a vectorised operator holds at a time.
 STEP_BYTES = 2 << 20
