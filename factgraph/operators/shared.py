@@ -21,3 +21,15 @@ def cut_lineage(df: DataFrame) -> DataFrame:
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         sc.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "checkpoints"))
     return df.checkpoint(eager=True)
+
+
+def forget(df: DataFrame) -> None:
+    """Deletes the files of a result of :func:`cut_lineage` that nothing reads any more."""
+    plan = df._jdf.queryExecution().analyzed()
+    if plan.getClass().getSimpleName() != "LogicalRDD":
+        return
+    file = plan.rdd().getCheckpointFile()
+    if file.isDefined():
+        sc = df.sparkSession.sparkContext
+        path = sc._jvm.org.apache.hadoop.fs.Path(file.get())
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
