@@ -4,11 +4,12 @@ A document's ids (with an end id) give full sequences first.  What is left of ea
 size in its task.  A window opens as many sequences as its tokens fill exactly: full ones, and for the rest ones of
 power-of-two lengths, so nothing is padded.  Estimated cost of n tokens in one document's piece is linear plus quadratic
 (attention within the piece); pieces are taken in descending order and each goes to the sequence of the lowest cost that
-still has room for it.  A piece that no sequence can hold whole is cut over the largest rooms.
+still has room for it.  A piece that no sequence can hold whole is cut: it fills up the sequence of the lowest cost that
+has any room, and so on.
 
-Ids come from the rank library with the same vocabulary, whose ids equal the JSON library's: both have the same
-code-point classes and merge in the same order, which the tests check.  The special token's string is looked for first,
-as the JSON library does.  Texts with a very long run without a break go to :mod:`factgraph.llm.bpe`, as the library's
+Ids are those of the JSON vocabulary, but come from the rank library, which is several times as fast: before anything is
+packed, the driver holds the two files' tokens and merges against each other, and the special tokens' strings and ids are
+read from the JSON file and looked for first, as its library does.  Texts with a very long run without a break go to :mod:`factgraph.llm.bpe`, as the library's
 time grows with the square of a run.
 
 Nothing is shuffled: windows follow the input's own partitions, so a hot source or key can't gather in one task.
@@ -16,7 +17,9 @@ Nothing is shuffled: windows follow the input's own partitions, so a hot source
 
 from __future__ import annotations
 
+import base64
 import functools
+import json
 from array import array
 from collections.abc import Callable, Iterator
 from itertools import chain
@@ -72,7 +75,7 @@ def assign(lengths: list[int], size: int = SEQUENCE_TOKENS, quadratic: float = Q
     for piece in cut:
         begin = 0
         while begin < lengths[piece]:
-            at = int(room.argmax())
+            at = int(np.where(room > 0, spent, np.inf).argmin())
             n = min(lengths[piece] - begin, int(room[at]))
             put(piece, begin, n, at)
             begin += n
@@ -85,8 +88,6 @@ LONG_RUN = 2048
 
 @functools.lru_cache(2)
 def _library(path: str):
-    import base64
-
     import tiktoken
 
     with open(path, "rb") as lines:
@@ -165,19 +166,36 @@ class _Packer:
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=[f.split()[0] for f in PIECES.split(", ")])
 
 
-#: The one special token of the vocabulary.
-SPECIAL = {"<|endoftext|>": 50256}
-
-
-def pack(docs: DataFrame, vocabulary: str = bpe.RANK_VOCABULARY, special: dict[str, int] = SPECIAL, size: int = SEQUENCE_TOKENS, end_id: int = END_ID, window: int = WINDOW_TOKENS, quadratic: float = QUADRATIC) -> DataFrame:
+@functools.lru_cache(2)
+def special_tokens(vocabulary: str, ranks: str) -> dict[str, int]:
+    """Special tokens of the JSON vocabulary; ValueError if the ranks file has other tokens or merges others first."""
+    path, other = common.tokenizer_path(vocabulary), common.tokenizer_path(ranks)
+    with open(path, encoding="utf-8") as f:
+        data = json.load(f)
+    with open(other, "rb") as lines:
+        ranked = {base64.b64decode(t): int(r) for t, r in map(bytes.split, lines)}
+    special = {t["content"]: t["id"] for t in data["added_tokens"]}
+    plain = {t: i for t, i in data["model"]["vocab"].items() if t not in special}
+    to_byte = bpe.printable()
+    if {bytes(map(to_byte.__getitem__, t)): i for t, i in plain.items()} != ranked:
+        raise ValueError(f"{ranks} has other tokens than {vocabulary}")
+    merged = ["".join(m.split(" ") if isinstance(m, str) else m) for m in data["model"]["merges"]]
+    if [plain[m] for m in merged] != sorted(plain[m] for m in merged):
+        raise ValueError(f"{vocabulary} doesn't merge in the order of its ids")
+    return special
+
+
+def pack(docs: DataFrame, vocabulary: str = bpe.JSON_VOCABULARY, ranks: str = bpe.RANK_VOCABULARY, size: int = SEQUENCE_TOKENS, end_id: int = END_ID, window: int = WINDOW_TOKENS, quadratic: float = QUADRATIC) -> DataFrame:
     """One row for each piece: where it is in its document and in its sequence.
 
     Null and empty texts have just the end id; repeated rows are packed each; null ids stay null; an empty table gives
     no rows.  ``sequence_id`` is unique; its upper part is the task's partition, so it follows how the input is split.
     """
 
+    special = special_tokens(vocabulary, ranks)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        path = common.tokenizer_path(vocabulary)
+        path = common.tokenizer_path(ranks)
         library, end = _library(path), np.array([end_id], "<u4")
         coder = functools.lru_cache(1)(lambda: bpe.encoder("ranks", path))
         packer = _Packer(size, window, quadratic, TaskContext.get().partitionId())
