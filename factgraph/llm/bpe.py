@@ -15,6 +15,7 @@ import base64
 import functools
 import heapq
 import json
+import re
 from collections.abc import Iterable, Iterator
 from itertools import chain
 
@@ -31,7 +32,8 @@ RANK_VOCABULARY = "byte_bpe_50k.tiktoken"
 
 #: Between the texts of one step; no valid text holds a surrogate.
 SEPARATOR = "\ud800"
-CACHE_PIECES = 450_000
+#: A cache holds so many pieces, of so many bytes in all; longer ones than LONG_PIECE only while their step lasts.
+CACHE_PIECES, CACHE_BYTES, LONG_PIECE = 450_000, 8 << 20, 256
 #: Pieces up to so many bytes are merged side by side, so many at a time; longer ones with a heap.
 SHORT = 48
 GROUP_PIECES = 20_000
@@ -241,7 +243,7 @@ def distinct(raw: bytes, begins: np.ndarray, ends: np.ndarray) -> tuple[list[byt
 
 
 @functools.lru_cache(1)
-def _printable() -> dict[str, int]:
+def printable() -> dict[str, int]:
     """The JSON file's characters for bytes: printable bytes are themselves, others count up from 256."""
     plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
     rest = [b for b in range(256) if b not in set(plain)]
@@ -291,7 +293,7 @@ class Vocabulary:
         """JSON file: the listed merges, in their order; added tokens are found in texts before anything else."""
         with open(path, encoding="utf-8") as f:
             data = json.load(f)
-        to_byte, model = _printable(), data["model"]
+        to_byte, model = printable(), data["model"]
         special = {t["content"]: t["id"] for t in data["added_tokens"]}
         tokens = {bytes(map(to_byte.__getitem__, t)): i for t, i in model["vocab"].items() if t not in special}
         ids = {t: i for t, i in model["vocab"].items()}
@@ -403,6 +405,7 @@ class Encoder:
         self.vocabulary, self.cached = vocabulary, cached
         self.cache: dict[bytes, tuple[int, ...]] = {}
         self.older: dict[bytes, tuple[int, ...]] = {}
+        self.held, self.long = 0, []
 
     def split(self, texts: list[str]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
         """Distinct pieces of all texts, which of them each piece is, and each text's first piece (and one past the last)."""
@@ -424,9 +427,12 @@ class Encoder:
     def learn(self, pieces: list[bytes]) -> dict[bytes, tuple[int, ...]]:
         """The cache, with all of these; later calls may change generations."""
         new = set(pieces).difference(self.cache)
-        if len(self.cache) + len(new) > self.cached:
-            self.older, self.cache = self.cache, {}
+        if len(self.cache) + len(new) > self.cached or self.held > CACHE_BYTES:
+            self.older, self.cache, self.held = self.cache, {}, 0
             new = set(pieces)
+        long = [p for p in new if len(p) > LONG_PIECE]
+        self.long += long
+        self.held += sum(map(len, new)) - sum(map(len, long))
         vocabulary, cache = self.vocabulary, self.cache
         for piece in self.older.keys() & new:
             cache[piece] = self.older[piece]
@@ -443,6 +449,13 @@ class Encoder:
         cache.update(zip(short, vocabulary.merge_many(short)))
         return cache
 
+    def trim(self) -> None:
+        """Lets go of long pieces; between steps."""
+        for piece in self.long:
+            self.cache.pop(piece, None)
+            self.older.pop(piece, None)
+        self.long = []
+
     def encode_flat(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, without regard to special tokens, and where each text's begin (and one past the last)."""
         keys, inverse, firsts = self.split(texts)
@@ -457,15 +470,12 @@ class Encoder:
 
     def segments(self, text: str) -> list[tuple[str, int | None]]:
         """Ordinary stretches and special tokens of a text, leftmost and longest first."""
-        special, out = self.vocabulary.special, []
-        while special:
-            found = min(((at, -len(s), s) for s in special if (at := text.find(s)) >= 0), default=None)
-            if found is None:
-                break
-            at, _, token = found
-            out += [(text[:at], None)] * (at > 0) + [(token, special[token])]
-            text = text[at + len(token) :]
-        return out + [(text, None)] * (bool(text) or not out)
+        special, out, at = self.vocabulary.special, [], 0
+        if special:
+            for m in re.finditer("|".join(map(re.escape, sorted(special, key=len, reverse=True))), text):
+                out += [(text[at : m.start()], None)] * (m.start() > at) + [(m[0], special[m[0]])]
+                at = m.end()
+        return out + [(text[at:], None)] * (at < len(text) or not out)
 
     def encode(self, texts: list[str]) -> Iterator[list[int]]:
         """Ids of each text."""
@@ -508,15 +518,19 @@ def encoder(kind: str, path: str) -> Encoder:
 
 
 def encode_texts(coder: Encoder, texts: list[str]) -> Iterator[list[int]]:
-    """As ``coder.encode``, with very long texts in stretches."""
+    """As ``coder.encode`` for a step's texts, with very long ones in stretches."""
+    coder.trim()
     if max(map(len, texts), default=0) <= STRETCH:
         yield from coder.encode(texts)
         return
     for text in texts:
-        if len(text) <= STRETCH or any(s in text for s in coder.vocabulary.special):
+        if len(text) <= STRETCH:
             yield from coder.encode([text])
-        else:
-            yield list(chain.from_iterable(ids for part in stretches(text) for ids in coder.encode([part])))
+            continue
+        out: list[int] = []
+        for segment, token in coder.segments(text):
+            out += [token] if token is not None else chain.from_iterable(coder.encode_flat([part])[0].tolist() for part in stretches(segment))
+        yield out
 
 
 def encode(docs: DataFrame, text: str = "text", vocabulary: str = RANK_VOCABULARY, ids: str = "ids", ends: str = "token_ends") -> DataFrame:

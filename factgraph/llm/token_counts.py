@@ -38,6 +38,7 @@ class PrefixCounter:
         self.coder = bpe.Encoder(vocabulary)
         self.tables: dict[str, bytes | array] = {}
         self.older: dict[str, bytes | array] = {}
+        self.held, self.long = 0, []
         self.follows: dict[int, bool] = {}
         #: byte -> [token that ends here or -1, the same for the bytes after it]
         self.trie: dict[int, list] = {}
@@ -98,9 +99,12 @@ class PrefixCounter:
     def learn(self, pieces: list[str]) -> dict[str, bytes | array]:
         """Tables that have all of these; later calls may change generations, so callers keep what they get."""
         new = set(pieces).difference(self.tables)
-        if len(self.tables) + len(new) > self.cached:
-            self.older, self.tables = self.tables, {}
+        if len(self.tables) + len(new) > self.cached or self.held > bpe.CACHE_BYTES:
+            self.older, self.tables, self.held = self.tables, {}, 0
             new = set(pieces)
+        long = [p for p in new if len(p) > bpe.LONG_PIECE]
+        self.long += long
+        self.held += sum(map(len, new)) - sum(map(len, long))
         for piece in self.older.keys() & new:
             self.tables[piece] = self.older[piece]
             new.discard(piece)
@@ -108,6 +112,14 @@ class PrefixCounter:
             self.piece(piece)
         return self.tables
 
+    def trim(self) -> None:
+        """Lets go of long pieces; between steps."""
+        self.coder.trim()
+        for piece in self.long:
+            self.tables.pop(piece, None)
+            self.older.pop(piece, None)
+        self.long = []
+
     def _blank(self, piece: str) -> bool:
         return self.vocabulary.classes[ord(piece[-1])] in (bpe.SPACE, bpe.WHITE)
 
@@ -191,6 +203,7 @@ def prefix_counts(docs: DataFrame, text: str = "text", vocabulary: str = bpe.JSO
         bpe.use_classes(vocabulary, shared)
         known = _counter(vocabulary)
         for part, texts in common.steps(batches, text):
+            known.trim()
             found = pa.array([known.prefixes(t).astype(np.int32) for t in texts], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([*part.columns, found], names=[*part.schema.names, counts])
 
@@ -224,6 +237,7 @@ def totals(docs: DataFrame, vocabulary: str = bpe.JSON_VOCABULARY, limit: int =
         known = _counter(vocabulary)
         for part, texts in common.steps(batches, "text"):
             found = []
+            known.trim()
             for text, counted in zip(texts, known.totals([t if len(t) <= bpe.STRETCH else "" for t in texts], limit)):
                 found.append(counted if len(text) <= bpe.STRETCH else _long_totals(known, text, limit))
             tokens = np.array([n for n, _ in found], np.int64)
@@ -237,13 +251,14 @@ def totals(docs: DataFrame, vocabulary: str = bpe.JSON_VOCABULARY, limit: int =
 
 
 def _long_totals(known: PrefixCounter, text: str, limit: int) -> tuple[int, int]:
-    """As ``PrefixCounter.totals`` for one very long text, a stretch at a time."""
-    if any(s in text for s in known.vocabulary.special):
-        return next(known.totals([text], limit))
-    total = cut = at = 0
-    for part in bpe.stretches(text):
-        tokens, fits = next(known.totals([part], max(0, limit - total)))
-        if total <= limit:
-            cut = at + fits
-        total, at = total + tokens, at + len(part)
-    return total, cut
+    """As ``PrefixCounter.totals`` for one very long text, a stretch at a time.
+
+    No prefix within the limit is longer than so many of the longest tokens, so the cut is found in the text's beginning.
+    """
+    total = 0
+    for segment, token in known.coder.segments(text):
+        total += 1 if token is not None else sum(next(known.totals([part], limit))[0] for part in bpe.stretches(segment))
+    if total <= limit:
+        return total, len(text)
+    longest = max(map(len, known.vocabulary.bytes_of))
+    return total, next(known.totals([text[: (limit + 2) * longest]], limit))[1]
