@@ -69,35 +69,40 @@ def format_preferences(pairs: DataFrame, chosen: str = "chosen", rejected: str =
     )
 
 
-def truncation_pairs(conversations: DataFrame) -> DataFrame:
-    """(conv_id, chosen, rejected): a conversation, and it cut off halfway through the last answer.
+def crossed_pairs(conversations: DataFrame) -> DataFrame:
+    """(conv_id, chosen, rejected): each conversation, and one that leaves it halfway.
 
-    Turns are in order of (turn, role, text), so ties have a defined order; without an answer both are the same.  Rows
-    of a null conv_id are one conversation.
+    The rejected one begins with the first half of the conversation's turns and goes on with the turns that the
+    conversation of the next id has from there on (none: it ends).  Where both go on alike, they part later, so the
+    common prefix has to be found.  Turns are in order of (turn, role, text), so ties have a defined order; rows without
+    a conv_id belong to no conversation and give no pair.
     """
     turn = F.struct("turn", "role", "text")
-    whole = conversations.groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("turns"))
-    last = F.array_max(F.transform("turns", lambda t, i: F.when(t["role"] == TRAINED, i)))
-    cut = F.transform(F.slice("turns", F.lit(1), F.col("last") + 1), lambda t, i: F.struct(t["role"].alias("role"), F.when(i == F.col("last"), F.substring(t["text"], F.lit(1), F.floor(F.length(t["text"]) / 2).cast("int"))).otherwise(t["text"]).alias("text")))
-    plain = F.transform("turns", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text")))
-    return whole.withColumn("last", last).select("conv_id", plain.alias("chosen"), F.when(F.col("last").isNull(), plain).otherwise(cut).alias("rejected"))
+    named = conversations.where("conv_id IS NOT NULL")
+    whole = named.groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("turns"))
+    plain = whole.select("conv_id", F.transform("turns", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias("turns"))
+    following = plain.select((F.col("conv_id") - 1).alias("conv_id"), F.col("turns").alias("next"))
+    half = F.floor(F.size("turns") / 2).cast("int")
+    rest = F.when(F.size("next") > half, F.slice("next", half + 1, F.size("next") - half)).otherwise(F.slice("turns", 1, 0))
+    return plain.join(following, "conv_id", "left").select("conv_id", F.col("turns").alias("chosen"), F.concat(F.slice("turns", F.lit(1), half), F.when(F.col("next").isNull(), F.slice("turns", 1, 0)).otherwise(rest)).alias("rejected"))
 
 
 ORACLE = """
 WITH t AS (
   SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS rn
-  FROM conversations),
-l AS (SELECT conv_id, max(CASE WHEN role = 'assistant' THEN rn END) AS k, max(rn) AS n FROM t GROUP BY conv_id),
-b AS (SELECT t.conv_id, role, rn, k, n, text, CASE WHEN rn = k THEN substr(text, 1, length(text) // 2) ELSE text END AS half FROM t JOIN l ON t.conv_id IS NOT DISTINCT FROM l.conv_id),
-p AS (SELECT conv_id, CASE WHEN max(k) IS NULL THEN max(n) WHEN bool_or(rn = k AND half <> text) THEN max(k) - 1 ELSE max(k) END AS lcp FROM b GROUP BY conv_id),
-r AS (
-  SELECT b.conv_id, rn, lcp, role, 'c' AS side, text AS body FROM b JOIN p ON b.conv_id IS NOT DISTINCT FROM p.conv_id
-  UNION ALL
-  SELECT b.conv_id, rn, lcp, role, 'r', half FROM b JOIN p ON b.conv_id IS NOT DISTINCT FROM p.conv_id WHERE k IS NULL OR rn <= k),
+  FROM conversations WHERE conv_id IS NOT NULL),
+l AS (SELECT conv_id, max(rn) AS n FROM t GROUP BY conv_id),
+both_sides AS (
+  SELECT conv_id, 'c' AS side, rn, role, text AS body FROM t
+  UNION ALL SELECT t.conv_id, 'r', rn, role, text FROM t JOIN l ON l.conv_id = t.conv_id WHERE rn <= n // 2
+  UNION ALL SELECT l.conv_id, 'r', rn, role, text FROM t JOIN l ON t.conv_id = l.conv_id + 1 WHERE rn > n // 2),
+p AS (
+  SELECT l.conv_id, coalesce(min(CASE WHEN c.role <> r.role OR c.body <> r.body THEN c.rn END) - 1, count(r.rn)) AS lcp
+  FROM l JOIN both_sides c ON c.conv_id = l.conv_id AND c.side = 'c' LEFT JOIN both_sides r ON r.conv_id = l.conv_id AND r.side = 'r' AND r.rn = c.rn GROUP BY l.conv_id),
 s AS (
-  SELECT *, '<|' || role || '|>' || chr(10) || body || '<|end|>' || chr(10) AS shown,
-    coalesce(sum(CASE WHEN rn > lcp THEN length(role) + length(body) + 13 END) OVER (PARTITION BY conv_id, side ORDER BY rn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS pos
-  FROM r)
+  SELECT b.conv_id, side, rn, role, body, lcp, '<|' || role || '|>' || chr(10) || body || '<|end|>' || chr(10) AS shown,
+    coalesce(sum(CASE WHEN rn > lcp THEN length(role) + length(body) + 13 END) OVER (PARTITION BY b.conv_id, side ORDER BY rn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS pos
+  FROM both_sides b JOIN p ON p.conv_id = b.conv_id)
 SELECT conv_id, max(lcp)::BIGINT AS prompt_turns,
   coalesce(string_agg(shown, '' ORDER BY rn) FILTER (side = 'c' AND rn <= lcp), '') AS prompt,
   coalesce(string_agg(shown, '' ORDER BY rn) FILTER (side = 'c' AND rn > lcp), '') AS chosen,

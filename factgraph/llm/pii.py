@@ -8,22 +8,26 @@ the domain: equal values get equal pseudonyms in all documents, different ones s
 What is validated, and what of it is permuted:
 
 * card numbers of 13 to 19 digits with a right check digit: all digits but the last, which is computed anew
-* phone numbers: all digits after the country code
+* phone numbers with a country code, dashes, dots, an area code in parentheses, or in groups by blanks: all digits after the
+  country code (in groups: after the leading zero, or with first digits of 2 to 9)
 * IPv4 addresses: the 32-bit number
 * social security numbers in range: the index among valid ones
-* dates of 1900 to 2099 as y-m-d, y/m/d, d.m.y or m/d/y: the day's number (days and months get two digits)
+* dates of 1900 to 2099 as y-m-d, y/m/d, d.m.y, m/d/y or, where that is no date, d/m/y: the day's number; days and months
+  have a leading zero unless one of the date's was without
 * IBANs with right check digits: the account's digits; check digits are computed anew
 * mail addresses: letters and digits of the local part, each within its kind
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factgraph.llm import common
 
-KEY = "factgraph"
+#: Session setting that holds the key.  Whoever knows it can undo the pseudonyms, so a corpus that leaves the house needs
+#: one of its own; without it queries use the demonstration key, which is no secret.
+KEY_SETTING, DEMONSTRATION_KEY = "spark.factgraph.pseudonymKey", "factgraph"
 ROUNDS = 8
 
 # Formats of personal numbers.  {B} and {E}: no word character before, after.
@@ -41,7 +45,7 @@ IBAN_LENGTHS = {
     29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC NI", 33: "RU",
 }
 IBANS = "{B}(?:" + "|".join("(?:%s)[0-9]{2}(?: ?[A-Z0-9]{4}){%d}%s" % ("|".join(c.split()), (n - 4) // 4, " ?[A-Z0-9]{%d}" % (n % 4) if n % 4 else "") for n, c in sorted(IBAN_LENGTHS.items(), reverse=True)) + "){E}"
-PHONE = r"(?:(?<!\w)\+1[ .-]?\(?[0-9]{3}\)?[ .-]?[0-9]{3}[ .-]?[0-9]{4}{E}|(?<!\w)\+[2-9][0-9]{0,2}[ .-]?\(?[0-9]{1,4}\)?(?:[ .-]?[0-9]{2,4}){2,4}{E}|(?<!\w)\([0-9]{3}\) ?[0-9]{3}[-.][0-9]{4}{E}|{B}[0-9]{3}[-.][0-9]{3}[-.][0-9]{4}{E})"
+PHONE = r"(?:(?<!\w)\+1[ .-]?\(?[0-9]{3}\)?[ .-]?[0-9]{3}[ .-]?[0-9]{4}{E}|(?<!\w)\+[2-9][0-9]{0,2}[ .-]?\(?[0-9]{1,4}\)?(?:[ .-]?[0-9]{2,4}){2,4}{E}|(?<!\w)\([0-9]{3}\) ?[0-9]{3}[-.][0-9]{4}{E}|{B}[0-9]{3}[-.][0-9]{3}[-.][0-9]{4}{E}|{B}[2-9][0-9]{2} [2-9][0-9]{2} [0-9]{4}{E}|{B}0[0-9]{2,4} [0-9]{3,4} [0-9]{3,4}{E})"
 
 
 def _java(pattern: str) -> str:
@@ -132,7 +136,7 @@ def _card(m: Column, key: str) -> Column:
 
 def _phone(m: Column, key: str) -> Column:
     def made(digits: Column) -> Column:
-        code = F.when(m.startswith("+1"), 1).when(m.startswith("+"), 2).otherwise(0)
+        code = F.when(m.startswith("+1"), 1).when(m.startswith("+"), 2).when(m.startswith("0"), 1).otherwise(0)
         tail = F.substring(digits, code + 1, F.length(digits) - code)
         return F.concat(F.substring(digits, F.lit(1), code), permute_digits(tail, key, "phone"))
 
@@ -166,7 +170,10 @@ def _date(m: Column, key: str) -> Column:
     dotted, year_first = m.contains("."), m.rlike("^[0-9]{4}")
     parts = F.split(m, r"[-/.]")
     y, mo, d = (F.when(year_first, parts[0]).otherwise(parts[2]), F.when(year_first, parts[1]).when(dotted, parts[1]).otherwise(parts[0]), F.when(year_first, parts[2]).when(dotted, parts[0]).otherwise(parts[1]))
-    day = F.try_to_date(F.concat_ws("-", y, F.lpad(mo, 2, "0"), F.lpad(d, 2, "0")), "yyyy-MM-dd")
+    date = lambda month, day: F.try_to_date(F.concat_ws("-", y, F.lpad(month, 2, "0"), F.lpad(day, 2, "0")), "yyyy-MM-dd")
+    day_first = ~dotted & ~year_first & date(mo, d).isNull()
+    day = F.when(day_first, date(d, mo)).otherwise(date(mo, d))
+    bare = F.least(F.length(mo), F.length(d)) == 1
 
     def made(day: Column) -> Column:
         number = F.datediff(day, F.lit(FIRST_DAY).cast("date"))
@@ -176,11 +183,11 @@ def _date(m: Column, key: str) -> Column:
         dash = F.substring(m, 5, 1)
 
         def part(n: Column) -> Column:
-            return F.lpad(n.cast("string"), 2, "0")
+            return F.when(bare, n.cast("string")).otherwise(F.lpad(n.cast("string"), 2, "0"))
 
         def day_of(t: Column) -> Column:
             year, month, of_month = F.year(t).cast("string"), part(F.month(t)), part(F.dayofmonth(t))
-            return F.when(year_first, F.concat(year, dash, month, dash, of_month)).when(dotted, F.concat(of_month, F.lit("."), month, F.lit("."), year)).otherwise(F.concat(month, F.lit("/"), of_month, F.lit("/"), year))
+            return F.when(year_first, F.concat(year, dash, month, dash, of_month)).when(dotted, F.concat(of_month, F.lit("."), month, F.lit("."), year)).when(day_first, F.concat(of_month, F.lit("/"), month, F.lit("/"), year)).otherwise(F.concat(month, F.lit("/"), of_month, F.lit("/"), year))
 
         return _let(new, day_of)
 
@@ -253,7 +260,11 @@ def _iban_or_card(m: Column, key: str) -> Column:
     return F.coalesce(_iban(m, key), F.when(card != "", F.replace(m, card, _card(card, key))))
 
 
-def pseudonym(m: Column, key: str = KEY) -> Column:
+def key_of(spark: SparkSession) -> str:
+    return spark.conf.get(KEY_SETTING, None) or DEMONSTRATION_KEY
+
+
+def pseudonym(m: Column, key: str) -> Column:
     """The pseudonym of a candidate; null if it isn't valid."""
     cases = F.when(m.contains("@"), _email(m, key))
     for pattern, make in ((IPV4, _ipv4), (DATE, _date), (SSN, _ssn), (IBAN, _iban_or_card), (CARD, _card)):
@@ -261,7 +272,7 @@ def pseudonym(m: Column, key: str = KEY) -> Column:
     return cases.otherwise(_phone(m, key))
 
 
-def pseudonymise(docs: DataFrame, text: str = "text", key: str = KEY, found: str | None = None) -> DataFrame:
+def pseudonymise(docs: DataFrame, key: str, text: str = "text", found: str | None = None) -> DataFrame:
     """``docs`` with pseudonyms in the text; ``found`` names a column for how many there are (0 if none).
 
     Null and empty texts stay; rows, their order of columns and all other columns are untouched.

@@ -12,7 +12,7 @@ _FORMS = {
     "ipv4": pii.IPV4,
     "date": pii.DATE,
     "ssn": pii.SSN,
-    "iban": pii.IBAN,
+    "iban": pii.IBANS,
     "card": pii.CARD,
     "phone": pii.PHONE.replace(r"(?<!\w)\+", r"\B\+").replace(r"(?<!\w)\(", r"\B\("),
 }
@@ -46,7 +46,7 @@ def _fill(form: str, digits: str) -> str:
 
 def _number(value: str) -> str:
     """As pii._hash: digits' hashes also name their length."""
-    return f"('0x' || substr(sha256('{pii.KEY}|' || kind || '|' || i || '|' || CASE WHEN n > 0 THEN n || ':' ELSE '' END || {value}), 1, 14))::BIGINT"
+    return f"('0x' || substr(sha256('{pii.DEMONSTRATION_KEY}|' || kind || '|' || i || '|' || CASE WHEN n > 0 THEN n || ':' ELSE '' END || {value}), 1, 14))::BIGINT"
 
 
 def _moved(part: str, stream: str) -> str:
@@ -56,18 +56,21 @@ def _moved(part: str, stream: str) -> str:
 
 
 def _stream(other: str) -> str:
-    return " || ".join(f"sha256('{pii.KEY}|email|' || i || '|' || n || '|' || {other} || '|{k}')" for k in (0, 1))
+    return " || ".join(f"sha256('{pii.DEMONSTRATION_KEY}|email|' || i || '|' || n || '|' || {other} || '|{k}')" for k in (0, 1))
 
 
 def sql() -> str:
     kinds = " ".join(f"WHEN regexp_full_match(m, '{_re2(_FORMS[k])}') THEN '{k}'" for k in ("ipv4", "date", "ssn", "iban", "card"))
+    d, mo = (f"CASE WHEN bare THEN {part}(day)::VARCHAR ELSE lpad({part}(day)::VARCHAR, 2, '0') END" for part in ("day", "month"))
     year_first = "regexp_matches(m, '^[0-9]{4}')"
     return f"""
 WITH RECURSIVE t AS (SELECT doc_id, text, CASE WHEN regexp_matches(text, '[0-9@]') THEN regexp_extract_all(text, '{PATTERN}') ELSE [] END AS ms FROM documents),
 c AS (SELECT DISTINCT m, CASE WHEN contains(m, '@') THEN 'email' {kinds} ELSE 'phone' END AS kind, regexp_replace(m, '[^0-9]', '', 'g') AS d, string_split(m, '.') AS octets, replace(m, ' ', '') AS plain FROM (SELECT unnest(ms) AS m FROM t)),
-p AS (SELECT *, CASE WHEN kind = 'date' THEN try_cast(CASE WHEN {year_first} THEN replace(m, '/', '-') WHEN contains(m, '.') THEN octets[3] || '-' || lpad(octets[2], 2, '0') || '-' || lpad(octets[1], 2, '0')
-    ELSE string_split(m, '/')[3] || '-' || lpad(string_split(m, '/')[1], 2, '0') || '-' || lpad(string_split(m, '/')[2], 2, '0') END AS DATE) END AS day FROM c WHERE kind <> 'email'),
-w AS (SELECT *, CASE kind WHEN 'card' THEN substr(d, 1, length(d) - 1) WHEN 'phone' THEN substr(d, CASE WHEN starts_with(m, '+1') THEN 2 WHEN starts_with(m, '+') THEN 3 ELSE 1 END)
+q AS (SELECT *, CASE WHEN kind = 'date' AND NOT {year_first} AND NOT contains(m, '.') THEN try_cast(string_split(m, '/')[3] || '-' || lpad(string_split(m, '/')[1], 2, '0') || '-' || lpad(string_split(m, '/')[2], 2, '0') AS DATE) END AS month_day FROM c WHERE kind <> 'email'),
+p AS (SELECT *, CASE WHEN kind = 'date' THEN coalesce(month_day, try_cast(CASE WHEN {year_first} THEN replace(m, '/', '-') WHEN contains(m, '.') THEN octets[3] || '-' || lpad(octets[2], 2, '0') || '-' || lpad(octets[1], 2, '0')
+    ELSE string_split(m, '/')[3] || '-' || lpad(string_split(m, '/')[2], 2, '0') || '-' || lpad(string_split(m, '/')[1], 2, '0') END AS DATE)) END AS day,
+    month_day IS NULL AS day_first, regexp_matches(m, '(^|[/.])[0-9][/.]') AS bare FROM q),
+w AS (SELECT *, CASE kind WHEN 'card' THEN substr(d, 1, length(d) - 1) WHEN 'phone' THEN substr(d, CASE WHEN starts_with(m, '+1') THEN 2 WHEN starts_with(m, '+') THEN 3 WHEN starts_with(m, '0') THEN 2 ELSE 1 END)
     WHEN 'iban' THEN regexp_replace(substr(plain, 5), '[^0-9]', '', 'g') END AS moved FROM p WHERE CASE kind
     WHEN 'card' THEN length(d) BETWEEN 13 AND 19 AND regexp_matches(d, '[1-9]') AND {_luhn('d', 1)} % 10 = 0
     WHEN 'ipv4' THEN list_max(list_transform(octets, lambda z: z::INT)) <= 255
@@ -75,7 +78,7 @@ w AS (SELECT *, CASE kind WHEN 'card' THEN substr(d, 1, length(d) - 1) WHEN 'pho
     WHEN 'date' THEN coalesce(year(day) BETWEEN 1900 AND 2099, false)
     WHEN 'iban' THEN length(plain) BETWEEN 15 AND 34 AND {_mod97('(substr(plain, 5) || substr(plain, 1, 4))')} = 1
     ELSE length(d) BETWEEN 8 AND 15 END),
-f AS (SELECT m, kind, d, plain, moved, 0 AS i, coalesce(length(moved), 0) AS n,
+f AS (SELECT m, kind, d, plain, moved, day_first, bare, 0 AS i, coalesce(length(moved), 0) AS n,
     (CASE kind WHEN 'ipv4' THEN octets[1]::BIGINT * 256 + octets[2]::BIGINT WHEN 'ssn' THEN substr(d, 1, 3)::BIGINT - 1 - CASE WHEN substr(d, 1, 3)::INT > 666 THEN 1 ELSE 0 END
       WHEN 'date' THEN date_diff('day', DATE '{pii.FIRST_DAY}', day) // 229 ELSE substr(moved, 1, (length(moved) // 2)::INT)::BIGINT END)::BIGINT AS l,
     (CASE kind WHEN 'ipv4' THEN octets[3]::BIGINT * 256 + octets[4]::BIGINT WHEN 'ssn' THEN (substr(d, 4, 2)::BIGINT - 1) * 9999 + substr(d, 6, 4)::BIGINT - 1
@@ -83,7 +86,7 @@ f AS (SELECT m, kind, d, plain, moved, 0 AS i, coalesce(length(moved), 0) AS n,
     (CASE kind WHEN 'ipv4' THEN 65536 WHEN 'ssn' THEN 898 WHEN 'date' THEN 319 ELSE pow(10, length(moved) // 2) END)::BIGINT AS a,
     (CASE kind WHEN 'ipv4' THEN 65536 WHEN 'ssn' THEN 989901 WHEN 'date' THEN 229 ELSE pow(10, length(moved) - length(moved) // 2) END)::BIGINT AS b FROM w
   UNION ALL
-  SELECT m, kind, d, plain, moved, i, n, CASE WHEN i % 2 = 1 THEN (l + {_number('l_other')}) % a ELSE l END, CASE WHEN i % 2 = 0 THEN (r + {_number('l_other')}) % b ELSE r END, a, b
+  SELECT m, kind, d, plain, moved, day_first, bare, i, n, CASE WHEN i % 2 = 1 THEN (l + {_number('l_other')}) % a ELSE l END, CASE WHEN i % 2 = 0 THEN (r + {_number('l_other')}) % b ELSE r END, a, b
   FROM (SELECT * REPLACE (i + 1 AS i), CASE WHEN i % 2 = 0 THEN r ELSE l END AS l_other FROM f WHERE i < {pii.ROUNDS})),
 o AS (SELECT *, CASE WHEN n = 1 THEN moved ELSE lpad(l::VARCHAR, (n // 2)::INT, '0') || lpad(r::VARCHAR, (n - n // 2)::INT, '0') END AS q, CASE WHEN kind = 'date' THEN DATE '{pii.FIRST_DAY}' + (l * 229 + r)::INT END AS day FROM f WHERE i = {pii.ROUNDS}),
 s AS (SELECT *, CASE kind WHEN 'iban' THEN {_fill('substr(plain, 5)', 'q')} END AS account FROM o),
@@ -92,7 +95,7 @@ x AS (SELECT m, plain, kind, CASE kind
     WHEN 'phone' THEN {_fill('m', '(substr(d, 1, (length(d) - n)::INT) || q)')}
     WHEN 'ipv4' THEN (l // 256) || '.' || (l % 256) || '.' || (r // 256) || '.' || (r % 256)
     WHEN 'ssn' THEN lpad((l + 1 + CASE WHEN l + 1 >= 666 THEN 1 ELSE 0 END)::VARCHAR, 3, '0') || '-' || lpad((r // 9999 + 1)::VARCHAR, 2, '0') || '-' || lpad((r % 9999 + 1)::VARCHAR, 4, '0')
-    WHEN 'date' THEN CASE WHEN {year_first} THEN strftime(day, '%Y') || substr(m, 5, 1) || strftime(day, '%m') || substr(m, 5, 1) || strftime(day, '%d') WHEN contains(m, '.') THEN strftime(day, '%d.%m.%Y') ELSE strftime(day, '%m/%d/%Y') END
+    WHEN 'date' THEN CASE WHEN {year_first} THEN strftime(day, '%Y') || substr(m, 5, 1) || strftime(day, '%m') || substr(m, 5, 1) || strftime(day, '%d') WHEN contains(m, '.') THEN {d} || '.' || {mo} || '.' || year(day) WHEN day_first THEN {d} || '/' || {mo} || '/' || year(day) ELSE {mo} || '/' || {d} || '/' || year(day) END
     WHEN 'iban' THEN substr(plain, 1, 2) || lpad((98 - {_mod97("(account || substr(plain, 1, 2) || '00')")})::VARCHAR, 2, '0') || account END AS new FROM s),
 h AS (SELECT m, 0 AS i, length(split_part(m, '@', 1)) AS n, substr(split_part(m, '@', 1), 1, (length(split_part(m, '@', 1)) // 2)::INT) AS l, substr(split_part(m, '@', 1), (length(split_part(m, '@', 1)) // 2 + 1)::INT) AS r FROM c WHERE kind = 'email'
   UNION ALL

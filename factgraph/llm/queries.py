@@ -11,7 +11,7 @@ from factgraph.llm.common import table
 
 
 def op1_preference_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chat.format_preferences(chat.truncation_pairs(table(spark, sf_dir, "conversations")))
+    return chat.format_preferences(chat.crossed_pairs(table(spark, sf_dir, "conversations")))
 
 
 def op2_avi_motion_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,7 +39,7 @@ def op7_class_ngram(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.pseudonymise(table(spark, sf_dir, "documents"), found="n_found").select("doc_id", "text", "n_found")
+    return pii.pseudonymise(table(spark, sf_dir, "documents"), pii.key_of(spark), found="n_found").select("doc_id", "text", "n_found")
 
 
 def op9_attention_mil_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -141,14 +141,77 @@ def test_packing(spark, json_library, window):
         assert at == room and (room == 128 or room & (room - 1) == 0)
 
 
-def test_packing_is_balanced():
+def test_packing_goes_to_the_lowest_cost():
+    """The dealt rule, room by room."""
     rng = random.Random(5)
-    lengths = [rng.randrange(1, 2048) for _ in range(600)]
-    spent = collections.Counter()
-    for _, _, n, at, _ in packing.assign(lengths):
-        spent[at] += packing.cost(n)
-    full = [c for at, c in spent.items() if at < sum(lengths) // 2048]
-    assert max(full) < 1.5 * (sum(full) / len(full))
+    for lengths in ([rng.randrange(1, 2048) for _ in range(400)], [2047] * 30, [5, 5, 5, 5], [1], [1500, 1500, 1500, 300]):
+        rooms = packing.rooms_for(sum(lengths), 2048)
+        room, spent, used, expected = list(rooms), [0.0] * len(rooms), [0] * len(rooms), []
+
+        def put(piece, begin, n, at):
+            expected.append((piece, begin, n, at, used[at]))
+            used[at] += n
+            room[at] -= n
+            spent[at] += packing.cost(n)
+
+        rest = []
+        for i in sorted(range(len(lengths)), key=lambda i: -lengths[i]):
+            able = [k for k in range(len(rooms)) if room[k] >= lengths[i]]
+            if able:
+                put(i, 0, lengths[i], min(able, key=lambda k: spent[k]))
+            else:
+                rest.append(i)
+        for i in rest:
+            begin = 0
+            while begin < lengths[i]:
+                at = min((k for k in range(len(rooms)) if room[k]), key=lambda k: spent[k])
+                n = min(lengths[i] - begin, room[at])
+                put(i, begin, n, at)
+                begin += n
+        assert packing.assign(lengths) == expected and sum(rooms) == sum(lengths) and not any(room)
+
+
+def test_packing_of_odd_rows(spark, json_library):
+    found = packing.pack(odd_docs(spark), size=256).collect()
+    assert packing.pack(odd_docs(spark).limit(0)).count() == 0
+    expected = collections.Counter(len(json_library.encode_batch_fast([t or ""], add_special_tokens=False)[0].ids) + 1 for t in ODD)
+    whole = collections.Counter(r.doc_tokens for r in found if r.start == 0)
+    assert whole == expected and sum(r.length for r in found) == sum(n * k for n, k in expected.items())
+    assert {r.doc_id for r in found} == {None, *(i for i in range(len(ODD)) if i not in (8, 10))}
+
+
+def test_special_tokens_come_from_the_vocabulary(tmp_path, monkeypatch):
+    assert packing.special_tokens(bpe.JSON_VOCABULARY, bpe.RANK_VOCABULARY) == {"<|endoftext|>": 50256}
+    with pytest.raises(ValueError, match="other tokens"):
+        packing.special_tokens(bpe.JSON_VOCABULARY, "byte_bpe_multi_50k.tiktoken")
+
+
+def test_very_long_texts_with_special_tokens(json_library, monkeypatch):
+    monkeypatch.setattr(bpe, "STRETCH", 60)
+    texts = [" ".join(random_texts(40, s)) + "<|endoftext|>" * (s % 3) + " tail <|endo" * 20 for s in range(4)]
+    coder = bpe.Encoder(bpe.Vocabulary.from_json(common.tokenizer_path(bpe.JSON_VOCABULARY)))
+    expected = [e.ids for e in json_library.encode_batch_fast(texts, add_special_tokens=False)]
+    assert list(bpe.encode_texts(coder, texts)) == expected
+    known = token_counts.PrefixCounter(bpe.Vocabulary.from_json(common.tokenizer_path(bpe.JSON_VOCABULARY)))
+    for limit in (1, 7, 100, 10_000):
+        for text, ids in zip(texts, expected):
+            total, cut = token_counts._long_totals(known, text, limit)
+            assert total == len(ids) and (total, cut) == next(known.totals([text], limit))
+
+
+def test_caches_hold_few_bytes(monkeypatch):
+    monkeypatch.setattr(bpe, "CACHE_BYTES", 5000)
+    vocabulary = bpe.Vocabulary.from_json(common.tokenizer_path(bpe.JSON_VOCABULARY))
+    coder, known = bpe.Encoder(vocabulary), token_counts.PrefixCounter(vocabulary)
+    for i in range(30):
+        texts = ["".join(random.Random(i * 50 + k).choices("abcdefgh", k=40)) for k in range(50)] + [f"{i}" + "x" * 3000 + "y" * i]
+        list(bpe.encode_texts(coder, texts))
+        known.trim()
+        list(known.totals(texts, 5))
+    coder.trim()
+    known.trim()
+    for cache in (coder.cache, coder.older, known.tables, known.older):
+        assert sum(map(len, cache)) <= 5000 + 50 * 40 + 300 and max(map(len, cache)) <= bpe.LONG_PIECE
 
 
 # near-duplicates
@@ -249,7 +312,7 @@ def luhn(digits):
 def test_pseudonyms(spark):
     texts = [*PRIVATE, *CLEAN, None, ""]
     docs = spark.createDataFrame([(i, t, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, old string, __matches string")
-    rows = {r.old: r for r in pii.pseudonymise(docs, found="n").collect()}
+    rows = {r.old: r for r in pii.pseudonymise(docs, "k", found="n").collect()}
     for t in [*CLEAN, None, ""]:
         assert rows[t].text == t and rows[t].n == 0
     for t in PRIVATE:
@@ -263,7 +326,7 @@ def test_pseudonyms(spark):
     assert rows["(743) 555-3824"].text[-14:] in rows["+1 (743) 555-3824 é"].text
     iban = re.sub(" ", "", rows["GB82 WEST 1234 5698 7654 32"].text)
     assert int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97 == 1
-    assert pii.pseudonymise(docs).columns == docs.columns and pii.pseudonymise(docs.limit(0)).count() == 0
+    assert pii.pseudonymise(docs, "k").columns == docs.columns and pii.pseudonymise(docs.limit(0), "k").count() == 0
 
 
 def test_ibans_end_where_they_do(spark):
@@ -271,7 +334,7 @@ def test_ibans_end_where_they_do(spark):
     ibans = ["ES91 2100 0418 4502 0005 1332 BIC", "BE68 5390 0754 7034 EUR 50", "ES9121000418450200051332 OK", "NO93 8601 1117 947 A1"]
     cards = ["ID12 4111 1111 1111 1111", "DE12 4111 1111 1111 1111", "GB12 4111 1111 1111 1111 AB"]
     docs = spark.createDataFrame([(i, t) for i, t in enumerate([*ibans, *cards])], "doc_id long, text string")
-    rows = {r.doc_id: r for r in pii.pseudonymise(docs, found="n").collect()}
+    rows = {r.doc_id: r for r in pii.pseudonymise(docs, "k", found="n").collect()}
     for i, t in enumerate([*ibans, *cards]):
         new = rows[i].text
         assert rows[i].n == 1 and new != t and re.sub("[0-9]", "9", new) == re.sub("[0-9]", "9", t)
@@ -282,11 +345,11 @@ def test_ibans_end_where_they_do(spark):
 def test_pseudonyms_equal_the_oracle(spark):
     import duckdb
 
-    texts = [*PRIVATE, *CLEAN, "", "x@y.zz AbC-9@d.ef.gh", "DE89370400440532013000 4111-1111-1111-1111", "1/2/2003 1999/12/31 (743)555-3824 743-555-3824"]
+    texts = [*PRIVATE, *CLEAN, "", "x@y.zz AbC-9@d.ef.gh", "DE89370400440532013000 4111-1111-1111-1111", "1/2/2003 1999/12/31 (743)555-3824 743-555-3824", "13/02/2020 31/12/1999 2/3/2020 12.1.2020 30/30/2020", "415 555 2671 020 7946 0958 100 200 3000", "ES91 2100 0418 4502 0005 1332 BIC, BE68 5390 0754 7034 EUR 50"]
     con = duckdb.connect()
     con.sql("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
     con.executemany("INSERT INTO documents VALUES (?, ?)", list(enumerate(texts)))
-    own = pii.pseudonymise(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), found="n_found").select("doc_id", "text", "n_found")
+    own = pii.pseudonymise(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), pii.DEMONSTRATION_KEY, found="n_found").select("doc_id", "text", "n_found")
     assert sorted(map(tuple, own.collect())) == sorted(con.sql(pii_oracle.sql()).fetchall())
 
 
@@ -343,13 +406,19 @@ def test_common_prefix_and_masks(spark):
 
 
 def test_chat_oracle(spark, sf_dir):
+    """The SQL compares turns; conversations that go on alike part later than halfway, or not at all."""
     import duckdb
 
+    same = [(c, t, r, x) for c in (8000, 8001, 8002) for t, (r, x) in enumerate([("user", "q"), ("assistant", "a"), ("user", "more"), ("assistant", f"end {c // 8002}"), ("user", None), (None, "z")])]
+    odd = [*same, (8004, 0, "user", "alone"), (8006, 0, None, None), (8007, 0, "user", "x"), (8007, 0, "assistant", "tie"), (8007, 0, "assistant", "tie"), *((None, i, "user", "no id") for i in range(3))]
+    rows = common.table(spark, sf_dir, "conversations").unionByName(spark.createDataFrame(odd, "conv_id long, turn long, role string, text string"))
     con = duckdb.connect()
-    con.sql(f"CREATE VIEW conversations AS SELECT * FROM '{sf_dir}/conversations.parquet' UNION ALL SELECT 7000 + i, i, CASE WHEN i % 2 = 0 THEN 'user' END, NULL FROM range(5) t(i)")
-    rows = common.table(spark, sf_dir, "conversations").unionByName(spark.range(5).selectExpr("7000 + id AS conv_id", "id AS turn", "if(id % 2 = 0, 'user', null) AS role", "cast(null AS string) AS text"))
-    own = chat.format_preferences(chat.truncation_pairs(rows))
-    assert sorted(map(tuple, own.collect())) == sorted(con.sql(f"SELECT {', '.join(own.columns)} FROM ({chat.ORACLE})").fetchall())
+    con.register("conversations", rows.toArrow())
+    own = chat.format_preferences(chat.crossed_pairs(rows))
+    found = {r.conv_id: r for r in own.collect()}
+    assert sorted(map(tuple, found.values())) == sorted(con.sql(f"SELECT {', '.join(own.columns)} FROM ({chat.ORACLE})").fetchall())
+    assert [found[c].prompt_turns for c in (8000, 8001, 8002, 8004, 8006)] == [6, 3, 3, 0, 0] and None not in found
+    assert chat.crossed_pairs(rows.limit(0)).count() == 0
 
 
 # media
