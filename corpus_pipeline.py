@@ -34,7 +34,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def pseudonymise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Validated personal numbers, dates and addresses replaced in the texts; ``n_chars`` follows the new text."""
-    out = pii.pseudonymise(docs)
+    out = pii.pseudonymise(docs, pii.key_of(spark))
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
