@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factgraph.functions import fixed
-from factgraph.operators.shared import cut_lineage
+from factgraph.operators.shared import cut_lineage, forget
 
 
 def first_match(rows: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, alias: str) -> DataFrame:
@@ -28,17 +28,52 @@ def difference(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFr
     return left.join(right.select(*keys).distinct(), list(keys), "left_anti")
 
 
+#: A relation is squared as long as that makes at most so many times the rows at hand.
+GROWTH = 4
+
+
+def _paths(left: DataFrame, right: DataFrame) -> int:
+    """Rows of the join of ``left`` (d) with ``right`` (s), without making it."""
+    a, b = left.groupBy("d").agg(F.count("*").alias("n")), right.groupBy(F.col("s").alias("d")).agg(F.count("*").alias("m"))
+    return a.join(b, "d").agg(F.coalesce(F.sum(F.col("n") * F.col("m")), F.lit(0))).first()[0]
+
+
+def _composed(left: DataFrame, right: DataFrame) -> DataFrame:
+    return left.join(right.select(F.col("s").alias("d"), F.col("d").alias("__d")), "d").select("s", F.col("__d").alias("d")).distinct()
+
+
+def jumps(step: DataFrame) -> list[DataFrame]:
+    """Walks of 1, 2, 4, 8, ... edges as pairs (s, d), until there are none, they are as long as the graph, or they get
+    too many: long thin graphs have few, and dense graphs need none, as their paths are short."""
+    out, n = [step], step.count()
+    most = max(n, 1)
+    while n and 1 << len(out) <= most and _paths(out[-1], out[-1]) <= GROWTH * most:
+        out.append(cut_lineage(_composed(out[-1], out[-1])))
+        n = out[-1].count()
+    return out
+
+
 def reachable(edges: DataFrame, starts: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     """(start, node, depth) for all nodes that a start reaches over one edge or more; shortest depths.
 
-    The frontier loop joins only new pairs; it ends on cycles, as known pairs are left out.
+    While walks of 1, 2, 4, ... edges are few, each round doubles how far the known pairs reach.  From then on a
+    frontier moves edge by edge; it ends on cycles, as known pairs are left out.
     """
-    step = edges.select(F.col(src).alias("__s"), F.col(dst).alias("__d")).distinct()
-    known = cut_lineage(starts.select(F.col("start"), F.col("start").alias("__at")).distinct().join(step, F.col("__at") == F.col("__s")).select("start", F.col("__d").alias("node"), F.lit(1).alias("depth")).distinct())
-    frontier, depth = known, 1
+    step = cut_lineage(edges.select(F.col(src).alias("s"), F.col(dst).alias("d")).distinct())
+    first = starts.select("start", F.col("start").alias("s")).distinct().join(step, "s")
+    known, far, n = cut_lineage(first.select("start", F.col("d").alias("node"), F.lit(1).alias("depth")).distinct()), 1, 0
+    for walks in jumps(step):
+        before, n = n, known.count()
+        if n == before or _paths(known.select(F.col("node").alias("d")), walks) > GROWTH * max(n, 1):
+            break
+        longer = known.join(walks, known["node"] == walks["s"]).select("start", F.col("d").alias("node"), (F.col("depth") + far).alias("depth"))
+        old, known = known, cut_lineage(known.unionByName(longer).groupBy("start", "node").agg(F.min("depth").alias("depth")))
+        forget(old)
+        far *= 2
+    frontier, depth = known.where(F.col("depth") == far), far
     while not frontier.isEmpty():
         depth += 1
-        following = frontier.join(step, frontier["node"] == F.col("__s")).select("start", F.col("__d").alias("node"), F.lit(depth).alias("depth")).distinct()
+        following = frontier.join(step, frontier["node"] == F.col("s")).select("start", F.col("d").alias("node"), F.lit(depth).alias("depth")).distinct()
         frontier = cut_lineage(following.join(known, ["start", "node"], "left_anti"))
         known = cut_lineage(known.unionByName(frontier)) if depth % 8 == 0 else known.unionByName(frontier)
     return known
@@ -47,40 +82,35 @@ def reachable(edges: DataFrame, starts: DataFrame, src: str = "src", dst: str =
 def strong_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     """(node, component): strongly connected components of two nodes or more, named by their smallest node.
 
-    Nodes without an edge in or out are trimmed away until none is left; what remains is small in import graphs.  Each
-    round colours nodes with the smallest node that reaches them; from each colour's own node, those of the colour that
-    reach it backwards are its component.
+    What no long walk leads to, or from, is trimmed away; what remains is small in import graphs.  Each round colours
+    nodes with the smallest node that reaches them; from each colour's own node, those of the colour that reach it are
+    its component.  Both go over walks of 1, 2, 4, ... edges, so rounds grow with the logarithm of the longest path.
     """
     left = cut_lineage(edges.select(F.col(src).alias("s"), F.col(dst).alias("d")).where("s <> d").distinct())
     found = None
     while True:
-        while True:  # trim
-            n = left.count()
-            kept = left.join(left.select(F.col("d").alias("s")).distinct(), "s", "left_semi").join(left.select(F.col("s").alias("d")).distinct(), "d", "left_semi").select("s", "d")
-            left = cut_lineage(kept)
-            if left.count() == n:
-                break
-        if n == 0:
+        n = -1
+        while n != (n := left.count()) and n:
+            walks = jumps(left)
+            ends = walks[-1]
+            live = ends.select(F.col("s").alias("node")).distinct().join(ends.select(F.col("d").alias("node")).distinct(), "node", "left_semi")
+            left = cut_lineage(left.join(live.withColumnRenamed("node", "s"), "s", "left_semi").join(live.withColumnRenamed("node", "d"), "d", "left_semi").select("s", "d"))
+        if not n:
             break
         colours = cut_lineage(left.select(F.col("s").alias("node")).union(left.select("d")).distinct().select("node", F.col("node").alias("colour")))
         while True:  # forward minimum
-            pushed = left.join(colours, left["s"] == colours["node"]).select(F.col("d").alias("node"), "colour").unionByName(colours)
-            now = cut_lineage(pushed.groupBy("node").agg(F.min("colour").alias("colour")))
-            changed = now.join(colours.withColumnRenamed("colour", "old"), "node").where("colour <> old")
-            done = changed.isEmpty()
-            colours = now
-            if done:
-                break
-        a, b = colours.select(F.col("node").alias("s"), F.col("colour").alias("sc")), colours.select(F.col("node").alias("d"), F.col("colour").alias("dc"))
-        inside = cut_lineage(left.join(a, "s").join(b, "d").where("sc = dc").select("s", "d", "sc"))
-        own = cut_lineage(colours.where("node = colour").select("node"))
-        members = frontier = own.select("node", F.col("node").alias("colour"))
-        while True:  # backwards within the colour
-            back = frontier.join(inside, (frontier["node"] == inside["d"]) & (frontier["colour"] == inside["sc"])).select(F.col("s").alias("node"), "colour").distinct()
-            frontier = cut_lineage(back.join(members, ["node", "colour"], "left_anti"))
-            if frontier.isEmpty():
+            start = colours
+            for walk in walks:
+                pushed = walk.join(colours, walk["s"] == colours["node"]).select(F.col("d").alias("node"), "colour").unionByName(colours)
+                colours = cut_lineage(pushed.groupBy("node").agg(F.min("colour").alias("colour")))
+            if colours.join(start.withColumnRenamed("colour", "old"), "node").where("colour <> old").isEmpty():
                 break
-            members = cut_lineage(members.unionByName(frontier))
+        members = cut_lineage(colours.where("node = colour").select("node", "colour"))
+        size = -1
+        while size != (size := members.count()):  # backwards: what reaches the colour's own node has its colour, if any
+            for walk in walks:
+                back = members.join(walk, members["node"] == walk["d"]).select(F.col("s").alias("node"), "colour").join(colours, ["node", "colour"], "left_semi")
+                members = cut_lineage(members.unionByName(back).distinct())
         sizes = members.groupBy("colour").count().where("count > 1").select("colour")
         group = cut_lineage(members.join(sizes, "colour").select("node", F.col("colour").alias("component")))
         found = group if found is None else found.unionByName(group)

@@ -5,6 +5,7 @@ import json
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from factgraph.operators import cache, engine, fixes, graph, relops, report
 from factgraph.plans import fixtures
@@ -243,3 +244,24 @@ def test_watch_with_an_empty_batch_between(spark, tmp_path):
     steps[0](events, 4)
     assert seen == [(0, ["a.ts"], []), (2, ["b.ts"], []), (2, ["b.ts"], []), (4, ["c.ts"], ["a.ts"])]
     assert sorted(p.name for p in (tmp_path / "s").iterdir()) == ["batch=2", "batch=4"]
+
+
+@pytest.mark.parametrize("n, m, seed", [(12, 8, 1), (30, 40, 2), (15, 60, 3), (40, 0, 4), (25, 25, 5)])
+def test_closure_and_components_of_random_graphs(spark, n, m, seed):
+    """Against plain search; m = 0: a long chain with a circle at its end."""
+    import random
+
+    rng = random.Random(seed)
+    pairs = {(rng.randrange(n), rng.randrange(n)) for _ in range(m)} if m else {*((i, i + 1) for i in range(n - 1)), (n - 1, n - 4)}
+    edges = spark.createDataFrame(sorted(pairs), "src long, dst long")
+    depth = {}
+    for start in range(n):
+        level, seen = {d for s, d in pairs if s == start}, {}
+        for k in range(1, n + 2):
+            seen |= {x: k for x in level if x not in seen}
+            level = {d for s, d in pairs if s in level}
+        depth |= {(start, x): k for x, k in seen.items()}
+    found = relops.reachable(edges, edges.select(F.col("src").alias("start")))
+    assert {(r.start, r.node): r.depth for r in found.collect()} == depth
+    own = {a: min(b for b in range(n) if (a, b) in depth and (b, a) in depth or a == b) for a in range(n)}
+    assert {r.node: r.component for r in relops.strong_components(edges).collect()} == {a: c for a, c in own.items() if sum(x == c for x in own.values()) > 1}
