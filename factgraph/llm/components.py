@@ -8,19 +8,17 @@ from pyspark.sql import functions as F
 from factgraph.llm.common import cut_lineage, forget
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b", most: int | None = None) -> DataFrame:
+def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, root) for every node of an edge, where root is the smallest node reachable.
 
     Each round hangs every node's larger neighbours, and then its smaller ones, below its smallest neighbour; minima are
     partial aggregates and rows meet them in joins, so a node with very many neighbours doesn't gather in one task.
     Rounds grow with the logarithm of the longest path.  Self-loops, repeated edges and nulls are ignored.
-
-    With at most ``most`` rounds, nodes of the same root are connected, but connected ones may have several roots.
     """
     edges = edges.where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b)))
     stars = cut_lineage(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct())
-    state, rounds = _state(stars), 0
-    while state[0] and rounds != most:
+    state = _state(stars)
+    while state[0]:
         # large star
         both = stars.unionByName(stars.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -30,23 +28,12 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", most: int | None =
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
         old, stars = stars, cut_lineage(small.where("u != v").distinct())
         forget(old)
-        before, state, rounds = state, _state(stars), rounds + 1
+        before, state = state, _state(stars)
         if before == state:
             break
-    if most is not None:
-        return _single(stars)
     return stars.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(stars.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
-def _single(stars: DataFrame) -> DataFrame:
-    """One root for each node where rounds ended early: the least neighbour's least neighbour, or itself."""
-    least = stars.groupBy("u").agg(F.min("v").alias("v"))
-    above = least.select(F.col("u").alias("v"), F.col("v").alias("w"))
-    nodes = least.join(above, "v", "left").select(F.col("u").alias("node"), F.coalesce("w", "v").alias("root"))
-    tops = stars.select(F.col("v").alias("node")).distinct().join(nodes, "node", "left_anti")
-    return nodes.unionByName(tops.select("node", F.col("node").alias("root")))
-
-
 def _state(stars: DataFrame) -> tuple:
     """Count and two sums over all edges: equal states mean equal edges, short of a clash of 128 bits."""
     return tuple(stars.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))).first())

@@ -6,9 +6,10 @@ half of RADIUS over its UNCERTAIN bits, those whose sums are nearest to a tie an
 variants a block, 370 a text.  Texts that share a variant of a block are candidates.  Those that differ in too many bits
 of the whole fingerprint, or of a still wider one, go; every other link is verified on the whole shingle sets.
 
-Variants meet in one shuffle of 16 bytes each.  In the first block, each member of a variant's group is held against the
-smallest, which connects most of what belongs together.  What is left, in all blocks, texts that collide with a component
-and are apart from it, is held against all of it, once for each pair, so the components are those of all colliding pairs.
+Variants meet in one shuffle of 16 bytes each.  In the first two blocks, each member of a variant's group is held against
+the one with the most links so far, which connects most of what belongs together.  What is left, in all blocks, texts that
+collide with a component and are apart from it, is held against all of it, once for each pair, so the components are
+those of all colliding pairs.
 A bound spares tests that can't succeed: a text has no link if over a fifth of its shingles are in no other candidate,
 and two texts have none to each other if those that they can share are too few.
 """
@@ -33,7 +34,7 @@ BLOCKS, BLOCK_BITS = 10, 32
 UNCERTAIN, RADIUS = 8, 4
 #: At the threshold 48 of the fingerprint's 320 bits differ, with a deviation of 6.4, and 309 of a sketch's, of 16.2.
 FAR = 70
-SKETCH_WORDS, SKETCH_FAR = 32, 374
+SKETCH_WORDS, SKETCH_FAR = 32, 362
 SEED = 42
 #: Shingles whose bits are summed at a time (sums of so many fit a byte), and characters whose words are held at a time.
 SUMMED = 255
@@ -168,15 +169,30 @@ def _verified(pairs: DataFrame, held: DataFrame) -> DataFrame:
     return met.where((p + q) * F.size(F.array_intersect("ha", "hb")) >= p * (F.size("ha") + F.size("hb"))).select("a", "b")
 
 
-def _apart(met: DataFrame, found: DataFrame) -> DataFrame:
-    """``met`` without the groups that ``found`` links connect as a whole; with each text's root, and the group's
-    ``centre``, the member of the most links.
+def _known(found: DataFrame) -> DataFrame:
+    """(tag, root, links) of the texts that have links.
 
-    Roots come of a few rounds: texts of one root are connected, and what they miss costs tests only.
+    From each text the way goes to its neighbour of the most links, as long as that has more, four times at most.  Texts
+    of one root are connected; connected ones may have several, which costs tests and no link.
     """
     links = found.select(F.explode(F.array("a", "b")).alias("tag")).groupBy("tag").agg(F.count(F.lit(1)).alias("links"))
-    known = common.cut_lineage(_roots(found, 2).join(links, "tag"))
-    placed = met.join(known, "tag", "left").withColumn("root", F.coalesce("root", "tag")).withColumn("links", F.coalesce("links", F.lit(0)))
+    both = found.select(F.col("a").alias("x"), F.col("b").alias("tag")).unionByName(found.select(F.col("b").alias("x"), F.col("a").alias("tag")))
+    ways = both.join(links, "tag").unionByName(links.select(F.col("tag").alias("x"), "tag", "links"))
+    up = ways.groupBy(F.col("x").alias("tag")).agg(F.max(F.struct("links", "tag")).alias("up"), F.max(F.when(F.col("x") == F.col("tag"), F.col("links"))).alias("links"))
+    up = common.cut_lineage(up.select("tag", F.col("up.tag").alias("root"), "links"))
+    for _ in range(2):
+        above = up.select(F.col("tag").alias("root"), F.col("root").alias("top"))
+        up = up.join(above, "root").select("tag", F.col("top").alias("root"), "links")
+    return common.cut_lineage(up)
+
+
+def _apart(met: DataFrame, known: DataFrame | None) -> DataFrame:
+    """``met`` without the groups that are connected as a whole; with each text's root, and the group's ``centre``, the
+    member of the most links."""
+    if known is None:
+        placed = met.withColumn("root", F.col("tag")).withColumn("links", F.lit(0).cast("long"))
+    else:
+        placed = met.join(known, "tag", "left").withColumn("root", F.coalesce("root", "tag")).withColumn("links", F.coalesce("links", F.lit(0)))
     group = Window.partitionBy("key")
     wide = placed.select("*", F.min("root").over(group).alias("least"), F.max("root").over(group).alias("most"), F.max(F.struct("links", "tag", "root")).over(group).alias("centre"))
     return wide.where("least < most").drop("least", "most")
@@ -188,9 +204,9 @@ def _near(pairs: DataFrame, shapes: DataFrame, *far) -> DataFrame:
     return pairs.distinct().join(x, "a").join(y, "b").where(~_far("x", "y", *far)).select("a", "b")
 
 
-def _stars(met: DataFrame) -> DataFrame:
-    """(a, b): each other member of a group and the smallest one."""
-    return met.select(F.col("tag").alias("a"), F.min("tag").over(Window.partitionBy("key")).alias("b")).where("a <> b")
+def _stars(apart: DataFrame) -> DataFrame:
+    """(a, b): each member of a group and its centre, where they aren't connected yet."""
+    return apart.where("root <> centre.root").select(F.greatest("tag", "centre.tag").alias("a"), F.least("tag", "centre.tag").alias("b"))
 
 
 def _across(apart: DataFrame, shapes: DataFrame) -> DataFrame:
@@ -250,12 +266,17 @@ def links(docs: DataFrame, classes: DataFrame) -> DataFrame:
     held = held.join(may, "tag")
     shapes = common.cut_lineage(held.select("tag", F.struct("size", "sketch", "own").alias("shape")))
 
-    found = common.cut_lineage(_verified(_near(_stars(met.where(F.col("key") < 1 << BLOCK_BITS)), shapes), held))
-    return found.unionByName(_verified(_across(_apart(met, found), shapes), held))
+    found = known = None
+    for block in range(2):
+        own = met.where(F.col("key").between(block << BLOCK_BITS, ((block + 1) << BLOCK_BITS) - 1))
+        new = _verified(_near(_stars(_apart(own, known)), shapes), held)
+        found = common.cut_lineage(new if found is None else found.unionByName(new))
+        known = _known(found)
+    return found.unionByName(_verified(_across(_apart(met, known), shapes), held))
 
 
-def _roots(found: DataFrame, most: int | None = None) -> DataFrame:
-    return components(found, most=most).select(F.col("node").alias("tag"), "root")
+def _roots(found: DataFrame) -> DataFrame:
+    return components(found).select(F.col("node").alias("tag"), "root")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
