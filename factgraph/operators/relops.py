@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -16,11 +16,38 @@ def first_match(rows: DataFrame, keys: Sequence[str], order: Sequence[str], valu
     return rows.groupBy(*keys).agg(F.min_by(value, F.struct(*order)).alias(alias))
 
 
+def _number(df: DataFrame, c: str) -> Column:
+    """A place as a whole number, so that it can be dealt into stretches."""
+    kind = df.schema[c].dataType.simpleString()
+    if kind == "timestamp_ntz":
+        return F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', `{c}`)")
+    return F.unix_micros(c) if kind == "timestamp" else F.col(c).cast("long")
+
+
+def containing(points: DataFrame, spans: DataFrame, keys: Sequence[str], point: str, begin: str, end: str) -> DataFrame:
+    """Points with all spans of the same key that contain them (begin <= point <= end).
+
+    A span lies in one or two stretches of the least power of two that isn't shorter than it; points are looked up in a
+    stretch of each length that occurs, 64 at most.  So a key with very many points and spans is dealt into stretches,
+    and a point meets spans near it only.
+    """
+    long = _number(spans, end) - _number(spans, begin)
+    dealt = spans.where(F.col(begin) <= F.col(end)).withColumn("__level", F.greatest(F.ceil(F.log2(F.greatest(long, F.lit(1)).cast("double"))), F.lit(0)).cast("int") + 1)
+    levels = sorted(r[0] for r in dealt.select("__level").distinct().collect())
+    first, last = (F.call_function("shiftright", _number(spans, c), F.col("__level")) for c in (begin, end))
+    dealt = dealt.withColumn("__stretch", F.explode(F.sequence(first, last)))
+    lengths = F.array(*map(F.lit, levels)) if levels else F.array().cast("array<int>")
+    asked = points.withColumn("__level", F.explode(lengths)).withColumn("__stretch", F.call_function("shiftright", _number(points, point), F.col("__level")))
+    met = asked.join(dealt, [*keys, "__level", "__stretch"]).drop("__level", "__stretch")
+    return met.where((F.col(begin) <= F.col(point)) & (F.col(point) <= F.col(end)))
+
+
 def span_enclosure(points: DataFrame, spans: DataFrame, keys: Sequence[str], point: str, begin: str, end: str, order: Sequence[str]) -> DataFrame:
     """Points with the first span of the same key that contains them (begin <= point <= end); points outside go."""
-    inside = points.join(spans, list(keys)).where((F.col(begin) <= F.col(point)) & (F.col(point) <= F.col(end)))
-    at = Window.partitionBy(*points.columns).orderBy(*order)
-    return inside.withColumn("__n", F.row_number().over(at)).where("__n = 1").drop("__n")
+    rest = [c for c in spans.columns if c not in keys]
+    inside = containing(points.select(*keys, point).distinct(), spans, keys, point, begin, end)
+    best = inside.groupBy(*keys, point).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("__first"))
+    return points.join(best, [*keys, point]).select(*[points[c] for c in points.columns], "__first.*")
 
 
 def difference(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -42,15 +69,14 @@ def _composed(left: DataFrame, right: DataFrame) -> DataFrame:
     return left.join(right.select(F.col("s").alias("d"), F.col("d").alias("__d")), "d").select("s", F.col("__d").alias("d")).distinct()
 
 
-def jumps(step: DataFrame) -> list[DataFrame]:
+def jumps(step: DataFrame) -> Iterator[DataFrame]:
     """Walks of 1, 2, 4, 8, ... edges as pairs (s, d), until there are none, they are as long as the graph, or they get
     too many: long thin graphs have few, and dense graphs need none, as their paths are short."""
-    out, n = [step], step.count()
-    most = max(n, 1)
-    while n and 1 << len(out) <= most and _paths(out[-1], out[-1]) <= GROWTH * most:
-        out.append(cut_lineage(_composed(out[-1], out[-1])))
-        n = out[-1].count()
-    return out
+    yield step
+    most, long, walks = step.count(), 1, step
+    while long <= most and 0 < _paths(walks, walks) <= GROWTH * most:
+        walks, long = cut_lineage(_composed(walks, walks)), 2 * long
+        yield walks
 
 
 def reachable(edges: DataFrame, starts: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
@@ -91,7 +117,7 @@ def strong_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> D
     while True:
         n = -1
         while n != (n := left.count()) and n:
-            walks = jumps(left)
+            walks = list(jumps(left))
             ends = walks[-1]
             live = ends.select(F.col("s").alias("node")).distinct().join(ends.select(F.col("d").alias("node")).distinct(), "node", "left_semi")
             left = cut_lineage(left.join(live.withColumnRenamed("node", "s"), "s", "left_semi").join(live.withColumnRenamed("node", "d"), "d", "left_semi").select("s", "d"))

@@ -45,7 +45,7 @@ def unreachable(symbols: DataFrame, facts: DataFrame) -> DataFrame:
 def enclosing(calls: DataFrame, symbols: DataFrame) -> DataFrame:
     """Calls with the first function of the file whose body contains them (null at module level): an interval join."""
     bodies = symbols.where("kind = 'function' AND body_start IS NOT NULL").select("project_id", "path", F.col("ord").alias("s_ord"), F.col("name").alias("in_symbol"), "body_start", "body_end", "returns_jsx")
-    met = calls.join(bodies, ["project_id", "path"]).where("body_start <= start AND end <= body_end")
+    met = relops.containing(calls.select("project_id", "path", "ord", "start", "end"), bodies, ["project_id", "path"], "start", "body_start", "body_end").where("end <= body_end")
     first = met.groupBy("project_id", "path", "ord").agg(F.min(F.struct("s_ord", "in_symbol", "returns_jsx")).alias("e"))
     return calls.join(first, ["project_id", "path", "ord"], "left").select(*[calls[c] for c in calls.columns], F.col("e.in_symbol").alias("in_symbol"), F.col("e.returns_jsx").alias("in_returns_jsx"))
 

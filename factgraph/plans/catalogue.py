@@ -450,15 +450,19 @@ f AS (SELECT c_custkey AS id, c_nationkey AS nation, 'any' AS lang, 0 AS stage,
 SELECT id, rule_seq::INT AS rule_seq FROM f LEFT JOIN l ON l.nation = f.nation WHERE l.lang IS NULL OR ((f.lang = 'any' OR f.lang = l.lang) AND l.stage >= f.stage)""")
 def rule_union(spark, sf_dir):
     """The union of several rules' findings, admitted by the language and stage of what they point at; unknown passes."""
-    nation = _t(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("nation"), F.when(F.col("n_regionkey") < 2, "ecmascript").when(F.col("n_regionkey") == 2, "other").alias("own"), (F.col("n_nationkey") % 3).alias("max_stage"))
-    rules = [
-        _t(spark, sf_dir, "customer").where("c_acctbal < 0").select(F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("nation"), F.lit("any").alias("lang"), F.lit(0).alias("stage"), F.lit(1).alias("rule_seq")),
-        _t(spark, sf_dir, "supplier").where("s_acctbal > 0").select(F.col("s_suppkey").alias("id"), F.col("s_nationkey").alias("nation"), F.lit("ecmascript").alias("lang"), F.lit(1).alias("stage"), F.lit(2).alias("rule_seq")),
-        _t(spark, sf_dir, "orders").where("o_totalprice > 450000").select(F.col("o_orderkey").alias("id"), F.lit(None).cast("int").alias("nation"), F.lit("ecmascript").alias("lang"), F.lit(2).alias("stage"), F.lit(3).alias("rule_seq")),
+    from factgraph.operators import rules
+
+    nation = _t(spark, sf_dir, "nation")
+    family = F.when(F.col("n_regionkey") < 2, "ecmascript").when(F.col("n_regionkey") == 2, "other")
+    languages = nation.select(F.col("n_nationkey").cast("string").alias("language"), family.alias("family"), (F.col("n_nationkey") % 3).alias("reach")).where("family IS NOT NULL")
+    catalogue = spark.createDataFrame([("1", "any", 0), ("2", "ecmascript", 1), ("3", "ecmascript", 2)], "rule_id string, languages string, stage int")
+    found = [
+        _t(spark, sf_dir, "customer").where("c_acctbal < 0").select(F.col("c_custkey").alias("id"), F.col("c_nationkey").cast("string").alias("language"), F.lit("1").alias("rule_id")),
+        _t(spark, sf_dir, "supplier").where("s_acctbal > 0").select(F.col("s_suppkey").alias("id"), F.col("s_nationkey").cast("string").alias("language"), F.lit("2").alias("rule_id")),
+        _t(spark, sf_dir, "orders").where("o_totalprice > 450000").select(F.col("o_orderkey").alias("id"), F.lit(None).cast("string").alias("language"), F.lit("3").alias("rule_id")),
     ]
-    every = rules[0].unionByName(rules[1]).unionByName(rules[2])
-    admitted = F.col("own").isNull() | (((F.col("lang") == "any") | (F.col("lang") == F.col("own"))) & (F.col("max_stage") >= F.col("stage")))
-    return every.join(F.broadcast(nation), "nation", "left").where(admitted).select("id", "rule_seq")
+    every = found[0].unionByName(found[1]).unionByName(found[2])
+    return rules.admit(every, catalogue, languages).select("id", F.col("rule_id").cast("int").alias("rule_seq"))
 
 
 @query("""WITH c AS (SELECT page_id, unnest(regexp_extract_all(html, '<script>.*?</script>')) AS script FROM pages) SELECT page_id, len(regexp_extract_all(script, '\\b(track|eval)\\('))::INT AS calls FROM c WHERE regexp_matches(script, '\\b(track|eval)\\(')""")
@@ -474,10 +478,13 @@ def large_documents(spark, sf_dir):
     return _t(spark, sf_dir, "documents").select("doc_id", F.size(F.split("text", "\n")).alias("lines")).where(F.col("lines") > fixed.LARGE_FUNCTION_LINES)
 
 
-@query("""SELECT o_orderpriority AS section, min(o_orderkey) AS first_key, max(o_orderkey) FILTER (o_orderstatus = 'F') AS last_final, count(*) AS n, count(DISTINCT o_custkey) AS customers FROM orders GROUP BY 1""")
+@query("""SELECT o_custkey::VARCHAR AS project_id, o_orderpriority AS path, max(o_orderkey) AS seq, arg_max(o_orderstatus, o_orderkey) AS status FROM orders GROUP BY 1, 2""")
 def last_write_wins(spark, sf_dir):
-    """Modules keyed by path: which write came first and last."""
-    return _t(spark, sf_dir, "orders").groupBy(F.col("o_orderpriority").alias("section")).agg(F.min("o_orderkey").alias("first_key"), F.max(F.when(F.col("o_orderstatus") == "F", F.col("o_orderkey"))).alias("last_final"), F.count("*").alias("n"), F.countDistinct("o_custkey").alias("customers"))
+    """Modules keyed by project and path: of all writes the last."""
+    from factgraph.operators import semantic
+
+    writes = _t(spark, sf_dir, "orders").select(F.col("o_custkey").cast("string").alias("project_id"), F.col("o_orderpriority").alias("path"), F.col("o_orderkey").alias("seq"), F.col("o_orderstatus").alias("status"))
+    return semantic.last_write(writes, "seq")
 
 
 def queries() -> dict[str, Query]:
