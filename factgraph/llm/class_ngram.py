@@ -15,7 +15,8 @@ the likelihood is taken back and tried with a quarter of that.  Rounds end when
 of its value, or after ROUNDS.
 
 The corpus is tokenised twice, for the counts and for the encoding in two bytes a token, which later passes read.
-Scoring knows the counts of clustered words; those of the others, few tokens, come from the full count table by a join.
+Scoring knows the counts of the COUNTS_HELD most frequent words; those of the others, few tokens, come from the full
+count table by a join.
 So no frequent word is ever shuffled.
 """
 
@@ -24,6 +25,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 from math import log10
 
 import numpy as np
@@ -36,6 +38,8 @@ from factgraph.llm import bpe, common
 
 #: Clustered words, at most; with the end and the four kinds of other words, ids fit two bytes.
 VOCABULARY = 65_500
+#: Words, at most, whose counts tasks hold; the others, few tokens, meet theirs in a join.
+COUNTS_HELD = 1 << 18
 SEEDS = 2048
 #: Class 0 is a document's end, 1 to 4 hold the words that aren't clustered.
 CLASSES = 64
@@ -388,7 +392,9 @@ def cluster(corpus: DataFrame, sizes: np.ndarray, classes: int = CLASSES, seeds:
 class Model:
     """What scoring needs, of bounded size."""
 
+    #: of clustered words, and of these and more
     counts: dict[bytes, int]
+    held: dict[bytes, int]
     #: class of each id
     classes: np.ndarray
     transitions: np.ndarray
@@ -405,7 +411,8 @@ class Model:
 
 def fit(docs: DataFrame, counts: DataFrame, classes: int = CLASSES, most: int = VOCABULARY, seeds: int = SEEDS) -> Model:
     """``counts`` as of :func:`word_counts`."""
-    known = vocabulary(counts, most)
+    held = vocabulary(counts, max(COUNTS_HELD, most))
+    known = dict(islice(held.items(), most))
     ids = {w: 1 + i for i, w in enumerate(known)}
     corpus = common.cut_lineage(encoded(docs, ids))
     of, table = cluster(corpus, np.array(list(known.values()), float), classes, seeds)
@@ -418,7 +425,7 @@ def fit(docs: DataFrame, counts: DataFrame, classes: int = CLASSES, most: int =
         for at, sign in ((1 + kind(w), -1), (of[ids[w]], 1)):
             class_n[at] += sign * c
             class_v[at] += sign
-    return Model(known, of, transitions(table, class_n), np.log10(class_n + ADDED * (class_v + 1)), end_count, tokens, distinct)
+    return Model(known, held, of, transitions(table, class_n), np.log10(class_n + ADDED * (class_v + 1)), end_count, tokens, distinct)
 
 
 def transitions(table: np.ndarray, class_n: np.ndarray) -> np.ndarray:
@@ -436,7 +443,7 @@ class _Scorer:
     def score(self, texts: list[str]) -> tuple[list[np.ndarray], tuple[np.ndarray, list[bytes], np.ndarray]]:
         """Per text: tokens, those with a known count here, the sum of their log10(count + ADDED), and the rest of the
         score; then the words whose counts aren't known here: (text, word, times)."""
-        model, known = self.model, self.model.counts.get
+        model, known = self.model, self.model.held.get
         words, inverse, firsts = words_of(texts)
         before, here = neighbours(model.classes[self.words.of(words)][inverse], firsts)
         begins = firsts[:-1] + np.arange(len(texts))  # a text's end comes after each
