@@ -11,11 +11,14 @@ from bisect import bisect_right
 
 from factgraph.functions import fixed
 
-_SPACE = re.compile(r"(?:\s+|//[^\n]*|/\*.*?\*/|\#![^\n]*)+", re.S)
+_SHEBANG = re.compile(r"\#![^\n]*")
+_SPACE = re.compile(r"(?://[^\n]*|/\*.*?\*/)(?:\s+|//[^\n]*|/\*.*?\*/)*", re.S)
 _TOKEN = re.compile(
-    r"""(?P<id>[A-Za-z_$\u0080-\uffff][\w$\u0080-\uffff]*)|(?P<num>\d[\w.]*)|(?P<str>"(?:\\.|[^"\\\n])*"|'(?:\\.|[^'\\\n])*')|(?P<op>=>|\?\.|\.\.\.|[=!]==?|&&|\|\||\?\?|\+\+|--|[-+*/%&|^<>]=|.)""",
+    r"""\s*(?:(?P<id>[A-Za-z_$\u0080-\uffff][\w$\u0080-\uffff]*)|(?P<num>\d[\w.]*)|(?P<str>"(?:\\.|[^"\\\n])*"|'(?:\\.|[^'\\\n])*')|(?P<op>=>|\?\.|\.\.\.|[=!]==?|&&|\|\||\?\?|\+\+|--|[-+*/%&|^<>]=|.)|$)""",
     re.S,
 )
+#: A type parameter, not an element.
+_GENERIC = re.compile(r"<[A-Za-z_$][\w$]*\s*(?:,|extends\b)")
 _REGEX = re.compile(r"/(?![*/])(?:\\.|\[(?:\\.|[^\]\\\n])*\]|[^/\\\n\[])+/[a-z]*")
 _BEFORE_VALUE = frozenset("return typeof case in of new delete void throw else do await yield default extends".split())
 _NOT_CALLEES = frozenset("if for while switch catch function return typeof await new with constructor".split())
@@ -71,39 +74,45 @@ class Lexer:
 
     def run(self, at: int = 0, until: str = "") -> int:
         """Tokens up to the closing bracket ``until``, which isn't taken; returns where that is."""
-        source, depth, size, tokens = self.source, 0, len(self.source), self.tokens
-        space, token, add = _SPACE.match, _TOKEN.match, self.tokens.append
-        while at < size:
-            if m := space(source, at):
-                at = m.end()
-                if at >= size:
-                    break
-            c = source[at]
-            if c == "`":
-                at = self.template(at)
-                continue
-            if c == "/" and self.value_next() and (m := _REGEX.match(source, at)):
-                add(Token("regex", m[0], at, m.end()))
-                at = m.end()
-                continue
-            if c == "<" and self.jsx and self.value_next() and (source[at + 1 : at + 2] == ">" or _NAME.match(source, at + 1)) and not re.match(r"<[A-Za-z_$][\w$]*\s*(,|extends\b)", source[at : at + 200]):
-                at = self.element(at)
-                continue
-            m = token(source, at)
-            kind, text = m.lastgroup, m[0]
+        source, depth, add = self.source, 0, self.tokens.append
+        if not at and (m := _SHEBANG.match(source)):
+            at = m.end()
+        scan = _TOKEN.scanner(source, at).match
+        while m := scan():
+            kind = m.lastgroup
+            if kind is None:  # only white space was left
+                break
+            start, at = m.span(kind)
+            text = source[start:at]
             if kind == "op":
                 if text in _PAIRS:
                     depth += 1
                     self.opens(text)
                 elif text in _CLOSERS:
                     if until and text == until and not depth:
-                        return at
+                        return start
                     depth -= 1
                     self.closes()
-            end = at + len(text)
-            add(Token(kind, text, at, end))
-            at = end
-        return at
+                elif text[0] in "`/<" and (end := self.special(start)):
+                    scan = _TOKEN.scanner(source, end).match
+                    continue
+            add(Token(kind, text, start, at))
+        return len(source)
+
+    def special(self, at: int) -> int:
+        """Reads a template, a comment, a pattern or an element that begins here; returns its end, or 0 if none does."""
+        source, c = self.source, self.source[at]
+        if c == "`":
+            return self.template(at)
+        if c == "/":
+            if m := _SPACE.match(source, at):
+                return m.end()
+            if self.value_next() and (m := _REGEX.match(source, at)):
+                self.tokens.append(Token("regex", m[0], at, m.end()))
+                return m.end()
+        elif self.jsx and self.value_next() and (source[at + 1 : at + 2] == ">" or _NAME.match(source, at + 1)) and not _GENERIC.match(source, at):
+            return self.element(at)
+        return 0
 
     def template(self, at: int) -> int:
         start, plain, source = at, True, self.source
