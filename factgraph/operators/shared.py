@@ -8,6 +8,10 @@ import tempfile
 from pyspark.sql import DataFrame
 
 
+#: Shuffle files of an execution go when it ends; a checkpoint doesn't need them any more.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Writes ``df`` to the checkpoint folder that all executors share.
 
@@ -20,7 +24,12 @@ def cut_lineage(df: DataFrame) -> DataFrame:
         if not named and not sc.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         sc.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "checkpoints"))
-    return df.checkpoint(eager=True)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        return df.select("*").checkpoint(eager=True)
+    finally:
+        spark.conf.set(_CLEANUP, before) if before is not None else spark.conf.unset(_CLEANUP)
 
 
 def forget(df: DataFrame) -> None:
