@@ -184,7 +184,7 @@ def payload(levels: np.ndarray, comment: bytes) -> bytes:
     return (levels.reshape(-1).astype(np.int16) + ZERO_BYTE).astype(np.uint8).tobytes()[: int(comment)]
 
 
-CLIP = T.StructType([T.StructField(n, k) for n, k in (("clip", T.IntegerType()), ("first_frame", T.IntegerType()), ("frames", T.IntegerType()), ("begin_s", T.DoubleType()), ("end_s", T.DoubleType()), ("mean_luma", T.DoubleType()))])
+CLIP = T.StructType([T.StructField(n, k) for n, k in (("clip", T.IntegerType()), ("first_frame", T.IntegerType()), ("frames", T.IntegerType()), ("begin_s", T.DoubleType()), ("end_s", T.DoubleType()), ("mean_luma", T.DoubleType()), ("status", T.StringType()))])
 
 
 def _clip_rows(rate: int, hists: np.ndarray) -> list[tuple]:
@@ -198,10 +198,11 @@ def _clip_rows(rate: int, hists: np.ndarray) -> list[tuple]:
 
 
 def clips(files: DataFrame, media: str = "media") -> DataFrame:
-    """A row for each shot of each file: the other columns, and clip, first_frame, frames, begin_s, end_s, mean_luma.
+    """A row for each shot of each file: the other columns, and clip, first_frame, frames, begin_s, end_s, mean_luma and
+    status, which is ``shot``.
 
-    Null files, files without frames and files that aren't AVI motion-JPEG give no clip rows.  Names that are taken
-    get an underscore.
+    A file without shots has one row with nulls: its status is ``empty`` for null files and files without frames, and
+    ``unreadable`` for what isn't AVI motion-JPEG.  Names that are taken get an underscore.
     """
     rest = [f for f in files.schema.fields if f.name != media]
     names = common.fresh(files.drop(media), *CLIP.fieldNames())
@@ -211,17 +212,20 @@ def clips(files: DataFrame, media: str = "media") -> DataFrame:
         decoder = jpeg.Decoder()
         for batch in batches:
             place, rows = [], []
-            for i, data in enumerate(common.column(batch, media).to_pylist()):
-                try:
-                    rate, _, _, hists = next(_decode_files([data or b""], decoder))
-                except (ValueError, IndexError, struct.error, KeyError):
-                    continue
-                found = _clip_rows(rate, hists)
+            for i, value in enumerate(common.column(batch, media)):
+                data, status, found = value.as_py(), "empty", []
+                if data:
+                    try:
+                        rate, _, _, hists = next(_decode_files([data], decoder))
+                        found = [(*clip, "shot") for clip in _clip_rows(rate, hists)]
+                    except (ValueError, IndexError, struct.error, KeyError):
+                        status = "unreadable"
+                found = found or [(*[None] * (len(names) - 1), status)]
                 place += [i] * len(found)
                 rows += found
             kept = batch.select([f.name for f in rest]).take(pa.array(place, pa.int64()))
             columns = list(zip(*rows)) or [()] * len(names)
-            kinds = [pa.int32()] * 3 + [pa.float64()] * 3
+            kinds = [pa.int32()] * 3 + [pa.float64()] * 3 + [pa.string()]
             yield pa.RecordBatch.from_arrays([*kept.columns, *[pa.array(c, k) for c, k in zip(columns, kinds)]], names=[*[f.name for f in rest], *names])
 
     return files.mapInArrow(run, schema)

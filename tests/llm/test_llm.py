@@ -540,7 +540,9 @@ def test_shots_and_clips(spark):
     blocks[:, 1] += rng.integers(-2, 3, len(blocks))
     file = avi.write_avi(jpeg.encode_frames(blocks, avi.FRAME_BLOCKS, avi.WIDTH, avi.HEIGHT), avi.WIDTH, avi.HEIGHT)
     files = spark.createDataFrame([(1, bytearray(file)), (2, None), (3, bytearray(b"junk")), (4, bytearray(file[:100]))], "id long, media binary").withColumn("clip", F.lit("taken"))
-    rows = avi.clips(files).orderBy("first_frame").collect()
+    every = avi.clips(files).orderBy("id", "first_frame").collect()
+    assert [(r.id, r.status) for r in every if r.status != "shot"] == [(2, "empty"), (3, "unreadable"), (4, "empty")]
+    rows = [r for r in every if r.status == "shot"]
     assert [(r.id, r.clip, r.clip_, r.first_frame, r.frames) for r in rows] == [(1, "taken", 0, 0, 8), (1, "taken", 1, 8, 6), (1, "taken", 2, 14, 7)]
     assert rows[1].begin_s == pytest.approx(0.32) and rows[1].mean_luma > rows[2].mean_luma > rows[0].mean_luma
     assert avi.clips(files.limit(0)).count() == 0
