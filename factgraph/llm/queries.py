@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factgraph.llm import avi, bpe, chat, class_ngram, packing, pii, pii_oracle, quality_classifier, quality_rules, simhash, token_counts
+from factgraph.llm import avi, bpe, chat, class_ngram, packing, pii, pii_oracle, quality_classifier, quality_rules, simhash, token_counts, vector_clusters, vector_codes
 from factgraph.llm.common import table
 
 
@@ -52,9 +52,17 @@ def op10_ngram_likelihood_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.score(docs, quality_rules.Ratio.fit(table(spark, sf_dir, "benchmark"), docs))
 
 
+def op11_delta_lloyd_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.codes(table(spark, sf_dir, "embeddings"))
+
+
+def op12_weighted_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_clusters.clusters(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_preference_formatting, op2_avi_motion_jpeg, op3_cost_balanced_packing, op4_prefix_token_counts, op5_simhash_balls, op6_byte_bpe, op7_class_ngram, op8_feistel_pseudonyms, op9_attention_mil_quality, op10_ngram_likelihood_rules)}
+    return {f.__name__: f for f in (op1_preference_formatting, op2_avi_motion_jpeg, op3_cost_balanced_packing, op4_prefix_token_counts, op5_simhash_balls, op6_byte_bpe, op7_class_ngram, op8_feistel_pseudonyms, op9_attention_mil_quality, op10_ngram_likelihood_rules, op11_delta_lloyd_codes, op12_weighted_centroids)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_preference_formatting": chat.ORACLE, "op8_feistel_pseudonyms": pii_oracle.sql()}
+    return {"op1_preference_formatting": chat.ORACLE, "op8_feistel_pseudonyms": pii_oracle.sql(), "op11_delta_lloyd_codes": vector_codes.ORACLE, "op12_weighted_centroids": vector_clusters.ORACLE}
