@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factgraph.llm import avi, bpe, chat, class_ngram, packing, pii, pii_oracle, quality_classifier, quality_rules, simhash, token_counts, vector_clusters, vector_codes
+from factgraph.llm import avi, bpe, chat, class_ngram, packing, pii, pii_oracle, quality_classifier, quality_rules, simhash, substring_dedup, token_counts, vector_clusters, vector_codes
 from factgraph.llm.common import table
 
 
@@ -60,9 +60,13 @@ def op12_weighted_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_clusters.clusters(table(spark, sf_dir, "embeddings"))
 
 
+def op13_count_min_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.deduplicate(table(spark, sf_dir, "documents")).drop("kept_text")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_preference_formatting, op2_avi_motion_jpeg, op3_cost_balanced_packing, op4_prefix_token_counts, op5_simhash_balls, op6_byte_bpe, op7_class_ngram, op8_feistel_pseudonyms, op9_attention_mil_quality, op10_ngram_likelihood_rules, op11_delta_lloyd_codes, op12_weighted_centroids)}
+    return {f.__name__: f for f in (op1_preference_formatting, op2_avi_motion_jpeg, op3_cost_balanced_packing, op4_prefix_token_counts, op5_simhash_balls, op6_byte_bpe, op7_class_ngram, op8_feistel_pseudonyms, op9_attention_mil_quality, op10_ngram_likelihood_rules, op11_delta_lloyd_codes, op12_weighted_centroids, op13_count_min_substrings)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_preference_formatting": chat.ORACLE, "op8_feistel_pseudonyms": pii_oracle.sql(), "op11_delta_lloyd_codes": vector_codes.ORACLE, "op12_weighted_centroids": vector_clusters.ORACLE}
+    return {"op1_preference_formatting": chat.ORACLE, "op8_feistel_pseudonyms": pii_oracle.sql(), "op11_delta_lloyd_codes": vector_codes.ORACLE, "op12_weighted_centroids": vector_clusters.ORACLE, "op13_count_min_substrings": substring_dedup.ORACLE}
