@@ -6,6 +6,10 @@ touched, blocks are merged in two steps, and what is left is one bit for each sl
 goes nowhere.  The second pass groups the others exactly, by 128 bits of hash, and finds where each starts first.  Those
 places go back to their documents; what a document's candidate windows cover and isn't first is removed.
 
+Copies repeat many windows in a row, so they are grouped in two steps.  Runs of candidates are cut at windows whose hash
+says so, about one in CUT.  Pieces are grouped first, a row each: of equal ones only the first goes on, as each window of the
+others starts earlier there.  Then the windows of first pieces are grouped, so rows grow with different windows, not copies.
+
 Windows beyond the sketch's size cost shuffled rows (more unique windows are taken for repeated), never results.
 """
 
@@ -31,6 +35,8 @@ LEAST_SLOTS, MOST_SLOTS = 1 << 20, 1 << 29
 BLOCK = 1 << 17
 #: Windows that a task counts before it sends their slots.
 COUNTED = 4 << 20
+#: Candidate windows in a row are cut into pieces of about so many.
+CUT = 32
 #: Counting tasks from which blocks are merged in two steps, and bytes of a very long text that are held as words at a time.
 MERGED, STRETCH = 256, 1 << 20
 
@@ -60,12 +66,12 @@ def pieces(text: bytes, size: int = STRETCH) -> Iterator[bytes]:
 
 def _hashes(words: list[bytes]) -> np.ndarray:
     """Two independent hashes of each word; every different word is hashed once."""
-    from xxhash import xxh3_128_intdigest
+    from xxhash import xxh3_128_digest
 
     coded = pa.array(words, pa.binary()).dictionary_encode()
-    own = [xxh3_128_intdigest(w, SEED) for w in coded.dictionary.to_pylist()]
-    table = np.array([[h & 0xFFFFFFFFFFFFFFFF for h in own], [h >> 64 for h in own]], np.uint64)
-    return table[:, coded.indices.to_numpy()]
+    data, ends = coded.dictionary.buffers()[2].to_pybytes() if words else b"", np.frombuffer(coded.dictionary.buffers()[1], "<i4")[: len(coded.dictionary) + 1].tolist() if words else []
+    own = b"".join([xxh3_128_digest(data[a:b], SEED) for a, b in zip(ends, ends[1:])])
+    return np.ascontiguousarray(np.frombuffer(own, ">u8").astype(np.uint64).reshape(-1, 2).T)[:, coded.indices.to_numpy()]
 
 
 def word_hashes(texts: Iterable[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -198,9 +204,10 @@ def sketch(texts: DataFrame, window: int = WINDOW, most: int = MOST_SLOTS) -> tu
     tasks = texts.rdd.getNumPartitions()
     if tasks > MERGED:  # a block's rows meet in groups of the square root of the tasks
         counted = counted.withColumn("salt", F.pmod(F.xxhash64("salt"), F.lit(isqrt(tasks)))).groupBy("block", "salt").applyInArrow(add, kinds)
-    out = np.zeros((blocks, BLOCK // 8), np.uint8)
-    for row in counted.groupBy("block").applyInArrow(bits, "block int, bits binary").collect():  # ``size`` bits
+    out, made = np.zeros((blocks, BLOCK // 8), np.uint8), common.cut_lineage(counted.groupBy("block").applyInArrow(bits, "block int, bits binary"))
+    for row in made.toLocalIterator():  # ``size`` bits
         out[row["block"]] = np.frombuffer(row["bits"], np.uint8)
+    common.forget(made)
     return out.tobytes(), size
 
 
@@ -219,6 +226,35 @@ def _first_inside(hashes: np.ndarray, of: np.ndarray) -> np.ndarray:
     return out
 
 
+def _pieces(hashes: np.ndarray, of: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(index of the first window of each piece, two hashes of its windows in order) of candidates that come in order."""
+    if not len(of):
+        return np.zeros(0, np.int64), np.zeros((2, 0), np.uint64)
+    begins = np.ones(len(of), bool)
+    begins[1:] = (np.diff(of) != 0) | (np.diff(start) != 1) | (_mixed(hashes[0][1:]) % np.uint64(CUT) == 0)
+    first = np.flatnonzero(begins)
+    place = (np.arange(len(of)) - np.repeat(first, np.diff(first, append=len(of)))).astype(np.uint64) + np.uint64(1)
+    return first, np.stack([np.add.reduceat(_mixed(hashes[k] ^ place * _JOIN[k]), first) for k in range(2)])
+
+
+def _firsts(found: DataFrame) -> DataFrame:
+    """(doc, version, starts) of the rows (h1, h2, doc, start) that come first among those of equal hashes."""
+    first = found.groupBy("h1", "h2").agg(F.min(F.struct("doc", "start")).alias("f"))
+    placed = first.select("f.doc", F.shiftright("f.start", 32).alias("version"), F.col("f.start").bitwiseAND(0xFFFFFFFF).cast("int").alias("start"))
+    return common.cut_lineage(placed.groupBy("doc", "version").agg(F.collect_list("start").alias("starts")))  # a document's own
+
+
+def _rows(part: pa.RecordBatch, hashes: np.ndarray, of: np.ndarray, start: np.ndarray) -> pa.RecordBatch:
+    doc, version = (common.column(part, c).to_numpy()[of] for c in ("doc", "version"))
+    return pa.RecordBatch.from_arrays([pa.array(hashes[0].view(np.int64)), pa.array(hashes[1].view(np.int64)), pa.array(doc), pa.array(version << 32 | start)], names=["h1", "h2", "doc", "start"])
+
+
+def _listed(part: pa.RecordBatch, begins: np.ndarray) -> np.ndarray:
+    """Places, among all words of a step, of each row's ``starts``."""
+    lists = common.column(part, "starts")
+    return np.repeat(begins, lists.value_lengths().fill_null(0).to_numpy()) + lists.flatten().to_numpy()
+
+
 def deduplicate(docs: DataFrame, window: int = WINDOW, most_slots: int = MOST_SLOTS) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256, kept_text): each row's words that no repeated window covers.
 
@@ -231,38 +267,42 @@ def deduplicate(docs: DataFrame, window: int = WINDOW, most_slots: int = MOST_SL
     merged_bits, size = sketch(texts, window, most_slots)
     shared = spark.sparkContext.broadcast(merged_bits)  # at most MOST_SLOTS bits
 
-    def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         bits = np.frombuffer(shared.value, np.uint8)
         for part, step in _steps(batches):
-            hashes, of, start, _ = _placed(step, window)
+            hashes, of, start, counts = _placed(step, window)
             may = _estimated(hashes, bits, size)
-            hashes, of, start = hashes[:, may], of[may], start[may]
-            first = _first_inside(hashes, of)
-            doc, version = (common.column(part, c).to_numpy()[of[first]] for c in ("doc", "version"))
-            yield pa.RecordBatch.from_arrays([pa.array(hashes[0][first].view(np.int64)), pa.array(hashes[1][first].view(np.int64)), pa.array(doc), pa.array(version << 32 | start[first])], names=["h1", "h2", "doc", "start"])
+            yield part, step, hashes[:, may], of[may], start[may], counts
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, _, hashes, of, start, _ in candidates(batches):
+            first, own = _pieces(hashes, of, start)
+            yield _rows(part, own, of[first], start[first])
+
+    def among_first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, _, hashes, of, start, counts in candidates(batches):
+            begins = np.cumsum(counts) - counts
+            first, _ = _pieces(hashes, of, start)
+            kept = np.isin((begins[of] + start)[first], _listed(part, begins))
+            inside = np.repeat(kept, np.diff(first, append=len(of))) & _first_inside(hashes, of)
+            yield _rows(part, hashes[:, inside], of[inside], start[inside])
 
-    found = texts.select("doc", "version", "text").mapInArrow(candidates, "h1 long, h2 long, doc long, start long")
-    first = found.groupBy("h1", "h2").agg(F.min(F.struct("doc", "start")).alias("f")).select("f.doc", F.shiftright("f.start", 32).alias("version"), F.col("f.start").bitwiseAND(0xFFFFFFFF).cast("int").alias("start"))
-    firsts = common.cut_lineage(first.groupBy("doc", "version").agg(F.collect_list("start").alias("starts")))  # a document's own windows
+    kinds, own = "h1 long, h2 long, doc long, start long", ["doc", "version"]
+    of_pieces = _firsts(texts.select(*own, "text").mapInArrow(cut, kinds))
+    firsts = _firsts(texts.join(of_pieces, own).select(*own, "text", "starts").mapInArrow(among_first, kinds))
+    common.forget(of_pieces)
 
     def removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.frombuffer(shared.value, np.uint8)
-        for part, step in _steps(batches):
-            hashes, of, start, counts = _placed(step, window)
-            may = _estimated(hashes, bits, size)
-            hashes, of, start = hashes[:, may], of[may], start[may]
-            stays = _first_inside(hashes, of)
-            lists = common.column(part, "starts")
-            known, sizes = lists.flatten().to_numpy(), lists.value_lengths().fill_null(0).to_numpy()
+        for part, step, hashes, of, start, counts in candidates(batches):
             begins = np.cumsum(counts) - counts
-            stays &= np.isin(begins[of] + start, np.repeat(begins, sizes) + known)
+            stays = _first_inside(hashes, of) & np.isin(begins[of] + start, _listed(part, begins))
             at, n = (begins[of] + start)[~stays], int(counts.sum()) + 1
             covered = np.cumsum(np.bincount(at, minlength=n) - np.bincount(at + window, minlength=n))[:-1] > 0
             kept = [_kept(text, covered[b : b + n]) for text, b, n in zip(step, begins.tolist(), counts.tolist())]
             away = np.add.reduceat(np.append(covered, False), begins) * (counts > 0) if len(counts) else counts
             yield pa.RecordBatch.from_arrays([common.column(part, "doc_id"), pa.array(counts), pa.array(away.astype(np.int64)), pa.array([hashlib.sha256(k).hexdigest() for k in kept]), pa.array([k.decode() for k in kept], pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"])
 
-    return texts.join(firsts, ["doc", "version"], "left").select("doc_id", "text", "starts").mapInArrow(removed, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
+    return texts.join(firsts, own, "left").select("doc_id", "text", "starts").mapInArrow(removed, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
 
 
 def _kept(text: bytes, covered: np.ndarray) -> bytes:
