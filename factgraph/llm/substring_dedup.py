@@ -29,12 +29,12 @@ from factgraph.llm import common
 
 WINDOW, SEED = 20, 42
 SLICES = 2
-#: The sketch has a slot for each byte of text, as a power of two, within these bounds: 64 MiB when broadcast.
-LEAST_SLOTS, MOST_SLOTS = 1 << 20, 1 << 29
+#: The sketch has a slot for each byte of text, as a power of two, within these bounds: 128 MiB when broadcast.
+LEAST_SLOTS, MOST_SLOTS = 1 << 20, 1 << 30
 #: Slots of a part of the sketch; parts are merged one by one.
 BLOCK = 1 << 17
 #: Windows that a task counts before it sends their slots.
-COUNTED = 4 << 20
+COUNTED = 2 << 20
 #: Candidate windows in a row are cut into pieces of about so many.
 CUT = 32
 #: Counting tasks from which blocks are merged in two steps, and bytes of a very long text that are held as words at a time.
@@ -123,12 +123,12 @@ def slots(hashes: np.ndarray, size: int) -> np.ndarray:
     """SLICES x windows: the slots that each window counts in, of ``size``, a power of two."""
     shift = np.uint64(64 - (size.bit_length() - 1))
     step = hashes[1] | np.uint64(1)
-    return np.stack([(hashes[0] + np.uint64(k) * step) * _JOIN[0] >> shift for k in range(SLICES)]).astype(np.int64)
+    return np.stack([(hashes[0] + np.uint64(k) * step) * _JOIN[0] >> shift for k in range(SLICES)]).astype(np.uint32)
 
 
 def packed(marks: np.ndarray) -> bytes:
     """Sorted different marks as their steps; a byte of 255 adds to the one after it."""
-    gaps = np.diff(marks, prepend=0)
+    gaps = np.diff(marks.astype(np.int64), prepend=0)
     long = gaps // 255
     out = np.full(int(long.sum()) + len(marks), 255, np.uint8)
     out[np.cumsum(long + 1) - 1] = gaps % 255
@@ -137,16 +137,17 @@ def packed(marks: np.ndarray) -> bytes:
 
 def unpacked(data: bytes) -> np.ndarray:
     steps = np.frombuffer(data, np.uint8)
-    return np.cumsum(steps, dtype=np.int64)[steps != 255]
+    return np.cumsum(steps, dtype=np.uint32)[steps != 255]
 
 
 def merged(marks: list[np.ndarray]) -> np.ndarray:
     """Marks of counts that were added up: twice the slot, and one more if it was touched twice or more."""
-    every = np.sort(np.concatenate([*marks, np.zeros(0, np.int64)]))
+    every = np.concatenate([*marks, np.zeros(0, np.uint32)])
+    every.sort()
     own = every >> 1
-    first = np.flatnonzero(np.diff(own, prepend=-1))
+    first = np.flatnonzero(np.append(True, own[1:] != own[:-1])) if len(own) else np.zeros(0, np.int64)
     twice = np.maximum.reduceat(every & 1, first) | (np.diff(first, append=len(own)) > 1) if len(own) else own
-    return 2 * own[first] + twice
+    return 2 * own[first] + twice.astype(np.uint32)
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -175,8 +176,9 @@ def sketch(texts: DataFrame, window: int = WINDOW, most: int = MOST_SLOTS) -> tu
         found, n = [], 0
 
         def sent() -> Iterator[pa.RecordBatch]:
-            marks = merged([2 * np.concatenate(found)])
-            salt = int(marks.sum() % (1 << 62))
+            marks = merged([np.concatenate(found) << np.uint32(1)])
+            found.clear()
+            salt = int(marks.sum(dtype=np.int64))
             cuts = np.searchsorted(marks, 2 * BLOCK * np.arange(blocks + 1))
             touched = np.flatnonzero(np.diff(cuts)).tolist()
             yield rows(touched, [marks[cuts[b] : cuts[b + 1]] - 2 * BLOCK * b for b in touched], salt)
@@ -187,7 +189,7 @@ def sketch(texts: DataFrame, window: int = WINDOW, most: int = MOST_SLOTS) -> tu
             found.append(np.concatenate([own[0], *[own[k][(own[k] != own[:k]).all(0)] for k in range(1, SLICES)]]))  # a window's own slots may meet
             if n >= COUNTED:
                 yield from sent()
-                found, n = [], 0
+                n = 0
         if n:
             yield from sent()
 
@@ -214,7 +216,7 @@ def sketch(texts: DataFrame, window: int = WINDOW, most: int = MOST_SLOTS) -> tu
 def _estimated(hashes: np.ndarray, bits: np.ndarray, size: int) -> np.ndarray:
     """Whether a window may occur twice: all its slots are set."""
     own = slots(hashes, size)
-    return np.logical_and.reduce([bits[s >> 3] >> (s & 7).astype(np.uint8) & 1 == 1 for s in own])
+    return np.logical_and.reduce([bits[s >> np.uint32(3)] >> (s & np.uint32(7)).astype(np.uint8) & 1 == 1 for s in own])
 
 
 def _first_inside(hashes: np.ndarray, of: np.ndarray) -> np.ndarray:
