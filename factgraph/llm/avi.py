@@ -58,11 +58,13 @@ def write_avi(frames: list[bytes], width: int, height: int, microseconds: int =
 def read_avi(data: bytes) -> tuple[int, list[bytes], bytes]:
     """Microseconds per frame, the video frames and the comment; raises ValueError for other files.
 
-    Frames come from the index (offsets from the movie list or from the file's begin); without one the list is walked.
+    Frames come from the index (offsets from the movie list or from the file's begin); without one, and in the further
+    RIFF parts of a large file, the lists are walked.  Only the first video stream counts.  An empty chunk is a dropped
+    frame: the one before it stays (at the begin the first that comes), so every chunk is a frame's time.
     """
     if data[:4] != b"RIFF" or data[8:12] != b"AVI ":
         raise ValueError("no AVI file")
-    found = {"rate": 0, "movi": (0, 0), "comment": b"", "index": b""}
+    found = {"rate": 0, "movies": [], "comment": b"", "index": b"", "kinds": []}
 
     def walk(at: int, end: int) -> None:
         while at + 8 <= end:
@@ -70,34 +72,46 @@ def read_avi(data: bytes) -> tuple[int, list[bytes], bytes]:
             body, stop = at + 8, min(at + 8 + n, len(data))
             if name == b"LIST":
                 if data[body : body + 4] == b"movi":
-                    found["movi"] = body, stop
+                    found["movies"].append((body, stop))
                 else:
                     walk(body + 4, stop)
             elif name == b"avih":
                 found["rate"] = int.from_bytes(data[body : body + 4], "little")
+            elif name == b"strh":
+                found["kinds"].append(data[body : body + 4])
             elif name == b"ICMT":
                 found["comment"] = data[body:stop].rstrip(b"\0")
-            elif name == b"idx1":
+            elif name == b"idx1" and not found["index"]:
                 found["index"] = data[body:stop]
             at = body + n + (n & 1)
 
-    walk(12, len(data))
-    movie, end = found["movi"]
-    frames = []
+    at = 0
+    while data[at : at + 4] == b"RIFF" and data[at + 8 : at + 12] in (b"AVI ", b"AVIX"):
+        n = int.from_bytes(data[at + 4 : at + 8], "little")
+        walk(at + 12, min(at + 8 + n, len(data)))
+        at += 8 + n + (n & 1)
+    chunks, movies = [], found["movies"]
     entries = list(struct.iter_unpack("<4sIII", found["index"][: len(found["index"]) // 16 * 16]))
-    if entries:
+    if entries and movies:
+        movie = movies[0][0]
         base = movie if data[movie + entries[0][2] : movie + entries[0][2] + 4] == entries[0][0] else 0
-        frames = [data[base + at + 8 : base + at + 8 + n] for name, _, at, n in entries if name[2:] in (b"dc", b"db") and n]
-    elif movie:
+        chunks, movies = [(name, base + at + 8, n) for name, _, at, n in entries], movies[1:]
+    for movie, end in movies:
         at = movie + 4
         while at + 8 <= end:
             name, n = data[at : at + 4], int.from_bytes(data[at + 4 : at + 8], "little")
             if name == b"LIST":  # a group of chunks
                 at += 12
                 continue
-            if name[2:] in (b"dc", b"db") and n:
-                frames.append(data[at + 8 : at + 8 + n])
+            chunks.append((name, at + 8, n))
             at += 8 + n + (n & 1)
+    chunks = [c for c in chunks if c[0][2:] in (b"dc", b"db")]
+    stream = b"%02d" % found["kinds"].index(b"vids") if b"vids" in found["kinds"] else chunks[0][0][:2] if chunks else b""
+    own = [data[at : at + n] for name, at, n in chunks if name[:2] == stream]
+    frames, held = [], next((f for f in own if f), None)
+    for frame in own if held is not None else []:
+        held = frame or held
+        frames.append(held)
     return found["rate"], frames, found["comment"]
 
 

@@ -6,6 +6,9 @@ half of RADIUS over its UNCERTAIN bits, those whose sums are nearest to a tie an
 variants a block, 370 a text.  Texts that share a variant of a block are candidates.  Those that differ in too many bits
 of the whole fingerprint, or of a still wider one, go; every other link is verified on the whole shingle sets.
 
+Of a text of few shingles most bits are near a tie, so it also emits its first shingles by hash: two short texts that are
+similar share one of those (the prefix filter of set joins), and bits rule out nothing between them.
+
 Variants meet in one shuffle of 16 bytes each.  In the first two blocks, each member of a variant's group is held against
 the one with the most links so far, which connects most of what belongs together.  What is left, in all blocks, texts that
 collide with a component and are apart from it, is held against all of it, once for each pair, so the components are
@@ -36,6 +39,10 @@ UNCERTAIN, RADIUS = 8, 4
 FAR = 70
 SKETCH_WORDS, SKETCH_FAR = 32, 362
 SEED = 42
+#: Texts of so few shingles also meet by them: few bits are certain there, so fingerprints rule nothing out.
+SHORT = 12
+#: Above all variants' keys.
+SHORT_KEYS = 1 << 62
 #: Shingles whose bits are summed at a time (sums of so many fit a byte), and characters whose words are held at a time.
 SUMMED = 255
 STRETCH = 1 << 21
@@ -104,6 +111,14 @@ def variants(prints: np.ndarray, unsure: np.ndarray) -> np.ndarray:
     return ((blocks ^ masks) | np.arange(BLOCKS).reshape(1, -1, 1) << BLOCK_BITS).reshape(len(blocks), -1)
 
 
+def prefix(hashes: np.ndarray) -> np.ndarray:
+    """Keys by which a short text meets all similar ones: the first of its sorted shingles, as many as leave too few others
+    for the similarity."""
+    p, q = SIMILARITY
+    n = len(hashes) if len(hashes) <= SHORT else 0
+    return (hashes[: n - -(-p * n // q) + 1 if n else 0] >> np.uint64(2)).astype(np.int64) | SHORT_KEYS
+
+
 def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("version", F.xxhash64("text"))
 
@@ -113,18 +128,18 @@ def _lists(rows: list[np.ndarray]) -> pa.Array:
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """(doc_id, version, node, size, prints, unsure): node is the digest of the words, size the number of distinct
-    shingles; texts without any have no prints."""
+    """(doc_id, version, node, size, prints, unsure, prefix): node is the digest of the words, size the number of distinct
+    shingles; texts without any have no prints, and only short ones a prefix."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         none = np.zeros(0, np.int64)
         for part, texts in common.steps(batches, "text"):
             found = [shingles(text) for text in texts]
             prints = [fingerprint(h) if len(h) else (none, none) for _, h in found]
-            columns = [common.column(part, "doc_id"), common.column(part, "version"), pa.array([n for n, _ in found], pa.binary()), pa.array([len(h) for _, h in found], pa.int64()), _lists([p for p, _ in prints]), _lists([u for _, u in prints])]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "version", "node", "size", "prints", "unsure"])
+            columns = [common.column(part, "doc_id"), common.column(part, "version"), pa.array([n for n, _ in found], pa.binary()), pa.array([len(h) for _, h in found], pa.int64()), _lists([p for p, _ in prints]), _lists([u for _, u in prints]), _lists([prefix(h) for _, h in found])]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "version", "node", "size", "prints", "unsure", "prefix"])
 
-    return _texts(docs).mapInArrow(run, "doc_id long, version long, node binary, size long, prints array<long>, unsure array<long>")
+    return _texts(docs).mapInArrow(run, "doc_id long, version long, node binary, size long, prints array<long>, unsure array<long>, prefix array<long>")
 
 
 def sets(docs: DataFrame) -> DataFrame:
@@ -139,7 +154,8 @@ def sets(docs: DataFrame) -> DataFrame:
 
 
 def collisions(classes: DataFrame) -> DataFrame:
-    """(key, tag): variants that two or more texts emit; ``classes`` has tag, size, prints and unsure."""
+    """(key, tag): variants, and shingles of short texts, that two or more texts emit; ``classes`` has tag, size, prints,
+    unsure and prefix."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -150,6 +166,7 @@ def collisions(classes: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([common.column(part, "tag"), pa.FixedSizeListArray.from_arrays(keys.ravel(), keys.shape[1]).cast(pa.list_(pa.int64()))], names=["tag", "keys"])
 
     emitted = classes.where("size > 0").select("tag", "prints", "unsure").mapInArrow(run, "tag long, keys array<long>").select("tag", F.explode("keys").alias("key"))
+    emitted = emitted.unionByName(classes.where(F.col("size").between(1, SHORT)).select("tag", F.explode("prefix").alias("key")))
     group = Window.partitionBy("key")
     return emitted.select("key", "tag", F.min("tag").over(group).alias("low"), F.max("tag").over(group).alias("high")).where("low < high").select("key", "tag")
 
@@ -158,7 +175,8 @@ def _far(x: str, y: str, bits: str = "sketch", words: int = SKETCH_WORDS, most:
     """Whether sizes or sketches rule the similarity out; it can't exceed the smaller size by the larger."""
     p, q = SIMILARITY
     differ = sum(F.bit_count(F.col(f"{x}.{bits}")[k].bitwiseXOR(F.col(f"{y}.{bits}")[k])) for k in range(words))
-    return (q * F.least(f"{x}.size", f"{y}.size") < p * F.greatest(f"{x}.size", f"{y}.size")) | (differ > most)
+    least, greatest = F.least(f"{x}.size", f"{y}.size"), F.greatest(f"{x}.size", f"{y}.size")
+    return (q * least < p * greatest) | ((differ > most) & (least > SHORT))
 
 
 def _verified(pairs: DataFrame, held: DataFrame) -> DataFrame:
@@ -249,7 +267,7 @@ def _own_shingles(held: DataFrame) -> DataFrame:
 def links(docs: DataFrame, classes: DataFrame) -> DataFrame:
     """(a, b) between tags of similar texts, enough to connect all colliding ones that are similar.
 
-    ``classes``: tag, node, least_id, size, prints, unsure of each different text.
+    ``classes``: tag, node, least_id, size, prints, unsure, prefix of each different text.
     """
     met = common.cut_lineage(collisions(classes))
     shapes = classes.select("tag", F.struct("size", "prints").alias("shape"))
@@ -287,7 +305,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     have the component of the rows with their words, or none.
     """
     signed = common.cut_lineage(signatures(docs))
-    own = ["node", "size", "prints", "unsure"]
+    own = ["node", "size", "prints", "unsure", "prefix"]
     first = F.min(F.struct("doc_id", "version")).alias("first")
     classes = common.cut_lineage(signed.where("doc_id IS NOT NULL").groupBy("node").agg(first, *[F.any_value(c).alias(c) for c in own[1:]]).select(F.xxhash64("node").alias("tag"), "first", F.col("first.doc_id").alias("least_id"), *own))
     roots = _roots(links(docs, classes))

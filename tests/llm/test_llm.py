@@ -609,3 +609,28 @@ def test_pipeline_on_odd_rows(spark, sf_dir):
 def test_registry():
     names = queries.queries()
     assert [n.split("_")[0] for n in names] == [f"op{i}" for i in range(1, 11)] and set(queries.oracle_sql()) <= set(names)
+
+
+def _riff(kind, *chunks):
+    body = kind + b"".join(chunks)
+    return b"RIFF" + len(body).to_bytes(4, "little") + body
+
+
+def _named(name, data):
+    return name + len(data).to_bytes(4, "little") + data + bytes(len(data) & 1)
+
+
+def _list(kind, *chunks):
+    return _named(b"LIST", kind + b"".join(chunks))
+
+
+def test_dropped_frames_further_parts_and_other_streams():
+    heads = _list(b"hdrl", _named(b"avih", (40000).to_bytes(4, "little") + bytes(52)), _list(b"strl", _named(b"strh", b"auds" + bytes(52))), _list(b"strl", _named(b"strh", b"vids" + bytes(52))))
+    first = _list(b"movi", _named(b"01dc", b""), _named(b"01dc", b"one"), _named(b"00wb", b"sound"), _named(b"02dc", b"other"), _named(b"01dc", b""), _list(b"rec ", _named(b"01db", b"two")))
+    more = _riff(b"AVIX", _list(b"movi", _named(b"01dc", b"three"), _named(b"01dc", b"")))
+    rate, frames, _ = avi.read_avi(_riff(b"AVI ", heads, first) + more)
+    assert rate == 40000 and frames == [b"one", b"one", b"one", b"two", b"three", b"three"]
+    plain = _list(b"movi", _named(b"00dc", b"ab"), _named(b"00dc", b""), _named(b"00dc", b"cd"))
+    index = _named(b"idx1", b"".join(struct.pack("<4sIII", b"00dc", 16, at, n) for at, n in ((4, 2), (14, 0), (22, 2))))
+    assert avi.read_avi(_riff(b"AVI ", plain, index) + _riff(b"AVIX", _list(b"movi", _named(b"00dc", b"ef"))))[1] == [b"ab", b"ab", b"cd", b"ef"]
+    assert avi.read_avi(_riff(b"AVI ", _list(b"movi", _named(b"00dc", b""))))[1] == []

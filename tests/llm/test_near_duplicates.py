@@ -88,3 +88,18 @@ def test_recall_and_groups_of_near_copies(spark):
     assert len(linked) > 300 and sum(found[i] == found[j] for i, j in linked) >= 0.99 * len(linked)
     for i, c in found.items():  # and nothing else is linked
         assert roots[i] == roots[c]
+
+
+def test_short_texts_lose_no_link(spark):
+    """Each text and the same with one more word, where that makes a similarity of 0.8 or more: all are found."""
+    rng = random.Random(11)
+    rows, expected = [], {}
+    for k in range(360):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(8 + k % 6)]
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join([*words, "more"]))]
+        expected |= {2 * k: 2 * k, 2 * k + 1: 2 * k}
+    found = s.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    lost = sum(r["component_id"] != expected[r["doc_id"]] for r in found)
+    assert lost == 0
+    hashes = np.arange(100, 112, dtype=np.uint64)
+    assert [len(s.prefix(hashes[:n])) for n in (0, 1, 4, 5, 10, 12)] == [0, 1, 1, 2, 3, 3] and len(s.prefix(np.arange(13, dtype=np.uint64))) == 0
