@@ -9,17 +9,21 @@ from factgraph.functions import columns as C
 from factgraph.functions import fixed
 
 
+SIGNALS = "framework string, place int, kind string, ord int, signal string"
+
+
 def _signals(spark) -> DataFrame:
     rows = [(f, i, kind, j, name) for i, (f, (packages, markers)) in enumerate(fixed.FRAMEWORKS.items()) for kind, names in (("package", packages), ("marker", markers)) for j, name in enumerate(names)]
-    return F.broadcast(spark.createDataFrame(rows, "framework string, place int, kind string, ord int, signal string"))
+    return F.broadcast(spark.createDataFrame(rows, SIGNALS))
 
 
-def detect(dependencies: DataFrame, entries: DataFrame, with_package: DataFrame) -> DataFrame:
+def detect(dependencies: DataFrame, entries: DataFrame, with_package: DataFrame, signals: DataFrame | None = None) -> DataFrame:
     """(project_id, framework, confidence, version, evidence): dependency and marker make it certain, a dependency likely, else possible.
 
     ``with_package``: projects that have a package.json; without any framework such a project is a Node one.
+    ``signals``: another table of SIGNALS, of any size.
     """
-    signals = _signals(dependencies.sparkSession)
+    signals = _signals(dependencies.sparkSession) if signals is None else signals
     runtime_first = dependencies.groupBy("project_id", "name").agg(F.min_by("version", F.when(F.col("section") == "dependencies", 0).otherwise(1)).alias("version"))
     hits = runtime_first.join(signals.where("kind = 'package'"), F.col("name") == F.col("signal")).select("project_id", "framework", "kind", "ord", "version", "signal")
     hits = hits.unionByName(entries.join(signals.where("kind = 'marker'"), F.col("entry") == F.col("signal")).select("project_id", "framework", "kind", "ord", F.lit(None).cast("string").alias("version"), "signal"))

@@ -65,8 +65,10 @@ def of_kind(nodes: DataFrame, kind: str) -> DataFrame:
 
 def topological_order(edges: DataFrame) -> DataFrame:
     """(label, place) of one project's nodes, before what they lead to; no rows if the edges have a circle."""
+    from factgraph.operators import walks
+
     try:
-        levels = relops.topological_levels(edges)
+        levels = walks.topological_levels(edges)
     except ValueError:
         return edges.select(F.col("src").alias("label"), F.lit(0).cast("long").alias("place")).limit(0)
     return numbered(levels, [], ["level", "node"], "place").select(F.col("node").alias("label"), "place")

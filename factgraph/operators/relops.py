@@ -61,8 +61,9 @@ GROWTH = 4
 
 def _paths(left: DataFrame, right: DataFrame) -> int:
     """Rows of the join of ``left`` (d) with ``right`` (s), without making it."""
-    a, b = left.groupBy("d").agg(F.count("*").alias("n")), right.groupBy(F.col("s").alias("d")).agg(F.count("*").alias("m"))
-    return a.join(b, "d").agg(F.coalesce(F.sum(F.col("n") * F.col("m")), F.lit(0))).first()[0]
+    ends = left.select(F.col("d").alias("node"), F.lit(1).alias("n"), F.lit(0).alias("m")).unionByName(right.select(F.col("s").alias("node"), F.lit(0).alias("n"), F.lit(1).alias("m")))
+    met = ends.groupBy("node").agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
+    return met.agg(F.coalesce(F.sum(F.col("n") * F.col("m")), F.lit(0))).first()[0]
 
 
 def _composed(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -79,6 +80,35 @@ def jumps(step: DataFrame) -> Iterator[DataFrame]:
         yield walks
 
 
+def doubled(step: DataFrame, nodes: int) -> tuple[list[DataFrame], str]:
+    """Walks of exactly 1, 2, 4, ... edges between ``nodes`` nodes, and why there are no longer ones: "none" where none
+    exist, "circle" where they are longer than there are nodes, "many" where they are too many to be made."""
+    walks, most = [step], step.count()
+    while most:
+        if 1 << len(walks) - 1 >= nodes:
+            return walks, "circle"
+        paths = _paths(walks[-1], walks[-1])
+        if not paths or paths > GROWTH * most:
+            return walks, "many" if paths else "none"
+        walks.append(cut_lineage(_composed(walks[-1], walks[-1])))
+    return walks, "none"
+
+
+def with_loops(walks: DataFrame, nodes: DataFrame, length: int) -> DataFrame:
+    """(s, d, w): ``walks`` of ``length`` edges, and for each of ``nodes`` (node) the walk of none."""
+    return walks.select("s", "d", F.lit(length).alias("w")).unionByName(nodes.select(F.col("node").alias("s"), F.col("node").alias("d"), F.lit(0).alias("w")))
+
+
+def along(state: DataFrame, looped: DataFrame, moved: Column, merged: Column) -> DataFrame:
+    """One step of a value of ``state`` (node, and it) over walks of :func:`with_loops`: ``moved`` is the value where it
+    arrives, ``merged`` the aggregate of all that a node has then, its own among them."""
+    return looped.join(state, F.col("s") == F.col("node")).select(F.col("d").alias("node"), moved).groupBy("node").agg(merged)
+
+
+#: Steps that are taken between two checkpoints.
+HOPS = 4
+
+
 def reachable(edges: DataFrame, starts: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     """(start, node, depth) for all nodes that a start reaches over one edge or more; shortest depths.
 
@@ -108,46 +138,86 @@ def reachable(edges: DataFrame, starts: DataFrame, src: str = "src", dst: str =
 def strong_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     """(node, component): strongly connected components of two nodes or more, named by their smallest node.
 
-    What no long walk leads to, or from, is trimmed away; what remains is small in import graphs.  Each round colours
-    nodes with the smallest node that reaches them; from each colour's own node, those of the colour that reach it are
-    its component.  Both go over walks of 1, 2, 4, ... edges, so rounds grow with the logarithm of the longest path.
+    Nodes without an edge in or out go, and what no long walk leads to, or from.  Each round colours nodes with the
+    smallest node that reaches them; from each colour's own node, those of the colour that reach it are its component.
+    Both go over walks of 1, 2, 4, ... edges, which are made once: rounds grow with the logarithm of the longest path.
     """
     left = cut_lineage(edges.select(F.col(src).alias("s"), F.col(dst).alias("d")).where("s <> d").distinct())
+    left, n = _trimmed(left, TRIMS)
+    nodes = left.select(F.col("s").alias("node")).union(left.select("d")).distinct().count() if n else 0
+    walks, ended = doubled(left, nodes)
     found = None
-    while True:
-        n = -1
-        while n != (n := left.count()) and n:
-            walks = list(jumps(left))
-            ends = walks[-1]
-            live = ends.select(F.col("s").alias("node")).distinct().join(ends.select(F.col("d").alias("node")).distinct(), "node", "left_semi")
-            left = cut_lineage(left.join(live.withColumnRenamed("node", "s"), "s", "left_semi").join(live.withColumnRenamed("node", "d"), "d", "left_semi").select("s", "d"))
-        if not n:
+    while ended != "none":
+        if ended == "circle":  # all that is no part of a long walk, or between two of them
+            live = cut_lineage(_both(walks[-1]))
+            walks = [left, *_] = [cut_lineage(_among(w, live)) for w in walks]
+        else:
+            left, _ = _trimmed(left)
+            walks = [left, *[cut_lineage(_among(w, _both(left))) for w in walks[1:]]]
+        colours = cut_lineage(_both(left).select("node", F.col("node").alias("colour")))
+        state = _marks(colours)
+        if not state[0]:
             break
-        colours = cut_lineage(left.select(F.col("s").alias("node")).union(left.select("d")).distinct().select("node", F.col("node").alias("colour")))
+        looped, once = [with_loops(w, colours, 1) for w in walks], len(walks) if ended == "circle" else max(len(walks), HOPS)
         while True:  # forward minimum
-            start = colours
-            for walk in walks:
-                pushed = walk.join(colours, walk["s"] == colours["node"]).select(F.col("d").alias("node"), "colour").unionByName(colours)
-                colours = cut_lineage(pushed.groupBy("node").agg(F.min("colour").alias("colour")))
-            if colours.join(start.withColumnRenamed("colour", "old"), "node").where("colour <> old").isEmpty():
+            for i in range(once):
+                colours = along(colours, looped[i % len(walks)], F.col("colour"), F.min("colour").alias("colour"))
+                if i % HOPS == HOPS - 1 or i == once - 1:
+                    colours = cut_lineage(colours)
+            before, state = state, _marks(colours)
+            if ended == "circle" or before == state:
                 break
-        members = cut_lineage(colours.where("node = colour").select("node", "colour"))
-        size = -1
+        members, size = cut_lineage(colours.where("node = colour").select("node", "colour")), -1
         while size != (size := members.count()):  # backwards: what reaches the colour's own node has its colour, if any
-            for walk in walks:
-                back = members.join(walk, members["node"] == walk["d"]).select(F.col("s").alias("node"), "colour").join(colours, ["node", "colour"], "left_semi")
-                members = cut_lineage(members.unionByName(back).distinct())
+            for i in range(once):
+                back = looped[i % len(walks)].join(members, F.col("d") == F.col("node")).select(F.col("s").alias("node"), "colour").distinct()
+                members = back.join(colours, ["node", "colour"], "left_semi")
+                if i % HOPS == HOPS - 1 or i == once - 1:
+                    members = cut_lineage(members)
+            if ended == "circle":
+                break
         sizes = members.groupBy("colour").count().where("count > 1").select("colour")
         group = cut_lineage(members.join(sizes, "colour").select("node", F.col("colour").alias("component")))
         found = group if found is None else found.unionByName(group)
-        gone = members.select("node")
-        left = cut_lineage(left.join(gone.select(F.col("node").alias("s")), "s", "left_anti").join(gone.select(F.col("node").alias("d")), "d", "left_anti").select("s", "d"))
+        rest = cut_lineage(colours.select("node").join(members.select("node"), "node", "left_anti"))
+        walks = [left, *_] = [cut_lineage(_among(w, rest)) for w in walks]
     if found is None:
         node = edges.schema[src].dataType
         return edges.sparkSession.createDataFrame([], "node string, component string").select(F.col("node").cast(node), F.col("component").cast(node))
     return found
 
 
+#: Rounds in which nodes are trimmed by their degrees before walks are made.
+TRIMS = 4
+
+
+def _both(left: DataFrame) -> DataFrame:
+    """(node): nodes with an edge in and an edge out."""
+    ends = left.select(F.col("s").alias("node"), F.lit(1).alias("out")).unionByName(left.select(F.col("d").alias("node"), F.lit(0).alias("out")))
+    return ends.groupBy("node").agg(F.min("out").alias("a"), F.max("out").alias("b")).where("a < b").select("node")
+
+
+def _trimmed(left: DataFrame, most: int | None = None) -> tuple[DataFrame, int]:
+    """``left`` without nodes that lack an edge in or out, again and again (``most`` times), and its size."""
+    n, rounds = left.count(), 0
+    while n and rounds != most:
+        before, old, left, rounds = n, left, cut_lineage(_among(left, _both(left))), rounds + 1
+        n = left.count()
+        if n == before:
+            break
+    return left, n
+
+
+def _among(walks: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The walks between ``nodes`` (node)."""
+    return walks.join(nodes.select(F.col("node").alias("s")), "s", "left_semi").join(nodes.select(F.col("node").alias("d")), "d", "left_semi").select("s", "d")
+
+
+def _marks(colours: DataFrame) -> tuple:
+    """Equal for equal colours, which only fall: a count and a sum of hashes."""
+    return tuple(colours.agg(F.count(F.lit(1)), F.sum(F.xxhash64("node", "colour").cast("decimal(38,0)"))).first())
+
+
 def condensed(edges: DataFrame, groups: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     """(src, dst) between components: each node of ``groups`` (node, component) stands for its component; no circles."""
     a, b = (groups.select(F.col("node").alias(f"__{x}"), F.col("component").alias(f"__{x}c")) for x in "ab")
@@ -156,48 +226,6 @@ def condensed(edges: DataFrame, groups: DataFrame, src: str = "src", dst: str =
     return out.where("src <> dst").distinct()
 
 
-def topological_levels(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
-    """(node, level): the longest path from a node without an edge in; raises ValueError on a cycle."""
-    left = cut_lineage(edges.select(F.col(src).alias("s"), F.col(dst).alias("d")).distinct())
-    nodes = cut_lineage(left.select(F.col("s").alias("node")).union(left.select("d")).distinct())
-    out, level = None, 0
-    while not nodes.isEmpty():
-        inner = left.select(F.col("d").alias("node")).distinct()
-        free = cut_lineage(nodes.join(inner, "node", "left_anti"))
-        if free.isEmpty():
-            raise ValueError("the graph has a cycle")
-        now = free.withColumn("level", F.lit(level))
-        out, level = now if out is None else out.unionByName(now), level + 1
-        nodes = cut_lineage(nodes.join(free, "node", "left_anti"))
-        left = cut_lineage(left.join(free.withColumnRenamed("node", "s"), "s", "left_anti").select("s", "d"))
-    return out if out is not None else nodes.withColumn("level", F.lit(0))
-
-
-def first_chain(edges: DataFrame, starts: DataFrame, marked: DataFrame) -> DataFrame:
-    """(start, hit, depth, chain): the marked node that a breadth-first search from each start meets first.
-
-    ``edges``: src, dst, ord (the order in which a node's edges are followed).  A node's place in the queue is the least
-    list of edge orders over its shortest paths, so that list travels with the frontier.
-    """
-    state = starts.select("start", F.col("start").alias("node"), F.array().cast("array<int>").alias("orders"), F.array(F.col("start")).alias("chain"))
-    seen = cut_lineage(state.select("start", "node"))
-    hits, depth = None, 0
-    marks = marked.select("node").distinct()
-    state = cut_lineage(state)
-    while not state.isEmpty():
-        here = state.join(marks, "node", "left_semi")
-        best = here.groupBy("start").agg(F.min(F.struct("orders", "node", "chain")).alias("b")).select("start", F.col("b.node").alias("hit"), F.lit(depth).alias("depth"), F.col("b.chain").alias("chain"))
-        best = cut_lineage(best)
-        hits = best if hits is None else hits.unionByName(best)
-        going = state.join(best.select("start"), "start", "left_anti")
-        step = going.join(edges, going["node"] == edges["src"]).select("start", F.col("dst").alias("node"), F.concat("orders", F.array(F.col("ord").cast("int"))).alias("orders"), F.concat("chain", F.array("dst")).alias("chain"))
-        least = step.groupBy("start", "node").agg(F.min(F.struct("orders", "chain")).alias("b")).select("start", "node", F.col("b.orders").alias("orders"), F.col("b.chain").alias("chain"))
-        state = cut_lineage(least.join(seen, ["start", "node"], "left_anti"))
-        seen = cut_lineage(seen.unionByName(state.select("start", "node")))
-        depth += 1
-    return hits
-
-
 def weight(severity: Column, confidence: Column) -> Column:
     """Points of a finding in tenths: whole numbers, so sums are exact."""
     s, c = F.lit(None).cast("int"), F.lit(None).cast("int")

@@ -12,16 +12,22 @@ ALIASES = "project_id string, priority int, prefix string, suffix string, target
 
 
 def expand_aliases(imports: DataFrame, aliases: DataFrame, keys: list[str]) -> DataFrame:
-    """Targets of the first pattern that matches ``specifier``; a project's aliases meet its imports in a join by project,
-    and aliases without a project (a rule table of a few rows) are broadcast.
+    """Targets of the first pattern that matches ``specifier``; with ``project_id`` on both sides, of the own project's.
 
-    A null suffix makes an exact pattern.  All targets of the pattern stay, in rows of their own.
+    A null suffix makes an exact pattern.  All targets of the pattern stay, in rows of their own.  Specifiers meet patterns
+    in an equi join: by their whole text, and by their beginning at each of the lengths that prefixes have, which are no more
+    than the longest prefix is long.  Suffixes are tested on what meets, so the number of patterns doesn't matter.
     """
-    s = F.col("specifier")
-    exact = F.col("suffix").isNull() & (s == F.col("prefix"))
-    wild = F.col("suffix").isNotNull() & s.startswith(F.col("prefix")) & s.endswith(F.col("suffix")) & (F.length(s) >= F.length("prefix") + F.length("suffix"))
-    shared = [c for c in ("project_id",) if c in imports.columns and c in aliases.columns]
-    met = imports.join(aliases, shared).where(exact | wild) if shared else imports.join(F.broadcast(aliases), exact | wild)
+    s, shared = F.col("specifier"), [c for c in ("project_id",) if c in imports.columns and c in aliases.columns]
+    wild = F.col("suffix").isNotNull()
+    lengths = sorted(r[0] for r in aliases.where(wild & F.col("prefix").isNotNull()).select(F.char_length("prefix")).distinct().collect())
+    starts = F.filter(F.array(*[F.lit(n) for n in lengths]).cast("array<int>"), lambda n: n <= F.char_length(s))
+    begins = F.transform(starts, lambda n: F.struct(n.alias("long"), s.substr(F.lit(1), n).alias("text")))
+    whole = F.array(F.struct(F.lit(-1).alias("long"), s.alias("text")))
+    asked = imports.withColumn("__b", F.explode(F.concat(whole, begins))).select("*", F.col("__b.long").alias("__long"), F.col("__b.text").alias("__begin")).drop("__b")
+    patterns = aliases.select("*", F.when(wild, F.char_length("prefix")).otherwise(-1).alias("__long"), F.col("prefix").alias("__begin"))
+    fits = ~wild | (s.endswith(F.col("suffix")) & (F.char_length(s) >= F.char_length("prefix") + F.char_length("suffix")))
+    met = asked.join(patterns, [*shared, "__long", "__begin"]).where(fits).drop("__long", "__begin")
     first = met.groupBy(*keys).agg(F.min("priority").alias("__first"))
     captured = F.when(F.col("suffix").isNull(), F.lit("")).otherwise(F.expr("substring(specifier, length(prefix) + 1, length(specifier) - length(prefix) - length(suffix))"))
     return met.join(first, keys).where("priority = __first").drop("__first").withColumn("target", F.when(F.col("suffix").isNull(), F.col("target")).otherwise(F.replace("target", F.lit("*"), captured)))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from factgraph.functions import columns as C
 from factgraph.functions import fixed
 from factgraph.operators import frameworks as FW
-from factgraph.operators import relops, resolve, semantic
+from factgraph.operators import relops, resolve, search, semantic
 from factgraph.operators.shared import cut_lineage
 
 FINDING = ("project_id", "path", "line", "start", "rule_id", "category", "severity", "confidence", "title", "message", "evidence", "target")
@@ -112,9 +112,7 @@ def server_only(ctx: Context) -> DataFrame:
     starts = _clients(ctx).join(_next(ctx), "project_id", "left_semi").select(node("path").alias("start"))
     marked = ctx.resolved.where("specifier = 'server-only' AND resolution = 'external'").select(node("path").alias("node"))
     edges = ctx.bindings.select(node("from").alias("src"), node("to").alias("dst"), "ord")
-    hits = relops.first_chain(edges, starts, marked)
-    if hits is None:
-        hits = starts.sparkSession.createDataFrame([], "start string, hit string, depth int, chain array<string>")
+    hits = search.first_chain(edges, starts, marked)
     rows = hits.select(F.split("start", "\u0001")[0].alias("project_id"), F.split("start", "\u0001")[1].alias("path"), F.transform("chain", lambda c: F.split(c, "\u0001")[1]).alias("chain"))
     return finding(rows, "next/server-only-in-client", F.concat(F.lit("a client component reaches server-only code: "), F.array_join("chain", " -> ")), F.col("chain"), line=None, start=None)
 

@@ -15,6 +15,9 @@ from factgraph.functions import columns as C
 from factgraph.functions import fixed
 from factgraph.operators import graph as G
 from factgraph.operators import relops as R
+from factgraph.operators import search as S
+from factgraph.operators import walks as W
+from factgraph.operators.shared import cut_lineage
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -98,11 +101,38 @@ def probe_first_match(spark, sf_dir):
 WITH h AS (SELECT page_id, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS href FROM pages), p AS (SELECT DISTINCT regexp_replace(regexp_replace(url, '^[a-z]+://[^/]*', ''), '[?#].*$', '') AS path FROM pages)
 SELECT href, count(*) AS links, count(DISTINCT page_id) AS pages FROM h WHERE starts_with(href, '/') AND NOT EXISTS (SELECT 1 FROM p WHERE path = href) GROUP BY href""")
 def broken_links(spark, sf_dir):
-    """Rooted links that no page's path answers."""
+    """Rooted links that no page's path answers; those that a filter of the paths excludes don't move."""
+    from factgraph.operators import bloom
+
     pages = _t(spark, sf_dir, "pages")
     hrefs = pages.select("page_id", F.explode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))).alias("href")).where(F.col("href").startswith("/"))
     paths = pages.select(F.regexp_replace(F.regexp_replace("url", "^[a-z]+://[^/]*", ""), "[?#].*$", "").alias("href"))
-    return R.difference(hrefs, paths, ["href"]).groupBy("href").agg(F.count("*").alias("links"), F.countDistinct("page_id").alias("pages"))
+    return bloom.difference(hrefs, paths, ["href"]).groupBy("href").agg(F.count("*").alias("links"), F.countDistinct("page_id").alias("pages"))
+
+
+_PATTERNS_OF_PAGES = """u AS (SELECT page_id, url, regexp_extract(url, '^([a-z]+://[^/]*)', 1) AS host, regexp_replace(url, '[?#].*$', '') AS plain FROM pages),
+a AS (SELECT DISTINCT unnest([{'p': host || '/', 's': '', 't': 'host/*'}, {'p': host || '/', 's': '.html', 't': 'file/*'}, {'p': regexp_extract(plain, '^(.*/)', 1), 's': '', 't': 'folder/*'}, {'p': plain, 's': '', 't': 'page*'}, {'p': plain, 's': NULL, 't': 'exact'}]) AS x FROM u),
+p AS (SELECT x.p AS prefix, x.s AS suffix, x.t AS target, row_number() OVER (ORDER BY x.s IS NOT NULL, length(x.p) DESC, length(x.s) DESC, x.p, x.t) AS priority FROM a)"""
+
+
+@query(f"""WITH {_PATTERNS_OF_PAGES}, s AS (SELECT DISTINCT specifier FROM (SELECT url AS specifier FROM u UNION ALL SELECT host || unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) FROM u JOIN pages USING (page_id)))
+SELECT specifier, prefix, CASE WHEN suffix IS NULL THEN target ELSE replace(target, '*', substr(specifier, length(prefix) + 1, length(specifier) - length(prefix) - length(suffix))) END AS resolved
+FROM s JOIN p ON CASE WHEN suffix IS NULL THEN specifier = prefix ELSE starts_with(specifier, prefix) AND ends_with(specifier, suffix) AND length(specifier) >= length(prefix) + length(suffix) END
+QUALIFY row_number() OVER (PARTITION BY specifier ORDER BY priority) = 1""")
+def alias_prefixes(spark, sf_dir):
+    """Aliases learnt from the pages (hosts, folders, files and the pages themselves) against all pages and links: exact
+    ones first, then the longest prefix."""
+    from factgraph.operators.resolve import expand_aliases
+
+    pages = _t(spark, sf_dir, "pages").select("page_id", "url", "html", F.regexp_extract("url", "^([a-z]+://[^/]*)", 1).alias("host"), F.regexp_replace("url", "[?#].*$", "").alias("plain"))
+    pattern = lambda p, s, t: F.struct(p.alias("prefix"), F.lit(s).cast("string").alias("suffix"), F.lit(t).alias("target"))
+    top = F.concat("host", F.lit("/"))
+    learnt = pages.select(F.explode(F.array(pattern(top, "", "host/*"), pattern(top, ".html", "file/*"), pattern(F.regexp_extract("plain", "^(.*/)", 1), "", "folder/*"), pattern(F.col("plain"), "", "page*"), pattern(F.col("plain"), None, "exact"))).alias("x")).select("x.*").distinct()
+    order = [F.col("suffix").isNotNull(), -F.char_length("prefix"), -F.coalesce(F.char_length("suffix"), F.lit(0)), "prefix", "target"]
+    aliases = G.numbered(learnt, [], order, "priority")
+    links = pages.select("host", F.explode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))).alias("href")).select(F.concat("host", "href").alias("specifier"))
+    every = pages.select(F.col("url").alias("specifier")).union(links).distinct()
+    return expand_aliases(every, aliases, ["specifier"]).select("specifier", "prefix", F.col("target").alias("resolved"))
 
 
 # semi and anti joins, grouping
@@ -140,11 +170,12 @@ def star_usage(spark, sf_dir):
     return _t(spark, sf_dir, "part").join(use, F.col("p_partkey") == F.col("l_partkey")).where(~F.col("star") & ~F.array_contains("used", "FA")).select("p_partkey", "bindings")
 
 
-# graphs: each part leads to the parts that follow it most often within orders; over all line items
+# graphs: each part leads to the parts that follow it within orders; all line items, all distinct edges
 
-_FOLLOW = """o AS (SELECT src, dst, (row_number() OVER (PARTITION BY src ORDER BY n DESC, dst))::INT AS ord FROM (SELECT a AS src, b AS dst, count(*) AS n FROM (
+_FOLLOW = """o AS (SELECT src, dst, (row_number() OVER (PARTITION BY src ORDER BY n DESC, dst) - 1)::INT AS ord FROM (SELECT a AS src, b AS dst, count(*) AS n FROM (
   SELECT l_partkey AS b, lag(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS a FROM lineitem) WHERE a <> b GROUP BY 1, 2))"""
-_EDGES = f"{_FOLLOW}, e AS (SELECT src, dst FROM o WHERE ord = 1)"
+_EDGES = f"{_FOLLOW}, e AS (SELECT src, dst FROM o)"
+_FORWARD = f"{_FOLLOW}, e AS (SELECT DISTINCT least(src, dst) AS src, greatest(src, dst) AS dst FROM o)"
 
 
 def _follow(spark, sf_dir):
@@ -155,8 +186,12 @@ def _follow(spark, sf_dir):
 
 
 def _edges(spark, sf_dir):
-    """Each part's most frequent successor, the smallest of equal ones."""
-    return R.first_match(_follow(spark, sf_dir).withColumn("fewer", -F.col("n")), ["src"], ["fewer", "dst"], "dst", "dst")
+    return _follow(spark, sf_dir).select("src", "dst")
+
+
+def _forward(spark, sf_dir):
+    """The neighbours without direction, each edge from the smaller part to the larger: an acyclic graph of all edges."""
+    return _edges(spark, sf_dir).select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
 
 
 @query(f"WITH {_EDGES} SELECT src, dst FROM e")
@@ -172,38 +207,51 @@ def part_nodes(spark, sf_dir):
     return G.numbered(nodes, [], ["node"], "id")
 
 
-def _graph(spark, sf_dir):
+def _graph(edges):
     """The edges as the file graph's tables: nodes and edges of one project."""
-    edges = _edges(spark, sf_dir).select(F.lit("p").alias("project_id"), "src", "dst", F.lit("imports").alias("kind"))
+    edges = edges.select(F.lit("p").alias("project_id"), "src", "dst", F.lit("imports").alias("kind"))
     nodes = edges.select("project_id", F.col("src").alias("label")).union(edges.select("project_id", "dst")).distinct()
     return nodes.withColumn("kind", F.lit("file")), edges
 
 
 @query(f"WITH {_EDGES} SELECT DISTINCT src AS node FROM e WHERE NOT EXISTS (SELECT 1 FROM e f WHERE f.dst = e.src)")
 def part_roots(spark, sf_dir):
-    return G.roots(*_graph(spark, sf_dir)).select(F.col("label").alias("node"))
+    return G.roots(*_graph(_edges(spark, sf_dir))).select(F.col("label").alias("node"))
+
+
+@query(f"WITH {_FORWARD} SELECT DISTINCT src AS node FROM e WHERE NOT EXISTS (SELECT 1 FROM e f WHERE f.dst = e.src)")
+def forward_roots(spark, sf_dir):
+    return G.roots(*_graph(_forward(spark, sf_dir))).select(F.col("label").alias("node"))
 
 
-@query(f"WITH RECURSIVE {_EDGES}, c AS (SELECT src AS start, dst AS node FROM e UNION SELECT c.start, e.dst FROM c JOIN e ON c.node = e.src) SELECT start, node FROM c")
+@query(f"WITH RECURSIVE {_EDGES}, c AS (SELECT src AS start, dst AS node FROM e WHERE src % 50 = 0 UNION SELECT c.start, e.dst FROM c JOIN e ON c.node = e.src) SELECT start, node FROM c")
 def part_closure(spark, sf_dir):
+    """What a stated set of parts, those whose key is divisible by 50, reaches; counts for all are in part_dependents."""
     edges = _edges(spark, sf_dir)
-    return R.reachable(edges, edges.select(F.col("src").alias("start"))).select("start", "node")
+    return R.reachable(edges, edges.where("src % 50 = 0").select(F.col("src").alias("start"))).select("start", "node")
 
 
-@query(f"WITH RECURSIVE {_EDGES}, c AS (SELECT dst AS start, src AS node FROM e UNION SELECT c.start, e.src FROM c JOIN e ON c.node = e.dst) SELECT start AS target, count(*) AS dependents FROM c WHERE start <> node GROUP BY 1")
+_DEPENDENTS = """c AS (SELECT src AS start, dst AS node FROM e UNION SELECT c.start, e.dst FROM c JOIN e ON c.node = e.src),
+n AS (SELECT src AS node FROM e UNION SELECT dst FROM e) SELECT n.node, count(c.start) AS dependents FROM n LEFT JOIN c ON c.node = n.node AND c.start <> n.node GROUP BY 1"""
+
+
+@query(f"WITH RECURSIVE {_EDGES}, {_DEPENDENTS}")
 def part_dependents(spark, sf_dir):
-    """Impact analysis: how many nodes reach each node."""
-    edges = _edges(spark, sf_dir)
-    back = R.reachable(edges, edges.select(F.col("dst").alias("start")), "dst", "src")
-    return back.where("start <> node").groupBy(F.col("start").alias("target")).agg(F.count("*").alias("dependents"))
+    """Impact analysis: how many nodes reach each node, without a row for each pair."""
+    return W.ancestor_counts(_edges(spark, sf_dir)).withColumnRenamed("ancestors", "dependents")
+
+
+@query(f"WITH RECURSIVE {_FORWARD}, {_DEPENDENTS}")
+def forward_dependents(spark, sf_dir):
+    """The same on a deep acyclic graph."""
+    return W.ancestor_counts(_forward(spark, sf_dir)).withColumnRenamed("ancestors", "dependents")
 
 
-@query(f"WITH RECURSIVE {_EDGES}, t AS (SELECT min(src) AS target FROM e WHERE dst IN (SELECT src FROM e)), c AS (SELECT src AS node FROM e JOIN t ON e.dst = t.target UNION SELECT e.src FROM c JOIN e ON c.node = e.dst) SELECT node FROM c JOIN t ON c.node <> t.target")
+@query(f"WITH RECURSIVE {_FORWARD}, t AS (SELECT max(dst) AS target FROM e), c AS (SELECT src AS node FROM e JOIN t ON e.dst = t.target UNION SELECT e.src FROM c JOIN e ON c.node = e.dst) SELECT node FROM c JOIN t ON c.node <> t.target")
 def part_impact(spark, sf_dir):
-    """What reaches one node."""
-    _, edges = _graph(spark, sf_dir)
-    inner = edges.join(edges.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi")
-    target = inner.agg(F.min("src").alias("t")).first()["t"]
+    """What reaches one node, the largest."""
+    _, edges = _graph(_forward(spark, sf_dir))
+    target = edges.agg(F.max("dst").alias("t")).first()["t"]
     return G.dependents(edges, "p", target).select(F.col("label").alias("node"))
 
 
@@ -217,27 +265,63 @@ def part_scc(spark, sf_dir):
 
 
 @query(f"""WITH RECURSIVE {_EDGES}, {_SCC}, f AS (SELECT DISTINCT coalesce(x.component, src) AS src, coalesce(y.component, dst) AS dst FROM e LEFT JOIN g x ON x.node = src LEFT JOIN g y ON y.node = dst WHERE coalesce(x.component, src) <> coalesce(y.component, dst)),
-p AS (SELECT DISTINCT src AS node, 0 AS level FROM f UNION SELECT f.dst, p.level + 1 FROM p JOIN f ON p.node = f.src)
+n AS (SELECT DISTINCT coalesce(component, m) AS node FROM (SELECT src AS m FROM e UNION SELECT dst FROM e) LEFT JOIN g ON g.node = m),
+p AS (SELECT node, 0 AS level FROM n UNION SELECT f.dst, p.level + 1 FROM p JOIN f ON p.node = f.src)
 SELECT node, max(level)::INT AS level FROM p GROUP BY node""")
 def part_topo_level(spark, sf_dir):
-    """Levels of the graph with each circle as one node."""
-    edges = _edges(spark, sf_dir)
-    return R.topological_levels(R.condensed(edges, R.strong_components(edges)))
+    """Levels of the graph with each strong component as one node."""
+    edges = cut_lineage(_edges(spark, sf_dir))
+    groups = cut_lineage(R.strong_components(edges))
+    nodes = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct().join(groups, "node", "left")
+    return W.topological_levels(R.condensed(edges, groups), nodes=nodes.select(F.coalesce("component", "node").alias("node")))
+
+
+@query(f"WITH RECURSIVE {_FORWARD}, p AS (SELECT DISTINCT src AS node, 0 AS level FROM e UNION SELECT e.dst, p.level + 1 FROM p JOIN e ON p.node = e.src) SELECT node, max(level)::INT AS level FROM p GROUP BY node")
+def forward_levels(spark, sf_dir):
+    """Levels of a deep acyclic graph."""
+    return W.topological_levels(_forward(spark, sf_dir))
+
+
+def _chain_sql(deepest: int) -> str:
+    """Level by level: the least list of edge orders for each start and node that no level before had."""
+    steps = [_FOLLOW, "m AS (SELECT p_partkey FROM part WHERE p_size = 50)", "l0 AS (SELECT DISTINCT src AS start, src AS node, {'o': []::INT[], 'c': [src]} AS w FROM o)"]
+    for d in range(deepest):
+        seen = " UNION ALL ".join(f"SELECT start, node FROM l{k}" for k in range(d + 1))
+        steps.append(f"h{d} AS (SELECT start, min(w) AS w FROM l{d} WHERE node IN (FROM m) GROUP BY start)")
+        steps.append(f"s{d} AS (SELECT start, dst AS node, min({{'o': list_append(w.o, ord), 'c': list_append(w.c, dst)}}) AS w FROM l{d} l ANTI JOIN h{d} USING (start) JOIN o ON l.node = o.src GROUP BY ALL)")
+        steps.append(f"l{d + 1} AS MATERIALIZED (SELECT s.* FROM s{d} s ANTI JOIN ({seen}) USING (start, node))")
+    hits = " UNION ALL ".join(f"SELECT start, w.c[-1] AS hit, {d}::INT AS depth, array_to_string(w.c, '>') AS chain FROM h{d}" for d in range(deepest))
+    return f"WITH {', '.join(steps)} {hits}"
 
 
-@query(f"""WITH RECURSIVE {_FOLLOW}, e AS (SELECT * FROM o WHERE ord <= 2), m AS (SELECT p_partkey FROM part WHERE p_size <= 30), s AS (SELECT DISTINCT src AS start FROM e),
-w AS (SELECT start, start AS node, 0 AS depth, []::INT[] AS orders, [start] AS chain FROM s
-  UNION ALL SELECT w.start, e.dst, w.depth + 1, list_append(w.orders, e.ord), list_append(w.chain, e.dst) FROM w JOIN e ON w.node = e.src WHERE NOT list_contains(w.chain, e.dst) AND w.node NOT IN (SELECT p_partkey FROM m))
-SELECT start, node AS hit, depth::INT AS depth, array_to_string(chain, '>') AS chain FROM (SELECT *, row_number() OVER (PARTITION BY start ORDER BY depth, orders) AS rn FROM w WHERE node IN (SELECT p_partkey FROM m)) WHERE rn = 1""")
+@query(_chain_sql(8))
 def bfs_chain(spark, sf_dir):
-    """From each part, over its two most frequent successors, the first small part of a breadth-first search and the way there."""
-    best = _follow(spark, sf_dir).groupBy("src").agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("fewer"), "dst"))), 1, 2).alias("two"))
-    edges = best.select("src", F.posexplode("two").alias("at", "e")).select("src", F.col("e.dst").alias("dst"), (F.col("at") + 1).alias("ord"))
-    marked = _t(spark, sf_dir, "part").where("p_size <= 30").select(F.col("p_partkey").alias("node"))
-    found = R.first_chain(edges, edges.select(F.col("src").alias("start")).distinct(), marked)
+    """From each part the first of the largest parts that a breadth-first search over all successors, frequent ones first,
+    meets, and the way there."""
+    at = Window.partitionBy("src").orderBy(F.desc("n"), "dst")
+    edges = _follow(spark, sf_dir).select("src", "dst", (F.row_number().over(at) - 1).alias("ord"))
+    marked = _t(spark, sf_dir, "part").where("p_size = 50").select(F.col("p_partkey").alias("node"))
+    found = S.first_chain(edges, edges.select(F.col("src").alias("start")).distinct(), marked)
     return found.select("start", "hit", "depth", F.array_join(F.transform("chain", lambda x: x.cast("string")), ">").alias("chain"))
 
 
+_SETTINGS = {"brand": (3, "p_brand"), "type": (4, "p_type"), "size": (5, "p_size"), "name": (7, "p_name")}
+
+
+@query(f"""WITH RECURSIVE {_FORWARD}, f AS (SELECT dst AS node, max(src) AS parent FROM e GROUP BY dst),
+own AS ({' UNION ALL '.join(f"SELECT p_partkey AS node, '{k}' AS name, {c}::VARCHAR AS value FROM part WHERE p_partkey % {m} = 0" for k, (m, c) in _SETTINGS.items())}),
+w AS (SELECT p_partkey AS node, p_partkey AS at, 0 AS depth FROM part UNION ALL SELECT w.node, f.parent, depth + 1 FROM w JOIN f ON w.at = f.node)
+SELECT w.node, name, arg_min(value, depth) AS value FROM w JOIN own ON own.node = w.at GROUP BY ALL""")
+def inherited_settings(spark, sf_dir):
+    """Settings of each part and, where it has none, of the nearest above it: its largest smaller neighbour, and so on."""
+    from factgraph.operators import inherit
+
+    parents = _forward(spark, sf_dir).groupBy(F.col("dst").alias("p_partkey")).agg(F.max("src").alias("parent"))
+    some = [F.when(F.col("p_partkey") % m == 0, F.struct(F.lit(k).alias("key"), F.col(c).cast("string").alias("value"))) for k, (m, c) in _SETTINGS.items()]
+    own = _t(spark, sf_dir, "part").join(parents, "p_partkey", "left").select(F.col("p_partkey").alias("node"), "parent", F.map_from_entries(F.array_compact(F.array(*some))).alias("settings"))
+    return inherit.effective(own).select("node", F.explode("settings").alias("name", "value"))
+
+
 # intervals and priorities
 
 
@@ -272,17 +356,27 @@ def alias_theta(spark, sf_dir):
     return found.select("p_partkey", "priority", F.col("target").alias("resolved"))
 
 
-@query("""
-WITH g(signal, package, marker) AS (VALUES ('buyer', 'purchase', 'signup'), ('broken', 'error', NULL), ('browser', 'view', 'click')),
-u AS (SELECT DISTINCT user_id, event_type FROM events WHERE value > 140),
-h AS (SELECT user_id, signal, bool_or(event_type = package) AS dep, bool_or(coalesce(event_type = marker, false)) AS mark FROM u JOIN g ON event_type = package OR event_type = marker GROUP BY 1, 2)
-SELECT user_id, signal, CASE WHEN dep AND mark THEN 'certain' WHEN dep THEN 'likely' ELSE 'possible' END AS confidence FROM h""")
+_SIGNALS = [("buyer", 0, "package", 0, "purchase"), ("buyer", 0, "marker", 0, "signup"), ("broken", 1, "package", 0, "error"), ("browser", 2, "package", 0, "view"), ("browser", 2, "marker", 0, "click")]
+
+
+@query(f"""
+WITH g(framework, place, kind, ord, signal) AS (VALUES {', '.join(map(repr, _SIGNALS))}),
+u AS (SELECT user_id || '|' || strftime(ts, '%Y-%m-%d') AS project_id, event_type AS signal, max(event_id)::VARCHAR AS version FROM events GROUP BY ALL),
+h AS (SELECT project_id, framework, kind, signal, version FROM u JOIN g USING (signal)),
+f AS (SELECT project_id, framework, bool_or(kind = 'package') AS dep, bool_or(kind = 'marker') AS mark, max(CASE WHEN kind = 'package' THEN version END) AS version,
+  string_agg(CASE kind WHEN 'package' THEN 'depends on ' || signal || ' ' || version ELSE 'has ' || signal END, '; ' ORDER BY kind DESC) AS evidence FROM h GROUP BY ALL)
+SELECT project_id, framework, CASE WHEN dep AND mark THEN 'certain' WHEN dep THEN 'likely' ELSE 'possible' END AS confidence, version, evidence FROM f
+UNION ALL SELECT DISTINCT project_id, 'node', 'likely', NULL, 'has package.json' FROM u ANTI JOIN f USING (project_id)""")
 def signal_detect(spark, sf_dir):
-    """Detection from packages and markers, and how sure they make: events of a high value are what a user "has"."""
-    signals = spark.createDataFrame([("buyer", "purchase", True), ("buyer", "signup", False), ("broken", "error", True), ("browser", "view", True), ("browser", "click", False)], "signal string, event_type string, package boolean")
-    used = _t(spark, sf_dir, "events").where("value > 140").select("user_id", "event_type").distinct()
-    hits = used.join(F.broadcast(signals), "event_type").groupBy("user_id", "signal").agg(F.bool_or("package").alias("dep"), F.bool_or(~F.col("package")).alias("mark"))
-    return hits.select("user_id", "signal", F.when(F.col("dep") & F.col("mark"), "certain").when(F.col("dep"), "likely").otherwise("possible").alias("confidence"))
+    """Detection from packages and markers, and how sure they make: a user's day is a project that has its events."""
+    from factgraph.operators import frameworks
+
+    project = F.concat_ws("|", F.col("user_id").cast("string"), F.date_format("ts", "yyyy-MM-dd")).alias("project_id")
+    used = _t(spark, sf_dir, "events").groupBy(project, "event_type").agg(F.max("event_id").cast("string").alias("version"))
+    dependencies = used.select("project_id", F.col("event_type").alias("name"), "version", F.lit("dependencies").alias("section"))
+    signals = spark.createDataFrame(_SIGNALS, frameworks.SIGNALS)
+    found = frameworks.detect(dependencies, used.select("project_id", F.col("event_type").alias("entry")), used, signals)
+    return found.select("project_id", "framework", "confidence", "version", F.array_join("evidence", "; ").alias("evidence"))
 
 
 @query("""
@@ -432,6 +526,41 @@ def cache_lookup(spark, sf_dir):
     return lookup(now, cached, ["path"]).select(F.col("path").cast("long").alias("doc_id"), "state")
 
 
+_VERSIONS = """WITH c AS (SELECT doc_id, md5(text || '|' || coalesce(lang, '')) AS h FROM documents d WHERE EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)),
+n AS (SELECT d.doc_id, md5(text || CASE WHEN quality = 0 THEN '!' ELSE '' END || '|' || coalesce(lang, '')) AS h FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id WHERE coalesce(toxic, 0) = 0)"""
+
+
+def _versions(spark, sf_dir):
+    """Two snapshots of the documents: labelled ones; then all but toxic ones, those of low quality with another text."""
+    docs, labels = _t(spark, sf_dir, "documents").select("doc_id", "text", "lang"), _t(spark, sf_dir, "labels")
+    now = docs.join(labels, "doc_id", "left").where("coalesce(toxic, 0) = 0")
+    changed = F.concat("text", F.when(F.col("quality") == 0, "!").otherwise(""))
+    return docs.join(labels, "doc_id", "left_semi"), now.select("doc_id", changed.alias("text"), "lang")
+
+
+@query(f"{_VERSIONS} SELECT coalesce(c.doc_id, n.doc_id) AS doc_id, CASE WHEN c.doc_id IS NULL THEN 'added' WHEN n.doc_id IS NULL THEN 'removed' ELSE 'changed' END AS change FROM c FULL JOIN n ON c.doc_id = n.doc_id WHERE c.h IS DISTINCT FROM n.h")
+def fingerprint_changes(spark, sf_dir):
+    """What changed between two snapshots, found from the root of their digest trees down."""
+    from factgraph.operators import merkle
+
+    return merkle.changes(*_versions(spark, sf_dir), ["doc_id"], ["text", "lang"])
+
+
+@query(f"{_VERSIONS} SELECT doc_id, h AS hash FROM n")
+def cache_save(spark, sf_dir):
+    """A cache of the first snapshot, brought to the second by writing the buckets that change."""
+    from factgraph.operators import buckets, merkle
+    from factgraph.operators.shared import scratch
+
+    hashed = lambda df: df.select("doc_id", F.md5(F.concat_ws("|", "text", F.coalesce("lang", F.lit("")))).alias("hash"))
+    before, after = map(hashed, _versions(spark, sf_dir))
+    folder = scratch(spark, "cache_save")
+    buckets.save(before, folder, ["doc_id"])
+    found = cut_lineage(merkle.changes(before, after, ["doc_id"], ["hash"]))
+    buckets.save(after.join(found.where("change <> 'removed'"), "doc_id", "left_semi"), folder, ["doc_id"], gone=found.where("change = 'removed'"))
+    return buckets.load(spark, folder).select("doc_id", "hash")
+
+
 @query("""
 WITH h AS (SELECT page_id, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS href FROM pages), p AS (SELECT DISTINCT '/' || regexp_extract(title, '^\\w+') AS path FROM (SELECT regexp_extract(html, '<title>([^<]*)', 1) AS title FROM pages))
 SELECT CASE WHEN path IS NOT NULL THEN 'project' WHEN starts_with(href, '/') THEN 'unresolved' ELSE 'external' END AS kind, count(*) AS imports, count(DISTINCT href) AS targets FROM h LEFT JOIN p ON path = href GROUP BY 1""")

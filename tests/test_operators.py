@@ -7,7 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from factgraph.operators import cache, engine, fixes, graph, relops, report
+from factgraph.operators import cache, engine, fixes, graph, relops, report, search, walks
 from factgraph.plans import fixtures
 from factgraph.sources import project
 from factgraph.streaming import watch
@@ -40,9 +40,9 @@ def test_reachability_and_components(spark, seed):
 
 def test_topological_levels(spark):
     df = spark.createDataFrame([("a", "b"), ("b", "c"), ("a", "c"), ("d", "c")], "src string, dst string")
-    assert {r.node: r.level for r in relops.topological_levels(df).collect()} == {"a": 0, "d": 0, "b": 1, "c": 2}
+    assert {r.node: r.level for r in walks.topological_levels(df).collect()} == {"a": 0, "d": 0, "b": 1, "c": 2}
     with pytest.raises(ValueError):
-        relops.topological_levels(spark.createDataFrame([("a", "b"), ("b", "a")], "src string, dst string"))
+        walks.topological_levels(spark.createDataFrame([("a", "b"), ("b", "a")], "src string, dst string"))
 
 
 @pytest.mark.parametrize("seed", range(2))
@@ -66,7 +66,7 @@ def test_first_chain_is_the_queues(spark, seed):
                     seen.add(b)
                     queue.append([*chain, b])
     rows = [(a, b, i) for a, own in after.items() for i, b in enumerate(own)]
-    found = relops.first_chain(spark.createDataFrame(rows, "src int, dst int, ord int"), spark.createDataFrame([(0,), (1,), (7,)], "start int"), spark.createDataFrame([(7,), (8,)], "node int"))
+    found = search.first_chain(spark.createDataFrame(rows, "src int, dst int, ord int"), spark.createDataFrame([(0,), (1,), (7,)], "start int"), spark.createDataFrame([(7,), (8,)], "node int"))
     assert {r.start: r.chain for r in found.collect()} == expected
 
 
