@@ -152,7 +152,8 @@ def strong_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> D
             live = cut_lineage(_both(walks[-1]))
             walks = [left, *_] = [cut_lineage(_among(w, live)) for w in walks]
         else:
-            left, _ = _trimmed(left)
+            left, _ = _trimmed(left, TRIMS)
+            left = cut_lineage(_among(left, _after_circles(left)))
             walks = [left, *[cut_lineage(_among(w, _both(left))) for w in walks[1:]]]
         colours = cut_lineage(_both(left).select("node", F.col("node").alias("colour")))
         state = _marks(colours)
@@ -197,6 +198,18 @@ def _both(left: DataFrame) -> DataFrame:
     return ends.groupBy("node").agg(F.min("out").alias("a"), F.max("out").alias("b")).where("a < b").select("node")
 
 
+def _after_circles(left: DataFrame) -> DataFrame:
+    """(node): nodes that end walks of any length, as far as steps go on taking nodes away."""
+    nodes = cut_lineage(left.select(F.col("s").alias("node")).union(left.select("d")).distinct())
+    looped, n, reach = with_loops(left, nodes, 1), -1, 0
+    levels = nodes.select("node", F.lit(0).alias("level"))
+    while n != (n := levels.where(F.col("level") == reach).count()) and n:
+        for _ in range(HOPS):
+            levels = along(levels, looped, (F.col("level") + F.col("w")).alias("level"), F.max("level").alias("level"))
+        levels, reach = cut_lineage(levels), reach + HOPS
+    return levels.where(F.col("level") == reach).select("node")
+
+
 def _trimmed(left: DataFrame, most: int | None = None) -> tuple[DataFrame, int]:
     """``left`` without nodes that lack an edge in or out, again and again (``most`` times), and its size."""
     n, rounds = left.count(), 0

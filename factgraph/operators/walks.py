@@ -9,8 +9,6 @@ from factgraph.operators.graph import numbered
 from factgraph.operators.relops import HOPS, along, doubled, strong_components, with_loops
 from factgraph.operators.shared import cut_lineage, forget
 
-#: Rounds after which a dense graph whose levels still rise is searched for circles.
-CHECKED = 256
 #: Levels whose sets are pushed before they are written as one.
 PUSHED = 8
 
@@ -34,7 +32,7 @@ def topological_levels(edges: DataFrame, src: str = "src", dst: str = "dst", nod
     walks, ended = doubled(step, n)
     if ended == "circle":
         raise ValueError("the graph has a cycle")
-    levels, rounds = every.select("node", F.lit(0).alias("level")), 0
+    levels = every.select("node", F.lit(0).alias("level"))
 
     def raised(levels: DataFrame, k: int) -> DataFrame:
         return along(levels, with_loops(walks[k], every, 1 << k), (F.col("level") + F.col("w")).alias("level"), F.max("level").alias("level"))
@@ -43,15 +41,19 @@ def topological_levels(edges: DataFrame, src: str = "src", dst: str = "dst", nod
         levels = raised(levels, k)
         if k % HOPS == HOPS - 1:
             levels = cut_lineage(levels)
-    levels, total = cut_lineage(levels), -1
-    while ended == "many" and total != (total := levels.agg(F.sum("level")).first()[0]):
-        old, rounds = levels, rounds + 1
-        if rounds == CHECKED and not strong_components(step, "s", "d").isEmpty() or rounds == 1 and not step.where("s = d").isEmpty():
-            raise ValueError("the graph has a cycle")
+    levels, reach, total, front, searched = cut_lineage(levels), (1 << len(walks)) - 1, -1, -1, False
+    while ended == "many":
+        before, held = (total, front), levels.agg(F.sum("level"), F.count(F.when(F.col("level") == reach, 1))).first()
+        total, front = held
+        if total == before[0]:
+            break
+        if front == before[1] and not searched:  # as many nodes as before end walks of any length: a circle, or many long ways
+            if not strong_components(step, "s", "d").isEmpty() or not step.where("s = d").isEmpty():
+                raise ValueError("the graph has a cycle")
+            searched = True
         for _ in range(HOPS):
             levels = raised(levels, len(walks) - 1)
-        levels = cut_lineage(levels)
-        forget(old)
+        levels, reach = cut_lineage(levels), reach + HOPS * (1 << len(walks) - 1)
     for walk in walks[1:]:
         forget(walk)
     return levels
@@ -66,7 +68,13 @@ def ancestor_counts(edges: DataFrame, src: str = "src", dst: str = "dst", groups
     once.  A set's sum of sizes comes from joining its bits to the components' sizes, a bitmap's worth at a time.
     """
     step = cut_lineage(edges.select(F.col(src).alias("src"), F.col(dst).alias("dst")).where("src <> dst").distinct())
-    groups = strong_components(step) if groups is None else groups
+    if groups is None:
+        try:
+            known, groups = topological_levels(step), step.select(F.col("src").alias("node"), F.col("src").alias("component")).limit(0)
+        except ValueError:
+            known, groups = None, strong_components(step)
+    else:
+        known = None
     every = _nodes(step.select(F.col("src").alias("s"), F.col("dst").alias("d")), None)
     member = cut_lineage(every.join(groups, "node", "left").select("node", F.coalesce("component", "node").alias("component")))
     sizes = numbered(member.groupBy("component").agg(F.count(F.lit(1)).alias("size")), [], ["component"], "id")
@@ -78,7 +86,9 @@ def ancestor_counts(edges: DataFrame, src: str = "src", dst: str = "dst", groups
     own = sizes.select(F.col("id").alias("node"), F.expr("bitmap_bucket_number(id)").alias("bucket"), F.expr("bitmap_bit_position(id)").alias("place"))
     own = own.groupBy("node", "bucket").agg(F.bitmap_construct_agg("place").alias("bits"))
     walks, ended = doubled(walk, sizes.count())
-    sets = _over(own, walks) if ended != "many" else _down(own, walk)
+    if ended == "many" and known is not None:  # each node is a component
+        known = cut_lineage(known.join(sizes, F.col("node") == F.col("component")).select(F.col("id").alias("node"), "level"))
+    sets = _over(own, walks) if ended != "many" else _down(own, walk, known)
     weight = sizes.select(F.expr("bitmap_bucket_number(id)").alias("bucket"), F.expr("bitmap_bit_position(id)").alias("place"), "size")
     alone = weight.where("size > 1")  # all others count one a bit
     counted = sets.select("node", "bucket", F.bitmap_count("bits").alias("n"), "bits")
@@ -104,9 +114,9 @@ def _over(own: DataFrame, walks: list[DataFrame]) -> DataFrame:
     return sets
 
 
-def _down(own: DataFrame, step: DataFrame) -> DataFrame:
+def _down(own: DataFrame, step: DataFrame, levels: DataFrame | None) -> DataFrame:
     """The same level by level: a node's set is made once, when those of all before it are known."""
-    levels = topological_levels(step, "s", "d")
+    levels = topological_levels(step, "s", "d") if levels is None else levels
     last = levels.agg(F.max("level")).first()[0]
     met = cut_lineage(step.join(levels.select(F.col("node").alias("d"), "level"), "d"))
     first = own.join(levels.where("level > 0").select("node"), "node", "left_anti")  # and nodes without edges
