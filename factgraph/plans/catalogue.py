@@ -61,6 +61,22 @@ def secret_candidates(spark, sf_dir):
     return rows.withColumn("signal", C.secret_signal(F.col("binding"), F.col("v"))).where("signal IS NOT NULL").select("doc_id", "ord", "binding", F.substring("v", 1, 4).alias("preview"), F.char_length("v").alias("length"), "signal")
 
 
+_FRAGMENTS = """b AS (SELECT string_split(text, ' ') AS w FROM benchmark WHERE text IS NOT NULL), i AS (SELECT w, unnest(range(1, len(w) + 1)) AS i FROM b),
+f AS (SELECT DISTINCT array_to_string(w[i : i + n - 1], ' ') AS literal FROM i, range(2, 6) r(n) WHERE i + n - 1 <= len(w))"""
+
+
+@query(f"""WITH {_FRAGMENTS} SELECT literal, count(*) AS documents, min(doc_id) AS first_id, sum(instr(text, literal))::BIGINT AS positions FROM documents JOIN f ON contains(text, literal) GROUP BY literal""")
+def literal_table(spark, sf_dir):
+    """Every run of two to five words of the benchmark, as a literal of a large pattern table, in all documents."""
+    from factgraph.operators import literals
+
+    words = _t(spark, sf_dir, "benchmark").where("text IS NOT NULL").select(F.split("text", " ").alias("w"))
+    at = words.select("w", F.posexplode("w").alias("i", "x")).select("w", "i", F.explode(F.array(*map(F.lit, range(2, 6)))).alias("n"))
+    runs = at.where(F.col("i") + F.col("n") <= F.size("w")).select(F.array_join(F.slice("w", F.col("i") + 1, F.col("n")), " ").alias("literal"))
+    found = literals.find(_t(spark, sf_dir, "documents"), runs, ["doc_id"])
+    return found.groupBy("literal").agg(F.count("*").alias("documents"), F.min("doc_id").alias("first_id"), F.sum("position").cast("long").alias("positions"))
+
+
 @query("""SELECT page_id, regexp_replace(trim(regexp_replace(url, '^[a-z]+://[^/]*', ''), '/'), '/+', '/', 'g') || '/z' AS path FROM pages""")
 def url_normalize(spark, sf_dir):
     """Lexical normalisation of URL paths with dots, double dots and empty parts added."""
