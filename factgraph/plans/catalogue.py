@@ -526,6 +526,28 @@ def watch_resolved(spark, sf_dir):
     return R.difference(days.withColumn("day", F.col("day") + 1), days, ["key", "day"])
 
 
+@query(f"""WITH {_DAYS} SELECT key, day, 'opened' AS change FROM (SELECT key, day FROM k EXCEPT SELECT key, day + 1 FROM k)
+UNION ALL SELECT key, day, 'resolved' FROM (SELECT key, day + 1 AS day FROM k EXCEPT SELECT key, day FROM k)""")
+def watch_state(spark, sf_dir):
+    """The same from a stream with a state for each finding, which comes in three parts and is stopped between them."""
+    from factgraph.operators.shared import scratch
+    from factgraph.streaming import lifetimes as L
+
+    micros = F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ '2024-01-01 00:00:00', ts)")
+    start, day = 1704067200, 86400  # 2024-01-01
+    seen = _t(spark, sf_dir, "events").select(F.concat_ws("|", "event_type", F.col("user_id").cast("string")).alias("key"), F.timestamp_micros(micros + start * 1_000_000).alias("at"))
+    folder = scratch(spark, "watch_state")
+    last = seen.agg(F.max(F.unix_seconds("at")).alias("s")).first()["s"] or start
+    third = (last - start) // 3 + 1
+    closing = spark.range(1).select(F.lit(None).cast("string").alias("key"), F.timestamp_seconds(F.lit(last + 3 * day)).alias("at"))
+    own = F.floor((F.unix_seconds("at") - start) / third)
+    for part in (seen.where(own <= 0), seen.where(own == 1), seen.where(own >= 2), closing):
+        part.write.mode("append").parquet(f"{folder}/in")
+        stream = spark.readStream.schema("key string, at timestamp").parquet(f"{folder}/in")
+        L.advance(L.lifetimes(stream, day), f"{folder}/out", f"{folder}/checkpoint")
+    return spark.read.schema(L.CHANGES).parquet(f"{folder}/out").select("key", (F.col("period") - start // day).cast("int").alias("day"), "change")
+
+
 @query("""
 WITH c AS (SELECT doc_id, n_chars AS size, n_chars % 5 AS mtime, md5(text) AS hash FROM documents d WHERE EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)),
 n AS (SELECT d.doc_id, n_chars + coalesce(toxic, 0) AS size, n_chars % 5 AS mtime, md5(text || CASE WHEN quality = 0 THEN '!' ELSE '' END) AS hash FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id)
