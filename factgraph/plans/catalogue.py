@@ -655,12 +655,12 @@ def last_write_wins(spark, sf_dir):
 
 
 def queries() -> dict[str, Query]:
-    from factgraph.plans import fixtures
+    from factgraph.plans import fixtures, tables  # noqa: F401  (tables adds its own)
 
     return QUERIES | fixtures.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    from factgraph.plans import fixtures
+    from factgraph.plans import fixtures, tables  # noqa: F401
 
     return ORACLES | fixtures.oracle_sql()
