@@ -41,6 +41,8 @@ SYMBOLS = "#*$%&|<>"
 STRETCH = 1 << 21
 #: Buckets that are sent and added up together.
 PART = 1 << 16
+#: Tasks whose counts are added up before all are, as a power of two: reducers grow with the input.
+FAN_BITS = 10
 
 _SPACES = re.compile("[\x20\x09-\x0d]")
 
@@ -118,7 +120,7 @@ def grams(text: str) -> Iterator[np.ndarray]:
 
 
 def bucket_counts(docs: DataFrame) -> np.ndarray:
-    """n-gram counts of all texts, by bucket."""
+    """n-gram counts of all texts, by bucket, added in two steps: those of up to 2^FAN_BITS neighbouring tasks, then all."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(BUCKETS, np.int64)
@@ -136,8 +138,9 @@ def bucket_counts(docs: DataFrame) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(held.keys(), pa.int32()), pa.array([_packed(c) for c in held.values()], pa.binary())], names=["part", "counts"])
 
     counted = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(count, "part int, counts binary")
+    near = counted.repartition("part", F.shiftright(F.spark_partition_id(), FAN_BITS)).mapInArrow(add, "part int, counts binary")
     out = np.zeros(BUCKETS, np.int64)
-    for part, counts in counted.repartition("part").mapInArrow(add, "part int, counts binary").collect():  # BUCKETS numbers
+    for part, counts in near.repartition("part").mapInArrow(add, "part int, counts binary").collect():  # BUCKETS numbers
         out[part * PART : (part + 1) * PART] = _unpacked(counts)
     return out
 
