@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from dataclasses import fields
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factgraph.functions import fixed
@@ -27,7 +27,10 @@ i AS (SELECT page_id, project_id, 'site/' || page_id || '.js' AS path, unnest(wo
 r AS (SELECT i.*, CASE WHEN page_id % 5 = 0 AND ord = 0 THEN [] ELSE [substr(word, 1, 1)] END AS names, CASE WHEN ord % 3 <> 2 THEN coalesce(a.path, b.path) END AS target,
   CASE WHEN ord % 3 = 2 THEN 'external' WHEN coalesce(a.path, b.path) IS NULL THEN 'unresolved' ELSE 'project' END AS resolution
   FROM i LEFT JOIN f a ON a.project_id = i.project_id AND a.path = word || '.ts' LEFT JOIN f b ON b.project_id = i.project_id AND b.path = word || '/index.jsx')"""
-_SPAN = [F.lit(0).alias("start"), F.lit(0).alias("end")]
+
+
+def _span() -> list[Column]:
+    return [F.lit(0).alias("start"), F.lit(0).alias("end")]
 
 
 def _site(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
@@ -44,7 +47,7 @@ def _resolved(spark, sf_dir) -> DataFrame:
     def link(word, ord_):
         specifier = F.when(ord_ % 3 == 0, F.concat(F.lit("../"), word)).when(ord_ % 3 == 1, F.concat(F.lit("@/"), word)).otherwise(word)
         names = F.when((F.col("page_id") % 5 == 0) & (ord_ == 0), F.array().cast("array<string>")).otherwise(F.array(F.substring(word, 1, 1)))
-        return F.struct(specifier.alias("specifier"), F.lit("import").alias("kind"), names.alias("names"), (ord_ + 1).alias("line"), *_SPAN)
+        return F.struct(specifier.alias("specifier"), F.lit("import").alias("kind"), names.alias("names"), (ord_ + 1).alias("line"), *_span())
 
     path = F.concat(F.lit("site/"), F.col("page_id").cast("string"), F.lit(".js"))
     facts = pages.select("project_id", path.alias("path"), F.lit("javascript").alias("language"), F.transform("words", link).alias("imports"))
@@ -71,7 +74,7 @@ SELECT project_id, path, e.l::INT AS line, 'exported `' || e.n || '` isn''t impo
 WHERE NOT star AND NOT EXISTS (SELECT 1 FROM r WHERE r.project_id = x.project_id AND r.target = x.path AND resolution = 'project' AND list_contains(r.names, x.e.n))""")
 def page_unused_exports(spark, sf_dir):
     """Letters that a file exports and no link to it names; a link without names takes all."""
-    letter = lambda at, line: F.struct(F.substring("title", at, 1).alias("name"), F.lit(line).alias("line"), *_SPAN)
+    letter = lambda at, line: F.struct(F.substring("title", at, 1).alias("name"), F.lit(line).alias("line"), *_span())
     files = _site(spark, sf_dir)[1].select("project_id", "path", F.lit("typescript").alias("language"), F.array(letter(1, 1), letter(2, 2), letter(-1, 3)).alias("exports"))
     found = rules.run_all(_context(facts=files, bindings=resolve.bindings(_resolved(spark, sf_dir))), ("exports/unused-export",))
     return found.select("project_id", "path", "line", "message", F.col("evidence")[0].alias("evidence"))
@@ -99,7 +102,7 @@ def page_dependencies(spark, sf_dir):
 SELECT 'site/' || page_id || '.js' AS path, line, '`' || name || '` runs code from text' AS message FROM s""")
 def page_eval(spark, sf_dir):
     """Calls that run code from text."""
-    calls = F.transform(F.regexp_extract_all("html", F.lit(r"\b(track|eval)\("), F.lit(1)), lambda c, i: F.struct(c.alias("name"), (i + 1).alias("line"), *_SPAN))
+    calls = F.transform(F.regexp_extract_all("html", F.lit(r"\b(track|eval)\("), F.lit(1)), lambda c, i: F.struct(c.alias("name"), (i + 1).alias("line"), *_span()))
     facts = _t(spark, sf_dir, "pages").select(F.lit("p").alias("project_id"), F.concat(F.lit("site/"), F.col("page_id").cast("string"), F.lit(".js")).alias("path"), F.lit("javascript").alias("language"), calls.alias("eval_calls"))
     return rules.run_all(_context(facts=facts), ("security/no-eval",)).select("path", "line", "message")
 
@@ -131,6 +134,6 @@ def document_dead(spark, sf_dir):
 @query(f"""SELECT doc_id::VARCHAR || '.ts' AS path, (ord + 1)::INT AS line, 'a literal looks like a credential (' || signal || ')' AS message, 'starts with `' || preview || '`, ' || length || ' characters' AS evidence FROM ({ORACLES["secret_candidates"]})""")
 def document_secrets(spark, sf_dir):
     """Credential-like literals as findings, which show no more than a beginning and a length."""
-    literal = F.struct("preview", "length", "signal", (F.col("ord") + 1).alias("line"), *_SPAN)
+    literal = F.struct("preview", "length", "signal", (F.col("ord") + 1).alias("line"), *_span())
     facts = QUERIES["secret_candidates"](spark, sf_dir).select(F.lit("p").alias("project_id"), F.concat(F.col("doc_id").cast("string"), F.lit(".ts")).alias("path"), F.lit("typescript").alias("language"), F.array(literal).alias("secrets"))
     return rules.run_all(_context(facts=facts), ("security/hardcoded-secret",)).select("path", "line", "message", F.col("evidence")[0].alias("evidence"))
