@@ -7,9 +7,9 @@ the first word.  Transitions are smoothed towards class frequencies and emission
 unknown word in each class, so that probabilities add up to one.
 
 Exchange clustering maximises the likelihood of the class bigrams.  The SEEDS most frequent words are exchanged one by
-one on the driver, over their own bigram counts (a matrix of fixed size).  Then all words take part in rounds: a pass
+one on the driver, over their own bigram counts (a matrix of fixed size), until none moves or SWEEPS times.  Then all words take part in rounds: a pass
 over the encoded corpus counts each word's neighbours by class; the counts of a block of words meet in one task, which
-finds the best class of each of its words, given all others.  Moves that are good one by one can be bad together, so
+finds the best class of each of its words, given all others; counts are added up among neighbouring tasks first.  Moves that are good one by one can be bad together, so
 those of the highest gain are made, as long as no class gains or loses over a SHARE of its tokens; a round that lowers
 the likelihood is taken back and tried with a quarter of that.  Rounds end when the likelihood rises by less than GAIN
 of its value, or after ROUNDS.
@@ -53,6 +53,8 @@ FOLDS, HELD_OUT = 10, 0
 HELD_WORDS = 300_000
 #: Tokens that are counted at a time, words whose counts meet in one task, and words whose moves are tried at a time.
 COUNTED, BLOCK, TRIED = 1 << 21, 256, 32
+#: Counts of 2^FAN_BITS neighbouring tasks are added up before they meet all others.
+FAN_BITS = 9
 
 IDS = 1 << 16
 #: Ids of words that aren't clustered, by kind: not ASCII, with a digit, letters only, other.
@@ -123,21 +125,43 @@ class Words:
         return np.array([own(w) or FIRST_KIND + kind(w) for w in words], np.uint16)
 
 
-def vocabulary(counts: DataFrame, most: int = VOCABULARY) -> dict[bytes, int]:
-    """Counts of the most frequent words, by rank: those from the least count on that at most ``most`` words reach."""
+def vocabulary(counts: DataFrame, most: int = VOCABULARY, held: int = 0) -> dict[bytes, int]:
+    """Counts of the ``most`` most frequent words, by rank (ties by word), and of more, as long as words of about the same
+    count are ``held`` or fewer together with those before them."""
     words = counts.where(F.octet_length("word") > 0)
     step = F.floor(F.log2("c") * 16).cast("int")
-    held, least = 0, None
+    total, least, wanted, cut = 0, None, [], None
     for r in sorted(words.groupBy(step.alias("step")).agg(F.count("*").alias("v"), F.min("c").alias("c")).collect(), reverse=True):  # 16 rows for each doubling
-        held += r["v"]
-        if held > most:
+        if total + r["v"] > max(most, held):
+            cut = r["step"] if total < most else None
             break
-        least = r["c"]
-    if least is None:
-        return {}
-    found = words.where(F.col("c") >= least).toArrow()  # at most ``most`` rows
-    pairs = sorted(zip(found["c"].to_pylist(), found["word"].to_pylist()), key=lambda p: (-p[0], p[1]))
-    return {w: c for c, w in pairs}
+        total, least = total + r["v"], r["c"]
+    if least is not None:
+        wanted.append(words.where(F.col("c") >= least))  # at most ``held`` rows, or ``most``
+    if cut is not None:
+        wanted += _first(words.where(step == cut), most - total)
+    pairs = sorted((-c, w) for df in wanted for t in [df.select("c", "word").toArrow()] for c, w in zip(t["c"].to_pylist(), t["word"].to_pylist()))
+    return {w: -c for c, w in pairs[: max(most, total)]}
+
+
+def _first(words: DataFrame, n: int) -> list[DataFrame]:
+    """Rows among which are the ``n`` first by count, descending, and word, and as many others at most.
+
+    They are cut off by count, then by the words' first two bytes, first four and so on, until few enough words are in
+    the group that the cut goes through; so ties of any number don't gather anywhere.
+    """
+    out, left, depth = [], n, 0
+    while True:
+        key = F.substring("word", 1, 2 * depth) if depth else -F.col("c")
+        groups = words.groupBy(key.alias("key")).agg(F.count("*").alias("v")).collect()  # 2^16 for two bytes more; counts of a step
+        for at, v in sorted((bytes(r["key"]) if depth else r["key"], r["v"]) for r in groups):
+            if v >= left:
+                break
+            left -= v
+        if v <= n:
+            return [*out, words.where(key <= F.lit(at))]
+        out.append(words.where(key < F.lit(at)))
+        words, depth = words.where(key == F.lit(at)), depth + 1
 
 
 def neighbours(values: np.ndarray, firsts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -172,6 +196,11 @@ def _streams(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
         yield np.concatenate(held)
 
 
+def _near() -> Column:
+    """One number for up to 2^FAN_BITS neighbouring tasks: their counts are added up first."""
+    return F.shiftright(F.spark_partition_id(), FAN_BITS)
+
+
 def _summed(corpus: DataFrame, index, size: int) -> np.ndarray:
     """``index`` gives numbers below ``size`` for the tokens of a stream; how often each occurs in the corpus."""
 
@@ -182,7 +211,8 @@ def _summed(corpus: DataFrame, index, size: int) -> np.ndarray:
         found = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(counts[found])], names=["at", "n"])
 
-    summed = corpus.mapInArrow(run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+    near = corpus.mapInArrow(run, "at long, n long").groupBy("at", _near().alias("near")).agg(F.sum("n").alias("n"))
+    summed = near.groupBy("at").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(size)
     out[summed["at"].to_numpy()] = summed["n"].to_numpy()
     return out
@@ -293,25 +323,37 @@ def _moves(corpus: DataFrame, of: np.ndarray, table: np.ndarray, chosen: np.ndar
             after += np.bincount((a * wide + of[b])[chosen[a]], minlength=after.size)
             before += np.bincount((b * wide + of[a])[chosen[b]], minlength=before.size)
             own += np.bincount(a[(a == b) & chosen[a]], minlength=IDS)
-        blocks, places, numbers = [], [], []
+        held = {}
         for block in range(IDS // BLOCK):
             words = slice(block * BLOCK, (block + 1) * BLOCK)
             cells = slice(block * BLOCK * wide, (block + 1) * BLOCK * wide)
             counts = np.concatenate([after[cells], before[cells], own[words]])
+            if counts.any():
+                held[block] = counts
+        yield packed(held)
+
+    def packed(held: dict[int, np.ndarray]) -> pa.RecordBatch:
+        places, numbers = [], []
+        for counts in held.values():
             found = np.flatnonzero(counts)
-            if found.size:
-                blocks.append(block)
-                places.append(found.astype("<u2").tobytes())
-                numbers.append(counts[found].astype("<i8" if counts.max() >> 31 else "<i4").tobytes())
-        yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int32()), pa.array(places, pa.binary()), pa.array(numbers, pa.binary())], names=["block", "places", "numbers"])
+            places.append(found.astype("<u2").tobytes())
+            numbers.append(counts[found].astype("<i8" if counts.max() >> 31 else "<i4").tobytes())
+        return pa.RecordBatch.from_arrays([pa.array(held.keys(), pa.int32()), pa.array(places, pa.binary()), pa.array(numbers, pa.binary())], names=["block", "places", "numbers"])
 
-    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def added(batches: Iterator[pa.RecordBatch]) -> dict[int, np.ndarray]:
         held: dict[int, np.ndarray] = {}  # of IDS / BLOCK blocks at most, of fixed size
         for batch in batches:
             for block, places, numbers in zip(*(c.to_pylist() for c in batch.columns)):
                 at = np.frombuffer(places, "<u2")
                 counts = held.setdefault(block, np.zeros(BLOCK * (2 * wide + 1), np.int64))
                 counts[at] += np.frombuffer(numbers, "<i4" if len(numbers) == 4 * at.size else "<i8")
+        return held
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield packed(added(batches))
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = added(batches)
         for block, counts in held.items():
             after, before = counts[: BLOCK * wide].reshape(BLOCK, wide), counts[BLOCK * wide : 2 * BLOCK * wide].reshape(BLOCK, wide)
             here = np.flatnonzero(after.any(1) | before.any(1))
@@ -323,8 +365,9 @@ def _moves(corpus: DataFrame, of: np.ndarray, table: np.ndarray, chosen: np.ndar
                 moved = new != old
                 yield pa.RecordBatch.from_arrays([pa.array(ids[moved]), pa.array(new[moved]), pa.array(rise[moved])], names=["id", "class", "rise"])
 
-    counted = corpus.mapInArrow(count, "block int, places binary, numbers binary")
-    found = counted.repartition("block").mapInArrow(choose, "id long, class long, rise double").toArrow()  # at most a row for each word
+    cells = "block int, places binary, numbers binary"
+    near = corpus.mapInArrow(count, cells).repartition("block", _near()).mapInArrow(add, cells)
+    found = near.repartition("block").mapInArrow(choose, "id long, class long, rise double").toArrow()  # at most a row for each word
     order = np.lexsort((found["id"].to_numpy(), -np.round(found["rise"].to_numpy(), 3)))
     return tuple(found[c].to_numpy()[order] for c in ("id", "class", "rise"))
 
@@ -411,7 +454,7 @@ class Model:
 
 def fit(docs: DataFrame, counts: DataFrame, classes: int = CLASSES, most: int = VOCABULARY, seeds: int = SEEDS) -> Model:
     """``counts`` as of :func:`word_counts`."""
-    held = vocabulary(counts, max(COUNTS_HELD, most))
+    held = vocabulary(counts, most, COUNTS_HELD)
     known = dict(islice(held.items(), most))
     ids = {w: 1 + i for i, w in enumerate(known)}
     corpus = common.cut_lineage(encoded(docs, ids))
@@ -489,6 +532,7 @@ def score(docs: DataFrame, classes: int = CLASSES, most: int = VOCABULARY, seeds
 
     held = F.coalesce(common.crc32_mod(F.col("doc_id"), FOLDS) == HELD_OUT, F.lit(False))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), held.alias("held_out")).mapInArrow(run, _ROWS)
+    rows = common.cut_lineage(rows)  # numbers are of partitions and places, so no row is made twice
     met = rows.join(counts.where(F.octet_length("word") > 0), "word", "left")
     c = F.coalesce("c", F.lit(0))
     summed = met.groupBy("row").agg(

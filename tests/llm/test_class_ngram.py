@@ -153,3 +153,15 @@ def test_empty_tables(spark, docs):
         assert r.n_known == 0 and r.train_tokens == 0 and r.score < 0
     odd = spark.createDataFrame([(None, "a b"), (1, None), (1, None), (None, "")], "doc_id long, text string")
     assert sorted(r.n_tokens for r in c.score(odd, 8).collect()) == [1, 1, 1, 3]
+
+
+def test_vocabulary_is_exact(spark):
+    """The most frequent words, ties by word: of words that each occur once, too, and of those with a long common beginning."""
+    rows = [(w.encode(), k) for k, w in [(10**6 + i % 3, f"often{i}") for i in range(40)] + [(7, f"w{i:04d}") for i in range(300)] + [(1, f"the same beginning {i:05d}") for i in range(700)] + [(1, "")]]
+    counts = spark.createDataFrame(rows, "word binary, c long")
+    ranked = [w for w, _ in sorted(((w, k) for w, k in rows if w), key=lambda p: (-p[1], p[0]))]
+    for most, held in ((0, 0), (1, 0), (39, 0), (40, 0), (41, 0), (200, 0), (340, 0), (341, 0), (700, 0), (1039, 0), (5000, 0), (20, 340), (20, 339), (350, 600)):
+        found = list(c.vocabulary(counts, most, held))
+        assert found[:most] == ranked[:most] and found == ranked[: len(found)] and len(found) <= max(most, held)
+    assert len(c.vocabulary(counts, 20, 340)) == 340
+    assert sum(df.count() for df in c._first(counts.where("c = 1"), 50)) <= 100
