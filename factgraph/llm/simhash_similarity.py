@@ -10,9 +10,10 @@ Of a text of few shingles most bits are near a tie, so it also emits its first s
 similar share one of those (the prefix filter of set joins), and bits rule out nothing between them.
 
 Variants meet in one shuffle of 16 bytes each.  In the first two blocks, each member of a variant's group is held against
-the one with the most links so far, which connects most of what belongs together.  What is left, in all blocks, texts that
-collide with a component and are apart from it, is held against all of it, once for each pair, so the components are
-those of all colliding pairs.
+the one with the most links so far, which connects most of what belongs together.  Of what is left, in all blocks, texts
+that collide with a component and are apart from it, each is held against the few that are nearest by their sketches, in
+ROUNDS; so a text that belongs there costs few tests, however large the group.  Only what is apart even then is held
+against all of the component, once for each pair, so the components are those of all colliding pairs.
 A bound spares tests that can't succeed: a text has no link if over a fifth of its shingles are in no other candidate,
 and two texts have none to each other if those that they can share are too few.
 """
@@ -43,6 +44,10 @@ SEED = 42
 SHORT = 12
 #: Above all variants' keys.
 SHORT_KEYS = 1 << 62
+#: A text apart from its group is tested against the nearest one of each of NEAREST parts of it, in each of ROUNDS.
+NEAREST, ROUNDS = 8, 2
+#: Members of a group that meet others in one task.
+MET = 1 << 12
 #: Shingles whose bits are summed at a time (sums of so many fit a byte), and characters whose words are held at a time.
 SUMMED = 255
 STRETCH = 1 << 21
@@ -171,12 +176,15 @@ def collisions(classes: DataFrame) -> DataFrame:
     return emitted.select("key", "tag", F.min("tag").over(group).alias("low"), F.max("tag").over(group).alias("high")).where("low < high").select("key", "tag")
 
 
+def _differ(x: str, y: str, bits: str = "sketch", words: int = SKETCH_WORDS) -> Column:
+    return sum(F.bit_count(F.col(f"{x}.{bits}")[k].bitwiseXOR(F.col(f"{y}.{bits}")[k])) for k in range(words))
+
+
 def _far(x: str, y: str, bits: str = "sketch", words: int = SKETCH_WORDS, most: int = SKETCH_FAR) -> Column:
     """Whether sizes or sketches rule the similarity out; it can't exceed the smaller size by the larger."""
     p, q = SIMILARITY
-    differ = sum(F.bit_count(F.col(f"{x}.{bits}")[k].bitwiseXOR(F.col(f"{y}.{bits}")[k])) for k in range(words))
     least, greatest = F.least(f"{x}.size", f"{y}.size"), F.greatest(f"{x}.size", f"{y}.size")
-    return (q * least < p * greatest) | ((differ > most) & (least > SHORT))
+    return (q * least < p * greatest) | ((_differ(x, y, bits, words) > most) & (least > SHORT))
 
 
 def _verified(pairs: DataFrame, held: DataFrame) -> DataFrame:
@@ -227,22 +235,53 @@ def _stars(apart: DataFrame) -> DataFrame:
     return apart.where("root <> centre.root").select(F.greatest("tag", "centre.tag").alias("a"), F.least("tag", "centre.tag").alias("b"))
 
 
-def _across(apart: DataFrame, shapes: DataFrame) -> DataFrame:
-    """(a, b): members of a group that aren't connected and that may be similar; ``shape`` has ``own``, the number of
-    the text's shingles that no other text has.
+def _across(groups: DataFrame, roots: DataFrame, shapes: DataFrame, tested: DataFrame | None = None) -> DataFrame:
+    """(x, y, differ): members of a group that aren't connected and that may be similar, each two once, without those of
+    ``tested`` (x, ys); ``shape`` has ``own``, the number of the text's shingles that no other text has.
 
-    Groups whose centres are connected are taken as one, so that a pair that meets in many groups is one row.  In it
-    what isn't connected to the centre meets what is, and each other.
+    ``groups``: (group, tag), a group being named by a member of it.  Groups whose names are connected are taken as one,
+    so that a pair that meets in many groups is one row.  In it what isn't connected to the name meets what is, and each
+    other.  A group of more than MET members is dealt into parts, each of which meets all that is apart.
     """
     p, q = SIMILARITY
-    members = apart.select(F.col("centre.root").alias("group"), "tag", "root").distinct().join(shapes, "tag")
-    x = members.where("root <> group").select("group", F.col("tag").alias("a"), F.col("root").alias("ra"), F.col("shape").alias("x"))
-    y = members.select("group", F.col("tag").alias("b"), F.col("root").alias("rb"), F.col("shape").alias("y"))
-    shared = F.least(F.col("x.size") - F.col("x.own"), F.col("y.size") - F.col("y.own"))  # at most
-    able = (p + q) * shared >= p * (F.col("x.size") + F.col("y.size"))
-    once = (F.col("rb") == F.col("group")) | (F.col("a") > F.col("b"))
-    pairs = x.join(y, "group").where((F.col("ra") != F.col("rb")) & once & able & ~_far("x", "y"))
-    return pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    root = roots.select(F.col("tag").alias("group"), F.col("root").alias("whole"))
+    named = common.join_owners(groups, root, "group").select(F.coalesce("whole", "group").alias("group"), "tag").distinct()
+    members = common.cut_lineage(named.join(roots, "tag", "left").select("group", "tag", F.coalesce("root", "tag").alias("root")))
+    several = members.groupBy("group").agg(F.count(F.lit(1)).alias("n"), F.max(F.col("root") != F.col("group")).alias("apart")).where("apart")
+    parts = several.select("group", F.ceil(F.col("n") / MET).cast("int").alias("parts"))
+    dealt = common.join_owners(members, parts, "group").where("parts IS NOT NULL").join(shapes, "tag")
+    x = dealt.where("root <> group").select("group", F.col("tag").alias("x"), F.col("root").alias("rx"), F.col("shape").alias("sx"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    y = dealt.select("group", F.col("tag").alias("y"), F.col("root").alias("ry"), F.col("shape").alias("sy"), F.pmod(F.xxhash64("tag"), "parts").cast("int").alias("part"))
+    if tested is not None:
+        x = x.join(tested, "x", "left")
+    shared = F.least(F.col("sx.size") - F.col("sx.own"), F.col("sy.size") - F.col("sy.own"))  # at most
+    able = (p + q) * shared >= p * (F.col("sx.size") + F.col("sy.size"))
+    once = (F.col("ry") == F.col("group")) | (F.col("x") > F.col("y"))
+    new = F.lit(True) if tested is None else F.col("ys").isNull() | ~F.array_contains("ys", F.col("y"))
+    pairs = x.join(y, ["group", "part"]).where((F.col("rx") != F.col("ry")) & once & able & new & ~_far("sx", "sy"))
+    return pairs.select("x", "y", _differ("sx", "sy").alias("differ"))
+
+
+def _pair(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
+
+
+def _connected(found: DataFrame, groups: DataFrame, shapes: DataFrame, held: DataFrame) -> DataFrame:
+    """``found`` with what else connects members of ``groups``: the nearest first, then all that are still apart."""
+    roots, tested = common.cut_lineage(_roots(found)), None
+    for _ in range(ROUNDS):
+        # one for each part of the others, so few rows leave a task, and no text's pairs are gathered
+        nearest = _across(groups, roots, shapes, tested).groupBy("x", F.pmod(F.xxhash64("y", F.lit(1)), F.lit(NEAREST)).alias("nth")).agg(F.min(F.struct("differ", "y")).alias("y"))
+        tried = common.cut_lineage(nearest.select("x", F.col("y.y").alias("y")))
+        if tried.isEmpty():
+            return found
+        new = common.cut_lineage(_verified(_pair(tried), held))
+        found = found.unionByName(new)
+        stars = roots.select(F.col("tag").alias("a"), F.col("root").alias("b"))
+        roots = common.cut_lineage(_roots(stars.unionByName(new)))
+        before, own = tested, tried.groupBy("x").agg(F.collect_list("y").alias("ys"))  # NEAREST of them, or fewer
+        tested = common.cut_lineage(own if before is None else own.unionByName(before).groupBy("x").agg(F.flatten(F.collect_list("ys")).alias("ys")))
+    return found.unionByName(_verified(_pair(_across(groups, roots, shapes, tested)), held))
 
 
 def _own_shingles(held: DataFrame) -> DataFrame:
@@ -290,7 +329,8 @@ def links(docs: DataFrame, classes: DataFrame) -> DataFrame:
         new = _verified(_near(_stars(_apart(own, known)), shapes), held)
         found = common.cut_lineage(new if found is None else found.unionByName(new))
         known = _known(found)
-    return found.unionByName(_verified(_across(_apart(met, known), shapes), held))
+    groups = common.cut_lineage(_apart(met, known).select(F.col("centre.root").alias("group"), "tag").distinct())
+    return _connected(found, groups, shapes, held)
 
 
 def _roots(found: DataFrame) -> DataFrame:

@@ -103,3 +103,25 @@ def test_short_texts_lose_no_link(spark):
     assert lost == 0
     hashes = np.arange(100, 112, dtype=np.uint64)
     assert [len(s.prefix(hashes[:n])) for n in (0, 1, 4, 5, 10, 12)] == [0, 1, 1, 2, 3, 3] and len(s.prefix(np.arange(13, dtype=np.uint64))) == 0
+
+
+def test_tests_grow_with_the_group(spark, monkeypatch):
+    """Texts of one template with some words changed, most of them just about similar: tests grow with their number."""
+    tests, verified = [], s._verified
+    monkeypatch.setattr(s, "_verified", lambda pairs, held: verified(common.cut_lineage(pairs.selectExpr("*")), held) if tests.append(pairs.count()) is None else None)
+    monkeypatch.setattr(s, "MET", 100)
+    sums = []
+    for n in (300, 1200):
+        rng = random.Random(3)
+        template = [f"w{i}" for i in range(300)]
+        texts = []
+        for _ in range(n):
+            out = list(template)
+            for at in rng.sample(range(300), 4):
+                out[at] = f"x{rng.randrange(10**6)}"
+            texts.append(" ".join(out))
+        docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+        del tests[:]
+        groups = s.near_duplicates(docs).select("component_id").distinct().count()
+        sums.append((sum(tests), groups))
+    assert sums[1][0] < 6 * sums[0][0] and [groups for _, groups in sums] == [1, 1]
