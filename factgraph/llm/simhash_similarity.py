@@ -11,8 +11,7 @@ similar share one of those (the prefix filter of set joins), and bits rule out n
 
 Variants meet in one shuffle of 16 bytes each.  In the first two blocks, each member of a variant's group is held against
 the one with the most links so far, which connects most of what belongs together.  Of what is left, in all blocks, texts
-that collide with a component and are apart from it, each is held against the few that are nearest by their sketches, in
-ROUNDS; so a text that belongs there costs few tests, however large the group.  Only what is apart even then is held
+that collide with a component and are apart from it, each is held against the few that are nearest by their sketches; so a text that belongs there costs few tests, however large the group.  Only what is apart even then is held
 against all of the component, once for each pair, so the components are those of all colliding pairs.
 A bound spares tests that can't succeed: a text has no link if over a fifth of its shingles are in no other candidate,
 and two texts have none to each other if those that they can share are too few.
@@ -44,8 +43,8 @@ SEED = 42
 SHORT = 12
 #: Above all variants' keys.
 SHORT_KEYS = 1 << 62
-#: A text apart from its group is tested against the nearest one of each of NEAREST parts of it, in each of ROUNDS.
-NEAREST, ROUNDS = 8, 2
+#: A text apart from its group is first tested against the nearest one of each of NEAREST parts of it.
+NEAREST = 8
 #: Members of a group that meet others in one task.
 MET = 1 << 12
 #: Shingles whose bits are summed at a time (sums of so many fit a byte), and characters whose words are held at a time.
@@ -244,12 +243,11 @@ def _across(groups: DataFrame, roots: DataFrame, shapes: DataFrame, tested: Data
     other.  A group of more than MET members is dealt into parts, each of which meets all that is apart.
     """
     p, q = SIMILARITY
-    root = roots.select(F.col("tag").alias("group"), F.col("root").alias("whole"))
-    named = common.join_owners(groups, root, "group").select(F.coalesce("whole", "group").alias("group"), "tag").distinct()
+    whole = roots.select(F.col("tag").alias("group"), F.col("root").alias("whole"))
+    named = groups.join(whole, "group", "left").select(F.coalesce("whole", "group").alias("group"), "tag").distinct()
     members = common.cut_lineage(named.join(roots, "tag", "left").select("group", "tag", F.coalesce("root", "tag").alias("root")))
-    several = members.groupBy("group").agg(F.count(F.lit(1)).alias("n"), F.max(F.col("root") != F.col("group")).alias("apart")).where("apart")
-    parts = several.select("group", F.ceil(F.col("n") / MET).cast("int").alias("parts"))
-    dealt = common.join_owners(members, parts, "group").where("parts IS NOT NULL").join(shapes, "tag")
+    parts = members.groupBy("group").agg(F.ceil(F.count(F.lit(1)) / MET).cast("int").alias("parts"), F.max(F.col("root") != F.col("group")).alias("apart")).where("apart")
+    dealt = members.join(parts, "group").join(shapes, "tag")
     x = dealt.where("root <> group").select("group", F.col("tag").alias("x"), F.col("root").alias("rx"), F.col("shape").alias("sx"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
     y = dealt.select("group", F.col("tag").alias("y"), F.col("root").alias("ry"), F.col("shape").alias("sy"), F.pmod(F.xxhash64("tag"), "parts").cast("int").alias("part"))
     if tested is not None:
@@ -268,20 +266,17 @@ def _pair(pairs: DataFrame) -> DataFrame:
 
 def _connected(found: DataFrame, groups: DataFrame, shapes: DataFrame, held: DataFrame) -> DataFrame:
     """``found`` with what else connects members of ``groups``: the nearest first, then all that are still apart."""
-    roots, tested = common.cut_lineage(_roots(found)), None
-    for _ in range(ROUNDS):
-        # one for each part of the others, so few rows leave a task, and no text's pairs are gathered
-        nearest = _across(groups, roots, shapes, tested).groupBy("x", F.pmod(F.xxhash64("y", F.lit(1)), F.lit(NEAREST)).alias("nth")).agg(F.min(F.struct("differ", "y")).alias("y"))
-        tried = common.cut_lineage(nearest.select("x", F.col("y.y").alias("y")))
-        if tried.isEmpty():
-            return found
-        new = common.cut_lineage(_verified(_pair(tried), held))
-        found = found.unionByName(new)
-        stars = roots.select(F.col("tag").alias("a"), F.col("root").alias("b"))
-        roots = common.cut_lineage(_roots(stars.unionByName(new)))
-        before, own = tested, tried.groupBy("x").agg(F.collect_list("y").alias("ys"))  # NEAREST of them, or fewer
-        tested = common.cut_lineage(own if before is None else own.unionByName(before).groupBy("x").agg(F.flatten(F.collect_list("ys")).alias("ys")))
-    return found.unionByName(_verified(_pair(_across(groups, roots, shapes, tested)), held))
+    roots = common.cut_lineage(_roots(found))
+    # one for each part of the others, so few rows leave a task, and no text's pairs are gathered
+    nearest = _across(groups, roots, shapes).groupBy("x", F.pmod(F.xxhash64("y", F.lit(1)), F.lit(NEAREST)).alias("nth")).agg(F.min(F.struct("differ", "y")).alias("y"))
+    tried = common.cut_lineage(nearest.select("x", F.col("y.y").alias("y")))
+    if tried.isEmpty():
+        return found
+    new = common.cut_lineage(_verified(_pair(tried), held))
+    stars = roots.select(F.col("tag").alias("a"), F.col("root").alias("b")).unionByName(new)
+    roots = common.cut_lineage(_roots(stars))
+    tested = tried.groupBy("x").agg(F.collect_list("y").alias("ys"))  # NEAREST of them, or fewer
+    return stars.unionByName(_verified(_pair(_across(groups, roots, shapes, tested)), held))
 
 
 def _own_shingles(held: DataFrame) -> DataFrame:
