@@ -5,13 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from factgraph.operators import blocks
 from factgraph.operators.graph import numbered
 from factgraph.operators.relops import HOPS, along, doubled, strong_components, with_loops
 from factgraph.operators.shared import cut_lineage, forget
 
-#: Levels whose sets are pushed before they are written as one.
-PUSHED = 8
-
 
 def _nodes(step: DataFrame, nodes: DataFrame | None) -> DataFrame:
     own = step.select(F.col("s").alias("node")).union(step.select("d"))
@@ -23,7 +21,7 @@ def topological_levels(edges: DataFrame, src: str = "src", dst: str = "dst", nod
 
     A walk of n edges is one of 1, 2, 4, ... edges for each bit of n, one after another, so with walks of doubling length
     (squares of the edges, where the longest of parallel ones are all alike) each is applied once: a chain of 100,000 nodes
-    takes 17 rounds.  Where walks get too many the graph is dense, and the longest ones are repeated until no level rises.
+    takes 17 rounds.  Where walks get too many the graph is dense, and levels rise block by block.
     ``nodes`` (node) adds nodes without edges.
     """
     step = cut_lineage(edges.select(F.col(src).alias("s"), F.col(dst).alias("d")).distinct())
@@ -41,19 +39,11 @@ def topological_levels(edges: DataFrame, src: str = "src", dst: str = "dst", nod
         levels = raised(levels, k)
         if k % HOPS == HOPS - 1:
             levels = cut_lineage(levels)
-    levels, reach, total, front, searched = cut_lineage(levels), (1 << len(walks)) - 1, -1, -1, False
-    while ended == "many":
-        before, held = (total, front), levels.agg(F.sum("level"), F.count(F.when(F.col("level") == reach, 1))).first()
-        total, front = held
-        if total == before[0]:
-            break
-        if front == before[1] and not searched:  # as many nodes as before end walks of any length: a circle, or many long ways
-            if not strong_components(step, "s", "d").isEmpty() or not step.where("s = d").isEmpty():
-                raise ValueError("the graph has a cycle")
-            searched = True
-        for _ in range(HOPS):
-            levels = raised(levels, len(walks) - 1)
-        levels, reach = cut_lineage(levels), reach + HOPS * (1 << len(walks) - 1)
+    levels = cut_lineage(levels)
+    if ended == "many":
+        levels = blocks.levels(step, levels, lambda: not strong_components(step, "s", "d").isEmpty() or not step.where("s = d").isEmpty())
+        if levels is None:
+            raise ValueError("the graph has a cycle")
     for walk in walks[1:]:
         forget(walk)
     return levels
@@ -63,18 +53,16 @@ def ancestor_counts(edges: DataFrame, src: str = "src", dst: str = "dst", groups
     """(node, ancestors): how many other nodes reach each node, without a row for each pair.
 
     Components of ``groups`` (node, component), by default the strong ones, count as one node that all their members
-    reach.  Each component has the set of those before it as bitmaps of 32,768 places, a row for each that isn't empty.
-    On long thin graphs sets go over walks of doubling length; on dense ones they are pushed down level by level, each edge
-    once.  A set's sum of sizes comes from joining its bits to the components' sizes, a bitmap's worth at a time.
+    reach.  Each component has the set of those before it as bitmaps of 32,768 places.  On long thin graphs sets go over walks
+    of doubling length; on dense ones they are made within blocks, and only what leads to other blocks moves.
     """
     step = cut_lineage(edges.select(F.col(src).alias("src"), F.col(dst).alias("dst")).where("src <> dst").distinct())
     if groups is None:
         try:
-            known, groups = topological_levels(step), step.select(F.col("src").alias("node"), F.col("src").alias("component")).limit(0)
+            topological_levels(step)
+            groups = step.select(F.col("src").alias("node"), F.col("src").alias("component")).limit(0)
         except ValueError:
-            known, groups = None, strong_components(step)
-    else:
-        known = None
+            groups = strong_components(step)
     every = _nodes(step.select(F.col("src").alias("s"), F.col("dst").alias("d")), None)
     member = cut_lineage(every.join(groups, "node", "left").select("node", F.coalesce("component", "node").alias("component")))
     sizes = numbered(member.groupBy("component").agg(F.count(F.lit(1)).alias("size")), [], ["component"], "id")
@@ -86,18 +74,21 @@ def ancestor_counts(edges: DataFrame, src: str = "src", dst: str = "dst", groups
     own = sizes.select(F.col("id").alias("node"), F.expr("bitmap_bucket_number(id)").alias("bucket"), F.expr("bitmap_bit_position(id)").alias("place"))
     own = own.groupBy("node", "bucket").agg(F.bitmap_construct_agg("place").alias("bits"))
     walks, ended = doubled(walk, sizes.count())
-    if ended == "many" and known is not None:  # each node is a component
-        known = cut_lineage(known.join(sizes, F.col("node") == F.col("component")).select(F.col("id").alias("node"), "level"))
-    sets = _over(own, walks) if ended != "many" else _down(own, walk, known)
+    total = blocks.weights_before(walk, sizes) if ended == "many" else _weighed(_over(own, walks), sizes)
+    total = total.select("node", (F.col("total") - 1).cast("long").alias("ancestors"))
+    placed = sizes.select("component", F.col("id")).join(total, F.col("id") == F.col("node")).select("component", "ancestors")
+    return member.join(placed, "component").select("node", "ancestors")
+
+
+def _weighed(sets: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(node, total): the summed sizes of each set's members."""
     weight = sizes.select(F.expr("bitmap_bucket_number(id)").alias("bucket"), F.expr("bitmap_bit_position(id)").alias("place"), "size")
     alone = weight.where("size > 1")  # all others count one a bit
     counted = sets.select("node", "bucket", F.bitmap_count("bits").alias("n"), "bits")
     ones = counted.groupBy("node").agg(F.sum("n").alias("n"))
     held = F.conv(F.hex(F.substring(F.col("bits"), (F.col("place") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
     more = counted.join(alone, "bucket").where(F.getbit(held, (F.col("place") % 8).cast("int")) == 1).groupBy("node").agg(F.sum(F.col("size") - 1).alias("more"))
-    total = ones.join(more, "node", "left").select("node", (F.col("n") + F.coalesce("more", F.lit(0)) - 1).cast("long").alias("ancestors"))
-    placed = sizes.select("component", F.col("id")).join(total, F.col("id") == F.col("node")).select("component", "ancestors")
-    return member.join(placed, "component").select("node", "ancestors")
+    return ones.join(more, "node", "left").select("node", (F.col("n") + F.coalesce("more", F.lit(0))).alias("total"))
 
 
 def _or(state: DataFrame) -> DataFrame:
@@ -112,19 +103,3 @@ def _over(own: DataFrame, walks: list[DataFrame]) -> DataFrame:
         old, sets = sets, cut_lineage(_or(pushed.unionByName(sets)))
         forget(old)
     return sets
-
-
-def _down(own: DataFrame, step: DataFrame, levels: DataFrame | None) -> DataFrame:
-    """The same level by level: a node's set is made once, when those of all before it are known."""
-    levels = topological_levels(step, "s", "d") if levels is None else levels
-    last = levels.agg(F.max("level")).first()[0]
-    met = cut_lineage(step.join(levels.select(F.col("node").alias("d"), "level"), "d"))
-    first = own.join(levels.where("level > 0").select("node"), "node", "left_anti")  # and nodes without edges
-    done = cut_lineage(first)
-    for level in range(1, last + 1):
-        pushed = met.where(F.col("level") == level).join(done, F.col("s") == F.col("node")).select(F.col("d").alias("node"), "bucket", "bits")
-        here = own.join(levels.where(F.col("level") == level).select("node"), "node", "left_semi")
-        done = done.unionByName(cut_lineage(_or(pushed.unionByName(here))))
-        if level % PUSHED == 0:
-            done = cut_lineage(done)
-    return done
