@@ -1,62 +1,59 @@
-"""Breadth-first search from many starts with parent pointers."""
+"""Breadth-first search from many starts for the first marked node."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factgraph.operators.graph import numbered
 from factgraph.operators.shared import cut_lineage, forget
 
-#: Places in a queue stay below this; they are numbered anew before they could reach it.
+#: No longer read: searches had places in a queue, which stayed below this.
 FARTHEST = 1 << 62
-#: Levels of the search tree that are written as one.
+#: Rounds whose nodes are written as one.
 LEVELS = 8
 
 
 def first_chain(edges: DataFrame, starts: DataFrame, marked: DataFrame) -> DataFrame:
     """(start, hit, depth, chain): the marked node that a breadth-first search from each start meets first, and the way.
 
-    ``edges``: src, dst, ord (the order in which a node's edges are followed, from 0 on).  A visited node is one row of
-    constant width, (start, node, parent) with a place in the queue that orders a level: that of its parent times the number
-    of orders, plus its edge's order.  Searches that have their hit stop.  The ways are rebuilt at the end, from the hits
-    upwards over pointers of doubling length.
+    ``edges``: src, dst, ord (the order in which a node's edges are followed, from 0 on).  A search meets the nodes of a level in
+    the order of their least ways, compared edge by edge.  So the first way to a marked node goes, from each node on it, along
+    the first edge to a node that is nearer to a marked one.  How near each node is comes from one search backwards from all
+    marked nodes, in which a node is a row, however many starts there are; the ways follow over pointers of doubling length.
     """
     links = cut_lineage(edges.select(F.col("src").alias("node"), F.col("dst").alias("to"), F.col("ord").cast("long").alias("ord")))
-    orders = (links.agg(F.max("ord")).first()[0] or 0) + 1
-    marks = marked.select("node").distinct()
-    front = cut_lineage(starts.select("start", F.col("start").alias("node"), F.lit(0).cast("long").alias("place"), F.lit(None).cast(edges.schema["src"].dataType).alias("parent")).distinct())
-    tree, hits, depth, least = front.select("start", "node", "parent"), None, 0, 1
-    while not front.isEmpty():
-        met = front.join(marks, "node", "left_semi").groupBy("start").agg(F.min_by("node", "place").alias("hit"))
-        met = cut_lineage(met.select("start", "hit", F.lit(depth).alias("depth")))
-        hits = met if hits is None else hits.unionByName(met)
-        going = front.join(met.select("start"), "start", "left_anti").select("start", "node", "place")
-        if least > FARTHEST // orders:
-            going, least = numbered(going, ["start"], ["place"], "at").select("start", "node", F.col("at").alias("place")), FARTHEST // orders
-        step = going.join(links, "node").select("start", F.col("to").alias("node"), (F.col("place") * orders + F.col("ord")).alias("place"), F.col("node").alias("parent"))
-        new = step.groupBy("start", "node").agg(F.min("place").alias("place"), F.min_by("parent", "place").alias("parent"))
-        front, depth, least = cut_lineage(new.join(tree, ["start", "node"], "left_anti")), depth + 1, least * orders
-        tree = tree.unionByName(front.select("start", "node", "parent"))
+    asked = cut_lineage(starts.select("start").where("start IS NOT NULL").distinct())
+    left = asked.count()
+    front = cut_lineage(marked.select("node").where("node IS NOT NULL").distinct().withColumn("depth", F.lit(0)))
+    near, depth = front, 0
+    while True:
+        met = front.join(asked, F.col("node") == F.col("start"), "left").agg(F.count(F.lit(1)).alias("n"), F.count("start").alias("hit")).first()
+        left -= met["hit"]
+        if not left or not met["n"]:
+            break
+        depth += 1
+        new = links.join(front.select(F.col("node").alias("to")), "to").select("node").distinct()
+        front = cut_lineage(new.join(near.select("node"), "node", "left_anti").withColumn("depth", F.lit(depth)))
+        near = near.unionByName(front)
         if depth % LEVELS == 0:
-            hits, tree = cut_lineage(hits), cut_lineage(tree)
-    if hits is None:
-        return starts.select("start", F.col("start").alias("hit"), F.lit(0).alias("depth"), F.array("start").alias("chain")).limit(0)
-    return _ways(cut_lineage(hits), tree)
+            near = cut_lineage(near)
+    there = near.select(F.col("node").alias("to"), F.col("depth").alias("__d"))
+    first = links.join(there, "to").join(near, "node").where("__d = depth - 1").groupBy("node").agg(F.min_by("to", "ord").alias("above"))
+    hits = cut_lineage(asked.join(near, F.col("start") == F.col("node")).select("start", "depth"))
+    return _ways(hits, first)
 
 
-def _ways(hits: DataFrame, tree: DataFrame) -> DataFrame:
-    """``hits`` with ``chain``: the nodes from the start to the hit."""
+def _ways(hits: DataFrame, first: DataFrame) -> DataFrame:
+    """``hits`` with ``hit`` and ``chain``: the nodes from the start on, over ``first`` (node, above), ``depth`` times."""
     deepest = hits.agg(F.max("depth")).first()[0] or 0
-    way = hits.select("start", F.col("hit").alias("node"), F.col("depth").alias("at"))
-    up, long = tree.join(hits.select("start"), "start", "left_semi").where("parent IS NOT NULL").select("start", "node", F.col("parent").alias("above")), 1
+    way, up, long = hits.select("start", F.col("start").alias("node"), F.lit(0).alias("at")), cut_lineage(first), 1
     while long <= deepest:
-        way = cut_lineage(way.unionByName(way.join(up, ["start", "node"]).select("start", F.col("above").alias("node"), (F.col("at") - long).alias("at"))))
+        way = cut_lineage(way.unionByName(way.join(up, "node").select("start", F.col("above").alias("node"), (F.col("at") + long).alias("at"))))
         long *= 2
         if long <= deepest:
-            next_up = up.select("start", F.col("node").alias("above"), F.col("above").alias("top"))
-            old, up = up, cut_lineage(up.join(next_up, ["start", "above"]).select("start", "node", F.col("top").alias("above")))
-            if long > 2:
-                forget(old)
+            next_up = up.select(F.col("node").alias("above"), F.col("above").alias("top"))
+            old, up = up, cut_lineage(up.join(next_up, "above").select("node", F.col("top").alias("above")))
+            forget(old)
     chain = F.transform(F.sort_array(F.collect_list(F.struct("at", "node"))), lambda x: x["node"])
-    return hits.join(way.groupBy("start").agg(chain.alias("chain")), "start")
+    ways = way.groupBy("start").agg(chain.alias("chain"))
+    return hits.join(ways, "start").select("start", F.element_at("chain", -1).alias("hit"), "depth", "chain")

@@ -85,3 +85,13 @@ def test_aliases_by_prefix(spark):
     assert "NestedLoop" not in plan and "Cartesian" not in plan
     per_project = resolve.expand_aliases(spark.createDataFrame([("p", "a/b"), ("q", "a/b"), ("r", "a/b")], "project_id string, specifier string"), spark.createDataFrame([("p", 0, "a/", "", 0, "m/*"), ("q", 0, "a/b", None, 0, "n"), ("q", 0, "a/b", None, 1, "o")], resolve.ALIASES), ["project_id", "specifier"])
     assert sorted((r.project_id, r.target_ord, r.target) for r in per_project.collect()) == [("p", 0, "m/b"), ("q", 0, "n"), ("q", 1, "o")]
+
+
+def test_many_starts_through_a_hub_take_a_row_for_each_node(spark, monkeypatch):
+    """300 starts that all see 300 nodes before the one marked: rows by nodes and edges, not by pairs."""
+    rows = []
+    monkeypatch.setattr(search, "cut_lineage", lambda df, f=search.cut_lineage: (lambda out: rows.append(out.count()) or out)(f(df)))
+    edges = [(s, 1000, 0) for s in range(300)] + [(1000, 2000 + k, k) for k in range(300)] + [(2000 + k, 5000, 0) for k in (7, 9)]
+    found = search.first_chain(spark.createDataFrame(edges, "src int, dst int, ord int"), spark.createDataFrame([(s,) for s in range(300)], "start int"), spark.createDataFrame([(5000,)], "node int"))
+    assert {(r.hit, r.depth, tuple(r.chain[1:])) for r in found.collect()} == {(5000, 3, (1000, 2007, 5000))}
+    assert sum(rows) < 6000
