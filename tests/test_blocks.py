@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from factgraph.operators import blocks, walks
+from factgraph.operators import blocks, relops, walks
 from tests.test_walks import dag, graph, plain_ancestors, plain_levels
 
 
@@ -66,3 +66,25 @@ def test_pieces_are_strong():
         for k in np.flatnonzero(piece >= 0):
             assert (np.flatnonzero(reach[k] & reach[:, k]) == np.flatnonzero(piece == piece[k])).all() and piece[k] == np.flatnonzero(piece == piece[k])[0]
     assert (blocks.pieces(np.array([0, 1, 2]), np.array([1, 2, 0]), 4) == [0, 0, 0, -1]).all()
+
+
+def test_closure_over_circles(spark, monkeypatch):
+    """Pairs by components against a plain search; what is searched grows with components, not with their members."""
+    pick = random.Random(3)
+    pairs = [(k, (k + 1) % 60) for k in range(60)] + [(100 + k, 100 + (k + 1) % 40) for k in range(40)] + [(5, 100), (139, 200), (200, 201), (300, 5)]
+    pairs += [(a, b) for a, b in ((pick.randrange(400, 440), pick.randrange(400, 440)) for _ in range(50))]
+    after = {}
+    for a, b in pairs:
+        after.setdefault(a, set()).add(b)
+    expected = set()
+    for start in {a for a, _ in pairs if a % 5 == 0}:
+        seen, front = set(), after[start]
+        while front:
+            seen |= front
+            front = {x for n in front for x in after.get(n, ())} - seen
+        expected |= {(start, n) for n in seen}
+    searched = []
+    monkeypatch.setattr(relops, "reachable", lambda edges, starts, f=relops.reachable: searched.append(edges.count()) or f(edges, starts))
+    df = graph(spark, pairs)
+    found = [tuple(r) for r in relops.closure(df, df.where("src % 5 = 0").select(F.col("src").alias("start"))).collect()]
+    assert sorted(found) == sorted(expected) and searched[0] < 60
