@@ -11,6 +11,10 @@ from factgraph.functions import fixed
 ALIASES = "project_id string, priority int, prefix string, suffix string, target_ord int, target string"
 
 
+#: So many patterns are sent to all tasks; of more, each is dealt to SALTS parts, as very many specifiers may begin alike.
+PATTERNS, SALTS = 10_000, 32
+
+
 def expand_aliases(imports: DataFrame, aliases: DataFrame, keys: list[str]) -> DataFrame:
     """Targets of the first pattern that matches ``specifier``; with ``project_id`` on both sides, of the own project's.
 
@@ -27,7 +31,13 @@ def expand_aliases(imports: DataFrame, aliases: DataFrame, keys: list[str]) -> D
     asked = imports.withColumn("__b", F.explode(F.concat(whole, begins))).select("*", F.col("__b.long").alias("__long"), F.col("__b.text").alias("__begin")).drop("__b")
     patterns = aliases.select("*", F.when(wild, F.char_length("prefix")).otherwise(-1).alias("__long"), F.col("prefix").alias("__begin"))
     fits = ~wild | (s.endswith(F.col("suffix")) & (F.char_length(s) >= F.char_length("prefix") + F.char_length("suffix")))
-    met = asked.join(patterns, [*shared, "__long", "__begin"]).where(fits).drop("__long", "__begin")
+    if patterns.count() <= PATTERNS:
+        met = asked.join(F.broadcast(patterns), [*shared, "__long", "__begin"])
+    else:
+        salt = F.pmod(F.xxhash64(*keys), F.lit(SALTS)).cast("int")
+        dealt = patterns.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        met = asked.withColumn("__salt", salt).join(dealt, [*shared, "__long", "__begin", "__salt"]).drop("__salt")
+    met = met.where(fits).drop("__long", "__begin")
     first = met.groupBy(*keys).agg(F.min("priority").alias("__first"))
     captured = F.when(F.col("suffix").isNull(), F.lit("")).otherwise(F.expr("substring(specifier, length(prefix) + 1, length(specifier) - length(prefix) - length(suffix))"))
     return met.join(first, keys).where("priority = __first").drop("__first").withColumn("target", F.when(F.col("suffix").isNull(), F.col("target")).otherwise(F.replace("target", F.lit("*"), captured)))
