@@ -3,6 +3,9 @@
 A literal of LONG bytes or more and a text that holds it share the least hash of each WINDOW consecutive grams, so a text
 gives two of nine grams for these and a literal need be looked up under one only, its rarest.  Shorter literals are looked
 up under a gram of their own length, or of GRAM bytes.  What meets is verified on the whole text.
+
+A table of up to HELD bytes goes to all tasks instead, and texts don't move: each place of a text is looked up by its next
+bytes, and what begins alike is compared by sums over the literal's length, then byte by byte.
 """
 
 from __future__ import annotations
@@ -23,6 +26,8 @@ LONG = GRAM + WINDOW - 1
 LEAST = GRAM + 1  # the class of grams that are least of a window; 1 to GRAM are all grams of that many bytes
 BLOCK = 1 << 20  # bytes of a text held as grams at once
 BITS_EACH, MOST_BITS = 16, 27  # bits of the filter for a gram, and at most 2^27 (16 MiB), which bounds what is broadcast
+HELD, MOST_HELD = 1 << 24, 1 << 18  # bytes and number of literals that are sent to all tasks
+SLOTS = 18  # logarithm of the marks that spare most places of a text the look-up
 HOT, SALTS = 1024, 64  # grams with 1/HOT of all postings, so HOT of them at most, are dealt to SALTS parts
 
 
@@ -79,6 +84,89 @@ def _filter(keys: DataFrame) -> tuple[np.ndarray, int]:
     return bits, size
 
 
+def _powers(n: int) -> np.ndarray:
+    return np.cumprod(np.full(n, 0x9E3779B97F4A7C15, np.uint64))  # of an odd number, so none vanishes
+
+
+class Table:
+    """Literals by their first bytes, GRAM at most."""
+
+    def __init__(self, literals: list[bytes]) -> None:
+        self.literals, self.long = literals, np.array([len(x) for x in literals], np.int64)
+        self.most = int(self.long.max(initial=1))
+        powers = _powers(self.most)
+        data = [np.frombuffer(x, np.uint8).astype(np.uint64) for x in literals]
+        self.sums = np.array([(x * powers[: len(x)]).sum() for x in data], np.uint64)
+        self.kinds, kind = {}, np.minimum(self.long, GRAM)
+        for n in np.unique(kind).tolist():
+            own = np.flatnonzero(kind == n)
+            first = np.array([int.from_bytes(literals[k][:n], "big") for k in own], np.uint64)
+            order = np.argsort(first, kind="stable")
+            values, begins = np.unique(first[order], return_index=True)
+            likely = np.zeros(1 << SLOTS, bool)
+            likely[self._slot(values)] = True
+            self.kinds[n] = values, np.append(begins, len(own)), own[order], likely
+
+    @staticmethod
+    def _slot(values: np.ndarray) -> np.ndarray:
+        return values * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - SLOTS)
+
+    def _places(self, data: bytes) -> dict[int, int]:
+        """Where each literal that ``data`` holds is first."""
+        part = np.frombuffer(data, np.uint8).astype(np.uint64)
+        powers = _powers(len(part))
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(part * powers)])
+        found: dict[int, int] = {}
+        padded = np.concatenate([part, np.zeros(GRAM - 1, np.uint64)])
+        every = reduce(lambda a, i: a << np.uint64(8) | padded[i : i + len(part)], range(GRAM), np.zeros(len(part), np.uint64))
+        for n, (values, begins, own, likely) in self.kinds.items():
+            here = every >> np.uint64(8 * (GRAM - n))  # beyond the end zeros, which the lengths rule out
+            places = np.flatnonzero(likely[self._slot(here)])
+            at = np.minimum(np.searchsorted(values, here[places]), len(values) - 1)
+            met = values[at] == here[places]
+            places, at = places[met], at[met]
+            each = begins[at + 1] - begins[at]
+            literal = own[np.repeat(begins[at] - np.cumsum(each) + each, each) + np.arange(each.sum())]
+            place = np.repeat(places, each)
+            fits = place + self.long[literal] <= len(part)
+            literal, place = literal[fits], place[fits]
+            # sums from a place on have its power more than those of the literal itself
+            same = sums[place + self.long[literal]] - sums[place] == self.sums[literal] * np.where(place > 0, powers[np.maximum(place, 1) - 1], np.uint64(1))
+            for k, p in zip(literal[same].tolist(), place[same].tolist()):  # in the order of places
+                if k not in found and data.startswith(self.literals[k], p):
+                    found[k] = p
+        return found
+
+    def find(self, data: bytes) -> tuple[list[int], list[int]]:
+        """Numbers of the literals that ``data`` holds, and their first places, in characters from 1."""
+        found: dict[int, int] = {}
+        for begin in range(0, len(data), BLOCK):
+            found = {k: p + begin for k, p in self._places(data[begin : begin + BLOCK + self.most - 1]).items()} | found
+        before = np.cumsum(np.frombuffer(data, np.uint8) & 0xC0 != 0x80)
+        return list(found), before[list(found.values())].tolist() if found else []
+
+
+def _direct(rows: DataFrame, literals: list[str], ids: Sequence[str]) -> DataFrame:
+    shared = rows.sparkSession.sparkContext.broadcast(Table([x.encode() for x in literals]))
+
+    def of_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = shared.value
+        names = pa.array([x.decode() for x in table.literals], pa.string())
+        for batch in batches:
+            texts = batch.column(batch.num_columns - 1).to_pylist()
+            for low in range(0, len(texts), 256):
+                found = [table.find(t.encode()) if t else ([], []) for t in texts[low : low + 256]]
+                at = np.repeat(np.arange(low, low + len(found)), [len(k) for k, _ in found])
+                numbers = [k for ks, _ in found for k in ks]
+                columns = [c.take(pa.array(at)) for c in batch.columns[:-1]]
+                columns += [names.take(pa.array(numbers, pa.int64())), pa.array([p for _, ps in found for p in ps], pa.int32())]
+                yield pa.RecordBatch.from_arrays(columns, names=[*ids, "literal", "position"])
+
+    schema = rows.drop("__text").schema
+    renamed = rows.select(*[F.col(c).alias(n) for c, n in zip(schema.names, ids)], "__text")
+    return renamed.mapInArrow(of_texts, renamed.drop("__text").schema.add("literal", "string").add("position", "integer"))
+
+
 def find(texts: DataFrame, literals: DataFrame, ids: Sequence[str], text: str = "text", literal: str = "literal") -> DataFrame:
     """(ids, literal, position): each row of ``texts`` with each different literal that its text holds, and where first, from 1.
 
@@ -86,6 +174,11 @@ def find(texts: DataFrame, literals: DataFrame, ids: Sequence[str], text: str =
     their own.  All literals are found, however many and however frequent; the filter and the index only spare work.
     """
     own = literals.select(F.col(literal).cast("string").alias("__literal")).where("__literal <> ''").distinct()
+    names = [f"__id{i}" for i in range(len(ids))]
+    rows = texts.select(*[F.col(c).alias(n) for c, n in zip(ids, names)], F.col(text).cast("string").alias("__text"))
+    size = own.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("__literal")), F.lit(0)).alias("bytes")).first()
+    if 0 < size["n"] <= MOST_HELD and size["bytes"] <= HELD:
+        return _direct(rows, [r[0] for r in own.collect()], ids)
 
     def of_literals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -113,8 +206,6 @@ def find(texts: DataFrame, literals: DataFrame, ids: Sequence[str], text: str =
                     data = value.encode()
                     yield _rows(row, [np.concatenate([likely(grams(data, kind)) for kind in kinds])] if kinds else [np.zeros(0, np.uint64)])
 
-    names = [f"__id{i}" for i in range(len(ids))]
-    rows = texts.select(*[F.col(c).alias(n) for c, n in zip(ids, names)], F.col(text).cast("string").alias("__text"))
     schema = rows.drop("__text").schema.add("__key", "long")
     postings = cut_lineage(rows.mapInArrow(of_texts, schema))
     counts = postings.groupBy("__key").agg(F.count("*").alias("__n"))

@@ -43,3 +43,19 @@ def test_a_literal_that_all_texts_hold_and_a_long_text(spark, monkeypatch):
     long = "x" * (literals.BLOCK - 9) + "over the border" + "y" * 50
     assert found(spark, [(1, long)], ["over the border", "er the b", "the", "xxxxover the bord"]) == brute([(1, long)], ["over the border", "er the b", "the", "xxxxover the bord"])
     assert len(literals.grams(b"one text of some length for the index", literals.LEAST)) < 16
+
+
+def test_small_and_large_tables_find_alike(spark, monkeypatch):
+    """Tables that are sent to all tasks move no text; larger ones go by the index."""
+    pick = random.Random(8)
+    texts = [(k, "".join(pick.choices("abé 漢", k=pick.choice([0, 5, 90, 300])))) for k in range(60)]
+    wanted = [t[a : a + pick.choice([1, 2, 3, 8, 9, 20, 300])] for _, t in texts if t for a in [pick.randrange(len(t))]] + ["ab", "é", "not there"]
+    moved = []
+    monkeypatch.setattr(literals, "cut_lineage", lambda df, f=literals.cut_lineage: moved.append(1) or f(df))
+    assert found(spark, texts, wanted) == brute(texts, wanted) and not moved
+    monkeypatch.setattr(literals, "BLOCK", 64)
+    table = literals.Table([w.encode() for w in sorted(set(wanted))])
+    assert sorted((i, sorted(set(wanted))[k], p) for i, t in texts for k, p in zip(*table.find(t.encode()))) == brute(texts, wanted)
+    monkeypatch.undo()
+    monkeypatch.setattr(literals, "HELD", 0)
+    assert found(spark, texts, wanted) == brute(texts, wanted)
