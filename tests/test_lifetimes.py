@@ -3,6 +3,8 @@
 import datetime
 import random
 
+import numpy as np
+
 from pyspark.sql import functions as F
 
 from factgraph.streaming import lifetimes as L
@@ -43,3 +45,16 @@ def test_a_stream_that_is_stopped_between_its_parts(spark, tmp_path):
     seen = {"a": {1, 2, 4, 5}, "b": {1, 4, 5}, "d": {6}}
     assert sorted((r.key, r.day, r.change) for r in rows) == sorted((k, *c) for k, s in seen.items() for c in brute(s))
     assert spark.conf.get(L.STORE, None) is None or L.PROVIDER not in spark.conf.get(L.STORE)
+
+
+def test_many_findings_settle_at_once_as_each_does():
+    pick = random.Random(9)
+    for _ in range(40):
+        seen = {k: {p for p in range(20) if pick.random() < 0.4} for k in "abcdef"}
+        done, until = sorted(pick.sample(range(22), 2))
+        rows = [(k, p) for k, s in seen.items() for p in s for _ in range(pick.randrange(1, 3))]
+        pick.shuffle(rows)
+        found, kept = L.settle_all(np.array([k for k, _ in rows], object), np.array([p for _, p in rows], np.int64), done, until)
+        alone = {k: L.settle(s, done, until) for k, s in seen.items()}
+        assert sorted(found.itertuples(index=False, name=None)) == sorted((k, p, c) for k, (changes, _) in alone.items() for p, c in changes)
+        assert set(kept.itertuples(index=False, name=None)) == {(k, p) for k, (_, left) in alone.items() for p in left}
