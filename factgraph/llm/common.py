@@ -68,6 +68,15 @@ def fresh(df: DataFrame, *wanted: str) -> list[str]:
     return out
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """``df`` for a join that meets by shuffle even where it is small.
+
+    A small side that Spark sends to all tasks is collected and built by the driver, a page of some megabytes each; of loops
+    with many joins those pile up there.
+    """
+    return df.hint("merge")
+
+
 #: A group with at least 1/HOT_SHARE of all rows is hot: there are at most HOT_SHARE of them.
 HOT_SHARE = 1 << 10
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factgraph.llm.common import cut_lineage, forget
+from factgraph.llm.common import cut_lineage, forget, shuffled
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -13,27 +13,25 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
     Each round hangs every node's larger neighbours, and then its smaller ones, below its smallest neighbour; minima are
     partial aggregates and rows meet them in joins, so a node with very many neighbours doesn't gather in one task.
-    Rounds grow with the logarithm of the longest path.  Self-loops, repeated edges and nulls are ignored.
+    Rounds grow with the logarithm of the longest path, and end as soon as all edges are such stars; edges that are already take
+    none.  Self-loops, repeated edges and nulls are ignored.
     """
     edges = edges.where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b)))
     stars = cut_lineage(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct())
-    state = _state(stars)
-    while state[0]:
+    while not _settled(stars):
         # large star
         both = stars.unionByName(stars.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
+        large = both.join(shuffled(least), "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
         # small star
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
+        small = large.join(shuffled(least), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
         old, stars = stars, cut_lineage(small.where("u != v").distinct())
         forget(old)
-        before, state = state, _state(stars)
-        if before == state:
-            break
     return stars.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(stars.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
-def _state(stars: DataFrame) -> tuple:
-    """Count and two sums over all edges: equal states mean equal edges, short of a clash of 128 bits."""
-    return tuple(stars.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))).first())
+def _settled(stars: DataFrame) -> bool:
+    """Whether each node hangs below one node at most, which hangs below none: the smallest of its component."""
+    ends = stars.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(stars.select(F.col("v").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    return ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 OR up = 1 AND down = 1").isEmpty()

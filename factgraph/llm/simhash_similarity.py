@@ -190,7 +190,7 @@ def _verified(pairs: DataFrame, held: DataFrame) -> DataFrame:
     """The pairs (a, b) whose sets are similar enough."""
     p, q = SIMILARITY
     left, right = (held.select(F.col("tag").alias(x), F.col("hashes").alias(f"h{x}")) for x in "ab")
-    met = pairs.join(left, "a").join(right, "b")
+    met = pairs.join(common.shuffled(left), "a").join(common.shuffled(right), "b")
     return met.where((p + q) * F.size(F.array_intersect("ha", "hb")) >= p * (F.size("ha") + F.size("hb"))).select("a", "b")
 
 
@@ -202,12 +202,12 @@ def _known(found: DataFrame) -> DataFrame:
     """
     links = found.select(F.explode(F.array("a", "b")).alias("tag")).groupBy("tag").agg(F.count(F.lit(1)).alias("links"))
     both = found.select(F.col("a").alias("x"), F.col("b").alias("tag")).unionByName(found.select(F.col("b").alias("x"), F.col("a").alias("tag")))
-    ways = both.join(links, "tag").unionByName(links.select(F.col("tag").alias("x"), "tag", "links"))
+    ways = both.join(common.shuffled(links), "tag").unionByName(links.select(F.col("tag").alias("x"), "tag", "links"))
     up = ways.groupBy(F.col("x").alias("tag")).agg(F.max(F.struct("links", "tag")).alias("up"), F.max(F.when(F.col("x") == F.col("tag"), F.col("links"))).alias("links"))
     up = common.cut_lineage(up.select("tag", F.col("up.tag").alias("root"), "links"))
     for _ in range(2):
         above = up.select(F.col("tag").alias("root"), F.col("root").alias("top"))
-        up = up.join(above, "root").select("tag", F.col("top").alias("root"), "links")
+        up = up.join(common.shuffled(above), "root").select("tag", F.col("top").alias("root"), "links")
     return common.cut_lineage(up)
 
 
@@ -217,7 +217,7 @@ def _apart(met: DataFrame, known: DataFrame | None) -> DataFrame:
     if known is None:
         placed = met.withColumn("root", F.col("tag")).withColumn("links", F.lit(0).cast("long"))
     else:
-        placed = met.join(known, "tag", "left").withColumn("root", F.coalesce("root", "tag")).withColumn("links", F.coalesce("links", F.lit(0)))
+        placed = met.join(common.shuffled(known), "tag", "left").withColumn("root", F.coalesce("root", "tag")).withColumn("links", F.coalesce("links", F.lit(0)))
     group = Window.partitionBy("key")
     wide = placed.select("*", F.min("root").over(group).alias("least"), F.max("root").over(group).alias("most"), F.max(F.struct("links", "tag", "root")).over(group).alias("centre"))
     return wide.where("least < most").drop("least", "most")
@@ -226,7 +226,7 @@ def _apart(met: DataFrame, known: DataFrame | None) -> DataFrame:
 def _near(pairs: DataFrame, shapes: DataFrame, *far) -> DataFrame:
     """The distinct pairs (a, b) that sizes and sketches allow."""
     x, y = (shapes.select(F.col("tag").alias(c), F.col("shape").alias(s)) for c, s in (("a", "x"), ("b", "y")))
-    return pairs.distinct().join(x, "a").join(y, "b").where(~_far("x", "y", *far)).select("a", "b")
+    return pairs.distinct().join(common.shuffled(x), "a").join(common.shuffled(y), "b").where(~_far("x", "y", *far)).select("a", "b")
 
 
 def _stars(apart: DataFrame) -> DataFrame:
@@ -244,19 +244,19 @@ def _across(groups: DataFrame, roots: DataFrame, shapes: DataFrame, tested: Data
     """
     p, q = SIMILARITY
     whole = roots.select(F.col("tag").alias("group"), F.col("root").alias("whole"))
-    named = groups.join(whole, "group", "left").select(F.coalesce("whole", "group").alias("group"), "tag").distinct()
-    members = common.cut_lineage(named.join(roots, "tag", "left").select("group", "tag", F.coalesce("root", "tag").alias("root")))
+    named = groups.join(common.shuffled(whole), "group", "left").select(F.coalesce("whole", "group").alias("group"), "tag").distinct()
+    members = common.cut_lineage(named.join(common.shuffled(roots), "tag", "left").select("group", "tag", F.coalesce("root", "tag").alias("root")))
     parts = members.groupBy("group").agg(F.ceil(F.count(F.lit(1)) / MET).cast("int").alias("parts"), F.max(F.col("root") != F.col("group")).alias("apart")).where("apart")
-    dealt = members.join(parts, "group").join(shapes, "tag")
+    dealt = members.join(common.shuffled(parts), "group").join(common.shuffled(shapes), "tag")
     x = dealt.where("root <> group").select("group", F.col("tag").alias("x"), F.col("root").alias("rx"), F.col("shape").alias("sx"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
     y = dealt.select("group", F.col("tag").alias("y"), F.col("root").alias("ry"), F.col("shape").alias("sy"), F.pmod(F.xxhash64("tag"), "parts").cast("int").alias("part"))
     if tested is not None:
-        x = x.join(tested, "x", "left")
+        x = x.join(common.shuffled(tested), "x", "left")
     shared = F.least(F.col("sx.size") - F.col("sx.own"), F.col("sy.size") - F.col("sy.own"))  # at most
     able = (p + q) * shared >= p * (F.col("sx.size") + F.col("sy.size"))
     once = (F.col("ry") == F.col("group")) | (F.col("x") > F.col("y"))
     new = F.lit(True) if tested is None else F.col("ys").isNull() | ~F.array_contains("ys", F.col("y"))
-    pairs = x.join(y, ["group", "part"]).where((F.col("rx") != F.col("ry")) & once & able & new & ~_far("sx", "sy"))
+    pairs = x.join(common.shuffled(y), ["group", "part"]).where((F.col("rx") != F.col("ry")) & once & able & new & ~_far("sx", "sy"))
     return pairs.select("x", "y", _differ("sx", "sy").alias("differ"))
 
 
@@ -288,9 +288,9 @@ def _own_shingles(held: DataFrame) -> DataFrame:
     p, q = SIMILARITY
     left, before = held.select("tag"), None
     while True:
-        each = held.join(left, "tag").select("tag", F.size("hashes").cast("long").alias("size"), "hashes")
+        each = held.join(common.shuffled(left), "tag").select("tag", F.size("hashes").cast("long").alias("size"), "hashes")
         single = each.select("tag", F.explode("hashes").alias("h")).groupBy("h").agg(F.min("tag").alias("tag"), F.count(F.lit(1)).alias("n")).where("n = 1")
-        counted = each.drop("hashes").join(single.groupBy("tag").agg(F.count(F.lit(1)).alias("own")), "tag", "left").withColumn("own", F.coalesce("own", F.lit(0).cast("long")))
+        counted = each.drop("hashes").join(common.shuffled(single.groupBy("tag").agg(F.count(F.lit(1)).alias("own"))), "tag", "left").withColumn("own", F.coalesce("own", F.lit(0).cast("long")))
         out = common.cut_lineage(counted.where(q * F.col("own") <= (q - p) * F.col("size")))
         n = out.count()
         if before is not None and 100 * (before - n) <= before or not n:
@@ -310,12 +310,12 @@ def links(docs: DataFrame, classes: DataFrame) -> DataFrame:
     pool = met.select("tag", F.min("tag").over(group).alias("low"), F.max("tag").over(group).alias("high"), F.count(F.lit(1)).over(group).alias("n"))
     near = _near(pool.where("n = 2 AND tag = low").select(F.col("high").alias("a"), F.col("low").alias("b")), shapes, "prints", _WORDS64, FAR)
     wanted = near.select(F.explode(F.array("a", "b")).alias("tag")).unionByName(pool.where("n > 2").select("tag")).distinct()
-    ids = classes.join(wanted, "tag", "left_semi").select("tag", "node", "least_id")
-    texts = docs.join(ids.select(F.col("least_id").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    held = common.cut_lineage(ids.join(sets(texts).dropDuplicates(["node"]), "node").select("tag", "hashes", "sketch"))
+    ids = classes.join(common.shuffled(wanted), "tag", "left_semi").select("tag", "node", "least_id")
+    texts = docs.join(common.shuffled(ids.select(F.col("least_id").alias("doc_id")).distinct()), "doc_id", "left_semi")
+    held = common.cut_lineage(ids.join(common.shuffled(sets(texts).dropDuplicates(["node"])), "node").select("tag", "hashes", "sketch"))
     may = common.cut_lineage(_own_shingles(held))
-    met = common.cut_lineage(met.join(may.select("tag"), "tag", "left_semi"))
-    held = held.join(may, "tag")
+    met = common.cut_lineage(met.join(common.shuffled(may.select("tag")), "tag", "left_semi"))
+    held = held.join(common.shuffled(may), "tag")
     shapes = common.cut_lineage(held.select("tag", F.struct("size", "sketch", "own").alias("shape")))
 
     found = known = None
@@ -344,10 +344,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     first = F.min(F.struct("doc_id", "version")).alias("first")
     classes = common.cut_lineage(signed.where("doc_id IS NOT NULL").groupBy("node").agg(first, *[F.any_value(c).alias(c) for c in own[1:]]).select(F.xxhash64("node").alias("tag"), "first", F.col("first.doc_id").alias("least_id"), *own))
     roots = _roots(links(docs, classes))
-    linked = common.cut_lineage(classes.join(roots, "tag").select("node", "root", "first"))
+    linked = common.cut_lineage(classes.join(common.shuffled(roots), "tag").select("node", "root", "first"))
     least = linked.groupBy("root").agg(F.min("first").alias("of_all"))
-    owned = linked.join(least, "root").select("node", "of_all")
-    owners = classes.select("node", "first").join(owned, "node", "left").select("node", F.coalesce("of_all", "first").alias("first"))
+    owned = linked.join(common.shuffled(least), "root").select("node", "of_all")
+    owners = classes.select("node", "first").join(common.shuffled(owned), "node", "left").select("node", F.coalesce("of_all", "first").alias("first"))
     out = common.join_owners(signed.select("doc_id", "version", "node"), owners, "node")
     return out.select("doc_id", "version", F.col("first.doc_id").alias("component_id"), (F.struct("doc_id", "version") == F.col("first")).alias("kept"))
 

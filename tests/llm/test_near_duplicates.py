@@ -125,3 +125,16 @@ def test_tests_grow_with_the_group(spark, monkeypatch):
         groups = s.near_duplicates(docs).select("component_id").distinct().count()
         sums.append((sum(tests), groups))
     assert sums[1][0] < 6 * sums[0][0] and [groups for _, groups in sums] == [1, 1]
+
+
+def test_components_take_few_rounds_and_nothing_is_sent_by_the_driver(spark, monkeypatch):
+    """Stars take no round and a chain of three edges one or two; small sides meet by shuffle."""
+    from factgraph.llm import components as c
+
+    plans = []
+    monkeypatch.setattr(c, "cut_lineage", lambda df: (plans.append(df._jdf.queryExecution().executedPlan().toString()), common.cut_lineage(df))[1])
+    stars = spark.createDataFrame([(5, 1), (6, 1), (1, 7), (8, 2), (2, 2), (None, 2)], "a long, b long")
+    assert {(r.node, r.root) for r in c.components(stars).collect()} == {(1, 1), (5, 1), (6, 1), (7, 1), (2, 2), (8, 2)} and len(plans) == 1
+    chain = spark.createDataFrame([(1, 2), (2, 3), (3, 4)], "a long, b long")
+    assert {(r.node, r.root) for r in c.components(chain).collect()} == {(i, 1) for i in range(1, 5)} and 2 <= len(plans) - 1 <= 3
+    assert any("SortMergeJoin" in p for p in plans) and not any("BroadcastHashJoin" in p for p in plans)
