@@ -22,6 +22,7 @@ from math import isqrt
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,6 +38,8 @@ BLOCK = 1 << 17
 COUNTED = 2 << 20
 #: Candidate windows in a row are cut into pieces of about so many.
 CUT = 32
+#: Windows hashed at a time: what is at hand for so many stays in a core's cache.
+HASHED = 1 << 13
 #: Counting tasks from which blocks are merged in two steps, and bytes of a very long text that are held as words at a time.
 MERGED, STRETCH = 256, 1 << 20
 
@@ -47,9 +50,14 @@ _NO_ID = (1 << 63) - 1
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
+    out, high = x, np.empty_like(x)
     for mixer in _MIXERS:
-        x = (x ^ x >> np.uint64(33)) * mixer
-    return x ^ x >> np.uint64(33)
+        np.right_shift(out, np.uint64(33), out=high)
+        out = np.bitwise_xor(out, high, out=None if out is x else out)
+        out *= mixer
+    np.right_shift(out, np.uint64(33), out=high)
+    out ^= high
+    return out
 
 
 def pieces(text: bytes, size: int = STRETCH) -> Iterator[bytes]:
@@ -64,39 +72,62 @@ def pieces(text: bytes, size: int = STRETCH) -> Iterator[bytes]:
     yield text[at:] if at else text
 
 
-def _hashes(words: list[bytes]) -> np.ndarray:
+def _words(parts: list[bytes]) -> tuple[pa.Array, np.ndarray]:
+    """(words of all parts, number of words of each part)."""
+    lists = pc.ascii_split_whitespace(pa.array(parts, pa.string()))
+    words, counts = lists.flatten(), lists.value_lengths().to_numpy().astype(np.int64)
+    full = pc.not_equal(words, "")  # what stands before the first space or after the last may be empty
+    if not pc.all(full).as_py():
+        counts = np.bincount(np.repeat(np.arange(len(parts)), counts)[full.to_numpy(zero_copy_only=False)], minlength=len(parts))
+        words = words.filter(full)
+    return words, counts
+
+
+def _hashes(words: pa.Array) -> np.ndarray:
     """Two independent hashes of each word; every different word is hashed once."""
     from xxhash import xxh3_128_digest
 
-    coded = pa.array(words, pa.binary()).dictionary_encode()
-    data, ends = coded.dictionary.buffers()[2].to_pybytes() if words else b"", np.frombuffer(coded.dictionary.buffers()[1], "<i4")[: len(coded.dictionary) + 1].tolist() if words else []
+    coded = words.dictionary_encode()
+    data, ends = coded.dictionary.buffers()[2].to_pybytes() if len(words) else b"", np.frombuffer(coded.dictionary.buffers()[1], "<i4")[: len(coded.dictionary) + 1].tolist() if len(words) else []
     own = b"".join([xxh3_128_digest(data[a:b], SEED) for a, b in zip(ends, ends[1:])])
     return np.ascontiguousarray(np.frombuffer(own, ">u8").astype(np.uint64).reshape(-1, 2).T)[:, coded.indices.to_numpy()]
 
 
 def word_hashes(texts: Iterable[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """(2 x words of all texts, number of words of each text)."""
-    counts, held, size, out = [], [], 0, []
+    held, of, size, n, out, counts = [], [], 0, 0, [np.zeros((2, 0), np.uint64)], []
+
+    def add() -> None:
+        words, each = _words(held)
+        out.append(_hashes(words))
+        counts.append((of, each))
+
     for text in texts:
-        n = 0
         for piece in pieces(text):
-            words = piece.split()
-            held += words
-            n += len(words)
+            held.append(piece)
+            of.append(n)
             size += len(piece)
             if size > STRETCH:
-                out.append(_hashes(held))
-                held, size = [], 0
-        counts.append(n)
-    out.append(_hashes(held))
-    return np.concatenate(out, 1), np.array(counts, np.int64)
+                add()
+                held, of, size = [], [], 0
+        n += 1
+    add()
+    total = np.zeros(n, np.int64)
+    for own, each in counts:
+        np.add.at(total, np.array(own, np.int64), each)  # a text may have several pieces
+    return np.concatenate(out, 1), total
 
 
 def windows(words: np.ndarray, window: int = WINDOW) -> np.ndarray:
     """Two hashes of each ``window`` consecutive words, from spans of doubling length."""
+    out = np.empty((2, max(0, words.shape[1] - window + 1)), np.uint64)
+    for at in range(0, out.shape[1], HASHED):
+        out[:, at : at + HASHED] = _windows(words[:, at : at + HASHED + window - 1], window)
+    return out
+
+
+def _windows(words: np.ndarray, window: int) -> np.ndarray:
     n = words.shape[1] - window + 1
-    if n < 1:
-        return np.zeros((2, 0), np.uint64)
     joiner, span, length, out, covered = _JOIN[:, None], _mixed(words ^ _JOIN[::-1, None]), 1, None, 0
     while True:
         if window & length:
@@ -221,8 +252,12 @@ def _estimated(hashes: np.ndarray, bits: np.ndarray, size: int) -> np.ndarray:
 
 def _first_inside(hashes: np.ndarray, of: np.ndarray) -> np.ndarray:
     """Whether no earlier window of the same text is equal; windows come in order."""
-    order = np.lexsort((hashes[1], hashes[0], of))  # stable
+    key = _mixed(hashes[0] ^ of.astype(np.uint64) * _JOIN[1])
+    order = np.argsort(key, kind="stable")
     same = (np.diff(of[order]) == 0) & (np.diff(hashes[0][order]) == 0) & (np.diff(hashes[1][order]) == 0)
+    if (same != (np.diff(key[order]) == 0)).any():  # different windows of one key
+        order = np.lexsort((hashes[1], hashes[0], of))  # stable
+        same = (np.diff(of[order]) == 0) & (np.diff(hashes[0][order]) == 0) & (np.diff(hashes[1][order]) == 0)
     out = np.ones(len(of), bool)
     out[order[1:][same]] = False
     return out

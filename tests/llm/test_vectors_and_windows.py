@@ -170,3 +170,22 @@ def test_sketch_never_underestimates():
     marks = np.unique(rng.integers(0, 1 << 20, 500))
     assert (substring_dedup.unpacked(substring_dedup.packed(marks)) == marks).all() and substring_dedup.packed(marks[:0]) == b""
     assert substring_dedup.merged([np.array([4, 9]), np.array([4, 6])]).tolist() == [5, 6, 9]
+
+
+def test_windows_in_stretches_and_words_by_their_spaces(monkeypatch):
+    rng = np.random.default_rng(3)
+    words = rng.integers(0, 5, (2, 400)).astype(np.uint64)
+    whole = substring_dedup.windows(words)
+    monkeypatch.setattr(substring_dedup, "HASHED", 7)
+    assert (substring_dedup.windows(words) == whole).all() and whole.shape == (2, 381)
+    assert substring_dedup.windows(words[:, :19]).shape == (2, 0)
+    texts = [b"", b" a\x0b\x0cb ", "é x\x1cy z 字\0".encode(), b"\t \n", b"a"]
+    hashes, counts = substring_dedup.word_hashes(texts)
+    assert counts.tolist() == [0, 2, 2, 0, 1] == [len(WORD.findall(t.decode())) for t in texts]
+    assert (hashes[:, 0] == hashes[:, 4]).all() and len({tuple(h) for h in hashes.T.tolist()}) == 4
+    # windows whose keys clash are told apart
+    monkeypatch.setattr(substring_dedup, "_mixed", lambda x: x & np.uint64(1))
+    of = np.sort(rng.integers(0, 3, 400))
+    seen = set()
+    expected = [(k := (o, *h)) not in seen and not seen.add(k) for o, h in zip(of.tolist(), words.T.tolist())]
+    assert substring_dedup._first_inside(words, of).tolist() == expected
