@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from factgraph.operators import blocks
 from factgraph.operators.graph import numbered
-from factgraph.operators.relops import HOPS, along, doubled, strong_components, with_loops
+from factgraph.operators.relops import HOPS, along, condensed, contracted, doubled, strong_components, with_loops
 from factgraph.operators.shared import cut_lineage, forget
 
 
@@ -25,7 +25,19 @@ def topological_levels(edges: DataFrame, src: str = "src", dst: str = "dst", nod
     ``nodes`` (node) adds nodes without edges.
     """
     step = cut_lineage(edges.select(F.col(src).alias("s"), F.col(dst).alias("d")).distinct())
-    every = cut_lineage(_nodes(step, nodes))
+    return _levels(step, cut_lineage(_nodes(step, nodes)))
+
+
+def component_levels(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
+    """(node, level) with each strong component as one node, named by its smallest."""
+    step = cut_lineage(edges.select(F.col(src).alias("s"), F.col(dst).alias("d")).distinct())
+    every, apart = cut_lineage(_nodes(step, None)), step.where("s <> d")
+    groups, between = contracted(apart, blocks.strong_pieces(apart, every))
+    return topological_levels(between, nodes=every.join(groups, "node", "left").select(F.coalesce("component", "node").alias("node")))
+
+
+def _levels(step: DataFrame, every: DataFrame) -> DataFrame:
+    """(node, level) of ``every`` node (node) of different edges (s, d)."""
     n = every.count()
     walks, ended = doubled(step, n)
     if ended == "circle":
@@ -49,28 +61,36 @@ def topological_levels(edges: DataFrame, src: str = "src", dst: str = "dst", nod
     return levels
 
 
+def _acyclic(step: DataFrame, every: DataFrame) -> bool:
+    try:
+        _levels(step, every)
+    except ValueError:
+        return False
+    return True
+
+
 def ancestor_counts(edges: DataFrame, src: str = "src", dst: str = "dst", groups: DataFrame | None = None) -> DataFrame:
     """(node, ancestors): how many other nodes reach each node, without a row for each pair.
 
     Components of ``groups`` (node, component), by default the strong ones, count as one node that all their members
-    reach.  Each component has the set of those before it as bitmaps of 32,768 places.  On long thin graphs sets go over walks
-    of doubling length; on dense ones they are made within blocks, and only what leads to other blocks moves.
+    reach.  Where no block has a circle, levels tell sooner whether there is any, as steps to components take many rounds on
+    deep acyclic graphs.  Each component has the set of those before it as bitmaps of 32,768 places.  On long thin graphs sets go
+    over walks of doubling length; on dense ones they are made within blocks, and only what leads to other blocks moves.
     """
-    step = cut_lineage(edges.select(F.col(src).alias("src"), F.col(dst).alias("dst")).where("src <> dst").distinct())
-    if groups is None:
-        try:
-            topological_levels(step)
-            groups = step.select(F.col("src").alias("node"), F.col("src").alias("component")).limit(0)
-        except ValueError:
-            groups = strong_components(step)
-    every = _nodes(step.select(F.col("src").alias("s"), F.col("dst").alias("d")), None)
+    step = cut_lineage(edges.select(F.col(src).alias("s"), F.col(dst).alias("d")).where("s <> d").distinct())
+    every = cut_lineage(_nodes(step, None))
+    whole = step.select(F.col("s").alias("src"), F.col("d").alias("dst"))
+    if groups is not None:
+        whole = condensed(whole, groups)
+    else:
+        groups = blocks.strong_pieces(step, every)
+        if not groups.isEmpty() or not _acyclic(step, every):
+            groups, whole = contracted(step, groups)
     member = cut_lineage(every.join(groups, "node", "left").select("node", F.coalesce("component", "node").alias("component")))
     sizes = numbered(member.groupBy("component").agg(F.count(F.lit(1)).alias("size")), [], ["component"], "id")
     sizes = cut_lineage(sizes)
     a, b = (sizes.select(F.col("component").alias(c), F.col("id").alias(i)) for c, i in (("src", "s"), ("dst", "d")))
-    in_component = member.select(F.col("node"), "component")
-    whole = step.join(in_component.select(F.col("node").alias("src"), F.col("component").alias("a")), "src").join(in_component.select(F.col("node").alias("dst"), F.col("component").alias("b")), "dst").where("a <> b").select("a", "b").distinct()
-    walk = cut_lineage(whole.select(F.col("a").alias("src"), F.col("b").alias("dst")).join(a, "src").join(b, "dst").select("s", "d"))
+    walk = cut_lineage(whole.join(a, "src").join(b, "dst").select("s", "d"))
     own = sizes.select(F.col("id").alias("node"), F.expr("bitmap_bucket_number(id)").alias("bucket"), F.expr("bitmap_bit_position(id)").alias("place"))
     own = own.groupBy("node", "bucket").agg(F.bitmap_construct_agg("place").alias("bits"))
     walks, ended = doubled(walk, sizes.count())

@@ -54,6 +54,37 @@ def test_the_dense_way_is_taken(spark, monkeypatch):
     assert called
 
 
+def _knots():
+    """Three circles with chords, over more than a block each, the edges between them, and a chain: pairs, and own components."""
+    pick = random.Random(7)
+    pairs = {(c + k, c + (k + 1) % 40) for c in (0, 100, 200) for k in range(40)} | {(c + pick.randrange(40), c + pick.randrange(40)) for c in (0, 100, 200) for _ in range(250)}
+    pairs = {(a, b) for a, b in pairs if a != b} | {(3, 110), (4, 110), (115, 210), (5, 210), (7, 150), (150, 151), (151, 152), (152, 205)}
+    return sorted(pairs), {n: n - n % 100 if n % 100 < 40 else n for a, b in pairs for n in (a, b)}
+
+
+def test_graphs_with_circles_are_dealt_and_contracted_once(spark, monkeypatch):
+    """All edges are dealt to blocks once, levels aren't tried where a block has a circle, and only one contraction sees all edges."""
+    pairs, own = _knots()
+    dealt, seen = [], []
+    monkeypatch.setattr(blocks, "EDGES", 400)
+    monkeypatch.setattr(blocks, "dealt", lambda *a, f=blocks.dealt: dealt.append(1) or f(*a))
+    for module in (relops, walks):
+        if hasattr(module, "condensed"):
+            monkeypatch.setattr(module, "condensed", lambda edges, *a, f=relops.condensed: seen.append(edges.count()) or f(edges, *a))
+    df = graph(spark, pairs)
+    assert {r.node: r.ancestors for r in walks.ancestor_counts(df).collect()} == plain_ancestors(pairs)
+    assert len(dealt) == 1 and sum(n == len(pairs) for n in seen) == 1
+    dealt.clear(), seen.clear()
+    between = sorted({(own[a], own[b]) for a, b in pairs if own[a] != own[b]})
+    assert {r.node: r.level for r in walks.component_levels(df).collect()} == plain_levels(between)
+    assert len(dealt) == 1 and sum(n == len(pairs) for n in seen) == 1
+    assert {r.node: r.component for r in relops.strong_components(df).collect()} == {a: c for a, c in own.items() if a % 100 < 40}
+
+
+def test_loops_are_levels_of_their_own(spark):
+    assert {r.node: r.level for r in walks.component_levels(graph(spark, [(1, 1), (2, 3), (3, 2), (3, 4), (4, 4)])).collect()} == {1: 0, 2: 0, 4: 1}
+
+
 def test_pieces_are_strong():
     pick = random.Random(1)
     for n, m in ((6, 9), (40, 60), (60, 300)):
