@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from factgraph.operators import blocks
 from factgraph.operators.graph import numbered
@@ -25,7 +26,7 @@ def topological_levels(edges: DataFrame, src: str = "src", dst: str = "dst", nod
     ``nodes`` (node) adds nodes without edges.
     """
     step = cut_lineage(edges.select(F.col(src).alias("s"), F.col(dst).alias("d")).distinct())
-    return _levels(step, cut_lineage(_nodes(step, nodes)))
+    return _levels(step, cut_lineage(_nodes(step, nodes)))[0]
 
 
 def component_levels(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
@@ -36,12 +37,16 @@ def component_levels(edges: DataFrame, src: str = "src", dst: str = "dst") -> Da
     return topological_levels(between, nodes=every.join(groups, "node", "left").select(F.coalesce("component", "node").alias("node")))
 
 
-def _levels(step: DataFrame, every: DataFrame) -> DataFrame:
-    """(node, level) of ``every`` node (node) of different edges (s, d)."""
+def _levels(step: DataFrame, every: DataFrame) -> tuple[DataFrame, str]:
+    """(node, level) of ``every`` node (node) of different edges (s, d), and why walks weren't doubled further."""
     n = every.count()
     walks, ended = doubled(step, n)
     if ended == "circle":
         raise ValueError("the graph has a cycle")
+    if ended == "many":
+        for walk in walks[1:]:
+            forget(walk)
+        return _levels_in_blocks(step, every), ended
     levels = every.select("node", F.lit(0).alias("level"))
 
     def raised(levels: DataFrame, k: int) -> DataFrame:
@@ -52,21 +57,30 @@ def _levels(step: DataFrame, every: DataFrame) -> DataFrame:
         if k % HOPS == HOPS - 1:
             levels = cut_lineage(levels)
     levels = cut_lineage(levels)
-    if ended == "many":
-        levels = blocks.levels(step, levels, lambda: not strong_components(step, "s", "d").isEmpty() or not step.where("s = d").isEmpty())
-        if levels is None:
-            raise ValueError("the graph has a cycle")
     for walk in walks[1:]:
         forget(walk)
+    return levels, ended
+
+
+def _levels_in_blocks(step: DataFrame, every: DataFrame) -> DataFrame:
+    if not isinstance(every.schema["node"].dataType, T.IntegralType):
+        names = cut_lineage(numbered(every, [], ["node"], "id"))
+        a, b = (names.select(F.col("node").alias(c), F.col("id").alias(f"__{c}")) for c in "sd")
+        by_id = cut_lineage(step.join(a, "s").join(b, "d").select(F.col("__s").alias("s"), F.col("__d").alias("d")))
+        levels = _levels_in_blocks(by_id, names.select(F.col("id").alias("node")))
+        return names.join(levels.withColumnRenamed("node", "id"), "id").select("node", "level")
+    circle = lambda: not strong_components(step, "s", "d").isEmpty() or not step.where("s = d").isEmpty()
+    levels = blocks.levels(step, every.select("node", F.lit(0).alias("level")), circle)
+    if levels is None:
+        raise ValueError("the graph has a cycle")
     return levels
 
 
-def _acyclic(step: DataFrame, every: DataFrame) -> bool:
+def _acyclic(step: DataFrame, every: DataFrame) -> tuple[DataFrame, str] | None:
     try:
-        _levels(step, every)
+        return _levels(step, every)
     except ValueError:
-        return False
-    return True
+        return None
 
 
 def ancestor_counts(edges: DataFrame, src: str = "src", dst: str = "dst", groups: DataFrame | None = None) -> DataFrame:
@@ -80,12 +94,16 @@ def ancestor_counts(edges: DataFrame, src: str = "src", dst: str = "dst", groups
     step = cut_lineage(edges.select(F.col(src).alias("s"), F.col(dst).alias("d")).where("s <> d").distinct())
     every = cut_lineage(_nodes(step, None))
     whole = step.select(F.col("s").alias("src"), F.col("d").alias("dst"))
+    known = None
     if groups is not None:
         whole = condensed(whole, groups)
     else:
         groups = blocks.strong_pieces(step, every)
-        if not groups.isEmpty() or not _acyclic(step, every):
+        known = _acyclic(step, every) if groups.isEmpty() else None
+        if known is None:
             groups, whole = contracted(step, groups)
+        elif known[1] == "many":
+            return _counted(step, known[0])
     member = cut_lineage(every.join(groups, "node", "left").select("node", F.coalesce("component", "node").alias("component")))
     sizes = numbered(member.groupBy("component").agg(F.count(F.lit(1)).alias("size")), [], ["component"], "id")
     sizes = cut_lineage(sizes)
@@ -100,6 +118,15 @@ def ancestor_counts(edges: DataFrame, src: str = "src", dst: str = "dst", groups
     return member.join(placed, "component").select("node", "ancestors")
 
 
+def _counted(step: DataFrame, levels: DataFrame) -> DataFrame:
+    """(node, ancestors) of a dense graph whose levels are known: numbered by them, so that edges lead to larger numbers."""
+    sizes = cut_lineage(numbered(levels.select("node", "level", F.lit(1).cast("long").alias("size")), [], ["level", "node"], "id"))
+    a, b = (sizes.select(F.col("node").alias(c), F.col("id").alias(f"__{c}")) for c in "sd")
+    walk = cut_lineage(step.join(a, "s").join(b, "d").select(F.col("__s").alias("s"), F.col("__d").alias("d")))
+    total = blocks.weights_before(walk, sizes.select("id", "size", "level")).withColumnRenamed("node", "id")
+    return sizes.select("node", "id").join(total, "id").select("node", (F.col("total") - 1).cast("long").alias("ancestors"))
+
+
 def _weighed(sets: DataFrame, sizes: DataFrame) -> DataFrame:
     """(node, total): the summed sizes of each set's members."""
     weight = sizes.select(F.expr("bitmap_bucket_number(id)").alias("bucket"), F.expr("bitmap_bit_position(id)").alias("place"), "size")

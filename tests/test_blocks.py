@@ -119,3 +119,33 @@ def test_closure_over_circles(spark, monkeypatch):
     df = graph(spark, pairs)
     found = [tuple(r) for r in relops.closure(df, df.where("src % 5 = 0").select(F.col("src").alias("start"))).collect()]
     assert sorted(found) == sorted(expected) and searched[0] < 60
+
+
+def _brute_totals(pairs, n):
+    before = [1 << k for k in range(n)]
+    for a, b in sorted(pairs, key=lambda p: p[1]):  # edges lead to larger numbers
+        before[b] |= before[a]
+    return {k: sum(x % 3 + 1 for x in range(n) if v >> x & 1) for k, v in enumerate(before)}
+
+
+def test_rounds_of_levels_move_arrays(spark, monkeypatch):
+    """Each block's edges lead to all later ones: rounds move a row for a pair of blocks, not all edges again."""
+    pairs, rows = dag(400, 3000, 400, 11), []
+    monkeypatch.setattr(blocks, "EDGES", 100)
+    df = by_number(spark, pairs)
+    first = df.select(F.col("s").alias("node")).union(df.select("d")).distinct().select("node", F.lit(0).alias("level"))
+    monkeypatch.setattr(blocks, "cut_lineage", lambda d, f=blocks.cut_lineage: [c := f(d), rows.append(c.count())][0])
+    assert {r.node: r.level for r in blocks.levels(df, first, lambda: False).collect()} == plain_levels(pairs)
+    assert sum(rows) < len(pairs) / 4
+
+
+def test_stripes_of_nodes_and_pieces_of_edges(spark, monkeypatch):
+    """One dense graph over many stripes: sums move, sets don't; stripes that all, some and none of are before a node."""
+    monkeypatch.setattr(blocks, "EDGES", 100)
+    for name, value in (("STRIPE", 0), ("PIECE", 300)):
+        monkeypatch.setattr(blocks, name, value, raising=False)
+    pairs, rows = [*dag(400, 4000, 400, 12), *((a + 420, b + 420) for a, b in dag(60, 90, 5, 13))], []
+    sizes = spark.range(500).select("id", (F.col("id") % 3 + 1).alias("size"))
+    monkeypatch.setattr(blocks, "cut_lineage", lambda d, f=blocks.cut_lineage: [c := f(d), rows.append(c.count())][0])
+    assert {r.node: r.total for r in blocks.weights_before(by_number(spark, pairs), sizes).collect()} == _brute_totals(pairs, 500)
+    assert max(rows) <= 500
