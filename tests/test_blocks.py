@@ -149,3 +149,14 @@ def test_stripes_of_nodes_and_pieces_of_edges(spark, monkeypatch):
     monkeypatch.setattr(blocks, "cut_lineage", lambda d, f=blocks.cut_lineage: [c := f(d), rows.append(c.count())][0])
     assert {r.node: r.total for r in blocks.weights_before(by_number(spark, pairs), sizes).collect()} == _brute_totals(pairs, 500)
     assert max(rows) <= 500
+
+
+def test_closure_lists_members_from_few_rows(spark, monkeypatch):
+    """What meets in the last join is a row for a start and a list, not for each pair; a large component is more than one list."""
+    monkeypatch.setattr(relops, "LISTED", 50, raising=False)
+    pairs = [(k, (k + 1) % 200) for k in range(200)] + [(7, 300), (300, 301)]
+    df = graph(spark, pairs)
+    found = relops.closure(df, df.where("src % 2 = 0").select(F.col("src").alias("start")))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.split("Join")[0].count("Generate explode") == 1  # pairs are made above all joins
+    assert sorted(map(tuple, found.collect())) == sorted([(s, n) for s in range(0, 200, 2) for n in (*range(200), 300, 301)] + [(300, 301)])
